@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = of_class.filter("n > 0 and id is not null and (rep is null or rep = id)").select("id", "n", "bands", "short")
     nodes = materialise(nodes, "nodes")
     short = nodes.select("id", "short")
-    bands = materialise(nodes.select("id", "n", F.explode("bands").alias("key")), "bands")
+    bands = materialise(nodes.select("id", "n", F.posexplode("bands").alias("at", "key")), "bands")
 
     centres = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("k")).filter("k > 1")
     centres = materialise(centres.select("key", F.col("c.id").alias("b"), F.col("c.n").alias("m")), "centres")
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = materialise(components(links), "components")
 
     # Bands whose members are still in different components: their other pairs.
-    labelled = bands.join(joined, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    labelled = bands.join(joined, "id", "left").select("key", "at", "id", "n", F.coalesce("component", "id").alias("component"))
     shared = labelled.join(centres.select("key"), "key", "left_semi")
     labelled = materialise(shared, "labelled")
     open_keys = materialise(
@@ -215,12 +215,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialise(labelled.join(open_keys, "key", "left_semi"), "members")
     few = plain.join(bounded(materialise(members.select("id").distinct(), "ids")), "id", "left_semi")
     own, further = materialise(own_shingles(few), "own"), materialise(few.mapInArrow(_further, "id long, further array<long>"), "further")
-    members = members.join(short, "id").join(own, "id", "left").join(further, "id").fillna(0, ["own"])
+    members = members.join(nodes.select("id", "short", "bands"), "id").join(own, "id", "left").join(further, "id").fillna(0, ["own"])
     members = materialise(members, "members")
-    other = members.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "short", "own", "further")))
+    other = members.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "short", "own", "further", "bands")))
     cross = members.join(other, "key").filter("id2 < id and component2 <> component").filter(_sizes_allow(F.col("n"), F.col("n2")))
     most, least = F.expr("least(n - own, n2 - own2)"), F.expr("greatest(n + own2, n2 + own)")  # of intersection and union
     cross = cross.filter(most * 100 >= least * PERCENT).filter(_agree("short", "short2", PERMUTATIONS // 8, AGREE))
+    cross = cross.filter(~F.arrays_overlap(F.slice("bands", 1, F.col("at")), F.slice("bands2", 1, F.col("at"))))  # the first band they share
     cross = cross.filter(_agree("further", "further2", FURTHER // 8, AGREE_FURTHER))
     cross = materialise(cross.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(spokes, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():

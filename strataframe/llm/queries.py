@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minmax, mixing, packing, substrings
+from . import licenses, minmax, mixing, mpeg_audio, packing, pivots, quality, simple8b, substrings
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mpeg_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mpeg_audio.read_media(mpeg_audio.write_media(_table(spark, sf_dir, "documents")))
+    seek = F.hex(F.crc32(F.array_join("frame_offsets", ",")))
+    feature = F.format_string(
+        "mpeg1-layer3 %d Hz %d samples %d frames sizes %s table %d/%d seek %s junk %d bad %d",
+        "hertz", "samples", "frames", "rates", "table_frames", "table_bytes", seek, "junk", "bad_checksums",
+    )
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -mpeg_audio.UNIT, mpeg_audio.UNIT)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+        "duration",
+    )
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -21,11 +44,46 @@ def op4_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    predicted = (F.col("score") >= quality.CUT).cast("int").alias("predicted")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
+def op6_pivot_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    base = F.transform("phrases", lambda p: p["label"])
+    starts = F.transform("phrases", lambda p: p["start"])
+    more = F.transform("spans", lambda s: s["label"])
+    best = F.array_max(F.concat(F.transform("spans", lambda s: s["share"]), F.transform("phrases", lambda p: F.lit(1.0))))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base, more))), ",").alias("labels"),
+        F.coalesce(best, F.lit(0.0)).alias("score"),
+    )
+
+
 def op8_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minmax.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op9_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return simple8b.read_tokens(simple8b.write_tokens(docs, TOKENIZER, public_tokenizers.PATTERN))
+
+
 def op10_difference_cover_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -34,9 +92,14 @@ def op10_difference_cover_repeats(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_mpeg_payloads,
         op3_best_fit_packing,
         op4_systematic_mixing,
+        op5_bradley_terry_quality,
+        op6_pivot_near_vectors,
+        op7_license_diagonals,
         op8_minmax_near_duplicates,
+        op9_simple8b_tokens,
         op10_difference_cover_repeats,
     )
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minmax, mixing, mpeg_audio, packing, pivots, quality, simple8b, substrings
+from . import html_template, licenses, minmax, mixing, mpeg_audio, packing, pivots, quality, simple8b, substrings
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_template_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_template.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 def op2_mpeg_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mpeg_audio.read_media(mpeg_audio.write_media(_table(spark, sf_dir, "documents")))
     seek = F.hex(F.crc32(F.array_join("frame_offsets", ",")))
@@ -92,6 +97,7 @@ def op10_difference_cover_repeats(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_template_main_text,
         op2_mpeg_payloads,
         op3_best_fit_packing,
         op4_systematic_mixing,

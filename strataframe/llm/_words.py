@@ -133,6 +133,14 @@ class Words:
         return _mixed((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes."""
+    up, down = _BYTES.upto(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, U64)
+    np.cumsum(VALUES[False][raw] * up[:-1], out=sums[1:])
+    return _mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+
+
 def run_hashes(words: np.ndarray, at: np.ndarray, length: int | np.ndarray, lane: int = 0) -> np.ndarray:
     """Hashes of the runs of ``length`` words that start at ``at``; words: word hashes."""
     up, down = _RUNS[lane].upto(len(words) + 1)

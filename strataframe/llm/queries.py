@@ -86,7 +86,7 @@ def op8_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return simple8b.read_tokens(simple8b.write_tokens(docs, TOKENIZER, public_tokenizers.PATTERN))
+    return simple8b.read_tokens(simple8b.write_tokens(docs, TOKENIZER))
 
 
 def op10_difference_cover_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

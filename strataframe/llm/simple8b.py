@@ -24,15 +24,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ._store import materialise, partitions
-from ._words import U64, slices
+from ._words import U64, column, slices, span_hashes
 
 MAGIC, HEADER = b"S8B1", struct.Struct("<4sIQIIII")
 BLOCK = 256
 #: Ids a word, by selector; each is 60 // count bits wide. Selector 0: an escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, *(60 // COUNTS[1:])])
+_POWERS = U64(1) << np.arange(64, dtype=U64)
 SEGMENT_IDS = 1 << 20
 END = 0
 
@@ -44,14 +46,19 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
     grid = np.zeros(blocks * block, U64)
     grid[:n] = ids
     left = np.minimum(block, n - block * np.arange(blocks)) if blocks else np.zeros(0, np.int64)
-    at = np.arange(block)
-    chosen = np.zeros((blocks, block), np.uint8)
-    cells = grid.reshape(blocks, block)
+    chosen = np.zeros(blocks * block, np.uint8)
+    width = np.searchsorted(_POWERS, grid, "right").astype(np.uint8).reshape(blocks, block)
+    reach = np.zeros((blocks, block + 64), np.uint8)
+    reach[:, :block] = width
+    span = 1  # reach[k]: the greatest width of ``span`` ids from k on
     for selector in range(len(COUNTS) - 1, 0, -1):
-        wide = cells >> U64(BITS[selector]) > 0
-        following = np.where(wide, at, block + 64)
-        following = np.minimum.accumulate(following[:, ::-1], axis=1)[:, ::-1]
-        chosen[following - at >= COUNTS[selector]] = selector
+        more = COUNTS[selector] - span
+        while more:
+            step = min(more, span)
+            reach[:, : block + 64 - step] = np.maximum(reach[:, : block + 64 - step], reach[:, step:])
+            span, more = span + step, more - step
+        chosen[(reach[:, :block] <= BITS[selector]).ravel()] = selector
+    chosen = chosen.reshape(blocks, block)
     # What is past a block's end fits any width, so a word's count may pass it.
     place, taken = np.zeros(blocks, np.int64), []
     active = np.arange(blocks)
@@ -121,74 +128,141 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """The library's ids, with those of pieces that were met before from a table.
+    """The library's ids, with those of chunks that were met before from a table.
 
-    A text is cut by the tokenizer's own pattern; pieces are encoded by the library, each alone, and only once. Texts with
-    characters for which the two pattern engines could differ, or special tokens, go to the library whole.
+    A chunk begins at a single space or newline between two characters that aren't white space, after such a newline, and at
+    punctuation after a letter. Byte-level pre-tokenisers of this kind always begin a piece there and look no further back,
+    so a chunk's ids are the same alone and in its text. Chunks are found and hashed over whole columns; the library encodes
+    each distinct one once. Texts with characters for which that isn't plain, or special tokens, go to the library whole.
     """
 
-    #: Pieces that the table holds at most; then it starts anew.
-    MOST = 400_000
-    ODD = re.compile(rb"[\x00-\x08\x0b-\x1f\x7f\xca-\xff]|\xc2[\x80-\xa0]|<\|")
-
-    def __init__(self, path: str, pattern: str):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.library, self.cut = Tokenizer.from_file(path), regex.compile(pattern).findall
+    #: Chunks that the table holds at most; then it starts anew.
+    MOST = 1_000_000
+    ODD = re.compile(rb"[\x00-\x08\x0b-\x1f\x7f]|\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe2\x80|\xe2\x81\x9f|\xe3\x80\x80|<\|")
+    #: Chunks that are encoded in one string.
+    JOINED = 500
+
+    def __init__(self, path: str):
+        self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        space, line = (self.library.encode(c, add_special_tokens=False) for c in " \n")
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[k for t, k in vocabulary.items() if t.startswith(space.tokens[0][0])]] = True
+        (self.line,) = line.ids
         self._clear()
 
     def _clear(self) -> None:
-        self.at, self.ids, self.offsets, self.size = {}, np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        k, upto = len(self.at), self.size + int(sizes.sum())
-        while upto > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while k + len(found) + 1 > len(self.offsets):
-            self.offsets = np.concatenate((self.offsets, np.zeros_like(self.offsets)))
-        self.ids[self.size : upto] = np.fromiter((i for x in found for i in x), np.uint32, upto - self.size)
-        self.offsets[k + 1 : k + 1 + len(found)] = self.size + np.cumsum(sizes)
-        self.size = upto
-        self.at.update(zip(pieces, range(k, k + len(found))))
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.keys, self.at = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.ids, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
+        spaced, alone, other = [], [], []  # a space in front; no white space; others
+        for k, c in enumerate(chunks):
+            rest = c[1:]
+            (other if b" " in rest or b"\n" in c or b"\t" in c else spaced if c[0] == 32 else alone).append(k)
+        ids, sizes = [], []
+        for kind, glue in ((spaced, b""), (alone, b"\n")):
+            joined = [glue + glue.join(chunks[k] for k in kind[i : i + self.JOINED]) for i in range(0, len(kind), self.JOINED)]
+            found = np.array([i for x in self._batch([j.decode() for j in joined]) for i in x], np.uint32)
+            opens = self.spaced[found] if not glue else found == self.line
+            size = np.diff(np.append(np.flatnonzero(opens), len(found)))
+            ids.append(found if not glue else found[~opens])
+            sizes.append(size - len(glue))
+        rest = self._batch([chunks[k].decode() for k in other])
+        sizes = np.concatenate([*sizes, np.array([len(x) for x in rest], np.int64)])
+        ids = np.concatenate([*ids, np.array([i for x in rest for i in x], np.uint32)])
+        if len(sizes) != len(chunks):
+            raise RuntimeError("the tokenizer joins pieces across single spaces")
+        k = len(self.offsets) - 1
+        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes)))
+        self.ids = np.concatenate((self.ids, ids))
+        all_keys = np.concatenate((self.keys, keys[spaced + alone + other]))
+        all_at = np.concatenate((self.at, np.arange(k, k + len(sizes))))
+        order = np.argsort(all_keys)
+        self.keys, self.at = all_keys[order], all_at[order]
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, how many each has)."""
-        whole = {k: self.library.encode(t.decode(), add_special_tokens=False).ids for k, t in enumerate(texts) if self.ODD.search(t)}
-        cut = [[] if k in whole else self.cut(t.decode()) for k, t in enumerate(texts)]
-        if len(self.at) > self.MOST:
+        raw, offsets = column(texts)
+        data = raw.tobytes()
+        doubtful = np.unique(np.searchsorted(offsets, np.flatnonzero(_DOUBTFUL[raw]), "right") - 1).tolist()
+        odd = [k for k in doubtful if self.ODD.search(data, int(offsets[k]), int(offsets[k + 1]))]
+        start = np.zeros(len(raw) + 1, bool)
+        kind = _CHARACTER[raw]
+        solid = kind > 1
+        if len(raw) > 2:
+            gap = (kind[1:-1] == 1) & (raw[1:-1] != 9) & solid[:-2] & solid[2:]
+            start[1:-2] = gap
+            start[2:-1] |= gap & (raw[1:-1] == 10)
+            letter = kind == 3
+            letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+            start[1:-1] |= (kind[1:] == 2) & letter[:-1]
+        start[offsets] = True
+        full = np.diff(offsets) > 0
+        start[-1] = False
+        begin = np.flatnonzero(start)
+        end = np.append(begin[1:], len(raw))
+        first = np.searchsorted(begin, offsets)
+        keys = span_hashes(raw, begin, end)
+        skipped = np.zeros(len(begin), bool)
+        for k in odd:
+            skipped[first[k] : first[k + 1]] = True
+        distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.keys) > self.MOST:
             self._clear()
-        fresh = set().union(*cut).difference(self.at)
-        if fresh:
-            self._learn(sorted(fresh))
-        piece = np.fromiter((self.at[p] for c in cut for p in c), np.int64)
-        sizes = self.offsets[piece + 1] - self.offsets[piece]
+        wanted = np.zeros(len(distinct), bool)
+        wanted[back[~skipped]] = True
+        fresh = np.flatnonzero(wanted & ~self._known(distinct))
+        if len(fresh):
+            self._learn(distinct[fresh], [data[a:b] for a, b in zip(begin[where[fresh]].tolist(), end[where[fresh]].tolist())])
+        if len(self.keys):
+            found = self.at[np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)][back]
+        else:
+            found = np.zeros(len(back), np.int64)
+        sizes = np.where(skipped, 0, self.offsets[found + 1] - self.offsets[found]) if len(self.keys) else np.zeros(len(back), np.int64)
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.offsets[piece] - ends[:-1], sizes)]
-        bounds = ends[np.concatenate(([0], np.cumsum([len(c) for c in cut], dtype=np.int64)))]
-        if not whole:
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.offsets[found] - ends[:-1], sizes)]
+        bounds = ends[first]
+        if not odd:
             return ids, np.diff(bounds)
-        parts = [np.array(whole[k], np.uint32) if k in whole else ids[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
+        whole = dict(zip(odd, ([*e.ids] for e in self.library.encode_batch([data[offsets[k] : offsets[k + 1]].decode() for k in odd], add_special_tokens=False))))
+        parts = [np.array(whole[k], np.uint32) if k in whole else ids[bounds[k] : bounds[k + 1]] for k in range(len(full))]
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+#: 1 white space, 2 punctuation, 3 letters, 4 others.
+_CHARACTER = np.full(256, 4, np.uint8)
+_CHARACTER[[9, 10, 32]] = 1
+_CHARACTER[[k for k in range(33, 127) if not chr(k).isalnum()]] = 2
+_CHARACTER[[k for k in range(65, 123) if chr(k).isalpha()]] = 3
+
+#: First bytes of what makes a text go to the library whole.
+_DOUBTFUL = np.zeros(256, bool)
+_DOUBTFUL[[*range(9), *range(11, 32), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3, ord("<")]] = True
+
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+def _encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
     """The written file: (shard, segment, doc_ids, n_ids, data); tokenizer: path of its file on every machine."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, number = _encoder(tokenizer, pattern), TaskContext.get().partitionId(), 0
+        encoder, shard, number = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
@@ -198,8 +272,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "d
 
         for batch in batches:
             for part in slices(batch):
-                texts = part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
-                ids, lengths = encoder(texts)
+                ids, lengths = encoder(part.column("text"))
                 ends = np.cumsum(lengths)
                 ids, lengths = np.insert(ids, ends, end), lengths + 1
                 names = np.array(part.column("id").to_pylist(), object)

@@ -159,7 +159,7 @@ def own_shingles(docs: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those (a, b) of ``pairs`` whose full shingle sets are similar enough; docs: (id, text)."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     texts = docs.join(bounded(ids), "id", "left_semi")
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")

@@ -31,17 +31,29 @@ def block_count(rows: DataFrame, text: str = "text") -> int:
     return max(partitions(rows.sparkSession), math.ceil(total / BLOCK_BYTES))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 2 * BLOCK_BYTES) -> Iterator[pa.Table]:
+    """Batches together, up to so many bytes; so a block's part of them compresses well."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > most:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def packed(rows: DataFrame, blocks: int, columns: list[str]) -> DataFrame:
     """(block, rows): ``columns`` as compressed Arrow streams, a stream for each batch and block; rows: has id and text."""
     keyed = rows.withColumn("__block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
-            to = batch.column("__block").to_numpy()
+        for table in gathered(batches):
+            to = table.column("__block").to_numpy()
             order = np.argsort(to, kind="stable")
             names, at = np.unique(to[order], return_index=True)
-            table = pa.Table.from_batches([batch]).select(columns).take(pa.array(order))
+            table = table.select(columns).take(pa.array(order))
             out = []
             for a, b in zip(at, [*at[1:], len(to)]):
                 sink = pa.BufferOutputStream()

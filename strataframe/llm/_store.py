@@ -13,10 +13,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of texts that a Python worker gets at once; Spark bounds such batches by rows alone.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory that batches of long texts take; a smaller setting of the session stays."""
+    now = int(spark.conf.get(BATCH_SETTING))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; set here only where the session has none."""
+    small_batches(spark)
     found = spark.conf.get(SETTING, None)
     if not found:
         found = spark.sparkContext.getConf().get(SETTING)
@@ -39,4 +50,5 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     """The shuffle partitions the session asks for; the number of blocks and buckets follows it."""
+    small_batches(spark)
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

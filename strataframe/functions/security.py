@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,11 +32,10 @@ def _bounds(block: str) -> tuple[int, int]:
 
 
 def is_private(host: Column) -> Column:
-    number = ipv4(host)
-    inside = F.lit(False)
-    for block in PRIVATE:
-        inside = inside | number.between(*_bounds(block))
-    return F.coalesce(inside, F.lit(False)) | F.lower(host).isin(*LOCAL_NAMES)
+    def inside(number: Column) -> Column:
+        return reduce(or_, (number.between(*_bounds(b)) for b in PRIVATE))
+
+    return F.coalesce(F.exists(F.array(ipv4(host)), inside), F.lit(False)) | F.lower(host).isin(*LOCAL_NAMES)
 
 
 def host_of(url: Column) -> Column:

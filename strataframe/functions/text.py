@@ -38,7 +38,7 @@ def link_target(raw: Column) -> Column:
 def link_targets(body: Column) -> Column:
     """Distinct targets of Markdown and wiki links of a body."""
     md = F.regexp_extract_all(body, F.lit(MARKDOWN_LINK), 1)
-    wiki = F.transform(F.regexp_extract_all(body, F.lit(WIKI_LINK), 1), F.trim)
+    wiki = F.transform(F.regexp_extract_all(body, F.lit(WIKI_LINK), 1), lambda t: F.trim(t))
     return F.array_distinct(F.transform(F.concat(md, wiki), link_target))
 
 

@@ -66,12 +66,15 @@ def pipe_table(source: str) -> str:
 _TABLE = re.compile(r"<table\b.*?</table\s*>", re.S | re.I)
 
 
-@F.pandas_udf("string")
-def pipe_tables(texts: pd.Series) -> pd.Series:
-    """Texts with their HTML tables as pipe tables."""
+def _piped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else _TABLE.sub(lambda m: pipe_table(m[0]), t))
 
 
+def pipe_tables(text: Column | str) -> Column:
+    """A text with its HTML tables as pipe tables."""
+    return F.pandas_udf(_piped, "string")(text)
+
+
 def route(mode: str, n_chars: Column, n_math: Column, n_images: Column) -> Column:
     """``fast`` or ``heavy``, ``surgical`` where only regions are: how a page is converted."""
     if mode not in ROUTES:

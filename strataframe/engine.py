@@ -95,7 +95,8 @@ class Engine:
         if changed.isEmpty():
             return []
         rows = S.concepts(fresh).filter("error is null").drop("error").dropDuplicates(["id"])
-        ids = self._write(rows, now.select("path", "hash", "concept_id"), gone, files)
+        images = S.scan(self.spark, folder, [f".{s}" for s in I.SUFFIXES])
+        ids = self._write(rows, now.select("path", "hash", "concept_id"), gone, images)
         changed.unpersist()
         return ids
 

@@ -4,25 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql.types import StructType
 
-TABLES: dict[str, StructType] = {
-    name: StructType.fromDDL(ddl)
-    for name, ddl in {
-        "concept": "id string not null, type string, title string, description string, resource string, tags array<string>, timestamp timestamp, body string, embedding array<float>, extra map<string,string>",
-        "chunk": "id string not null, parent_doc_id string, chunk_index bigint, chunk_text string, block_type string, start_offset bigint, end_offset bigint, embedding array<float>",
-        "image_asset": "id string not null, file_name string, mime_type string, alt_text string, caption string, embed_route string, content_hash string, embedding array<float>",
-        "image_data": "id string not null, data binary",
-        "includes_asset": "src string, dst string",
-        "link_raw": "src string, target string",
-        "file_hash": "path string, hash string, concept_id string",
-        "dir_hash": "path string, hash string, files array<string>",
-        "deleted_concept": "id string, original_id string, title string, body string, deleted_at timestamp, type string, tags array<string>",
-    }.items()
+TABLES: dict[str, str] = {
+    "concept": "id string not null, type string, title string, description string, resource string, tags array<string>, timestamp timestamp, body string, embedding array<float>, extra map<string,string>",
+    "chunk": "id string not null, parent_doc_id string, chunk_index bigint, chunk_text string, block_type string, start_offset bigint, end_offset bigint, embedding array<float>",
+    "image_asset": "id string not null, file_name string, mime_type string, alt_text string, caption string, embed_route string, content_hash string, embedding array<float>",
+    "image_data": "id string not null, data binary",
+    "includes_asset": "src string, dst string",
+    "link_raw": "src string, target string",
+    "file_hash": "path string, hash string, concept_id string",
+    "dir_hash": "path string, hash string, files array<string>",
+    "deleted_concept": "id string, original_id string, title string, body string, deleted_at timestamp, type string, tags array<string>",
 }
 #: Version of the stored layout; tables of older ones get the columns they lack.
 VERSION = 5
 OFFICIAL_DIMENSIONS = (32, 64, 128, 256, 512, 768, 1024)
 
 
+def schema(name: str) -> StructType:
+    """The schema of a stored table."""
+    return StructType.fromDDL(TABLES[name])
+
+
 def checked_dimension(dim: int) -> int:
     """``dim`` if embeddings may have it."""
     if not 32 <= dim <= 1024:
@@ -32,5 +34,5 @@ def checked_dimension(dim: int) -> int:
 
 def migrated(df, name: str):
     """A stored table in today's layout: columns it lacks are null, others stay behind."""
-    empty = df.sparkSession.createDataFrame([], TABLES[name])
-    return empty.unionByName(df, allowMissingColumns=True).select(*TABLES[name].names)
+    empty = df.sparkSession.createDataFrame([], schema(name))
+    return empty.unionByName(df, allowMissingColumns=True).select(*empty.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,15 +56,15 @@ def parsed(text: Column | str) -> Column:
     return F.pandas_udf(_frame, PARSED)(text)
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, modified, length, content) of all source files below a folder, paths relative to it, whatever their case."""
+def scan(spark: SparkSession, folder: str, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """(path, modified, length, content) of the files below a folder with these suffixes, in any case; relative paths."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     root = folder if "://" in folder else f"file:{folder if folder.startswith('/') else '/' + folder}"
     root = re.sub(r"^file:/+", "file:/", root.rstrip("/")) + "/"
     bare = F.regexp_replace("path", r"^file:/+", "file:/")
     rel = F.when(F.startswith(bare, F.lit(root)), F.substr(bare, F.lit(len(root) + 1))).otherwise(F.element_at(F.split(bare, "/"), -1))
     named = files.select(rel.alias("path"), F.col("modificationTime").alias("modified"), "length", "content")
-    return named.filter(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in SUFFIXES) + ")$"))
+    return named.filter(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
 
 
 def snapshot(files: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .schemas import TABLES, VERSION, migrated
+from .schemas import VERSION, migrated, schema
 
 
 class Conflict(RuntimeError):
@@ -46,7 +46,7 @@ class Store:
         """A table in today's layout, empty if it was never written."""
         folder = self.manifest()["tables"].get(name)
         if folder is None:
-            return self.spark.createDataFrame([], TABLES[name])
+            return self.spark.createDataFrame([], schema(name))
         return migrated(self.spark.read.parquet(f"{self.path}/{folder}"), name)
 
     def commit(self, tables: Mapping[str, DataFrame], meta: Mapping[str, int] | None = None) -> dict:
@@ -55,7 +55,7 @@ class Store:
         folders = dict(old["tables"])
         for name, df in tables.items():
             folders[name] = f"tables/{name}-{uuid.uuid4().hex}"
-            df.select(*TABLES[name].names).write.parquet(f"{self.path}/{folders[name]}")
+            df.select(*schema(name).names).write.parquet(f"{self.path}/{folders[name]}")
         number = old["number"] + 1
         values = old["meta"] | ({"write_epoch": old["meta"].get("write_epoch", 0) + 1} if tables else {}) | dict(meta or {})
         new = {"number": number, "version": VERSION, "tables": folders, "meta": values}

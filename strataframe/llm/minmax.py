@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = materialise(centres.select("key", F.col("c.id").alias("b"), F.col("c.n").alias("m")), "centres")
     spokes = bands.join(centres, "key").filter(F.col("id") != F.col("b")).filter(_sizes_allow(F.col("n"), F.col("m")))
     spokes = materialise(spokes.select(F.col("id").alias("a"), "b").distinct(), "spokes")
-    near = spokes.join(short.toDF("a", "sa"), "a").join(short.toDF("b", "sb"), "b").filter(_agree("sa", "sb", PERMUTATIONS // 8, AGREE)).select("a", "b").distinct()
+    near = spokes.join(short.toDF("a", "sa"), "a").join(short.toDF("b", "sb"), "b").filter(_agree("sa", "sb", PERMUTATIONS // 8, AGREE))
+    near = materialise(near.select("a", "b"), "near")
     plain = rows.filter("id is not null")
     links = materialise(confirm(near, plain), "links")
     joined = materialise(components(links), "components")
@@ -229,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         joined = materialise(components(links), "components")
 
     known = joined.select(F.col("id").alias("rep"), "component")
-    of_row = of_class.select("id", "n", F.coalesce("rep", F.when(F.col("n") > 0, F.col("id"))).alias("rep")).join(known, "rep", "left")
+    of_row = of_class.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("rep", "id")).alias("rep")).join(known, "rep", "left")
     component = F.coalesce("component", "rep", "id")
     return of_row.select(
         "id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")

@@ -12,7 +12,7 @@ from logging.handlers import RotatingFileHandler
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import config
+from . import config, server
 from .engine import Engine
 
 LOG = logging.getLogger("strataframe")
@@ -60,6 +60,8 @@ def parser() -> argparse.ArgumentParser:
     add("reconstruct", "id")
     add("path", "start", "end", max_length=int)
     add("shell")
+    add("serve")
+    add("ingest-pdf", "file", reader=str, routing=str)
     add("broken-links")
     add("repair-links")
     add("reindex", force=bool)
@@ -85,6 +87,8 @@ def run(engine: Engine, a: argparse.Namespace):
             return engine.import_bundle(a.folder)
         case "ingest":
             return engine.ingest_md(a.file, **_given(concept_id=a.id, title=a.title, description=a.description, tags=a.tags))
+        case "ingest-pdf":
+            return engine.ingest_pdf(a.file, **_given(reader=a.reader, routing_mode=a.routing))
         case "think":
             return engine.ingest_thoughts(a.text, a.topic, **_given(tags=a.tags))
         case "search":
@@ -174,6 +178,8 @@ def main(argv: list[str] | None = None) -> int:
     engine = Engine(spark, a.store, settings)
     if a.command == "shell":
         shell(engine, a.store)
+    elif a.command == "serve":
+        server.serve(engine)
     else:
         show(run(engine, a))
     if a.profile:

@@ -14,6 +14,7 @@ from .functions import images as I
 from .functions import text as T
 from .functions import vectors as V
 from .operators import chunks as C
+from .operators import convert as Convert
 from .operators import export as X
 from .operators import graph as G
 from .operators import maintain as M
@@ -90,7 +91,7 @@ class Engine:
         now = S.snapshot(files)
         old = self.store.table("file_hash")
         changed = M.changed_files(old, now).cache()
-        fresh = files.join(F.broadcast(changed.filter("change <> 'deleted'").select("path")), "path", "left_semi")
+        fresh = files.join(changed.filter("change <> 'deleted'").select("path"), "path", "left_semi")
         gone = old.join(changed.filter("change = 'deleted'").select("path"), "path", "left_semi").select(F.col("concept_id").alias("id"))
         if changed.isEmpty():
             return []
@@ -176,6 +177,14 @@ class Engine:
         schema = "id string, type string, title string, description string, resource string, tags array<string>, timestamp timestamp, body string, extra map<string,string>"
         return self._write(self.spark.createDataFrame([(cid, "thought", f"Thought: {topic}", thoughts[:200], None, all_tags, now, body, {})], schema))[0]
 
+    def ingest_pdf(self, path: str, reader: str = "pdf_oxide:pages", routing_mode: str = "auto") -> list[str]:
+        """Convert PDF or office files by a library and import their text; says which library is missing."""
+        Convert.route(routing_mode, F.lit(0), F.lit(0), F.lit(0))
+        files = self.spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
+        pages = S.convert_pages(files, reader)
+        text = F.encode(F.col("text"), "UTF-8").alias("content")
+        return self._write(S.concepts(pages.select("path", text)).filter("error is null").drop("error"))
+
     # -- search -----------------------------------------------------------------------------------------------------
 
     def _terms(self, query: str) -> list[str]:
@@ -281,6 +290,21 @@ class Engine:
         row = self.store.table("image_data").filter(F.col("id") == asset_id).first()
         return None if row is None or row["data"] is None else bytes(row["data"])
 
+    def concepts_including(self, asset_id: str) -> DataFrame:
+        users = self.store.table("includes_asset").filter(F.col("dst") == asset_id).select(F.col("src").alias("id"))
+        return self.concepts().join(users, "id", "left_semi").select("id", "title", "type")
+
+    def preview(self, concept_id: str) -> DataFrame:
+        """(label, asset, file_name, data): a concept's line with the images that it includes."""
+        one = self.concepts().filter(F.col("id") == concept_id).select("id", T.preview(F.col("title"), F.col("type"), F.col("body")).alias("label"))
+        used = one.join(self.store.table("includes_asset"), F.col("id") == F.col("src"), "left").select("label", F.col("dst").alias("asset"))
+        named = used.join(self.store.table("image_asset").select(F.col("id").alias("asset"), "file_name"), "asset", "left")
+        return named.join(self.store.table("image_data").withColumnRenamed("id", "asset"), "asset", "left").select("label", "asset", "file_name", "data")
+
+    def table_info(self, name: str) -> list[tuple[str, str]]:
+        """Columns of a stored table with their types."""
+        return self.store.table(name).dtypes
+
     # -- maintenance ------------------------------------------------------------------------------------------------
 
     def list_broken_links(self) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
@@ -76,3 +77,12 @@ def contained(path: str, root: str) -> bool:
     root = posixpath.normpath(root)
     full = posixpath.normpath(posixpath.join(root, path.replace("\\", "/")))
     return full == root or full.startswith(root.rstrip("/") + "/")
+
+
+def verified(path: str, pins: Mapping[str, str]) -> bool:
+    """Whether a model file has the SHA-256 that is pinned for its name; files without a pin are trusted."""
+    name = posixpath.basename(path)
+    if name not in pins:
+        return True
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest() == pins[name].lower()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 MARKDOWN_LINK = r"\[.*?\]\((.*?\.md)\)"
+STRICT_LINK = r"\[[^\]]*\]\(([^()\s]*\.md)\)"
 WIKI_LINK = r"\[\[(.*?)\]\]"
 ASSET_MENTION = r"asset://([A-Za-z0-9_-]+)"
 
@@ -35,9 +36,10 @@ def link_target(raw: Column) -> Column:
     return F.ltrim(F.replace(plain, F.lit(".md")), F.lit("/"))
 
 
-def link_targets(body: Column) -> Column:
-    """Distinct targets of Markdown and wiki links of a body."""
-    md = F.regexp_extract_all(body, F.lit(MARKDOWN_LINK), 1)
+def link_targets(body: Column, strict: bool = False) -> Column:
+    """Distinct targets of Markdown and wiki links of a body. Unless ``strict``, a link to something else runs on to the next
+    ``.md)``."""
+    md = F.regexp_extract_all(body, F.lit(STRICT_LINK if strict else MARKDOWN_LINK), 1)
     wiki = F.transform(F.regexp_extract_all(body, F.lit(WIKI_LINK), 1), lambda t: F.trim(t))
     return F.array_distinct(F.transform(F.concat(md, wiki), link_target))
 
@@ -90,6 +92,36 @@ def no_final_newline(text: Column) -> Column:
     return (~F.endswith(text, F.lit("\n"))).cast("int")
 
 
+def heading_jumps(text: Column) -> Column:
+    """Headings that go down more than one level at once (lint rule 1)."""
+    levels = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^(#{1,6})\s"), 1), lambda h: F.length(h))
+    pairs = F.arrays_zip(F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(0))).alias("a"), F.slice(levels, F.lit(2), F.greatest(F.size(levels) - 1, F.lit(0))).alias("b"))
+    return F.size(F.filter(pairs, lambda p: p["b"] > p["a"] + 1))
+
+
+def crowded_fences(text: Column) -> Column:
+    """Opening or closing fences right below or above other text (lint rule 31): lines before an odd fence or after an even one."""
+    marked = F.split(text, "\n")
+    fences = F.filter(F.transform(marked, lambda line, k: F.when(line.rlike(r"^\s{0,3}(```|~~~)"), k).otherwise(-1)), lambda k: k >= 0)
+
+    def crowded(k: Column, nth: Column) -> Column:
+        beside = F.when(nth % 2 == 0, F.get(marked, k - 1)).otherwise(F.get(marked, k + 1))
+        return F.coalesce(F.trim(beside) != "", F.lit(False)).cast("int")
+
+    return F.aggregate(F.transform(fences, crowded), F.lit(0), lambda a, b: a + b)
+
+
+def inline_html(text: Column) -> Column:
+    """HTML tags in a text (lint rule 33)."""
+    return F.regexp_count(text, F.lit(r"</?[A-Za-z][^>\n]*>"))
+
+
+def preview(title: Column, kind: Column, body: Column, most: int = 80) -> Column:
+    """A line for lists: title, type and the first words of a body."""
+    flat = F.trim(F.regexp_replace(F.coalesce(body, F.lit("")), r"\s+", " "))
+    return F.format_string("%s [%s] %s", title, kind, shortened(flat, most))
+
+
 def linted(text: Column) -> Column:
     """The text with those three mended."""
     out = F.regexp_replace(F.regexp_replace(text, r"(?m)[ \t]+$", ""), "\n{3,}", "\n\n")

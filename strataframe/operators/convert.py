@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROUTES = ("never", "auto", "surgical", "always")
@@ -165,3 +165,81 @@ def replaced_loosely(text: str, old: str, new: str) -> str:
 def latex(formula: str, inline: bool = False) -> str:
     bare = formula.strip().strip("$").strip()
     return f"${bare}$" if inline else f"$$\n{bare}\n$$"
+
+
+def first_text(attempts: Sequence[Callable[[], str]], failed: list[str] | None = None) -> str:
+    """The text of the first attempt that gives one; what fails is noted and the next is tried."""
+    for attempt in attempts:
+        try:
+            if (text := attempt()) and text.strip():
+                return text
+        except Exception as e:  # converters fail in any way
+            if failed is not None:
+                failed.append(f"{getattr(attempt, '__name__', 'attempt')}: {e}")
+    return ""
+
+
+def cropped(box: tuple[float, float, float, float], page: tuple[float, float], scale: float, pad: float = 2.0) -> tuple[int, int, int, int]:
+    """Pixels of a region whose box has its origin at the lower left, padded and kept inside the page."""
+    (x0, y0, x1, y1), (width, height) = box, page
+    left, right = max(0.0, x0 - pad), min(width, x1 + pad)
+    top, bottom = max(0.0, height - y1 - pad), min(height, height - y0 + pad)
+    return tuple(round(v * scale) for v in (left, top, right, bottom))
+
+
+def surgical_page(text: str, formulas: Sequence[tuple[str, str | None]]) -> str:
+    """A page's fast text with each recognised formula (as read, as LaTeX) in the place of what was read."""
+    for read, recognised in formulas:
+        if recognised:
+            text = replaced_loosely(text, read, latex(recognised))
+    return text
+
+
+def structured_page(regions: Sequence[dict], whole: Callable[[], str]) -> str:
+    """A page from its layout regions (kind, box, text, src) in reading order; without a layout its whole text."""
+    if not regions:
+        return whole()
+    by_box = {tuple(r["box"]): r for r in regions}
+    parts = []
+    for box in reading_order(list(by_box)):
+        r = by_box[box]
+        text = (r.get("text") or "").strip()
+        match r["kind"]:
+            case "table":
+                parts.append(pipe_table(text))
+            case "formula":
+                parts.append(latex(text))
+            case "figure":
+                parts.append(f"![]({r.get('src', '')})")
+            case "title":
+                parts.append(f"## {text}")
+            case _:
+                parts.append(text)
+    return "\n\n".join(p for p in parts if p)
+
+
+_VERSION = re.compile(r"(\d+)(?:\.(\d+))?(?:\.(\d+))?")
+
+
+def version(text: str) -> tuple[int, int, int]:
+    """A version's three numbers; what is missing is 0."""
+    found = _VERSION.search(text)
+    if not found:
+        raise ValueError(f"no version in {text!r}")
+    return tuple(int(x or 0) for x in found.groups())
+
+
+def tolerated(found: str, wanted: str) -> bool:
+    """Whether a library's version will do: the same major number and not older."""
+    a, b = version(found), version(wanted)
+    return a[0] == b[0] and a >= b
+
+
+def versioned_names(names: DataFrame, taken: DataFrame) -> DataFrame:
+    """(path, target) of converted files: the stem with ``.md``, and ``_v2`` and so on where names repeat or are taken."""
+    stem = F.regexp_replace("path", r"\.[^./]+$", "")
+    used = taken.select(F.regexp_replace(F.regexp_replace("path", r"\.md$", ""), r"_v\d+$", "").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("stem").orderBy("path"))
+    each = names.select("path", stem.alias("stem")).withColumn("k", nth).join(used, "stem", "left")
+    k = F.col("k") + F.coalesce("n", F.lit(0))
+    return each.select("path", F.concat("stem", F.when(k > 1, F.concat(F.lit("_v"), k)).otherwise(F.lit("")), F.lit(".md")).alias("target"))

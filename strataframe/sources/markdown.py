@@ -57,7 +57,10 @@ def parsed(text: Column | str) -> Column:
 
 
 def scan(spark: SparkSession, folder: str, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
-    """(path, modified, length, content) of the files below a folder with these suffixes, in any case; relative paths."""
+    """(path, modified, length, content) of the files below a folder with these suffixes, in any case; relative paths.
+
+    Spark's reader passes over files without a byte.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     root = folder if "://" in folder else f"file:{folder if folder.startswith('/') else '/' + folder}"
     root = re.sub(r"^file:/+", "file:/", root.rstrip("/")) + "/"

@@ -12,7 +12,7 @@ from .engine import Engine
 
 READ = ("search_hybrid", "search_chunks", "search_images", "search_with_context", "search_chunks_with_hub_score", "expand_with_graph_context", "traverse",
         "find_path", "get_by_id", "list_directory", "get_chunks", "reconstruct_document")
-WRITE = ("export_bundle", "ingest_md", "ingest_thoughts", "import_bundle")
+WRITE = ("export_bundle", "ingest_md", "ingest_thoughts", "ingest_pdf")
 _KINDS = {str: "string", int: "integer", float: "number", bool: "boolean"}
 
 

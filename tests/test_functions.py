@@ -18,7 +18,8 @@ def test_ids_and_titles(spark):
 
 def test_links(spark):
     body = "[a](./missing.md) [[ sub/x ]] [b](../../up.md) [c](other.txt) [a](missing.md)"
-    assert one(spark, t=text.link_targets(F.lit(body))).t == ["missing", "up", "sub/x"]
+    assert one(spark, t=text.link_targets(F.lit(body), strict=True)).t == ["missing", "up", "sub/x"]
+    assert one(spark, t=text.link_targets(F.lit(body))).t == ["missing", "up", "other.txt) [a](missing", "sub/x"]
 
 
 def test_images(spark):
@@ -124,3 +125,31 @@ def test_fusion_against_ranking_everything(spark):
     assert [(r.id, r.rrf) for r in rank.fuse(near, hits, 7).collect()] == want[:7]
     allowed = hits.filter("id % 2 = 1").select("id")
     assert [(r.id, r.rrf) for r in rank.fuse(near, hits, 7, allowed).collect()] == [x for x in want if x[0] % 2][:7]
+
+
+def test_lint_errors(spark):
+    body = "# a\n### b\ntext\n```\ncode\n```\nmore <b>x</b>\n\n~~~\nq\n~~~\n"
+    got = one(spark, j=text.heading_jumps(F.lit(body)), f=text.crowded_fences(F.lit(body)), h=text.inline_html(F.lit(body)), n=text.heading_jumps(F.lit("")), e=text.crowded_fences(F.lit("")))
+    assert tuple(got) == (1, 2, 2, 0, 0)
+    assert one(spark, p=text.preview(F.lit("T"), F.lit("note"), F.lit("a\n\nb"))).p == "T [note] a b"
+
+
+def test_pages(tmp_path):
+    def broken():
+        raise RuntimeError("no")
+
+    failed = []
+    assert convert.first_text([broken, lambda: " ", lambda: "x"], failed) == "x" and failed == ["broken: no"]
+    assert convert.cropped((10, 10, 20, 20), (100, 50), 2.0) == (16, 56, 44, 84)
+    assert convert.surgical_page("let x 2 be", [("x 2", "x^2"), ("gone", None)]) == "let $$\nx^2\n$$ be"
+    regions = [{"kind": "text", "box": (0, 50, 9, 60), "text": "b"}, {"kind": "title", "box": (0, 0, 9, 9), "text": "A"}, {"kind": "figure", "box": (0, 90, 9, 99), "src": "f.png"}]
+    assert convert.structured_page(regions, str) == "## A\n\nb\n\n![](f.png)" and convert.structured_page([], lambda: "w") == "w"
+    assert convert.version("v1.2") == (1, 2, 0) and convert.tolerated("1.4.0", "1.2") and not convert.tolerated("2.0", "1.2")
+    (tmp_path / "m.bin").write_bytes(b"x")
+    assert security.verified(str(tmp_path / "m.bin"), {}) and not security.verified(str(tmp_path / "m.bin"), {"m.bin": "00"})
+
+
+def test_versioned_names(spark):
+    names = spark.createDataFrame([("a/x.pdf",), ("a/x.docx",), ("b.pdf",)], "path string")
+    taken = spark.createDataFrame([("b.md",)], "path string")
+    assert sorted(tuple(r) for r in convert.versioned_names(names, taken).collect()) == [("a/x.docx", "a/x.md"), ("a/x.pdf", "a/x_v2.md"), ("b.pdf", "b_v2.md")]

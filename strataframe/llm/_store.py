@@ -18,8 +18,14 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
 
 
+#: Python workers give memory back at once, so that idle ones hold little; settings of glibc and Arrow.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory that batches of long texts take; a smaller setting of the session stays."""
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     now = int(spark.conf.get(BATCH_SETTING))
     if not 0 < now <= BATCH_ROWS:
         spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))

@@ -15,7 +15,7 @@ import pyarrow as pa
 SPACES = b" \t\n\v\f\r"
 U64 = np.uint64
 #: Bytes of text that are taken at once; a longer single text is taken alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -61,7 +61,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = -(-n >> 18) << 18
+            size = -(-n >> 16) << 16
             grown = []
             for base in (self.base, self.inverse):
                 steps = np.full(size, base, U64)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import materialise
+from ._store import materialise, small_batches
 from ._words import ALNUM, Words, run_hashes, run_starts, slices
 
 GRAM = 3
@@ -104,6 +104,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     phrases: array of (start, last, label), each place of a phrase; spans: array of (label, start, last, share), each
     verified span of a template. Words count from 0.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = materialise(_hits(rows), "hits")
     hits = texts.select("row", F.explode("hits").alias("hit")).select("row", "hit.at", "hit.gram")

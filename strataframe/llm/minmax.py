@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._links import bounded, components
-from ._store import materialise
+from ._store import materialise, small_batches
 from ._words import U64, Words, mixed, run_hashes, slices
 
 SHINGLE = 5
@@ -186,6 +186,7 @@ def _agree(x: str, y: str, words: int, least: int) -> Column:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``, by links of similarity 0.75 or more."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialise(rows.mapInArrow(_signatures, "id long, n long, p1 long, p2 long, bands array<long>, short array<long>"), "signatures")
     prints = signed.filter("n > 0 and id is not null")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialise
+from ._store import materialise, small_batches
 
 #: Fixed values of MPEG audio: kbit/s by version (1, else 2) and layer, Hz of MPEG-1.
 KBITS = {
@@ -193,6 +193,7 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             media = pa.array([store(pad(t), len(t)) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(t) for t in texts], pa.int64()), media], ["id", "n_bytes", "media"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return materialise(rows.mapInArrow(write, MEDIA), "media")
 
@@ -235,6 +236,7 @@ def read_media(stored: DataFrame) -> DataFrame:
                 names = [c.split()[0] for c in READ.split(", ")]
                 yield pa.RecordBatch.from_arrays([named[n] for n in names], names)
 
+    small_batches(stored.sparkSession)
     return stored.select("id", "media").mapInArrow(read, READ)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._links import components
-from ._store import materialise, partitions
+from ._store import materialise, partitions, small_batches
 
 COSINE = 0.9
 NEAREST = 8
@@ -154,6 +154,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", most_pivots: int = MOST_PIVOTS) -> DataFrame:
     """(id, n_links, component_id, kept) for each row of ``vectors``."""
     spark = vectors.sparkSession
+    small_batches(spark)
     values = F.col(vector_col).cast("array<double>")
     fine = F.coalesce(
         (F.size(values) > 0)

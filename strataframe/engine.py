@@ -25,6 +25,10 @@ from .store import Store
 from .workers import importable
 
 
+#: Tables that a purge changes.
+PURGED = ("concept", "chunk", "link_raw", "includes_asset", "image_asset", "image_data", "file_hash", "concept_posting", "concept_length", "chunk_posting", "chunk_length")
+
+
 class Engine:
     """A store with the operations over it.
 
@@ -76,8 +80,7 @@ class Engine:
 
     def encode_query(self, text: str) -> list[float]:
         if self._make is None:
-            sparse = V.hashed_query(text, self.dimension)
-            return [sparse.get(k, 0.0) for k in range(self.dimension)]
+            return V.hashed_query(text, self.dimension)
         (found,) = self._make().encode([text if text.startswith("Query: ") else f"Query: {text}"])
         found = [*found[: self.dimension], *[0.0] * (self.dimension - len(found))]
         length = sum(x * x for x in found) ** 0.5
@@ -116,6 +119,11 @@ class Engine:
             "link_raw": kept["link_raw"].unionByName(S.raw_links(rows)),
         }
         state |= self._images(rows, kept["includes_asset"], files)
+        gone_chunks = self.chunks().join(lost.select(F.col("id").alias("parent_doc_id")), "parent_doc_id", "left_semi").select("id")
+        for grain, index, out in (("concept", R.postings(rows, "id", text), lost), ("chunk", R.postings(cut, "id", "chunk_text"), gone_chunks)):
+            for name, fresh in zip(("posting", "length"), index):
+                stored = self.store.table(f"{grain}_{name}").join(out, "id", "left_anti")
+                state[f"{grain}_{name}"] = stored.select(*fresh.columns).unionByName(fresh)
         if hashes is not None:
             state["file_hash"] = hashes
             dirs = M.directory_hashes(hashes)
@@ -190,13 +198,15 @@ class Engine:
     def _terms(self, query: str) -> list[str]:
         return [*self.spark.range(1).select(T.tokens(F.lit(query))).first()[0]]
 
+    def _hits(self, grain: str, query: str) -> DataFrame:
+        return R.bm25_indexed(self.store.table(f"{grain}_posting"), self.store.table(f"{grain}_length"), self._terms(query))
+
     def search_hybrid(self, query: str, concept_type: str | None = None, tags: Sequence[str] = (), parent_id: str | None = None, exclude_reserved: bool = True, limit: int = 10, include_chunks: bool = False) -> DataFrame:
         """Concepts by vectors and text, best first."""
         concepts = self.concepts()
-        text = T.search_text(F.col("title"), F.col("description"), F.col("body"))
         near = R.knn(concepts, self.encode_query(query), 3 * limit)
         allowed = R.concept_filter(concepts, concept_type, tags, parent_id, exclude_reserved)
-        fused = R.fuse(near, R.bm25(concepts, self._terms(query), "id", text), limit, allowed)
+        fused = R.fuse(near, self._hits("concept", query), limit, allowed)
         out = allowed.join(F.broadcast(fused), "id").select("id", "title", "type", T.shortened(F.col("description"), 200).alias("description"), "tags", F.col("rrf").alias("relevance_score"))
         if include_chunks:
             found = self.search_chunks(query, limit=3 * limit, _parents=out.select(F.col("id").alias("parent_doc_id")))
@@ -220,7 +230,7 @@ class Engine:
             allowed = allowed.join(F.broadcast(_parents), "parent_doc_id", "left_semi")
         cap = self.config.max_chunks_per_doc if max_chunks_per_doc is None else max_chunks_per_doc
         near = R.knn(chunks, self.encode_query(query), 3 * limit)
-        fused = R.fuse(near, R.bm25(chunks, self._terms(query), "id", "chunk_text"), limit, allowed, "parent_doc_id", cap)
+        fused = R.fuse(near, self._hits("chunk", query), limit, allowed, "parent_doc_id", cap)
         out = allowed.join(F.broadcast(fused.select("id", "rrf")), "id").withColumn("chunk_text", T.shortened(F.col("chunk_text"), 500))
         return out.orderBy(F.desc("rrf"), "id")
 
@@ -318,7 +328,7 @@ class Engine:
         gone = self.spark.createDataFrame([(concept_id,)], "id string")
         if self.concepts().filter(F.col("id") == concept_id).isEmpty():
             return False
-        names = ("concept", "chunk", "link_raw", "includes_asset", "image_asset", "image_data", "file_hash")
+        names = PURGED
         self.store.commit(M.purge({n: self.store.table(n) for n in names}, gone))
         return True
 
@@ -327,7 +337,7 @@ class Engine:
         stone = M.tombstones(self.concepts(), gone, F.lit(at or dt.datetime.now(dt.timezone.utc)).cast("timestamp"))
         if stone.isEmpty():
             return False
-        names = ("concept", "chunk", "link_raw", "includes_asset", "image_asset", "image_data", "file_hash")
+        names = PURGED
         state = M.purge({n: self.store.table(n) for n in names}, gone)
         self.store.commit(state | {"deleted_concept": M.upsert(self.store.table("deleted_concept"), stone, "id")})
         return True

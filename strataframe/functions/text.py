@@ -17,6 +17,16 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda t: t != "")
 
 
+def n_tokens(text: Column) -> Column:
+    """How many ``tokens`` a text has, without making them."""
+    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}]+"))
+
+
+def n_of_token(text: Column, token: str) -> Column:
+    """How many of its ``tokens`` are this one."""
+    return F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])\Q{token}\E(?![\p{{L}}\p{{N}}])"))
+
+
 def search_text(*parts: Column) -> Column:
     """Parts joined by one space; null counts as empty and keeps its place."""
     out: list[Column] = []

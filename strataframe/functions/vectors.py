@@ -7,11 +7,12 @@ import re
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import tokens
+_TOKEN = re.compile(r"[^\W_]+")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,48 +36,34 @@ def truncated(a: Column, dim: int) -> Column:
     return F.transform(cut, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0))
 
 
-def bucket(token: Column, dim: int) -> Column:
-    return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % dim
+_BUCKETS: dict[str, int] = {}
 
 
-def hashed(text: Column, dim: int) -> Column:
-    """A bag of hashed words of unit length; a text without words has the zero vector."""
-    buckets = F.transform(tokens(text), lambda t: bucket(t, dim))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(buckets, _is(k))).cast("double"))
-    length = norm(counts)
-    return F.transform(counts, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+def _number(token: str) -> int:
+    """The hash of a token, remembered by the worker; there are far fewer distinct ones."""
+    found = _BUCKETS.get(token)
+    if found is None:
+        if len(_BUCKETS) > 500_000:
+            _BUCKETS.clear()
+        found = _BUCKETS[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+    return found
 
 
-def _is(value):
-    return lambda x: x == value
+def _hashed(text: str | None, dim: int) -> np.ndarray:
+    numbers = [_number(t) for t in _TOKEN.findall((text or "").lower())]
+    counts = np.bincount(np.array(numbers, np.int64) % dim, minlength=dim).astype(float)
+    length = np.sqrt((counts * counts).sum())
+    return counts / length if length else counts
 
 
-def hashed_sim(text: Column, query: dict[int, float], dim: int) -> Column:
-    """Cosine of a text's hashed words with a query's: {bucket: component of a unit vector}; 0 for a text without words.
+def hashed(text: Column | str, dim: int) -> Column:
+    """A bag of hashed words of unit length; a text without words has the zero vector. An Arrow-batched UDF, as encoders are."""
+    return F.pandas_udf(lambda texts: texts.map(lambda t: _hashed(t, dim)), "array<double>")(text)
 
-    The squared length comes from the sorted buckets in one pass: the r-th of a run adds r^2 - (r - 1)^2.
-    """
-    buckets = F.transform(tokens(text), lambda t: bucket(t, dim))
-    start = F.struct(F.lit(-1).cast("bigint").alias("b"), F.lit(0).alias("r"), F.lit(0.0).alias("s"))
 
-    def step(sofar: Column, b: Column) -> Column:
-        run = F.when(sofar["b"] == b, sofar["r"] + 1).otherwise(1)
-        return F.struct(b.alias("b"), run.alias("r"), (sofar["s"] + 2 * run - 1.0).alias("s"))
-
-    length = F.sqrt(F.aggregate(F.array_sort(buckets), start, step, lambda x: x["s"]))
-    total = sum((F.size(F.filter(buckets, _is(k))) * w for k, w in sorted(query.items())), F.lit(0.0))
-    return F.when(length > 0, total / length).otherwise(0.0)
-
-
-def hashed_query(text: str, dim: int) -> dict[int, float]:
-    """The same vector of a query, by bucket."""
-    found: dict[int, float] = {}
-    for t in re.split(r"[\W_]+", text.lower()):
-        if t:
-            k = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
-            found[k] = found.get(k, 0) + 1
-    length = sum(v * v for v in found.values()) ** 0.5
-    return {k: v / length for k, v in found.items()}
+def hashed_query(text: str, dim: int) -> list[float]:
+    """The same vector of a query."""
+    return _hashed(text, dim).tolist()
 
 
 class Encoder(Protocol):

@@ -80,6 +80,12 @@ def purge(tables: Mapping[str, DataFrame], gone: DataFrame) -> dict[str, DataFra
     without("link_raw", "src")
     without("broken_link", "source_id", "target_id")
     without("file_hash", "concept_id")
+    without("concept_posting", "id")
+    without("concept_length", "id")
+    for name in ("chunk_posting", "chunk_length"):
+        if name in out:
+            lost = tables["chunk"].join(gone.select(F.col("id").alias("parent_doc_id")), "parent_doc_id", "left_semi").select("id")
+            out[name] = out[name].join(lost, "id", "left_anti").select(*tables[name].columns)
     without("includes_asset", "src")
     if "edge" in out and "chunk" in tables:
         lost = tables["chunk"].join(gone.select(F.col("id").alias("parent_doc_id")), "parent_doc_id", "left_semi")

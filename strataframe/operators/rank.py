@@ -6,7 +6,7 @@ among all text hits, the hits are counted against the few candidates in one part
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,19 +24,16 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "id",
     return vectors.select(F.col(id_col).alias("id"), sim.alias("sim")).orderBy(F.desc("sim"), "id").limit(k)
 
 
-def _is(value) -> Callable[[Column], Column]:
-    return lambda x: x == value
-
-
 def bm25(docs: DataFrame, terms: Sequence[str], id_col: str = "id", text: str | Column = "text") -> DataFrame:
     """(id, score) of documents with one of ``terms`` or more.
 
     Term counts are taken in place, so the statistics are one row and nothing is shuffled by document.
     """
     terms = list(dict.fromkeys(terms))
-    tokens = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text) if isinstance(text, str) else text).alias("tk"))
-    counts = [F.size(F.filter("tk", _is(w))).alias(f"tf{k}") for k, w in enumerate(terms)]
-    counted = tokens.select("id", F.size("tk").alias("dl"), *counts)
+    body = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    lowered = docs.select(F.col(id_col).alias("id"), F.lower(body).alias("t"))
+    counts = [T.n_of_token(F.col("t"), w).alias(f"tf{k}") for k, w in enumerate(terms)]
+    counted = lowered.select("id", T.n_tokens(F.col("t")).alias("dl"), *counts)
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("av"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))))
     score = F.lit(0.0)
     for k in range(len(terms)):
@@ -47,6 +44,26 @@ def bm25(docs: DataFrame, terms: Sequence[str], id_col: str = "id", text: str |
     return counted.filter(hit).crossJoin(F.broadcast(stats)).select("id", F.round(score, DIGITS).alias("score"))
 
 
+def postings(docs: DataFrame, id_col: str = "id", text: str | Column = "text") -> tuple[DataFrame, DataFrame]:
+    """An inverted index of ``docs``: (term, id, tf) and (id, dl). Stored, it spares searches reading texts."""
+    body = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    each = docs.select(F.col(id_col).alias("id"), T.tokens(body).alias("tk"))
+    tf = each.select("id", F.explode("tk").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    return tf, each.select("id", F.size("tk").alias("dl"))
+
+
+def bm25_indexed(index: DataFrame, lengths: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """``bm25`` from ``postings``: only the terms' entries are read, and only their documents' lengths joined."""
+    terms = list(dict.fromkeys(terms))
+    found = index.filter(F.col("term").isin(*terms))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("av"))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    rows = found.join(F.broadcast(df), "term").join(lengths, "id").crossJoin(F.broadcast(stats))
+    tf = F.col("tf")
+    weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("av")))
+    return rows.groupBy("id").agg(F.round(F.sum(weight), DIGITS).alias("score"))
+
+
 def _places(hits: DataFrame, chosen: DataFrame) -> DataFrame:
     """(id, place): the places of a few ``chosen`` hits among all ``hits`` (id, score), best first, ties by id."""
     order = chosen.join(hits, "id").select(F.struct((-F.col("score")).alias("s"), "id").alias("o"))
@@ -60,20 +77,22 @@ def _places(hits: DataFrame, chosen: DataFrame) -> DataFrame:
     return every.select(F.col("o.id").alias("id"), (F.coalesce("n", F.lit(0)) + 1).alias("place"))
 
 
-def fuse(near: DataFrame, hits: DataFrame, limit: int, allowed: DataFrame | None = None, per: str | None = None, cap: int = 3) -> DataFrame:
+def fuse(near: DataFrame, hits: DataFrame, limit: int, allowed: DataFrame | None = None, per: str | None = None, cap: int = 3, spare: int | None = None) -> DataFrame:
     """(id, rrf): the best ``limit`` by reciprocal ranks of vectors (id, sim) and all text hits (id, score).
 
     allowed: ids (distinct) that may be returned; ranks are taken before this filter. per: a column of ``allowed`` of which
-    each value may be returned ``cap`` times. A hit that isn't near is outranked by no more than those above it and the near
-    ones, so of such hits only the best limit + near can be returned, and of one ``per`` only the best ``cap``.
+    each value may be returned ``cap`` times; spare: rows of ``near`` at most (3 * limit unless given). A hit that isn't near
+    is outranked by no more than those above it and the near ones, so of such hits only the best limit + near can be
+    returned, and of one ``per`` only the best ``cap``.
     """
+    # Dealt out, both are made once and their shuffle files are read wherever the plan needs them again.
+    hits, near = hits.repartition("id"), near.repartition(1)
     near = near.withColumn("vr", F.row_number().over(Window.orderBy(F.desc("sim"), "id")))
     may = hits if allowed is None else hits.join(allowed.select("id", *([per] if per else [])), "id")
     may = may.join(F.broadcast(near.select("id")), "id", "left_anti")
     if per:
         may = capped(may, per, cap, "score")
-    spare = near.agg(F.count("*")).first()[0] if per else 0
-    best = may.orderBy(F.desc("score"), "id").limit(limit + spare).select("id")
+    best = may.orderBy(F.desc("score"), "id").limit(limit + (spare or 3 * limit) if per else limit).select("id")
     placed = _places(hits, best.union(near.select("id")))
     both = near.join(placed, "id", "full_outer")
     score = F.coalesce(1 / (RRF + F.col("vr")), F.lit(0.0)) + F.coalesce(1 / (RRF + F.col("place")), F.lit(0.0))

@@ -93,6 +93,11 @@ def fts_bm25_chunk(q: Inputs) -> DataFrame:
     return R.bm25(q.chunk, TERMS, "chunk_id", "chunk_text").withColumnRenamed("id", "chunk_id")
 
 
+@query("with " + bm25_sql("documents", "doc_id", "text") + " select id doc_id, score from sc")
+def fts_bm25_postings(q: Inputs) -> DataFrame:
+    return R.bm25_indexed(*R.postings(q.documents, "doc_id"), TERMS).withColumnRenamed("id", "doc_id")
+
+
 @query(f"with {NEAR_SQL} select id vec_id, sim from v")
 def vector_topk(q: Inputs) -> DataFrame:
     return near_documents(q).withColumnRenamed("id", "vec_id")
@@ -114,8 +119,8 @@ _SIM_SQL = f"""ct as (select chunk_id, ('0x'||substr(md5(t),1,8))::bigint % {DIM
 
 
 def _chunk_near(q: Inputs) -> DataFrame:
-    sim = F.round(V.hashed_sim(F.col("chunk_text"), V.hashed_query(QUERY, DIM), DIM), 6)
-    return q.chunk.select(F.col("chunk_id").alias("id"), sim.alias("sim")).orderBy(F.desc("sim"), "id").limit(3 * LIMIT)
+    encoded = q.chunk.select(F.col("chunk_id").alias("id"), V.hashed("chunk_text", DIM).alias("embedding"))
+    return R.knn(encoded, V.hashed_query(QUERY, DIM), 3 * LIMIT)
 
 
 def _chunk_hits(q: Inputs) -> DataFrame:

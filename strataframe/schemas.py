@@ -10,6 +10,10 @@ TABLES: dict[str, str] = {
     "image_asset": "id string not null, file_name string, mime_type string, alt_text string, caption string, embed_route string, content_hash string, embedding array<float>",
     "image_data": "id string not null, data binary",
     "includes_asset": "src string, dst string",
+    "concept_posting": "term string, id string, tf bigint",
+    "concept_length": "id string, dl int",
+    "chunk_posting": "term string, id string, tf bigint",
+    "chunk_length": "id string, dl int",
     "link_raw": "src string, target string",
     "file_hash": "path string, hash string, concept_id string",
     "dir_hash": "path string, hash string, files array<string>",

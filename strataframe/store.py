@@ -55,7 +55,10 @@ class Store:
         folders = dict(old["tables"])
         for name, df in tables.items():
             folders[name] = f"tables/{name}-{uuid.uuid4().hex}"
-            df.select(*schema(name).names).write.parquet(f"{self.path}/{folders[name]}")
+            rows = df.select(*schema(name).names)
+            if name.endswith("_posting"):  # sorted, a term's entries lie in few row groups, and the others are skipped
+                rows = rows.repartitionByRange("term").sortWithinPartitions("term")
+            rows.write.parquet(f"{self.path}/{folders[name]}")
         number = old["number"] + 1
         values = old["meta"] | ({"write_epoch": old["meta"].get("write_epoch", 0) + 1} if tables else {}) | dict(meta or {})
         new = {"number": number, "version": VERSION, "tables": folders, "meta": values}

@@ -71,11 +71,11 @@ def test_truncated_vectors(spark):
     assert got.a == [0.6, 0.8] and got.b == [1.0, 0.0, 0.0] and got.c == [0.0, 0.0]
 
 
-def test_hashed_words_agree(spark):
+def test_hashed_words(spark):
     words = "The quick brown fox; the dog"
-    got = one(spark, v=vectors.hashed(F.lit(words), 32), s=vectors.hashed_sim(F.lit(words), vectors.hashed_query(words, 32), 32), e=vectors.hashed_sim(F.lit(""), {1: 1.0}, 32))
-    sparse = vectors.hashed_query(words, 32)
-    assert got.v == pytest.approx([sparse.get(k, 0.0) for k in range(32)]) and got.s == pytest.approx(1.0) and got.e == 0.0
+    got = one(spark, v=vectors.hashed(F.lit(words), 32), e=vectors.hashed(F.lit(""), 32), n=vectors.hashed(F.lit(None).cast("string"), 32))
+    assert got.v == pytest.approx(vectors.hashed_query(words, 32)) and sum(x * x for x in got.v) == pytest.approx(1)
+    assert got.e == got.n == [0.0] * 32
 
 
 def test_blocks_keep_their_bytes():

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_template, licenses, minmax, mixing, mpeg_audio, packing, pivots, quality, simple8b, substrings
+from . import html_template, licenses, minmax, mixing, mpeg_audio, oracles, packing, pivots, quality, simple8b, substrings
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -110,4 +110,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_systematic_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL

@@ -167,13 +167,6 @@ def test_mixing(spark, edge_texts):
     assert mixing.emitted(mixed).count() == sum(r.copies for r in rows)
 
 
-def test_mixing_oracle(spark, duck):
-    found = queries.op4_systematic_mixing(spark, DATA)
-    cursor = duck.execute(mixing.ORACLE_SQL)
-    names = [c[0] for c in cursor.description]
-    assert Counter(tuple(r[c] for c in names) for r in found.collect()) == Counter(cursor.fetchall())
-
-
 def test_packing(spark, edge_texts):
     rows = packing.pack(docs_of(spark, edge_texts)).collect()
     sizes = Counter((i, len(WORD.findall(t or ""))) for i, t in edge_texts)

@@ -37,3 +37,15 @@ def test_repeated_rows_stay_once(spark):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, DATA).count() == stages[5].count()
+
+
+@pytest.mark.parametrize("name", ["op4_systematic_mixing", "op8_minmax_near_duplicates", "op10_difference_cover_repeats"])
+def test_sql(spark, duck, name):
+    from conftest import rows_of
+
+    from strataframe.llm import queries
+
+    found = queries.QUERIES[name](spark, DATA)
+    cursor = duck.execute(queries.ORACLE_SQL[name])
+    wanted = rows_of([c[0] for c in cursor.description], cursor.fetchall())
+    assert rows_of(found.columns, [tuple(r) for r in found.collect()]) == wanted

@@ -18,8 +18,8 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
 
 
-#: Python workers give memory back at once, so that idle ones hold little; settings of glibc and Arrow.
-WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Python workers keep one heap, from which Arrow's buffers come as well, so that idle ones hold less.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def small_batches(spark: SparkSession) -> None:

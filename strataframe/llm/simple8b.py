@@ -137,7 +137,7 @@ class Encoder:
     """
 
     #: Chunks that the table holds at most; then it starts anew.
-    MOST = 500_000
+    MOST = 800_000
     ODD = re.compile(rb"[\x00-\x08\x0b-\x1f\x7f]|\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe2\x80|\xe2\x81\x9f|\xe3\x80\x80|<\|")
     #: Chunks that are encoded in one string.
     JOINED = 500
@@ -271,7 +271,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, SEGMENTS.types)], SEGMENTS.names)
 
         for batch in batches:
-            for part in slices(batch, most=1 << 20):
+            for part in slices(batch, most=1 << 21):
                 ids, lengths = encoder(part.column("text"))
                 ends = np.cumsum(lengths)
                 ids, lengths = np.insert(ids, ends, end), lengths + 1

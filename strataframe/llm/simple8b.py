@@ -179,10 +179,10 @@ class Encoder:
         k = len(self.offsets) - 1
         self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes)))
         self.ids = np.concatenate((self.ids, ids))
-        all_keys = np.concatenate((self.keys, keys[spaced + alone + other]))
-        all_at = np.concatenate((self.at, np.arange(k, k + len(sizes))))
-        order = np.argsort(all_keys)
-        self.keys, self.at = all_keys[order], all_at[order]
+        fresh = keys[spaced + alone + other]
+        order = np.argsort(fresh)
+        place = np.searchsorted(self.keys, fresh[order])
+        self.keys, self.at = np.insert(self.keys, place, fresh[order]), np.insert(self.at, place, k + order)
 
     def _known(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):

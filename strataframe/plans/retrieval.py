@@ -241,8 +241,8 @@ def search_context_flat(q: Inputs) -> DataFrame:
  c as (select doc_id, ('0x'||substr(md5(t),1,8))::bigint % {DIM} k, count(*) c from t group by all)
 select doc_id, k, round(c/sqrt(sum(c*c) over (partition by doc_id)),6) x from c""")
 def encode_hash(q: Inputs) -> DataFrame:
-    some = q.documents.filter("doc_id % 100 = 0").select("doc_id", V.hashed(F.col("text"), DIM).alias("v"))
-    return some.select("doc_id", F.posexplode("v").alias("k", "x")).filter("x > 0").select("doc_id", F.col("k").cast("bigint").alias("k"), F.round("x", 6).alias("x"))
+    encoded = q.documents.select("doc_id", V.hashed(F.col("text"), DIM).alias("v"))
+    return encoded.select("doc_id", F.posexplode("v").alias("k", "x")).filter("x > 0").select("doc_id", F.col("k").cast("bigint").alias("k"), F.round("x", 6).alias("x"))
 
 
 @query("""with v as (select vec_id, embedding[1:32]::double[] e from embeddings), n as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x*x))) n from v)

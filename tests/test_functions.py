@@ -1,10 +1,15 @@
+import hashlib
+import math
+import re
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from strataframe.functions import images, security, text, vectors
 from strataframe.operators import chunks, convert, graph, maintain, rank
+from strataframe.plans import registry
 
 
 def one(spark, **columns):
@@ -153,3 +158,14 @@ def test_versioned_names(spark):
     names = spark.createDataFrame([("a/x.pdf",), ("a/x.docx",), ("b.pdf",)], "path string")
     taken = spark.createDataFrame([("b.md",)], "path string")
     assert sorted(tuple(r) for r in convert.versioned_names(names, taken).collect()) == [("a/x.docx", "a/x.md"), ("a/x.pdf", "a/x_v2.md"), ("b.pdf", "b_v2.md")]
+
+
+def test_encode_hash_takes_every_document(spark, tmp_path):
+    texts = {1: "The thou, the OREN", 7: "one_two one", 99: None, 100: "the", 101: "...", 250: "é ü é x1"}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for doc_id, said in texts.items():
+        counts = Counter(int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 64 for t in re.findall(r"[^\W_]+", (said or "").lower()))
+        length = math.sqrt(sum(n * n for n in counts.values()))
+        want |= {(doc_id, k, round(n / length, 6)) for k, n in counts.items()}
+    assert {tuple(r) for r in registry.queries()["encode_hash"](spark, str(tmp_path)).collect()} == want

@@ -4,9 +4,11 @@ Pages of one host are compared in groups. Their tokens are elements, each named
 each named by its path and words. Tokens with the same occurrence vector (how often each page of the group has it) form an
 equivalence class. A class is valid if enough pages have it and its tokens keep one order in all of them; since elements
 are taken from a tree, the spans of two classes are nested or apart. The class that every page has once is the template's
-frame, the others nest in it; texts of the frame are boilerplate, and the gaps between frame tokens are slots. The article
-is the innermost frame element whose slots hold nearly all the text that varies, or the article or main element around it.
-Its text is what remains without elements that are boilerplate by their tag, role or class.
+frame, the others nest in it; texts of the frame are boilerplate, and the gaps between frame tokens are slots. If the
+innermost frame element whose slots hold nearly all the text that varies lies in an article or main element, that is the
+article; without one, all slots are. Its text is what remains without elements that are boilerplate by their tag, role or
+class. A word of a class, id, role or label is weak evidence: it doesn't count for an element that a page has once if nearly
+all the varying text is in it, or the page's article or main element is (``overruled``).
 
 A host with many pages is dealt to groups of about ``GROUP`` pages by a hash, so no task gets a host; the pages of hosts
 with fewer than ``FEW`` pages are compared with each other, as their own vectors are too short to tell a template.
@@ -53,7 +55,9 @@ INLINE = frozenset(
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: What is boilerplate by its tag, or by a word of its class, id or role.
-APART_TAGS = frozenset("nav footer aside form head button select dialog menu svg object audio video canvas".split())
+APART_TAGS = frozenset("nav footer aside head button select dialog menu svg object audio video canvas".split())
+#: As a word is: some sites have their pages in a form.
+WEAK_TAGS = frozenset({"form"})
 APART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
     "subscription signup sidebar menu navbar nav navigation breadcrumb breadcrumbs footer header masthead toolbar share sharing social related recommended recommendations comments "
@@ -67,7 +71,7 @@ class Page:
     """Elements (path, tag, parent, boilerplate) and blocks of text pieces (element, text) of a page, in order."""
 
     def __init__(self, source: str | None):
-        self.paths, self.tags, self.parents, self.apart = [""], [""], [-1], [False]
+        self.paths, self.tags, self.parents, self.barred, self.weak = [""], [""], [-1], [False], [False]
         self.blocks: list[list[tuple[int, str]]] = []
         block: list[tuple[int, str]] = []
         stack = [0]
@@ -107,16 +111,32 @@ class Page:
             named = {n.lower(): (a or b or c).lower() for n, a, b, c in NAMED.findall(attributes)} if attributes else {}
             parent = stack[-1]
             words = {w for v in named.values() for w in _WORD.findall(v)}
-            apart = self.apart[parent] or tag in APART_TAGS or (tag == "header" and not self._within(parent)) or bool(words & APART_WORDS)
-            if tag in ("html", "body") or tag in TAKEN and not self.apart[parent]:
-                apart = False
+            barred = self.barred[parent] or tag in APART_TAGS or (tag == "header" and not self._within(parent))
             stack.append(len(self.tags))
             classes = ".".join(sorted(re.sub(r"\d+", "", named.get("class", "")).split()))
             self.paths.append(f"{self.paths[parent]}/{tag}{'.' + classes if classes else ''}")
             self.tags.append(tag)
             self.parents.append(parent)
-            self.apart.append(apart)
+            self.barred.append(barred and tag not in ("html", "body"))
+            self.weak.append(tag not in ("html", "body") and (tag in WEAK_TAGS or bool(words & APART_WORDS)))
         end_block()
+        self.mark(frozenset())
+
+    def mark(self, freed: frozenset[str]) -> None:
+        """Find the boilerplate; words don't count for the paths in ``freed``."""
+        self.apart = [False]
+        for e in range(1, len(self.tags)):
+            above = self.apart[self.parents[e]] and self.tags[e] not in ("html", "body")
+            weak = self.weak[e] and self.tags[e] not in TAKEN and self.paths[e] not in freed
+            self.apart.append(above or self.barred[e] or weak)
+
+    def above(self, element: int) -> list[int]:
+        """The element and those around it, without the root."""
+        out = []
+        while element > 0:
+            out.append(element)
+            element = self.parents[element]
+        return out
 
     def _within(self, element: int) -> bool:
         while element > 0:
@@ -136,8 +156,53 @@ class Page:
         return out
 
 
+def overruled(pages: list[Page]) -> frozenset[str]:
+    """Paths of elements that words mark as boilerplate and whose text says otherwise.
+
+    These are elements that no page has twice, of two kinds: those with nearly all the varying text of the pages that have
+    them, or of the article or main element around them, unless such an element elsewhere has text; and those around the
+    only article or main element of most pages that have them.
+    """
+    seen: Counter[tuple[str, str]] = Counter()
+    twice: set[str] = set()
+    for page in pages:
+        seen.update({(page.paths[e], " ".join(t.split())) for block in page.blocks for e, t in block})
+        twice.update(p for p, n in Counter(page.paths).items() if n > 1)
+    constant = {t for t, n in seen.items() if len(pages) >= FEW and n >= SUPPORT * len(pages)}
+    held, whole, around, had = Counter(), Counter(), Counter(), Counter()
+    for page in pages:
+        weak = [e for e in range(1, len(page.tags)) if page.weak[e] and page.tags[e] not in TAKEN and not page.barred[e] and page.paths[e] not in twice]
+        if not weak:
+            continue
+        sizes: Counter[int] = Counter()
+        taken: set[int] = set()
+        for block in page.blocks:
+            for e, t in block:
+                said = " ".join(t.split())
+                if not said or page.barred[e]:
+                    continue
+                over = page.above(e)
+                if (page.paths[e], said) not in constant:
+                    sizes[0] += len(said)
+                    for a in over:
+                        sizes[a] += len(said)
+                if not page.apart[e]:
+                    taken.update(a for a in over if page.tags[a] in TAKEN)
+        for e in weak:
+            had[page.paths[e]] += 1
+            inside = next((a for a in page.above(e) if a in taken), 0)
+            if sizes[inside] and (inside or not taken):
+                held[page.paths[e]] += sizes[e]
+                whole[page.paths[e]] += sizes[inside]
+        for e, tag in enumerate(page.tags):
+            alone = tag in TAKEN and not page.weak[e] and page.apart[e] and not page.barred[e] and page.paths[e] not in twice
+            if alone and sizes[e] and not any(page.tags[a] == "article" or tag == "main" for a in taken):
+                around.update({page.paths[a] for a in page.above(e)} & {page.paths[w] for w in weak})
+    return frozenset(p for p in had if whole[p] and held[p] >= COVERAGE * whole[p] or 2 * around[p] > had[p])
+
+
 def frame(pages: list[Page]) -> tuple[set[str], set[tuple[str, str]], str]:
-    """(paths of the frame's elements, its texts, path of the article) of a group of pages."""
+    """(paths of the frame's elements, its texts, path of the article or '' for all slots) of a group of pages."""
     needed = max(1, SUPPORT * len(pages))
     vectors: dict[tuple, dict[int, int]] = defaultdict(dict)
     orders: list[dict[tuple, int]] = []
@@ -185,13 +250,16 @@ def frame(pages: list[Page]) -> tuple[set[str], set[tuple[str, str]], str]:
     article = max(enough, key=lambda p: (p.count("/"), p), default="")
     steps = article.split("/")
     around = [k for k, s in enumerate(steps) if s.split(".")[0] in TAKEN]
-    return paths, labels, "/".join(steps[: around[0] + 1]) if around else article
+    return paths, labels, "/".join(steps[: around[0] + 1]) if around else ""
 
 
 def extract(sources: Iterable[str | None]) -> list[str]:
     """The main text of each page of a group."""
     sources = list(sources)
     pages = {s: Page(s) for s in dict.fromkeys(sources)}
+    freed = overruled([*pages.values()])
+    for page in pages.values() if freed else ():
+        page.mark(freed)
     _, labels, article = frame([*pages.values()])
     found = {}
     for source, page in pages.items():

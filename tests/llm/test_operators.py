@@ -352,6 +352,29 @@ def test_pages(spark):
     assert got[20] == got[21] == [""] and got[22] == ["plain text only"] and got[23] == ["unclosed"]
 
 
+WRAPPED = {
+    "sidebar": '<div class="layout has-sidebar"><div class="sidebar">side {k}</div><article><h1>Head {k}</h1><p>Some text {k}</p></article></div>',
+    "comments": '<div class="comments-open"><article><h1>Head {k}</h1><p>Some text {k}</p></article><div class="comments"><p class="comment">Me {k}</p></div></div>',
+    "main": '<main><div class="has-sidebar"><article><h1>Head {k}</h1><p>Some text {k}</p></article></div><div class="related"><article>Other {k}</article><article>More {k}</article></div></main>',
+    "plain": '<div id="no-sidebar"><div class="menu">m {k}</div><h1>Head {k}</h1><p>Some text {k}, and so much of it that it is nearly all of the page</p></div>',
+    "form": '<form id="page"><article><h1>Head {k}</h1><p>Some text {k}</p></article></form>',
+    "title": '<h1>Head {k}</h1><div class="lead"><p>Some text {k}</p></div><div class="text"><p>%s {k}</p></div>' % ("and the rest of it " * 20).strip(),
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+@pytest.mark.parametrize("n", [1, 5, 40])
+def test_pages_in_marked_wrappers(name, n):
+    rest = {"plain": ", and so much of it that it is nearly all of the page", "title": " and the rest of it" * 20}.get(name, "")
+    found = html_template.extract(f"<html><body><nav>Home</nav>{WRAPPED[name].format(k=k)}<div class='footer'>foot</div></body></html>" for k in range(n))
+    assert found == [f"Head {k} Some text {k}{rest}{f' {k}' if name == 'title' else ''}" for k in range(n)]
+
+
+def test_marked_elements_beside_an_article_stay_out():
+    page = "<html><body><article><p>Text {k}</p></article><div class='comments'><p>%s {k}</p></div></body></html>" % ("long comment " * 50)
+    assert html_template.extract(page.format(k=k) for k in range(10)) == [f"Text {k}" for k in range(10)]
+
+
 def test_pages_real(spark):
     import html
 

@@ -8,7 +8,9 @@ cells of two parts, so that a frequent vector spreads over many tasks.
 
 Near vectors have most of their nearest pivots in common; the share of pairs at a cosine of just 0.9 that share two of
 eight is 0.96 to 0.99 for 128 to 2048 pivots, and over 0.99 from 0.92 on. The pivots are a sample whose bound is a
-parameter: ``MOST_PIVOTS`` out of twice as many vectors, those of the least hash of their id. All rows are indexed.
+parameter: ``MOST_PIVOTS`` out of twice as many vectors, those of the least hash of their id. All rows are indexed. If no
+more than ``NEAREST`` pivots are apart, as in a narrow cone or a table of copies, every vector has all of them, and one list
+of everything finds every link; its work grows with the square of the rows.
 
 Defined cases: a null vector, a zero vector, one with null or non-finite components or of another length than most links
 with nothing and is its own component; null ids link with nothing and are kept; rows that repeat an id are one vector
@@ -47,14 +49,14 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(sample: np.ndarray, most: int) -> np.ndarray:
-    """The first ``most`` of the sample that are apart from those before."""
+    """The first ``most`` of the sample that are apart from those before; the only one twice, as lists are of pairs."""
     kept = np.zeros((0, sample.shape[1]))
     for x in unit(sample) if len(sample) else ():
         if len(kept) == most:
             break
         if not len(kept) or (kept @ x).max() < APART:
             kept = np.vstack([kept, x])
-    return kept
+    return np.vstack([kept, kept]) if len(kept) == 1 else kept
 
 
 def nearest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -182,6 +184,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 near = np.sort(nearest(unit(raw), pivots), axis=1)
                 p, q = near[:, _PAIRS[:, 0]], near[:, _PAIRS[:, 1]]
                 keys = np.where(p >= 0, p * (1 << 20) + q, -1)
+                if len(pivots) <= NEAREST:
+                    keys = np.ones((part.num_rows, 1), np.int64)  # pivots 0 and 1, the first that any two vectors share
                 columns = [part.column("id"), pa.array([x.tobytes() for x in raw.astype(np.float32)]), pa.array([x.tobytes() for x in near.astype(np.int32)]), pa.array(list(keys), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "vector", "pivots", "keys"])
 

@@ -331,6 +331,16 @@ def test_vectors(spark):
     assert empty.count() == 0 and empty.columns == ["id", "n_links", "component_id", "kept"]
 
 
+@pytest.mark.parametrize("noise, n", [(0.0, 3), (0.15, 600), (0.3, 200)])
+def test_vectors_in_a_narrow_cone(spark, noise, n):
+    rng = np.random.default_rng(5)
+    base = np.full(8, 8**-0.5)
+    rows = [(k, (base + rng.normal(size=8) * noise).astype(np.float32).tolist()) for k in range(n)]
+    found = pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    links, component = vectors_by_brute(rows)
+    assert links and {r.id: (r.n_links, r.component_id, r.kept) for r in found} == {k: (links[k], component[k], component[k] == k) for k, _ in rows}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t {k}</title><style>p{{}}</style><script>var a="</p>";</script></head><body class="home"><header>Site</header>
 <nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div><aside>side {k}</aside>
 <article><h1>Head {k}</h1><p>First <b>bo</b>ld &amp; para {k}<br>line<p>Second   {k}</p><span class="ad">Buy {k}</span><form>q {k}</form>

@@ -2,9 +2,11 @@
 
 Pages of one host are compared in groups. Their tokens are elements, each named by its path of tags and classes, and texts,
 each named by its path and words. Tokens with the same occurrence vector (how often each page of the group has it) form an
-equivalence class. A class is valid if enough pages have it and its tokens keep one order in all of them; since elements
-are taken from a tree, the spans of two classes are nested or apart. The class that every page has once is the template's
-frame, the others nest in it; texts of the frame are boilerplate, and the gaps between frame tokens are slots. If the
+equivalence class. The elements that every page has once, in one order, are the template's frame; the class of any other
+element that ``FEW`` pages have nests in it, as elements are taken from a tree. A text belongs to the class of an element
+around it if nearly all pages that have the element have the text as often. It is then the template's, of any length and
+wherever in the element it stands, and goes; what remains are slots. Pages with the same texts count once in this, and if
+no slot of the group has text, nothing tells template and article apart and all texts stay. If the
 innermost frame element whose slots hold nearly all the text that varies lies in an article or main element, that is the
 article; without one, all slots are. Its text is what remains without elements that are boilerplate by their tag, role or
 class. A word of a class, id, role or label is weak evidence: it doesn't count for an element that a page has once if nearly
@@ -38,8 +40,6 @@ FEW = 4
 #: Of a group's pages, the part that must have a token of the frame; of the varying text, the part the article must hold.
 SUPPORT = 0.9
 COVERAGE = 0.8
-#: A text of the frame within the article is boilerplate only up to so many words, and if so many pages have it.
-LABEL_WORDS, LABEL_PAGES = 8, 6
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|iframe|textarea|xmp)\b(?:"[^"]*"|'[^']*'|[^>"'])*>.*?(?:</\1\s*>|\Z)"""
@@ -201,25 +201,38 @@ def overruled(pages: list[Page]) -> frozenset[str]:
     return frozenset(p for p in had if whole[p] and held[p] >= COVERAGE * whole[p] or 2 * around[p] > had[p])
 
 
+def constants(pages: list[Page]) -> set[tuple[str, str]]:
+    """The template's texts: those in the class of an element around them, or of the page, that ``FEW`` pages have."""
+    distinct = {tuple((p, t) for p, t, _ in said): (page, said) for page, said in ((p, p.words()) for p in pages)}
+    vectors: dict[tuple[str, str], dict[int, int]] = defaultdict(dict)
+    around: dict[tuple[str, str], list[str]] = {}
+    elements: dict[str, dict[int, int]] = defaultdict(dict)
+    for k, (page, said) in enumerate(distinct.values()):
+        for path, n in Counter(page.paths).items():
+            elements[path][k] = n
+        for path, words, element in said:
+            vectors[path, words][k] = vectors[path, words].get(k, 0) + 1
+            if (path, words) not in around:
+                around[path, words] = ["", *(page.paths[e] for e in page.above(element))]
+    found = set()
+    for text, vector in vectors.items():
+        classes = (elements[p] for p in around[text]) if len(vector) >= FEW else ()
+        if any(len(c) >= FEW and sum(c[k] == n for k, n in vector.items()) >= SUPPORT * len(c) for c in classes):
+            found.add(text)
+    return found if len(found) < len(vectors) else set()
+
+
 def frame(pages: list[Page]) -> tuple[set[str], set[tuple[str, str]], str]:
-    """(paths of the frame's elements, its texts, path of the article or '' for all slots) of a group of pages."""
+    """(paths of the frame's elements, the template's texts, path of the article or '' for all slots) of a group of pages."""
     needed = max(1, SUPPORT * len(pages))
-    vectors: dict[tuple, dict[int, int]] = defaultdict(dict)
-    orders: list[dict[tuple, int]] = []
-    texts = [p.words() for p in pages]
-    for k, (page, said) in enumerate(zip(pages, texts)):
-        counts = Counter((p,) for p in page.paths[1:])
-        counts.update((p, t) for p, t, _ in said)
-        for token, n in counts.items():
-            vectors[token][k] = n
-        orders.append({(p,): at for at, p in reversed([*enumerate(page.paths)])})
-    classes: dict[tuple, list[tuple]] = defaultdict(list)
-    for token, vector in vectors.items():
-        if len(vector) >= needed:
-            classes[tuple(sorted(vector.items())) if max(vector.values()) > 1 else (1,)].append(token)
-    once = classes.get((1,), [])
+    vectors: dict[str, dict[int, int]] = defaultdict(dict)
+    orders: list[dict[str, int]] = []
+    for k, page in enumerate(pages):
+        for path, n in Counter(page.paths[1:]).items():
+            vectors[path][k] = n
+        orders.append({p: at for at, p in reversed([*enumerate(page.paths)])})
+    elements = [p for p, vector in vectors.items() if len(vector) >= needed and max(vector.values()) == 1]
     # The order of the frame is that of the page with most of it; tokens that another page has elsewhere aren't valid.
-    elements = [t for t in once if len(t) == 1]
     leading = max(orders, key=lambda o: sum(t in o for t in elements), default={})
     ranked = sorted((t for t in elements if t in leading), key=leading.get)
     for order in orders:
@@ -231,14 +244,13 @@ def frame(pages: list[Page]) -> tuple[set[str], set[tuple[str, str]], str]:
                     kept.append(t)
                     top = order.get(t, top)
             ranked = kept
-    paths = {t[0] for t in ranked}
-    labels = {t for t in once if len(t) == 2} if len(pages) >= LABEL_PAGES else set()
+    paths, labels = set(ranked), constants(pages)
 
     held: Counter[str] = Counter()
     total = 0
-    for page, said in zip(pages, texts):
-        for path, words, element in said:
-            if (path, words) in labels and len(words.split()) <= LABEL_WORDS:
+    for page in pages:
+        for path, words, element in page.words():
+            if (path, words) in labels:
                 continue
             size = len(words)
             total += size
@@ -267,7 +279,7 @@ def extract(sources: Iterable[str | None]) -> list[str]:
         inside = [(p, w) for p, w, _ in said if not article or p == article or p.startswith(article + "/")]
         if not inside:  # a page without the group's article: all its text, or that of an article of its own
             inside = [(p, w) for p, w, e in said if page._within(e)] or [(p, w) for p, w, _ in said]
-        found[source] = " ".join(w for p, w in inside if (p, w) not in labels or len(w.split()) > LABEL_WORDS)
+        found[source] = " ".join(w for p, w in inside if (p, w) not in labels)
     return [found[s] for s in sources]
 
 

@@ -385,6 +385,33 @@ def test_marked_elements_beside_an_article_stay_out():
     assert html_template.extract(page.format(k=k) for k in range(10)) == [f"Text {k}" for k in range(10)]
 
 
+NOTICE = "all of this is here for members of the club and nobody else may read it"
+
+
+@pytest.mark.parametrize("n", [4, 5, 30])
+@pytest.mark.parametrize("inside", [True, False])
+def test_constant_texts_of_the_template_go(n, inside):
+    a, b = ("", f"<p>{NOTICE}</p>") if inside else (f"<div><p>{NOTICE}</p></div>", "")
+    page = "<html><body>%s<article><h1>Head {k}</h1>%s<p>Text {k}</p><ul><li><b>Read it here in full, with all that belongs to it: </b></li></ul></article></body></html>" % (a, b)
+    assert html_template.extract(page.format(k=k) for k in range(n)) == [f"Head {k} Text {k}" for k in range(n)]
+
+
+def test_constant_texts_of_nested_classes_go():
+    def page(k):
+        box = f"<div class='x'><p>{NOTICE}</p><p>Own {k}</p></div>" if k % 3 == 0 else ""
+        items = "".join(f"<li><p>Item {k} {i}</p><p class='more'>Read this item in full on its own page at once</p></li>" for i in range(k % 4))
+        return f"<html><body><article><p>Text {k}</p>{box}<ul>{items}</ul></article></body></html>"
+
+    want = [" ".join([f"Text {k}", *[f"Own {k}"] * (k % 3 == 0), *(f"Item {k} {i}" for i in range(k % 4))]) for k in range(24)]
+    assert html_template.extract(map(page, range(24))) == want
+
+
+def test_equal_texts_in_changing_pages_stay():
+    pages = [f"<html><body><article id='a{k}'><p>{NOTICE}</p></article></body></html>" for k in range(10)]
+    assert html_template.extract(pages) == [NOTICE] * 10
+    assert html_template.extract([*pages, "<html><body><article><p>Other</p></article></body></html>"]) == [NOTICE] * 10 + ["Other"]
+
+
 def test_pages_real(spark):
     import html
 

@@ -9,7 +9,8 @@ The reader takes any byte string: it skips tags, searches for a header that is f
 checksums where headers announce them, reads a variable-bitrate table, and gives the exact duration from the samples of the
 frames it saw, and the offset of each frame.
 
-Defined cases: null or empty bytes have no frames, duration 0 and no payload; what lies between frames is counted as junk.
+Defined cases: null or empty bytes have no frames, duration 0 and no payload; what lies between frames is counted as junk;
+the last 128 bytes are a tag if they begin with TAG and no frame holds that place.
 """
 
 from __future__ import annotations
@@ -149,6 +150,8 @@ def parse(data: bytes | None) -> dict:
         end -= 128
     while at < end:
         frame = frame_of(data[at : at + 4])
+        if frame and at + frame[3] > end and (at + frame[3] == len(data) or frame_of(data[at + frame[3] : at + frame[3] + 4])):
+            end = len(data)  # no tag, but bytes of a frame
         if frame is None or at + frame[3] > end or (not out["offsets"] and at + frame[3] < end and frame_of(data[at + frame[3] : at + frame[3] + 4]) is None):
             nearest = data.find(b"\xff", at + 1, end)
             nearest = end if nearest < 0 else nearest

@@ -245,6 +245,16 @@ def test_media(spark, edge_texts):
     assert all(r.bad_checksums == r.junk == 0 and r.table_frames == r.frames and r.duration == r.frames * 1152 / 48000 for r in found)
 
 
+def test_media_with_tag_in_the_payload():
+    for n in [*range(1, 400), 1500, 3000]:
+        for at in range(0 if n < 300 else n - 200, n - 2, 1 if n < 140 else 7):
+            payload = mpeg_audio.pad(b"x" * at + b"TAG" + b"y" * (n - at - 3))
+            data = mpeg_audio.store(payload, n)
+            for media in (data, data + b"TAG" + bytes(125)):
+                found = mpeg_audio.parse(media)
+                assert b"".join(found["bodies"])[: len(payload)] == payload and found["junk"] == 0
+
+
 def test_media_resynchronises():
     payload = mpeg_audio.pad(b"some text " * 500)
     data = mpeg_audio.store(payload, 5000)

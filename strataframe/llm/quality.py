@@ -2,11 +2,11 @@
 
 A labelled document of quality 1 is preferred to one of quality 0; the chance of that is the logistic function of the
 difference of their scores, a score is linear in ``NAMES``, and the weights minimise the logistic loss over pairs. The
-threshold is a quantile of the training rows' scores: the share of quality 0 among them. A score s is returned as
+threshold is a quantile of the scores of all training rows: the share of quality 0 among them. A score s is returned as
 logistic(s - threshold + logit(``CUT``)), so that ``CUT`` is the threshold whatever the corpus.
 
-The fit takes at most ``SAMPLE`` labelled rows of each quality, those of the least hash of their id; scores, and the share
-of each quality, cover all rows. Only the text is an input of a score.
+The fit takes at most ``SAMPLE`` labelled rows of each quality, those of the least hash of their id; scores, the threshold
+and the share of each quality cover all rows. The quantile's rank is off by a part of 1 / ``ACCURACY`` of the rows at most. Only the text is an input of a score.
 
 Defined cases: null and empty texts have all features of an empty text and a score; null labels aren't learned from; if one
 quality has no row to learn from, all scores are 0.5; a null id is not held out.
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._store import small_batches
+from ._store import materialise, small_batches
 from ._words import Words, column, slices
 
 SAMPLE = 6000
@@ -30,6 +30,7 @@ PAIRS = 120_000
 CUT = 0.3
 FOLDS = 5
 RIDGE = 1.0
+ACCURACY = 1_000_000
 SEED = 7
 
 #: Kinds of bytes: what is in none of these is 0.
@@ -119,7 +120,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = rows.mapInArrow(find, "label int, x array<double>").toPandas()
     found = found.assign(key=[tuple(x) for x in found["x"]]).sort_values("key", kind="stable")
     sides = [np.array(found.loc[found["label"] == k, "x"].tolist(), float).reshape(-1, len(NAMES)) for k in (1, 0)]
-    return fit(*sides, count.get(0, 0) / max(1, sum(count.values())))
+    model = fit(*sides, count.get(0, 0) / max(1, sum(count.values())))
+    if not all(map(len, sides)):
+        return model
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                z = (features(part.column("text")) - model["centre"]) @ model["weights"]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(z)], ["id", "z"])
+
+    ids = StructType([StructField("id", docs.schema[id_col].dataType), StructField("z", DoubleType())])
+    placed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(place, ids)
+    placed = materialise(placed.join(known, "id").select("z", "label"), "training-scores")
+    n, bad = placed.agg(F.count("*"), F.count_if(F.col("label") == 0)).first()
+    around = [max(0.0, (bad - back) / n) for back in (1.5, 0.5)]  # between two rows, as in ``fit``
+    model["threshold"] = float(np.mean(placed.agg(F.percentile_approx("z", around, ACCURACY)).first()[0]))
+    return model
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:

@@ -282,6 +282,14 @@ def test_quality(spark, real):
     assert right >= 0.93 * len(scored)
 
 
+def test_quality_threshold_is_of_all_training_rows(spark, real):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.train(real, labels, sample=4)
+    rows = quality.score(real, model).join(labels, "doc_id").filter(~quality.held_out(queries.F.col("doc_id"))).select("score", "quality").collect()
+    below, bad = sum(r.score < quality.CUT for r in rows), sum(r.quality == 0 for r in rows)
+    assert bad > 4 and below == bad - 1
+
+
 def test_quality_edges(spark, edge_texts):
     docs = docs_of(spark, edge_texts)
     none = quality.train(docs, spark.createDataFrame([(1, None)], "doc_id long, quality int"))

@@ -1,7 +1,7 @@
 """Embedding near-dedup with a pivot-permutation index.
 
-Reference points (pivots) are vectors of the corpus, none near another. A vector is described by its ``NEAREST`` nearest
-pivots in their order. Inverted lists are kept of pairs of pivots, so that two vectors meet in a list if they share two
+Reference points (pivots) are vectors of the corpus, none near another. A vector is described by the set of its ``NEAREST``
+nearest pivots; their order isn't used. Inverted lists are kept of pairs of pivots, so that two vectors meet in a list if they share two
 pivots or more; each pair is dealt with in the list of its two least shared pivots alone, and verified there by its cosine
 in double precision. Lists give counts and spanning edges back, never pairs, and lists longer than ``CELL`` are cut into
 cells of two parts, so that a frequent vector spreads over many tasks.

@@ -4,20 +4,26 @@ A word has a selector in its upper four bits and several ids of one width in the
 and so how wide. Ids of over sixty bits are escapes: their word holds none, and they stand in a list at the end. Ids are
 cut into blocks of ``BLOCK``, and a table of the blocks' first words lets blocks be decoded alone, or all at once by numpy.
 
-A file is a table of segments in ascending order of ids: each row a run of documents, its data a segment in this layout
-(little endian): ``S8B1``, u32 ids a block, u64 ids, u32 blocks, u32 words, u32 escapes, u32 documents; then u32 first word
-of each block and their end, u64 words, u64 escapes, u32 ids of each document.
+A file is a Parquet table of segments in ascending order of ids: each row a run of documents, its data a segment in this
+layout (little endian): ``SIM8``, u32 version, u32 ids a block, u64 ids, u32 blocks, u32 words, u32 escapes, u32 documents;
+then u32 first word of each block and their end, u64 words, u64 escapes, u32 ids of each document. The documents are dealt
+to ranges of ids of about ``RANGE_BYTES`` of text, so a task's share doesn't grow with the input.
 
 Defined cases: a null text is empty, so it has the end id alone; null document ids come first; rows that repeat an id are
-documents of their own, ordered by their texts.
+documents of their own, ordered by a hash of their texts, and equal ones may lie in several ranges; a text of any length is
+one document, taken alone if it is long; an empty table gives an empty file. Other input columns aren't read, whatever their
+names.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +35,14 @@ from tokenizers import Tokenizer
 from ._store import materialise, partitions
 from ._words import U64, column, slices, span_hashes
 
-MAGIC, HEADER = b"S8B1", struct.Struct("<4sIQIIII")
+MAGIC, VERSION, HEADER = b"SIM8", 1, struct.Struct("<4sIIQIIII")
 BLOCK = 256
 #: Ids a word, by selector; each is 60 // count bits wide. Selector 0: an escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, *(60 // COUNTS[1:])])
 _POWERS = U64(1) << np.arange(64, dtype=U64)
 SEGMENT_IDS = 1 << 20
+RANGE_BYTES = 64 << 20
 END = 0
 
 
@@ -111,15 +118,15 @@ def decode(firsts: np.ndarray, words: np.ndarray, escapes: np.ndarray, n: int, b
 def segment(ids: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> bytes:
     """A run of documents; lengths: ids of each."""
     firsts, words, escapes = encode(ids, block)
-    head = HEADER.pack(MAGIC, block, len(ids), len(firsts) - 1, len(words), len(escapes), len(lengths))
+    head = HEADER.pack(MAGIC, VERSION, block, len(ids), len(firsts) - 1, len(words), len(escapes), len(lengths))
     return head + firsts.tobytes() + words.tobytes() + escapes.tobytes() + lengths.astype(np.uint32).tobytes()
 
 
 def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ids of each document)."""
-    magic, block, n, blocks, words, escapes, documents = HEADER.unpack_from(data)
-    if magic != MAGIC:
-        raise ValueError("not a segment of Simple-8b words")
+    magic, version, block, n, blocks, words, escapes, documents = HEADER.unpack_from(data)
+    if magic != MAGIC or version != VERSION:
+        raise ValueError("not a segment of Simple-8b words of this version")
     at, parts = HEADER.size, []
     for kind, count in ((np.uint32, blocks + 1), (U64, words), (U64, escapes), (np.uint32, documents)):
         parts.append(np.frombuffer(data, kind, count, at))
@@ -127,114 +134,192 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return decode(*parts[:3], n, block), parts[3]
 
 
+class _Table:
+    """Ids by 64-bit key. Of more than ``most`` keys the half that was asked for last stays."""
+
+    def __init__(self, most: int):
+        self.most, self.now = most, 0
+        self.runs = [(np.zeros(0, U64), np.zeros(0, np.int64))] * 2  # (keys in order, their entries): old ones, new ones
+        self.n = self.used = 0
+        self.begin, self.size, self.last = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, np.uint32)
+
+    @staticmethod
+    def _grown(array: np.ndarray, n: int) -> np.ndarray:
+        """With room for ``n``; sizes double."""
+        if n <= len(array):
+            return array
+        out = np.zeros(max(n, 2 * len(array)), array.dtype)
+        out[: len(array)] = array
+        return out
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key; -1 without one."""
+        self.now += 1
+        found = np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
+        for sorted_keys, entries in self.runs:
+            if len(sorted_keys) and len(left):
+                place = np.minimum(np.searchsorted(sorted_keys, keys[left]), len(sorted_keys) - 1)
+                hit = sorted_keys[place] == keys[left]
+                found[left[hit]] = entries[place[hit]]
+                left = left[~hit]
+        self.last[found[found >= 0]] = self.now
+        return found
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The entries of new keys."""
+        n, used = self.n + len(keys), self.used + len(ids)
+        self.begin, self.size, self.last, self.ids = self._grown(self.begin, n), self._grown(self.size, n), self._grown(self.last, n), self._grown(self.ids, used)
+        self.begin[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : n], self.last[self.n : n], self.ids[self.used : used] = sizes, self.now, ids
+        entries = np.arange(self.n, n)
+        self.n, self.used = n, used
+        old, new = self.runs
+        new = self._merged(new, (keys, entries))
+        self.runs = [old, new] if 8 * len(new[0]) < len(old[0]) else [self._merged(old, new), (np.zeros(0, U64), np.zeros(0, np.int64))]
+        return entries
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate((a[0], b[0]))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate((a[1], b[1]))[order]
+
+    def shrink(self) -> None:
+        """To be called when no entry is held outside."""
+        if self.n <= self.most:
+            return
+        kept = np.sort(np.argpartition(self.last[: self.n], -self.most // 2)[-self.most // 2 :])
+        keys, entries = self._merged(*self.runs)
+        key_of = np.empty(self.n, U64)
+        key_of[entries] = keys
+        sizes, last = self.size[kept], self.last[kept]
+        ids = self.ids[spread(self.begin[kept], sizes)]
+        self.__init__(self.most)
+        self.now = int(last.max())
+        entries = self.add(key_of[kept], sizes, ids)
+        self.last[entries] = last
+
+
+def spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each begin, as many as its size says."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + sizes, sizes)
+
+
+def chunkable(path: str) -> bool:
+    """Whether a tokenizer's file names the pre-tokeniser that chunks are made for, and nothing that looks beyond them."""
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    pieces = given.get("pre_tokenizer") or {}
+    plain = pieces.get("type") == "ByteLevel" and pieces.get("use_regex", True) and not pieces.get("add_prefix_space")
+    marked = all(t["content"].startswith("<|") for t in given.get("added_tokens") or ())
+    return bool(plain and marked and not any(given.get(k) for k in ("normalizer", "truncation", "padding")))
+
+
 class Encoder:
     """The library's ids, with those of chunks that were met before from a table.
 
     A chunk begins at a single space or newline between two characters that aren't white space, after such a newline, and at
-    punctuation after a letter. Byte-level pre-tokenisers of this kind always begin a piece there and look no further back,
-    so a chunk's ids are the same alone and in its text. Chunks are found and hashed over whole columns; the library encodes
-    each distinct one once. Texts with characters for which that isn't plain, or special tokens, go to the library whole.
+    punctuation after a letter. Byte-level pre-tokenisers always begin a piece there and look no further back, so a chunk's
+    ids are the same alone and in its text. Chunks are found and hashed over whole columns; the library encodes each
+    distinct one once. Texts with characters for which that isn't plain, or special tokens, go to the library whole, and so
+    do all texts if the tokenizer's file names another pre-tokeniser.
     """
 
-    #: Chunks that the table holds at most; then it starts anew.
-    MOST = 800_000
+    #: Chunks that the table holds at most.
+    MOST = 1_000_000
     ODD = re.compile(rb"[\x00-\x08\x0b-\x1f\x7f]|\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe2\x80|\xe2\x81\x9f|\xe3\x80\x80|<\|")
     #: Chunks that are encoded in one string.
-    JOINED = 500
+    JOINED = 64
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        space, line = (self.library.encode(c, add_special_tokens=False) for c in " \n")
-        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.spaced[[k for t, k in vocabulary.items() if t.startswith(space.tokens[0][0])]] = True
-        (self.line,) = line.ids
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys, self.at = np.zeros(0, U64), np.zeros(0, np.int64)
-        self.ids, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
-        spaced, alone, other = [], [], []  # a space in front; no white space; others
-        for k, c in enumerate(chunks):
-            rest = c[1:]
-            (other if b" " in rest or b"\n" in c or b"\t" in c else spaced if c[0] == 32 else alone).append(k)
+        self.library, self.chunks = Tokenizer.from_file(path), chunkable(path)
+        self.table = _Table(self.MOST)
+        if self.chunks:
+            vocabulary = self.library.get_vocab(with_added_tokens=True)
+            space, line = (self.library.encode(c, add_special_tokens=False) for c in " \n")
+            self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.spaced[[k for t, k in vocabulary.items() if t.startswith(space.tokens[0][0])]] = True
+            (self.line,) = line.ids
+
+    def _batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, how many each has)."""
+        found = [e.ids for e in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _learn(self, keys: np.ndarray, data: bytes, begin: np.ndarray, end: np.ndarray, white: np.ndarray) -> np.ndarray:
+        """Entries of new chunks; white: how many white bytes stand before each byte of the data."""
+        raw = np.frombuffer(data, np.uint8)
+        inside = white[end] - white[begin + 1]
+        kind = np.where(inside > 0, 2, np.where(raw[begin] == 32, 0, np.where(white[begin + 1] > white[begin], 2, 1)))
+        order = np.argsort(kind, kind="stable")  # a space in front; no white space; others
+        bounds = np.searchsorted(kind[order], [0, 1, 2, 3])
+        chunks = [data[a:b] for a, b in zip(begin[order].tolist(), end[order].tolist())]
         ids, sizes = [], []
-        for kind, glue in ((spaced, b""), (alone, b"\n")):
-            joined = [glue + glue.join(chunks[k] for k in kind[i : i + self.JOINED]) for i in range(0, len(kind), self.JOINED)]
-            found = np.array([i for x in self._batch([j.decode() for j in joined]) for i in x], np.uint32)
+        for glue, a, b in ((b"", bounds[0], bounds[1]), (b"\n", bounds[1], bounds[2])):
+            found, _ = self._batch([glue + glue.join(chunks[i : min(i + self.JOINED, b)]) for i in range(a, b, self.JOINED)])
             opens = self.spaced[found] if not glue else found == self.line
             size = np.diff(np.append(np.flatnonzero(opens), len(found)))
             ids.append(found if not glue else found[~opens])
             sizes.append(size - len(glue))
-        rest = self._batch([chunks[k].decode() for k in other])
-        sizes = np.concatenate([*sizes, np.array([len(x) for x in rest], np.int64)])
-        ids = np.concatenate([*ids, np.array([i for x in rest for i in x], np.uint32)])
+        found, size = self._batch(chunks[bounds[2] :])
+        sizes = np.concatenate([*sizes, size])
         if len(sizes) != len(chunks):
             raise RuntimeError("the tokenizer joins pieces across single spaces")
-        k = len(self.offsets) - 1
-        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes)))
-        self.ids = np.concatenate((self.ids, ids))
-        fresh = keys[spaced + alone + other]
-        order = np.argsort(fresh)
-        place = np.searchsorted(self.keys, fresh[order])
-        self.keys, self.at = np.insert(self.keys, place, fresh[order]), np.insert(self.at, place, k + order)
-
-    def _known(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+        entries = np.empty(len(keys), np.int64)
+        entries[order] = self.table.add(keys[order], sizes, np.concatenate([*ids, found]))
+        return entries
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, how many each has)."""
         raw, offsets = column(texts)
         data = raw.tobytes()
+        if not self.chunks:
+            return self._batch([data[a:b] for a, b in pairwise(offsets.tolist())])
         doubtful = np.unique(np.searchsorted(offsets, np.flatnonzero(_DOUBTFUL[raw]), "right") - 1).tolist()
         odd = [k for k in doubtful if self.ODD.search(data, int(offsets[k]), int(offsets[k + 1]))]
         start = np.zeros(len(raw) + 1, bool)
         kind = _CHARACTER[raw]
-        solid = kind > 1
         if len(raw) > 2:
+            solid, letter = kind > 1, kind == 3
             gap = (kind[1:-1] == 1) & (raw[1:-1] != 9) & solid[:-2] & solid[2:]
             start[1:-2] = gap
             start[2:-1] |= gap & (raw[1:-1] == 10)
-            letter = kind == 3
             letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
             start[1:-1] |= (kind[1:] == 2) & letter[:-1]
         start[offsets] = True
-        full = np.diff(offsets) > 0
         start[-1] = False
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], len(raw))
         first = np.searchsorted(begin, offsets)
-        keys = span_hashes(raw, begin, end)
+        coded = pa.array(span_hashes(raw, begin, end)).dictionary_encode()
+        back, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        where = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1))  # codes are given in the order of first places
         skipped = np.zeros(len(begin), bool)
         for k in odd:
             skipped[first[k] : first[k + 1]] = True
-        distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > self.MOST:
-            self._clear()
-        wanted = np.zeros(len(distinct), bool)
-        wanted[back[~skipped]] = True
-        fresh = np.flatnonzero(wanted & ~self._known(distinct))
+        wanted = np.ones(len(distinct), bool)
+        if odd:
+            wanted[:] = False
+            wanted[back[~skipped]] = True
+        self.table.shrink()
+        entry = self.table.find(distinct)
+        fresh = np.flatnonzero(wanted & (entry < 0))
         if len(fresh):
-            self._learn(distinct[fresh], [data[a:b] for a, b in zip(begin[where[fresh]].tolist(), end[where[fresh]].tolist())])
-        if len(self.keys):
-            found = self.at[np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)][back]
-        else:
-            found = np.zeros(len(back), np.int64)
-        sizes = np.where(skipped, 0, self.offsets[found + 1] - self.offsets[found]) if len(self.keys) else np.zeros(len(back), np.int64)
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.offsets[found] - ends[:-1], sizes)]
-        bounds = ends[first]
+            white = np.concatenate(([0], np.cumsum(kind == 1)))
+            entry[fresh] = self._learn(distinct[fresh], data, begin[where[fresh]], end[where[fresh]], white)
+        held = np.maximum(entry, 0)[back]
+        sizes = np.where(skipped, 0, self.table.size[held]) if self.table.n else np.zeros(len(back), np.int64)
+        ids = self.table.ids[spread(self.table.begin[held], sizes)] if self.table.n else np.zeros(0, np.uint32)
+        bounds = np.concatenate(([0], np.cumsum(sizes)))[first]
         if not odd:
             return ids, np.diff(bounds)
-        whole = dict(zip(odd, ([*e.ids] for e in self.library.encode_batch([data[offsets[k] : offsets[k + 1]].decode() for k in odd], add_special_tokens=False))))
-        parts = [np.array(whole[k], np.uint32) if k in whole else ids[bounds[k] : bounds[k + 1]] for k in range(len(full))]
+        found, size = self._batch([data[offsets[k] : offsets[k + 1]] for k in odd])
+        whole = dict(zip(odd, np.split(found, np.cumsum(size)[:-1])))
+        parts = [whole[k] if k in whole else ids[bounds[k] : bounds[k + 1]] for k in range(len(offsets) - 1)]
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
@@ -290,8 +375,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         if held:
             yield out()
 
-    n = partitions(docs.sparkSession)
-    ordered = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(docs.sparkSession), math.ceil(total / RANGE_BYTES))
+    order = ["id", "tie", "place"]  # a place tells equal rows apart, so that many of them can be divided
+    placed = rows.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    ordered = placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "text")
     return materialise(ordered.mapInArrow(write, "shard int, segment int, doc_ids array<long>, n_ids long, data binary"), "tokens")
 
 

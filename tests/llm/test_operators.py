@@ -235,6 +235,37 @@ def test_tokens_real(spark, real):
         at += len(ids)
 
 
+def test_tokens_of_another_pre_tokenizer(spark, edge_texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert simple8b.chunkable(queries.TOKENIZER) and not simple8b.chunkable(path)
+    t = Tokenizer.from_file(path)
+    want = Counter((i, 1 + len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in edge_texts)
+    found = simple8b.read_tokens(simple8b.write_tokens(docs_of(spark, edge_texts), path)).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in found) == want
+
+
+def test_tokens_of_a_table_that_forgets():
+    encoder = simple8b.Encoder(queries.TOKENIZER)
+    encoder.table.most = 300
+    rng = np.random.default_rng(6)
+    for _ in range(12):
+        texts = [f"the the {text_of(rng, 200, 4000)}, and\nthe end." for _ in range(3)]
+        ids, lengths = encoder(pa.array(texts))
+        want = [x[:-1] for x in tokens_by_library(texts)]
+        assert ids.tolist() == [*itertools.chain(*want)] and lengths.tolist() == [*map(len, want)]
+    assert encoder.table.n < 1000
+
+
+def test_tokens_of_equal_rows_divide(spark):
+    rows = [(None if k % 3 else k, "same text") for k in range(3000)]
+    found = simple8b.read_tokens(simple8b.write_tokens(docs_of(spark, rows).repartition(8), queries.TOKENIZER)).collect()
+    assert sorted(r.start for r in found) == [3 * k for k in range(3000)]
+    assert [r.doc_id for r in sorted(found, key=lambda r: r.start)] == [None] * 2000 + [k for k in range(3000) if k % 3 == 0]
+
+
 def test_media(spark, edge_texts):
     found = mpeg_audio.read_media(mpeg_audio.write_media(docs_of(spark, edge_texts))).collect()
     want = Counter()

@@ -41,6 +41,7 @@ BLOCK = 256
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, *(60 // COUNTS[1:])])
 _POWERS = U64(1) << np.arange(64, dtype=U64)
+_NARROW = np.searchsorted(_POWERS, np.arange(1 << 17, dtype=U64), "right").astype(np.uint8)
 SEGMENT_IDS = 1 << 20
 RANGE_BYTES = 64 << 20
 END = 0
@@ -48,47 +49,51 @@ END = 0
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word of each block and their end, words, escapes) of unsigned ids."""
-    ids = ids.astype(U64)
     n, blocks = len(ids), -(-len(ids) // block)
-    grid = np.zeros(blocks * block, U64)
+    if not n:
+        return np.zeros(1, np.uint32), np.zeros(0, U64), np.zeros(0, U64)
+    grid = np.zeros(blocks * block + 64, U64)
     grid[:n] = ids
-    left = np.minimum(block, n - block * np.arange(blocks)) if blocks else np.zeros(0, np.int64)
-    chosen = np.zeros(blocks * block, np.uint8)
-    width = np.searchsorted(_POWERS, grid, "right").astype(np.uint8).reshape(blocks, block)
+    left = np.minimum(block, n - block * np.arange(blocks))
     reach = np.zeros((blocks, block + 64), np.uint8)
-    reach[:, :block] = width
-    span = 1  # reach[k]: the greatest width of ``span`` ids from k on
+    reach[:, :block] = _widths(grid[:-64]).reshape(blocks, block)
+    span, fits = 1, np.zeros((blocks, block), np.uint8)  # reach[k]: the greatest width of ``span`` ids from k on
     for selector in range(len(COUNTS) - 1, 0, -1):
         more = COUNTS[selector] - span
         while more:
             step = min(more, span)
-            reach[:, : block + 64 - step] = np.maximum(reach[:, : block + 64 - step], reach[:, step:])
+            np.maximum(reach[:, : block + 64 - step], reach[:, step:], out=reach[:, : block + 64 - step])
             span, more = span + step, more - step
-        chosen[(reach[:, :block] <= BITS[selector]).ravel()] = selector
-    chosen = chosen.reshape(blocks, block)
-    # What is past a block's end fits any width, so a word's count may pass it.
-    place, taken = np.zeros(blocks, np.int64), []
-    active = np.arange(blocks)
-    while len(active):
-        selector = chosen[active, place[active]]
-        taken.append((active, place[active], selector))
-        place[active] += COUNTS[selector]
-        active = active[place[active] < left[active]]
-    if not taken:
-        return np.zeros(1, np.uint32), np.zeros(0, U64), np.zeros(0, U64)
-    owner, start, selector = (np.concatenate([t[k] for t in taken]) for k in range(3))
-    order = np.lexsort((start, owner))
-    owner, start, selector = owner[order], start[order], selector[order]
+        fits += reach[:, :block] <= BITS[selector]
+    # What fits a selector fits all with fewer ids; what is past a block's end fits any width, so a count may pass it.
+    chosen = np.where(fits > 0, len(COUNTS) - fits, 0).astype(np.uint8).ravel()
+    step, opens = COUNTS[chosen], np.zeros(blocks * block, bool)
+    at, end = block * np.arange(blocks), block * np.arange(blocks) + left
+    while len(at):
+        opens[at] = True
+        at = at + step[at]
+        going = at < end
+        at, end = at[going], end[going]
+    start = np.flatnonzero(opens)
+    selector = chosen[start]
     words = selector.astype(U64) << U64(60)
-    padded = np.concatenate((grid, np.zeros(64, U64)))
     for s in range(1, len(COUNTS)):
         mine = np.flatnonzero(selector == s)
         if len(mine):
-            inside = start[mine, None] + np.arange(COUNTS[s])
-            values = np.where(inside < block, padded[owner[mine, None] * block + inside], U64(0))
-            words[mine] |= np.bitwise_or.reduce(values << (np.arange(COUNTS[s]) * BITS[s]).astype(U64), axis=1)
-    escapes = padded[owner * block + start][selector == 0]
-    return np.searchsorted(owner, np.arange(blocks + 1)).astype(np.uint32), words, escapes
+            values = grid[start[mine, None] + np.arange(COUNTS[s])]
+            over = np.flatnonzero(start[mine] % block + COUNTS[s] > block)
+            if len(over):
+                values[over] *= start[mine[over], None] % block + np.arange(COUNTS[s]) < block
+            values <<= (np.arange(COUNTS[s]) * BITS[s]).astype(U64)
+            words[mine] |= np.bitwise_or.reduce(values, axis=1)
+    return np.searchsorted(start, block * np.arange(blocks + 1)).astype(np.uint32), words, grid[start[selector == 0]]
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id."""
+    if len(ids) and int(ids.max()) < len(_NARROW):
+        return _NARROW[ids.astype(np.intp)]
+    return np.searchsorted(_POWERS, ids, "right").astype(np.uint8)
 
 
 def decode(firsts: np.ndarray, words: np.ndarray, escapes: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
@@ -356,7 +361,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, SEGMENTS.types)], SEGMENTS.names)
 
         for batch in batches:
-            for part in slices(batch, most=1 << 21):
+            for part in slices(batch, most=1 << 20):
                 ids, lengths = encoder(part.column("text"))
                 ends = np.cumsum(lengths)
                 ids, lengths = np.insert(ids, ends, end), lengths + 1

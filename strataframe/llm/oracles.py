@@ -42,7 +42,24 @@ SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::
 FROM documents LEFT JOIN counts USING (doc_id)
 """
 
+NEAR_VECTORS = """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+v AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM fine),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+counts AS (SELECT a, count(*) AS n_links FROM edges GROUP BY a),
+reach AS (SELECT vec_id, vec_id AS far FROM embeddings UNION SELECT r.vec_id, e.b FROM reach r JOIN edges e ON e.a = r.far),
+least_of AS (SELECT vec_id, min(far) AS component_id FROM reach GROUP BY vec_id)
+SELECT d.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, d.vec_id = component_id AS kept
+FROM embeddings d LEFT JOIN counts ON a = vec_id JOIN least_of USING (vec_id)
+"""
+
 ORACLE_SQL = {
+    "op6_pivot_near_vectors": NEAR_VECTORS,
     "op4_systematic_mixing": mixing.ORACLE_SQL,
     "op8_minmax_near_duplicates": NEAR_DUPLICATES,
     "op10_difference_cover_repeats": REPEATS,

@@ -357,26 +357,53 @@ def test_licenses_real(spark, real):
     assert {r.id: (r.n_words, sorted((p.start, p.label) for p in r.phrases)) for r in licenses.scan(real).collect()} == want
 
 
-def vectors_by_brute(rows):
-    fine = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and len(v) == 8 and None not in v and np.isfinite(v).all() and np.any(v)}
-    linked = [(a, b) for a, b in itertools.combinations(sorted(fine), 2) if fine[a] @ fine[b] / np.linalg.norm(fine[a]) / np.linalg.norm(fine[b]) >= 0.9]
-    n = Counter(x for pair in linked for x in pair)
+def vectors_by_brute(rows, dims=(8,)):
+    """Links and components; of rows that repeat an id the least vector counts."""
+    fine, kind = {}, np.float32
+    for i, v in rows:
+        if i is not None and v is not None and len(v) in dims and None not in v and np.isfinite(v).all() and np.any(v):
+            fine[i] = min(fine.get(i, v), v)
+    ids = sorted(fine)
+    n, linked = Counter(), []
+    for d in dims:
+        mine = [i for i in ids if len(fine[i]) == d]
+        if not mine:
+            continue
+        x = np.array([fine[i] for i in mine], kind).astype(float)
+        x /= np.abs(x).max(1)[:, None]
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        near = x @ x.T >= 0.9
+        linked += [(mine[a], mine[b]) for a, b in zip(*np.nonzero(np.triu(near, 1)))]
+        n.update({i: int(k) - 1 for i, k in zip(mine, near.sum(1)) if k > 1})
     return n, components_of({i for i, _ in rows if i is not None}, linked)
 
 
-def test_vectors(spark):
+VECTORS = "vec_id long, embedding array<float>, id long, key string, n int, kept string, vector string"
+
+
+def vectors_of(spark, rows):
+    """With extra columns whose names clash with what the operator uses."""
+    return spark.createDataFrame([(i, v, 1, "k", 2, "x", "y") for i, v in rows], VECTORS)
+
+
+def test_vectors(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "BLOCK", 256)
+    monkeypatch.setattr(pivots, "TILE", 64)
     rng = np.random.default_rng(4)
     rows = [(k, rng.normal(size=8).astype(np.float32).tolist()) for k in range(150)]
-    rows += [(200 + k, (np.array(rows[0][1]) + rng.normal(size=8) * 0.05).astype(np.float32).tolist()) for k in range(700)]  # over a cell
+    rows += [(200 + k, (np.array(rows[0][1]) + rng.normal(size=8) * 0.05).astype(np.float32).tolist()) for k in range(700)]  # over a block
     rows += [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1003, [1.0] * 7), (1004, [None] * 8), (1005, []), (None, rows[0][1]), (1006, [float("inf")] + [1.0] * 7)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    found = pivots.near_vectors(table).collect()
-    n, component = vectors_by_brute(rows)
+    rows += [(1100, [2.0] * 7), (1101, [1.0, 0.0, 0.0]), (3, rows[3][1]), (4, [1.0] * 8), (1200, [1e-38] * 8), (1201, [1e38] * 8), (1202, [-0.0] + [1.0] * 7), (1203, [0.0] + [1.0] * 7)]
+    rows += [(1300 + k, rows[9][1]) for k in range(300)]  # copies
+    found = pivots.near_vectors(vectors_of(spark, rows)).collect()
+    n, component = vectors_by_brute(rows, (3, 7, 8))
     assert len(found) == len(rows)
-    got = sum(r.n_links for r in found)
-    assert 0.9 * sum(n.values()) <= got <= sum(n.values())
-    assert all(r.component_id == component.get(r.id) for r in found if r.id is None or r.id >= 200)
-    empty = pivots.near_vectors(table.limit(0))
+    links = {r.id: r.n_links for r in found if r.id is not None}
+    assert 0.95 * sum(n.values()) <= sum(links.values()) and all(k <= n[i] for i, k in links.items())
+    assert all(r.component_id == component.get(r.id) and r.kept == (r.id is None or r.id == r.component_id) for r in found if r.id is None or r.id >= 200)
+    assert links[1003] == links[1100] == 1 and links[1300] >= 300 and all(links[k] == 0 for k in (1000, 1001, 1002, 1004, 1005, 1006, 1101))
+    assert links[1200] == links[1201] == n[1200]
+    empty = pivots.near_vectors(vectors_of(spark, []))
     assert empty.count() == 0 and empty.columns == ["id", "n_links", "component_id", "kept"]
 
 
@@ -385,11 +412,47 @@ def test_vectors_in_a_narrow_cone(spark, noise, n):
     rng = np.random.default_rng(5)
     base = np.full(8, 8**-0.5)
     rows = [(k, (base + rng.normal(size=8) * noise).astype(np.float32).tolist()) for k in range(n)]
-    found = pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    found = pivots.near_vectors(vectors_of(spark, rows)).collect()
     links, component = vectors_by_brute(rows)
     assert links and {r.id: (r.n_links, r.component_id, r.kept) for r in found} == {k: (links[k], component[k], component[k] == k) for k, _ in rows}
 
 
+@pytest.mark.parametrize("d, cone", [(8, 0.0), (64, 0.0), (64, 1.0), (256, 0.0)])
+def test_vectors_recall_of_planted_pairs(spark, d, cone):
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(3000, d)) + cone
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=(400, d))
+    side -= (side * x[:400]).sum(1)[:, None] * x[:400]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    c = rng.uniform(0.901, 0.92, (400, 1))
+    rows = [*enumerate(x.astype(np.float32).tolist()), *((5000 + k, v) for k, v in enumerate((c * x[:400] + np.sqrt(1 - c * c) * side).astype(np.float32).tolist()))]
+    want, _ = vectors_by_brute(rows, (d,))
+    got = {r.id: r.n_links for r in pivots.near_vectors(vectors_of(spark, rows)).collect()}
+    assert sum(want.values()) >= 800 and all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.95 * sum(want.values())
+
+
+def test_vectors_of_doubles(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e200, 1e199]), (2, [0.9, (1 - 0.81) ** 0.5]), (3, [0.0, -1.0])]
+    found = pivots.near_vectors(spark.createDataFrame(rows, "vec_id int, embedding array<double>")).collect()
+    cosine = {(a, b): np.dot(x, y) / np.hypot(*x) / np.hypot(*y) for (a, x), (b, y) in itertools.combinations([(i, np.array(v) / max(map(abs, v))) for i, v in rows], 2)}
+    want = Counter(i for pair, c in cosine.items() if c >= 0.9 for i in pair)
+    assert {r.id: r.n_links for r in found} == {i: want[i] for i, _ in rows}
+
+
+def test_pivot_meetings_are_counts_and_orders():
+    rng = np.random.default_rng(2)
+    a, b = (np.array([rng.permutation(14)[: pivots.NEAREST] for _ in range(500)]) for _ in range(2))
+    found = pivots.meeting(a, b)
+    assert (found == pivots.meeting(b, a)).all()
+    for x, y, got in zip(a.tolist(), b.tolist(), found):
+        shared = [(x.index(p) + y.index(p), p) for p in x if p in y]
+        best = min(shared, default=(0, -1))[1]
+        asked = best >= 0 and min(x.index(best), y.index(best)) < pivots.ASK
+        assert got == (best if len(shared) >= pivots.SHARED and asked else -1)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t {k}</title><style>p{{}}</style><script>var a="</p>";</script></head><body class="home"><header>Site</header>
 <nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div><aside>side {k}</aside>
 <article><h1>Head {k}</h1><p>First <b>bo</b>ld &amp; para {k}<br>line<p>Second   {k}</p><span class="ad">Buy {k}</span><form>q {k}</form>

@@ -1,23 +1,28 @@
 """Main text of web pages by deduction of their template.
 
 Pages of one host are compared in groups. Their tokens are elements, each named by its path of tags and classes, and texts,
-each named by its path and words. Tokens with the same occurrence vector (how often each page of the group has it) form an
-equivalence class. The elements that every page has once, in one order, are the template's frame; the class of any other
-element that ``FEW`` pages have nests in it, as elements are taken from a tree. A text belongs to the class of an element
-around it if nearly all pages that have the element have the text as often. It is then the template's, of any length and
-wherever in the element it stands, and goes; what remains are slots. Pages with the same texts count once in this, and if
-no slot of the group has text, nothing tells template and article apart and all texts stay. If the
-innermost frame element whose slots hold nearly all the text that varies lies in an article or main element, that is the
-article; without one, all slots are. Its text is what remains without elements that are boilerplate by their tag, role or
-class. A word of a class, id, role or label is weak evidence: it doesn't count for an element that a page has once if nearly
-all the varying text is in it, or the page's article or main element is (``overruled``).
-
-A host with many pages is dealt to groups of about ``GROUP`` pages by a hash, so no task gets a host; the pages of hosts
-with fewer than ``FEW`` pages are compared with each other, as their own vectors are too short to tell a template.
+each named by its path and words. ``classes`` groups the tokens that have the same occurrence vector, which is how often each
+page of the group has them; pages with the same texts count once. A class that ``FEW`` pages have is valid. Elements nest as
+the pages' trees do, and a text's class nests in that of an element around it if it agrees with it on nearly all pages that
+have the element (on all pages, both are one class). Such a text is the template's, wherever in the element it stands, if
+it has ``SIZE`` words or more, or if the list, box or table around it holds such texts alone; a shorter line between texts
+that vary ("By Staff") is of the slot that it stands in. What the template leaves are slots. If no slot of a group has text,
+nothing tells template and article apart, and all texts stay.
+
+The elements that nearly every page has once, in one order, are the template's frame. If an article or main element of the
+frame has most of the text that varies, its slots are the article; without one, all slots are. Elements that are boilerplate
+by their tag (``APART_TAGS``) go. A word of a class, id, role or label (``APART_WORDS``) is weak evidence, for what varies
+from page to page as an article does (adverts, comments, related items): it doesn't count for an element that a page has
+once if nearly all the varying text is in it, or the page's article or main element is (``overruled``).
+
+A host with many pages is dealt to groups of about ``GROUP`` pages and ``GROUP_BYTES`` bytes by a hash, so no task gets a
+host, and rows that repeat their id and url without end are dealt again by their place; the pages of hosts with fewer than
+``FEW`` pages are compared with each other, as their own vectors are too short to tell a template.
 
 Defined cases: a null, empty or textless page has the text ''; a null or strange url has no host; unclosed elements end with
-their parents; unclosed comments, scripts and styles reach to the end of the page; repeated rows are pages of their own,
-but count once in vectors. Added columns replace input columns of their name.
+their parents; unclosed comments, scripts and styles reach to the end of the page; a page of any length is taken whole;
+repeated rows are pages of their own, but count once in vectors; ties of elements go to the deeper, then to the later name;
+an empty table gives an empty result. Added columns replace input columns of their name.
 """
 
 from __future__ import annotations
@@ -36,10 +41,16 @@ from ._links import bounded
 from ._store import materialise
 
 GROUP = 64
+GROUP_BYTES = 32 << 20
+#: A part with so many times the pages of a group holds repeated rows.
+REPEATED = 8
 FEW = 4
-#: Of a group's pages, the part that must have a token of the frame; of the varying text, the part the article must hold.
+#: Words of a text that is a valid class by itself.
+SIZE = 9
+#: Of a group's pages, the part that must have a token of the frame, or on which a nested class must agree.
 SUPPORT = 0.9
-COVERAGE = 0.8
+#: Of the varying text, the part that an element must hold to overrule words, and the part that an article must hold.
+COVERAGE, MOST = 0.8, 0.5
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|iframe|textarea|xmp)\b(?:"[^"]*"|'[^']*'|[^>"'])*>.*?(?:</\1\s*>|\Z)"""
@@ -64,6 +75,8 @@ APART_WORDS = frozenset(
     "comment commentlist disqus reply replies respond login search widget complementary contentinfo pagination pager skip copyright legal".split()
 )
 TAKEN = frozenset({"article", "main"})
+#: Elements that group others.
+GROUPING = frozenset("div section ul ol dl table figure details fieldset blockquote address center".split())
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -201,25 +214,48 @@ def overruled(pages: list[Page]) -> frozenset[str]:
     return frozenset(p for p in had if whole[p] and held[p] >= COVERAGE * whole[p] or 2 * around[p] > had[p])
 
 
-def constants(pages: list[Page]) -> set[tuple[str, str]]:
-    """The template's texts: those in the class of an element around them, or of the page, that ``FEW`` pages have."""
-    distinct = {tuple((p, t) for p, t, _ in said): (page, said) for page, said in ((p, p.words()) for p in pages)}
-    vectors: dict[tuple[str, str], dict[int, int]] = defaultdict(dict)
-    around: dict[tuple[str, str], list[str]] = {}
-    elements: dict[str, dict[int, int]] = defaultdict(dict)
-    for k, (page, said) in enumerate(distinct.values()):
+Token = tuple[str, str]
+
+
+def classes(pages: list[Page]) -> dict[tuple[int, ...], list[Token]]:
+    """Equivalence classes: (path, words) of texts and (path, '') of elements by their occurrence vector over ``pages``."""
+    found: dict[Token, dict[int, int]] = defaultdict(dict)
+    for k, page in enumerate(pages):
         for path, n in Counter(page.paths).items():
-            elements[path][k] = n
-        for path, words, element in said:
-            vectors[path, words][k] = vectors[path, words].get(k, 0) + 1
+            found[path, ""][k] = n
+        for (path, words), n in Counter((p, w) for p, w, _ in page.words()).items():
+            found[path, words][k] = n
+    out: dict[tuple[int, ...], list[Token]] = defaultdict(list)
+    for token, vector in found.items():
+        out[tuple(vector.get(k, 0) for k in range(len(pages)))].append(token)
+    return out
+
+
+def _nested(inner: tuple[int, ...], outer: tuple[int, ...]) -> bool:
+    """Whether a class agrees with one around it on nearly all pages that have the latter."""
+    have = [k for k, n in enumerate(outer) if n]
+    return len(have) >= FEW and sum(inner[k] == outer[k] for k in have) >= SUPPORT * len(have)
+
+
+def constants(pages: list[Page]) -> set[Token]:
+    """The template's texts."""
+    distinct = [*{tuple(w[:2] for w in page.words()): page for page in reversed(pages)}.values()]
+    if len(distinct) < FEW:
+        return set()
+    around: dict[Token, list[str]] = {}
+    for page in distinct:
+        for path, words, element in page.words():
             if (path, words) not in around:
                 around[path, words] = ["", *(page.paths[e] for e in page.above(element))]
+    vector_of = {token: vector for vector, tokens in classes(distinct).items() for token in tokens}
+    valid = {t for t in around if sum(n > 0 for n in vector_of[t]) >= FEW and any(_nested(vector_of[t], vector_of[p, ""]) for p in around[t])}
+    live = {p for t in around if t not in valid for p in around[t]}
     found = set()
-    for text, vector in vectors.items():
-        classes = (elements[p] for p in around[text]) if len(vector) >= FEW else ()
-        if any(len(c) >= FEW and sum(c[k] == n for k, n in vector.items()) >= SUPPORT * len(c) for c in classes):
-            found.add(text)
-    return found if len(found) < len(vectors) else set()
+    for path, words in valid:
+        box = next((p for p in around[path, words][1:] if p.rsplit("/", 1)[-1].split(".")[0] in GROUPING), "")
+        if len(words.split()) >= SIZE or (box and box not in live):
+            found.add((path, words))
+    return found if len(found) < len(around) else set()
 
 
 def frame(pages: list[Page]) -> tuple[set[str], set[tuple[str, str]], str]:
@@ -258,11 +294,8 @@ def frame(pages: list[Page]) -> tuple[set[str], set[tuple[str, str]], str]:
                 if page.paths[element] in paths:
                     held[page.paths[element]] += size
                 element = page.parents[element]
-    enough = [p for p in paths if total and held[p] >= COVERAGE * total]
-    article = max(enough, key=lambda p: (p.count("/"), p), default="")
-    steps = article.split("/")
-    around = [k for k, s in enumerate(steps) if s.split(".")[0] in TAKEN]
-    return paths, labels, "/".join(steps[: around[0] + 1]) if around else ""
+    enough = [p for p in paths if p.rsplit("/", 1)[-1].split(".")[0] in TAKEN and total and held[p] >= MOST * total]
+    return paths, labels, max(enough, key=lambda p: (p.count("/"), p), default="")
 
 
 def extract(sources: Iterable[str | None]) -> list[str]:
@@ -288,16 +321,23 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", id
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(html_col).alias("html"), host.alias("host"), F.xxhash64(id_col, url_col).alias("deal"))
-    hosts = materialise(rows.groupBy("host").agg(F.count("*").alias("n")), "hosts")
-    large = hosts.filter((F.col("n") >= FEW) & (F.col("host") != ""))
-    rest = hosts.filter((F.col("n") < FEW) | (F.col("host") == "")).agg(F.sum("n")).first()[0] or 0
+    sizes = rows.groupBy("host").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes"))
+    hosts = materialise(sizes, "hosts")
+    own = (F.col("n") >= FEW) & (F.col("host") != "")
+    parts = F.greatest(F.ceil(F.col("n") / GROUP), F.least(F.ceil(F.col("bytes") / GROUP_BYTES), F.ceil(F.col("n") / FEW)))
+    large = hosts.filter(own).select("host", parts.alias("parts"))
+    rest = hosts.filter(~own).agg(F.coalesce(F.sum("n"), F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).select(parts).first()[0]
     dealt = rows.join(bounded(large), "host", "left")
-    group = F.when(F.col("n").isNull(), F.lit("")).otherwise(F.col("host"))
-    dealt = dealt.select("row", "html", group.alias("group"), F.pmod("deal", F.ceil(F.coalesce("n", F.lit(max(1, rest))) / GROUP)).alias("part"))
+    group = F.when(F.col("parts").isNull(), F.lit("")).otherwise(F.col("host"))
+    dealt = dealt.select("row", "html", group.alias("group"), F.pmod("deal", F.coalesce("parts", F.lit(rest))).alias("part"))
+    crowded = dealt.groupBy("group", "part").agg(F.count("*").alias("n")).filter(F.col("n") > REPEATED * GROUP)
+    crowded = materialise(crowded.select("group", "part", F.ceil(F.col("n") / GROUP).alias("times")), "crowded")
+    dealt = dealt.withColumn("place", F.monotonically_increasing_id()).join(bounded(crowded), ["group", "part"], "left")
+    dealt = dealt.withColumn("again", F.pmod("place", F.coalesce("times", F.lit(1)))).drop("place", "times")
     schema = StructType([StructField("row", rows.schema["row"].dataType), StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def solve(part: pa.Table) -> pa.Table:
         texts = extract(part.column("html").to_pylist())
         return pa.table({"row": part.column("row"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
-    return dealt.groupBy("group", "part").applyInArrow(solve, schema).select("row.*", "text", "n_chars")
+    return dealt.groupBy("group", "part", "again").applyInArrow(solve, schema).select("row.*", "text", "n_chars")

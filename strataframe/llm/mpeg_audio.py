@@ -5,19 +5,24 @@ variable-bitrate table (frames, bytes, seek points), and frames whose side infor
 bodies are free bytes and decoders play silence. Frames carry the standard's 16-bit checksum over header and side
 information. Bodies hold the payload; the last frame has the least bitrate that holds the rest.
 
-The reader takes any byte string: it skips tags, searches for a header that is followed by another or by the end, checks
-checksums where headers announce them, reads a variable-bitrate table, and gives the exact duration from the samples of the
-frames it saw, and the offset of each frame.
-
-Defined cases: null or empty bytes have no frames, duration 0 and no payload; what lies between frames is counted as junk;
-the last 128 bytes are a tag if they begin with TAG and no frame holds that place.
+The reader takes any byte string. It skips tags and believes a header if another of the same version, layer and rate, or
+the end, follows its frame, or if the checksum that it announces is right. Where a frame ends, one that isn't so confirmed
+is believed as well, unless a confirmed one begins inside it; elsewhere it is junk, and the search goes on. The reader
+verifies checksums of all layers, reads variable-bitrate tables of both kinds, and gives the exact duration from the samples
+of the frames it saw, and the offset of each frame.
+
+Defined cases: null or empty bytes have no frames, duration 0 and no payload, and a null or empty text is stored as a
+payload of 64 bytes 0; what lies between frames, and a frame that the end cuts off, is counted as junk; the last 128 bytes
+are a tag if they begin with TAG and no frame holds that place. A text of any length is one stream; batches are cut by
+bytes, so long ones are taken alone. Rows that repeat an id are streams of their own; null ids are kept; an empty table
+gives an empty result; other input columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from itertools import pairwise
 
 import pyarrow as pa
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import materialise, small_batches
+from ._words import slices
 
 #: Fixed values of MPEG audio: kbit/s by version (1, else 2) and layer, Hz of MPEG-1.
 KBITS = {
@@ -41,18 +47,74 @@ SIDE = 32
 HEAD = 4 + 2 + SIDE
 
 
-@cache
-def crc16(data: bytes) -> int:
-    """Polynomial 0x8005, from 0xFFFF, upper bit first."""
-    crc = 0xFFFF
+#: Entries that are remembered of what depends on foreign bytes.
+REMEMBERED = 4096
+#: Bytes of texts or streams that are taken at once.
+SLICE = 4 << 20
+
+
+@lru_cache(REMEMBERED)
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """Polynomial 0x8005, from 0xFFFF, upper bit first, over the first ``bits``, or all."""
+    crc, left = 0xFFFF, 8 * len(data) if bits is None else bits
     for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ (0x8005 if crc & 0x8000 else 0)) & 0xFFFF
+        for k in range(7, 7 - min(8, left), -1):
+            crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ byte >> k) & 1 else 0)) & 0xFFFF
+        left -= 8
+        if left <= 0:
+            break
     return crc
 
 
-@cache
+#: Fixed values of Layer II: bits of the allocation of each subband, by table.
+ALLOCATION = {
+    "a": [4] * 11 + [3] * 12 + [2] * 4,
+    "b": [4] * 11 + [3] * 12 + [2] * 7,
+    "c": [4] * 2 + [3] * 6,
+    "d": [4] * 2 + [3] * 10,
+    "low": [4] * 4 + [3] * 7 + [2] * 19,
+}
+
+
+def _checked_bits(header: bytes, rest: bytes) -> int | None:
+    """Bits after header and checksum that the checksum covers; None if the frame is too short for them."""
+    version, layer, hz, size, _, _, side = frame_of(header)
+    mode, extension = header[3] >> 6, header[3] >> 4 & 3
+    channels = 1 if mode == 3 else 2
+    if layer == 3:
+        return 8 * side if len(rest) >= side else None
+    bound = 4 * (extension + 1) if mode == 1 else 32
+    if layer == 1:
+        return 4 * (bound * channels + 32 - bound)
+    kbits = KBITS[1 if version == 1 else 2, 2][header[2] >> 4] // channels
+    if version != 1:
+        table = "low"
+    elif kbits >= 56:
+        table = "a" if hz == 48000 or kbits <= 80 else "b"
+    else:
+        table = "d" if hz == 32000 else "c"
+    number, at, used = int.from_bytes(rest[:64].ljust(64, b"\0"), "big"), 0, 0
+    for band, width in enumerate(ALLOCATION[table]):
+        shared = channels == 2 and band >= bound
+        for _ in range(1 if shared else channels):
+            chosen = number >> 512 - at - width & (1 << width) - 1
+            used += (channels if shared else 1) * (chosen > 0)
+            at += width
+    return at + 2 * used if 8 * len(rest) >= at + 2 * used else None
+
+
+def checksum_right(frame: bytes) -> bool | None:
+    """Whether a frame's checksum is right; None without one."""
+    if not frame_of(frame[:4])[4]:
+        return None
+    bits = _checked_bits(frame[:4], frame[6:])
+    if bits is None:
+        return False
+    covered = frame[2:4] + frame[6 : 6 + (bits + 7) // 8]
+    return crc16(covered, 16 + bits) == int.from_bytes(frame[4:6], "big")
+
+
+@lru_cache(REMEMBERED)
 def frame_of(header: bytes) -> tuple[int, int, int, int, bool, int, int] | None:
     """(version, layer, Hz, bytes, checksum, samples, side bytes) of a header; None if it isn't one."""
     if len(header) < 4 or header[0] != 0xFF or header[1] & 0xE0 != 0xE0:
@@ -140,6 +202,59 @@ def _tags(data: bytes) -> tuple[int, dict[str, str]]:
     return at, fields
 
 
+def _table(frame: bytes, start: int) -> dict | None:
+    """The variable-bitrate table of a frame, of either kind; start: where its body begins."""
+    body = frame[start:]
+    if body[:4] in (b"Xing", b"Info"):
+        flags, here, table = int.from_bytes(body[4:8], "big"), 8, {"frames": None, "bytes": None, "points": []}
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                table[name] = int.from_bytes(body[here : here + 4], "big")
+                here += 4
+        table["points"] = [*body[here : here + 100]] if flags & 4 else []
+        return table
+    body = frame[36:]
+    if body[:4] == b"VBRI" and len(body) >= 26:
+        size, frames = (int.from_bytes(body[k : k + 4], "big") for k in (10, 14))
+        entries, scale, width = (int.from_bytes(body[k : k + 2], "big") for k in (18, 20, 22))
+        points = [body[26 + k * width : 26 + (k + 1) * width] for k in range(entries)] if width in (1, 2, 3, 4) else []
+        return {"frames": frames, "bytes": size, "points": [scale * int.from_bytes(p, "big") for p in points if len(p) == width]}
+    return None
+
+
+class _Stream:
+    """The frames of a stream, between its tags."""
+
+    def __init__(self, data: bytes, end: int):
+        self.data, self.end, self.kind = data, end, None
+
+    def frame(self, at: int) -> int:
+        """Bytes of the frame that begins here; 0 if none of the stream's kind does, or the end cuts it off."""
+        found = frame_of(self.data[at : at + 4])
+        if found is None or at + found[3] > self.end or self.kind not in (None, found[:3]):
+            return 0
+        return found[3]
+
+    def confirmed(self, at: int) -> bool:
+        size = self.frame(at)
+        if not size:
+            return False
+        if at + size == self.end:
+            return True
+        following = frame_of(self.data[at + size : at + size + 4])
+        if following and following[:3] == frame_of(self.data[at : at + 4])[:3]:
+            return True
+        return checksum_right(self.data[at : at + size]) is True
+
+    def confirmed_between(self, at: int, end: int) -> int:
+        """Where the first confirmed frame begins; ``end`` without one."""
+        while (at := self.data.find(b"\xff", at, end)) >= 0:
+            if self.confirmed(at):
+                return at
+            at += 1
+        return end
+
+
 def parse(data: bytes | None) -> dict:
     """What the stream holds: fields of tags, frames, offsets, samples, junk, failed checksums, the table, and bodies."""
     data = data or b""
@@ -148,34 +263,32 @@ def parse(data: bytes | None) -> dict:
     first, end = True, len(data)
     if data[-128:-125] == b"TAG":
         end -= 128
+    stream = _Stream(data, end)
     while at < end:
-        frame = frame_of(data[at : at + 4])
-        if frame and at + frame[3] > end and (at + frame[3] == len(data) or frame_of(data[at + frame[3] : at + frame[3] + 4])):
-            end = len(data)  # no tag, but bytes of a frame
-        if frame is None or at + frame[3] > end or (not out["offsets"] and at + frame[3] < end and frame_of(data[at + frame[3] : at + frame[3] + 4]) is None):
-            nearest = data.find(b"\xff", at + 1, end)
-            nearest = end if nearest < 0 else nearest
+        found = frame_of(data[at : at + 4])
+        if found and at < end < at + found[3] <= len(data) and stream.kind in (None, found[:3]):
+            past = at + found[3]  # no tag, perhaps, but bytes of a frame
+            if past == len(data) or (frame_of(data[past : past + 4]) or ())[:3] == found[:3]:
+                stream.end = end = len(data)
+        size = stream.frame(at)
+        if not size or not (stream.confirmed(at) or (not first and stream.confirmed_between(at + 1, at + size) == at + size)):
+            nearest = stream.confirmed_between(at + 1, end)
             out["junk"] += nearest - at
-            at = nearest
+            at, first = nearest, first and nearest < end
             continue
-        _, layer, hertz, size, checked, samples, side = frame
-        start = at + 4 + 2 * checked
-        if checked and layer == 3 and crc16(data[at + 2 : at + 4] + data[start : start + side]) != int.from_bytes(data[at + 4 : at + 6], "big"):
+        version, layer, hertz, _, checked, samples, side = found
+        stream.kind = (version, layer, hertz)
+        if checksum_right(data[at : at + size]) is False:
             out["bad_checksums"] += 1
-        body = data[start + side : at + size]
-        if first and body[:4] in (b"Xing", b"Info"):
-            flags, here, table = int.from_bytes(body[4:8], "big"), 8, {"frames": None, "bytes": None, "points": b""}
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    table[name] = int.from_bytes(body[here : here + 4], "big")
-                    here += 4
-            table["points"] = body[here : here + 100] if flags & 4 else b""
+        start = 4 + 2 * checked + side
+        table = _table(data[at : at + size], start) if first else None
+        if table:
             out["table"] = table
         else:
             out["offsets"].append(at)
             out["samples"] += samples
             out["hertz"] = hertz
-            out["bodies"].append(body)
+            out["bodies"].append(data[at + start : at + size])
         first, at = False, at + size
     return out
 
@@ -192,9 +305,10 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
-            media = pa.array([store(pad(t), len(t)) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(t) for t in texts], pa.int64()), media], ["id", "n_bytes", "media"])
+            for part in slices(batch, most=SLICE):
+                texts = part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+                media = pa.array([store(pad(t), len(t)) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(t) for t in texts], pa.int64()), media], ["id", "n_bytes", "media"])
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -232,8 +346,7 @@ def read_media(stored: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, "media", SLICE):
                 found = pa.RecordBatch.from_pylist([one(x) for x in part.column("media").to_pylist()], schema=schema)
                 named = {"id": part.column("id"), "media": part.column("media")} | {n: found.column(n) for n in schema.names}
                 names = [c.split()[0] for c in READ.split(", ")]

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_template, licenses, minmax, mixing, mpeg_audio, oracles, packing, pivots, quality, simple8b, substrings
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -86,7 +83,7 @@ def op8_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return simple8b.read_tokens(simple8b.write_tokens(docs, TOKENIZER))
+    return simple8b.read_tokens(simple8b.write_tokens(docs, simple8b.public_tokenizer("byte_bpe_50k.json")))
 
 
 def op10_difference_cover_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

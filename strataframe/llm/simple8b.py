@@ -347,6 +347,13 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def public_tokenizer(name: str) -> str:
+    """Where the installed package has the file of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
     """The written file: (shard, segment, doc_ids, n_ids, data); tokenizer: path of its file on every machine."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -194,6 +194,54 @@ def test_packing_is_no_worse_than_one_length():
     assert sizes.sum() <= total <= 1.2 * sizes.sum()
 
 
+def least_cost(sizes, lengths, overhead):
+    """The optimum, over all ways to divide the items into bins."""
+    def divided(items):
+        if not items:
+            yield []
+            return
+        first, rest = items[0], items[1:]
+        for parts in divided(rest):
+            yield [[first], *parts]
+            for k in range(len(parts)):
+                yield [*parts[:k], [first, *parts[k]], *parts[k + 1 :]]
+
+    fine = (p for p in divided(sizes) if all(sum(b) <= lengths[-1] for b in p))
+    return min(packing.cost([sum(b) for b in p], lengths, overhead) for p in fine)
+
+
+def test_packing_against_the_optimum():
+    rng = np.random.default_rng(12)
+    total = optimum = exact = 0
+    for _ in range(60):
+        lengths, overhead = (8, 12, 20), int(rng.integers(0, 4))
+        sizes = rng.integers(1, 21, int(rng.integers(1, 8)))
+        found = packing.pack_shard(sizes, lengths, overhead)
+        bins = dict(zip(found["bin"].tolist(), found["bin_length"].tolist()))
+        mine, best = sum(bins.values()) + overhead * len(bins), least_cost(sizes.tolist(), lengths, overhead)
+        assert best <= mine
+        total, optimum, exact = total + mine, optimum + best, exact + (mine == best)
+    assert total <= 1.03 * optimum and exact >= 45
+
+
+def test_packing_opens_lengths_jointly():
+    sizes = [600] * 10 + [400] * 10 + [500] * 7
+    ordered = sorted(sizes, reverse=True)
+    alone = [packing.cost(packing.best_fit(ordered, packing.LENGTHS, p)[1], packing.LENGTHS) for p in packing.LENGTHS]
+    joint = packing.cost(packing.best_fit(ordered, packing.LENGTHS)[1], packing.LENGTHS)
+    assert joint <= min(alone) and joint <= 10 * (1024 + 8) + 3 * (1024 + 8) + (512 + 8)
+
+
+def test_packing_divides_crowded_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 50)
+    rows = packing.pack(docs_of(spark, [*((None, "") for _ in range(900)), *((k, "a b c") for k in range(100))])).collect()
+    assert len(rows) == 1000 and sum(r.words for r in rows) == 300
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.bin_id].append(r)
+    assert all(sum(m.words for m in b) == b[0].bin_used for b in bins.values()) and len(bins) > 20
+
+
 def test_simple8b_round_trips():
     rng = np.random.default_rng(0)
     for n in (0, 1, 59, 60, 61, 255, 256, 257, 2000):

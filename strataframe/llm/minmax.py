@@ -13,7 +13,9 @@ similarity s shares no band with probability (1 - s^4)^32, 5e-6 at s = 0.75, and
 ``AGREE_FURTHER`` with about the same probability.
 
 Defined cases: a null or blank text is an empty set and links with nothing; a text of fewer than five words is one
-shingle; a null id links with nothing and is kept; rows that repeat an id are one document.
+shingle; a text of any length counts whole, and its signature is no longer than others; a null id links with nothing and is
+kept; rows that repeat an id are one document, linked by any of its texts; a component's id is its least, so there are no
+ties; an empty table gives an empty result. Other input columns aren't read, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ this order, one offset is added, and a document is emitted once for each whole n
 The prefix sums are taken in three levels, so that no task gets a source: over the distinct sizes of a source, over the
 ``SALTS`` salts of a size, and over the documents of a salt.
 
-Defined cases: a null or blank text has size 0; null is a source of its own; a source without words has target 0 and takes
-nothing; a source of the name of another's null is told apart; rows that repeat an id are rows of their own. Of input
+Defined cases: a null or blank text has size 0, and a text of any length is one document; null is a source of its own, told
+apart from one with an empty name; a source without words has target 0 and takes nothing; rows that repeat an id, and null
+ids, which come first, are rows of their own; rows of equal size and id are laid out by a hash of their text. Of input
 columns that bear the name of an added one, the added one stays. An empty table gives an empty result.
 """
 
@@ -68,7 +69,8 @@ def mix(
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"),
         F.col(source_col).isNull().alias("__nil"),
-        F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(SALTS)), F.lit(-1)).alias("__salt"),
+        F.xxhash64(text_col).alias("__tie"),
+        F.pmod(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)), F.lit(SALTS)).alias("__salt"),
     )
     cells = materialise(sized.groupBy("__source", "__nil", "size", "__salt").agg(F.count("*").alias("n")), "cells")
     names = [F.col("__source").alias("source"), F.col("__nil").alias("nil")]
@@ -81,7 +83,7 @@ def mix(
     starts = starts.toDF("__source", "__nil", "size", "__at", "source_size", "target")
     places = salts.join(starts, ["__source", "__nil", "size"]).withColumn("__at", F.col("__at") + F.col("within")).drop("within")
 
-    order = Window.partitionBy("__source", "__nil", "size", "__salt").orderBy(id_col)
+    order = Window.partitionBy("__source", "__nil", "size", "__salt").orderBy(id_col, "__tie")
     rows = sized.withColumn("__k", F.row_number().over(order)).join(places, ["__source", "__nil", "size", "__salt"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rank, u = F.col("__at") + F.col("__k"), F.lit(offset_of(seed))

@@ -8,8 +8,10 @@ logistic(s - threshold + logit(``CUT``)), so that ``CUT`` is the threshold whate
 The fit takes at most ``SAMPLE`` labelled rows of each quality, those of the least hash of their id; scores, the threshold
 and the share of each quality cover all rows. The quantile's rank is off by a part of 1 / ``ACCURACY`` of the rows at most. Only the text is an input of a score.
 
-Defined cases: null and empty texts have all features of an empty text and a score; null labels aren't learned from; if one
-quality has no row to learn from, all scores are 0.5; a null id is not held out.
+Defined cases: null and empty texts have all features of an empty text and a score; a text of any length is scored whole;
+null labels and labels of no document aren't learned from, and a row of each label counts as often as it and its document
+repeat; if one quality has no row to learn from, all scores are 0.5; scores equal to the threshold pass; a null id is not
+held out; an empty table gives an empty result. Of input columns that bear the name of an added one, the added one stays.
 """
 
 from __future__ import annotations
@@ -68,6 +70,11 @@ def features(texts: pa.Array) -> np.ndarray:
     return np.hstack([ratios, np.log(ratios + 1e-3), np.stack(more, 1)])
 
 
+def loss(x: np.ndarray, w: np.ndarray, ridge: float) -> float:
+    """Of preferences with feature differences ``x``: the logistic loss, and the ridge that bounds separable data."""
+    return float(np.logaddexp(0, -(x @ w)).sum() + ridge / 2 * w @ w)
+
+
 def fit(good: np.ndarray, bad: np.ndarray, share: float, pairs: int = PAIRS, ridge: float = RIDGE, seed: int = SEED) -> dict:
     """The model from feature rows of either quality; share: of quality 0 among labelled rows."""
     if not len(good) or not len(bad):
@@ -77,9 +84,12 @@ def fit(good: np.ndarray, bad: np.ndarray, share: float, pairs: int = PAIRS, rid
     rng = np.random.default_rng(seed)
     x = (good[rng.integers(len(good), size=pairs)] - bad[rng.integers(len(bad), size=pairs)]) / scale
     w = np.zeros(x.shape[1])
-    for _ in range(25):  # Newton's method
+    for _ in range(25):  # Newton's method; a step that doesn't lower the loss is halved
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (1 - p) - ridge * w)
+        before = loss(x, w, ridge)
+        while loss(x, w + step, ridge) > before and np.abs(step).max() > 1e-9:
+            step /= 2
         w += step
         if np.abs(step).max() < 1e-6:
             break

@@ -6,8 +6,10 @@ from there on that still lie in the window are hashed for both alike. Only posit
 An anchor that occurs once proves that nothing around it repeats. Around anchors that occur more than once the match is
 extended to whole windows, which are compared by 96 bits, and each word that a repeated window covers is removed.
 
-Defined cases: a null text has no words; texts shorter than a window keep all words; rows that repeat an id are rows of
-their own; windows are judged on the input. Of input columns that bear the name of an added one, the added one stays.
+Defined cases: a null text has no words; texts shorter than a window keep all words; a text of any length is judged whole,
+alone in its slice if it is long; rows that repeat an id, or have a null one, are rows of their own; all places of a window
+go alike, so there are no ties; windows are judged on the input; an empty table gives an empty result. Of input columns that
+bear the name of an added one, the added one stays.
 """
 
 from __future__ import annotations

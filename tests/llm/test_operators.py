@@ -442,6 +442,72 @@ def test_quality_threshold_is_of_all_training_rows(spark, real):
     assert bad > 4 and below == bad - 1
 
 
+def test_quality_fit_against_plain_gradient_descent():
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(size=(500, len(quality.NAMES))) + 0.1, rng.normal(size=(400, len(quality.NAMES)))
+    model = quality.fit(good, bad, 0.4, pairs=4000)
+    scale = np.vstack([good, bad]).std(0) + 1e-9
+    rows = np.random.default_rng(quality.SEED)
+    x = (good[rows.integers(500, size=4000)] - bad[rows.integers(400, size=4000)]) / scale
+    w = np.zeros(x.shape[1])
+    for _ in range(3000):
+        w += 5e-4 * (x.T @ (1 / (1 + np.exp(x @ w))) - quality.RIDGE * w)
+    mine = quality.loss(x, model["weights"] * scale, quality.RIDGE)
+    assert mine <= quality.loss(x, w, quality.RIDGE) + 1e-6
+    assert np.allclose(model["weights"] * scale, w, atol=5e-3)
+
+
+def test_quality_features_against_brute_force(edge_texts):
+    texts = [t for _, t in edge_texts if t is None or len(t) < 5000]
+    for text, row in zip(texts, quality.features(pa.array(texts, pa.string()))):
+        raw = (text or "").encode()
+        words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        got = dict(zip(quality.NAMES, row))
+        for name, kind in quality.KINDS.items():
+            assert got[f"{name}_ratio"] == pytest.approx(sum(b in kind for b in raw) / max(1, len(raw)))
+        counts = {"adjacent": sum(a == b for a, b in zip(words, words[1:])), "second": sum(a == b for a, b in zip(words, words[2:])), "distinct": len(set(words)),
+                  "short": sum(len(w) < 3 for w in words), "long": sum(len(w) > 15 for w in words)}
+        for name, n in counts.items():
+            assert got[f"{name}_ratio"] == pytest.approx(n / max(1, len(words)))
+        assert got["words"] == pytest.approx(np.log1p(len(words))) and got["bytes"] == pytest.approx(np.log1p(len(raw)))
+
+
+def test_signatures_keep_pairs_at_the_limit():
+    """The cuts before full sets are compared keep pairs of similarity 0.75 (measured)."""
+    rng = np.random.default_rng(4)
+    met = kept = further = 0
+    for _ in range(60):
+        shared = rng.integers(0, 2**63, 300, dtype=np.uint64)
+        sets = [np.sort(np.concatenate((shared, rng.integers(0, 2**63, 50, dtype=np.uint64)))) for _ in range(2)]
+        both, offsets = np.concatenate(sets), np.array([0, 350, 700])
+        keys, short = minmax.signatures(both, offsets)
+        met += bool((keys[0] == keys[1]).any())
+
+        def agree(planes):
+            differ = [a ^ b for a, b in zip(*planes)]
+            return sum(64 - int(differ[k] | differ[k + 1] | differ[k + 2] | differ[k + 3]).bit_count() for k in range(0, len(differ), 4))
+
+        kept += agree(short) >= minmax.AGREE
+        longer = minmax._planes(np.array([*minmax._ends(both, offsets, range(minmax.PERMUTATIONS, minmax.PERMUTATIONS + minmax.FURTHER))]))
+        further += agree(longer) >= minmax.AGREE_FURTHER
+    assert met == kept == further == 60
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rng = np.random.default_rng(13)
+    long = text_of(rng, 500_000, 60_000)
+    texts = [(1, long), (2, long + " end"), (3, long.split(" ", 1)[0]), (None, None)]
+    docs = docs_of(spark, texts)
+    found = {r.id: (r.n_shingles, r.component_id) for r in minmax.near_duplicates(docs).collect()}
+    assert found == {1: (len(shingles(long)), 1), 2: (len(shingles(long + " end")), 1), 3: (1, 3), None: (0, None)}
+    removed = {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()}
+    assert removed == {1: 500_000, 2: 500_000, 3: 0, None: 0}
+    model = quality.train(docs, spark.createDataFrame([(1, 1), (3, 0), (1, None)], "doc_id long, quality int"))
+    assert quality.score(docs, model).filter("score between 0 and 1").count() == 4
+    tokens = simple8b.read_tokens(simple8b.write_tokens(docs, TOKENIZER)).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in tokens) == Counter((i, len(ids)) for (i, _), ids in zip(texts, tokens_by_library([t for _, t in texts])))
+
+
 def test_quality_edges(spark, edge_texts):
     docs = docs_of(spark, edge_texts)
     none = quality.train(docs, spark.createDataFrame([(1, None)], "doc_id long, quality int"))

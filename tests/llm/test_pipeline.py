@@ -39,7 +39,30 @@ def test_run(spark, stages):
     assert corpus_pipeline.run(spark, DATA).count() == stages[5].count()
 
 
-@pytest.mark.parametrize("name", ["op4_systematic_mixing", "op8_minmax_near_duplicates", "op10_difference_cover_repeats"])
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, row string, score string, size long, kept string, id string, __n int"
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_defined_cases_of_each_stage(spark, name, stage):
+    long = " ".join(f"w{k % 7919} x{k}" for k in range(60_000))
+    texts = [(1, None), (2, ""), (3, " \n "), (4, "one two three"), (4, "one two three"), (5, long), (None, "alone"), (None, None), (6, "tie " * 40), (7, "tie " * 40)]
+    rows = [(i, t, "en", None if k % 2 else "s", len(t or ""), "r", "x", 9, "y", "z", 1) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, EXTRA)
+    found = stage(spark, docs, DATA).collect()
+    ids = [r["doc_id"] for r in found]
+    if name == "packing":
+        sizes = sum(len((t or "").split()) for _, t in texts)
+        assert sum(r["words"] for r in found) == sizes and set(ids) == {i for i, _ in texts}
+    else:
+        assert found and list(found[0].asDict()) == docs.columns and all((r["row"], r["score"], r["size"], r["kept"], r["id"], r["__n"]) == ("r", "x", 9, "y", "z", 1) for r in found)
+    if name == "near_duplicates":
+        assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6] and ids.count(None) == 2
+    if name == "repeated_passages":
+        assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 4, 5] and {r["text"] for r in found if r["doc_id"] == 5} == {long}
+    assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op4_systematic_mixing", "op6_pivot_near_vectors", "op8_minmax_near_duplicates", "op10_difference_cover_repeats"])
 def test_sql(spark, duck, name):
     from conftest import rows_of
 

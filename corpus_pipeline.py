@@ -15,36 +15,68 @@ from strataframe.llm._store import materialise
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold that preference pairs of labelled documents give."""
+    """Documents whose score reaches the threshold that preference pairs of labelled documents give.
+
+    A null, empty or very long text is scored as any other, and a score equal to the threshold stays; rows that repeat an id
+    stay or go each by its text; without labels of both qualities all stay; an empty table stays empty; other columns pass
+    unread, whatever their names.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).filter(F.col("score") >= quality.CUT).select(*docs.columns)
+    scored = quality.score(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text")), model)
+    return scored.filter(F.col("score") >= quality.CUT).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the least id; of rows that repeat an id, one."""
-    gone = materialise(minmax.near_duplicates(docs).filter(~F.col("kept")).select("id").distinct(), "gone")
-    left = docs.join(bounded(gone), docs["doc_id"] == gone["id"], "left_anti")
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    """One document of each group of near copies, that of the least id; of rows that repeat an id, the least row.
+
+    Null ids and null or blank texts stay, as they are near nothing; a text of any length counts whole; an empty table stays
+    empty; other columns pass unread, whatever their names.
+    """
+    gone = materialise(minmax.near_duplicates(docs).filter(~F.col("kept")).select(F.col("id").alias("__gone")).distinct(), "gone")
+    left = docs.join(bounded(gone), docs["doc_id"] == gone["__gone"], "left_anti")
+    repeated = materialise(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return left
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(left.filter("doc_id is null"))
+    twice = bounded(repeated.withColumnRenamed("doc_id", "__twice"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    least = left.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").groupBy("doc_id").agg(F.min(row).alias("__row")).select("__row.*")
+    return left.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti").union(least)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of repeated passages; a document of nothing else goes."""
-    found = substrings.remove_repeats(docs).filter("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    size = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
+    """Documents without the words of repeated passages; a document of nothing else goes.
+
+    A null, blank or short text stays as it is, and so does a text of which nothing is removed; a text of any length is
+    judged whole; rows that repeat an id are rows of their own; an empty table stays empty; other columns pass unread,
+    whatever their names.
+    """
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), F.col("text"))
+    found = substrings.remove_repeats(held).filter("n_removed = 0 or n_removed < n_words")
+    changed = {
+        "text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text")),
+        "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("row.n_chars")),
+    }
+    return found.select(*(changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the weights of their sources take them."""
-    return mixing.emitted(mixing.mix(docs)).select(*docs.columns)
+    """Documents as often as the weights of their sources take them.
+
+    Null is a source of its own; a null or blank text has no words, and is taken as often as others of its source; a text of
+    any length is taken whole or not; rows that repeat an id are rows of their own; an empty table stays empty; other
+    columns pass unread, whatever their names.
+    """
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", "source")
+    return mixing.emitted(mixing.mix(held)).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with the sequence that each is packed into."""
+    """Pieces of documents with the sequence that each is packed into.
+
+    A null or blank text has one piece of no words; a text longer than a sequence has several; rows that repeat an id are
+    items of their own; equal sizes go in the order of their ids; an empty table has no pieces; other columns don't come
+    along.
+    """
     return packing.pack(docs)
 
 

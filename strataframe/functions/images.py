@@ -8,22 +8,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 REFERENCE = r"!\[([^\]]*)\]\(\s*<?([^\s>)]+)>?(?:\s+[\"'][^)]*)?\s*\)"
-#: First bytes (hex) and kinds.
+#: First bytes and kinds.
 MAGIC = (
-    ("89504E470D0A1A0A", "image/png"),
-    ("FFD8FF", "image/jpeg"),
-    ("474946383761", "image/gif"),
-    ("474946383961", "image/gif"),
-    ("424D", "image/bmp"),
-    ("49492A00", "image/tiff"),
-    ("4D4D002A", "image/tiff"),
+    (b"\x89PNG\r\n\x1a\n", "image/png"),
+    (b"\xff\xd8\xff", "image/jpeg"),
+    (b"GIF87a", "image/gif"),
+    (b"GIF89a", "image/gif"),
+    (b"BM", "image/bmp"),
+    (b"II*\x00", "image/tiff"),
+    (b"MM\x00*", "image/tiff"),
 )
-BRANDS = (("avif", "image/avif"), ("avis", "image/avif"), ("heic", "image/heic"), ("heix", "image/heic"), ("mif1", "image/heif"))
-SUFFIXES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff",
-            "webp": "image/webp", "svg": "image/svg+xml", "avif": "image/avif"}
+#: Brands of containers, which stand after ``ftyp``.
+BRANDS = (
+    (b"avif", "image/avif"),
+    (b"avis", "image/avif"),
+    (b"heic", "image/heic"),
+    (b"heix", "image/heic"),
+    (b"heim", "image/heic"),
+    (b"heis", "image/heic"),
+    (b"mif1", "image/heic"),
+)
+#: Kinds by suffix.
+SUFFIXES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "jpe": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff",
+            "webp": "image/webp", "svg": "image/svg+xml", "avif": "image/avif", "heic": "image/heic", "heif": "image/heif", "ico": "image/vnd.microsoft.icon"}
 UNKNOWN = "application/octet-stream"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "strataframe/image-assets")
-ALIASES = {"text": "text", "text_only": "text", "alt": "text", "optional": "optional", "auto": "optional", "omni": "omni", "image": "omni", "always": "omni"}
+#: Names of the modes.
+ALIASES = {
+    "text": "text",
+    "text_only": "text",
+    "alt": "text",
+    "optional": "optional",
+    "hybrid": "optional",
+    "auto": "optional",
+    "omni": "omni",
+    "full": "omni",
+    "multimodal": "omni",
+}
 
 
 def mode(name: str) -> str:
@@ -51,14 +72,15 @@ def file_name(src: Column) -> Column:
 
 def mime(data: Column, name: Column) -> Column:
     """Kind by first bytes, else by the name's suffix."""
-    head = F.hex(F.substring(data, 1, 16))
-    out = None
+    def at(start: int, wanted: bytes) -> Column:
+        return F.substring(data, start + 1, len(wanted)) == F.lit(wanted)
+
+    out = F.when(F.lit(False), "")
     for magic, kind in MAGIC:
-        test = head.startswith(magic)
-        out = F.when(test, kind) if out is None else out.when(test, kind)
-    out = out.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp")
+        out = out.when(at(0, magic), kind)
+    out = out.when(at(0, b"RIFF") & at(8, b"WEBP"), "image/webp")
     for brand, kind in BRANDS:
-        out = out.when((F.substring(head, 9, 8) == "66747970") & (F.substring(head, 17, 8) == F.lit(brand.encode().hex().upper())), kind)
+        out = out.when(at(4, b"ftyp") & at(8, brand), kind)
     suffix = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
     for end, kind in SUFFIXES.items():
         out = out.when(suffix == end, kind)

@@ -11,10 +11,23 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: IPv4 ranges that aren't public.
-PRIVATE = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
-           "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/3")
-LOCAL_NAMES = ("localhost", "localhost.localdomain", "ip6-localhost", "::1")
+#: IPv4 ranges that aren't public, and names of this machine.
+PRIVATE = (
+    "0.0.0.0/8",
+    "10.0.0.0/8",
+    "100.64.0.0/10",
+    "127.0.0.0/8",
+    "169.254.0.0/16",
+    "172.16.0.0/12",
+    "192.0.0.0/24",
+    "192.0.2.0/24",
+    "192.168.0.0/16",
+    "198.51.100.0/24",
+    "203.0.113.0/24",
+    "224.0.0.0/4",
+    "240.0.0.0/4",
+)
+LOCAL_NAMES = ("localhost", "localhost.localdomain", "0.0.0.0", "::1")
 IPV4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 

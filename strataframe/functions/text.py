@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What is a link, and what a mention of an asset.
 NOT_WORD = r"[^\p{L}\p{N}]+"
 MARKDOWN_LINK = r"\[.*?\]\((.*?\.md)\)"
 STRICT_LINK = r"\[[^\]]*\]\(([^()\s]*\.md)\)"
@@ -74,6 +75,12 @@ def prefixed(text: Column, prefix: str) -> Column:
     return F.when(F.startswith(text, F.lit(prefix)), text).otherwise(F.concat(F.lit(prefix), text))
 
 
+def tag_union(*tags: Column) -> Column:
+    """Tags of several lists, each once, in order; a null list is empty."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.concat(*(F.coalesce(t.cast("array<string>"), none) for t in tags))))
+
+
 def asset_mentions(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(ASSET_MENTION), 1))
 

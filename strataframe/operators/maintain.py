@@ -37,6 +37,17 @@ def changed_directories(old: DataFrame, new: DataFrame) -> DataFrame:
     return changed_files(a, b).withColumnRenamed("path", "dir")
 
 
+def properties(concepts: DataFrame) -> Column:
+    """All of a concept's properties as one map of texts: its columns, and what ``extra`` holds, which wins; lists as JSON."""
+    named = [f for f in concepts.schema.fields if f.name not in ("extra", "embedding")]
+    values = [F.to_json(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name).cast("string") for f in named]
+    own = F.map_from_arrays(F.array(*(F.lit(f.name) for f in named)), F.array(*values))
+    if "extra" not in concepts.columns:
+        return own
+    more = F.coalesce("extra", F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(more, k)), more)
+
+
 def upsert(stored: DataFrame, fresh: DataFrame, *keys: str) -> DataFrame:
     """Fresh rows, and the stored ones whose keys aren't among theirs."""
     kept = stored.join(fresh.select(*keys).distinct(), list(keys), "left_anti").select(*stored.columns)

@@ -237,7 +237,7 @@ def search_context_flat(q: Inputs) -> DataFrame:
     return linked.select("id", "side", "other").union(above).union(beside)
 
 
-@query(f"""with t as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text),'[^\\p{{L}}\\p{{N}}]+'), lambda y: y<>'')) t from documents where doc_id%100=0),
+@query(f"""with t as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text),'[^\\p{{L}}\\p{{N}}]+'), lambda y: y<>'')) t from documents),
  c as (select doc_id, ('0x'||substr(md5(t),1,8))::bigint % {DIM} k, count(*) c from t group by all)
 select doc_id, k, round(c/sqrt(sum(c*c) over (partition by doc_id)),6) x from c""")
 def encode_hash(q: Inputs) -> DataFrame:
@@ -257,9 +257,28 @@ def encode_prefix(q: Inputs) -> DataFrame:
     return q.documents.select("doc_id", F.md5(T.prefixed(F.col("text"), "Document: ")).alias("h"))
 
 
-@query(duck("select chunk_id, parent_doc_id, chunk_index, chunk_text, block_type from chunk"))
+#: A document as Markdown: its blocks, as (kind, SQL of their text), which is the same in both dialects.
+_BLOCKS = (
+    ("Heading", "concat('# Doc ',doc_id)"),
+    ("Paragraph", "concat('P ',{flat})"),
+    ("List", "concat('- é',doc_id,'{n}- b')"),
+    ("Blockquote", "concat('> ',lang,'{n}> more')"),
+    ("Heading", "'## Ünder'"),
+    ("Table", "concat('| x |{n}|---|{n}| ',doc_id,' |')"),
+    ("CodeBlock", "concat('```py{n}code{n}{n}# no heading ',doc_id,'{n}```')"),
+    ("Diagram", "concat('```mermaid{n}g',doc_id,'{n}```')"),
+    ("Paragraph", "concat('end{n}line ',source)"),
+)
+_DUCK_BLOCKS = [(k, x.format(flat="regexp_replace(text,'[^!-~À-ɏ]+',' ','g')", n="\n").replace("\n", "'||chr(10)||'")) for k, x in _BLOCKS]
+
+
+@query(f"""with b as (select doc_id, unnest([{",".join(x for _, x in _DUCK_BLOCKS)}]) t, unnest([{",".join(f"'{k}'" for k, _ in _BLOCKS)}]) kind, unnest(range({len(_BLOCKS)})) k from documents),
+ o as (select *, coalesce(sum(strlen(t)+2) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding),0)::bigint a from b)
+select concat(doc_id,'#chunk:',k) id, k::bigint chunk_index, kind block_type, md5(t) h, a start_offset, (a+strlen(t))::bigint end_offset from o""")
 def chunk_split(q: Inputs) -> DataFrame:
-    return q.chunk.select("chunk_id", "parent_doc_id", "chunk_index", "chunk_text", "block_type")
+    texts = [x.format(flat="regexp_replace(text,'[^!-~À-ɏ]+',' ')", n="\\n") for _, x in _BLOCKS]
+    bodies = q.documents.select(F.col("doc_id").cast("string").alias("id"), F.concat_ws("\n\n", *map(F.expr, texts)).alias("body"))
+    return C.split(bodies).select("id", "chunk_index", "block_type", F.md5("chunk_text").alias("h"), "start_offset", "end_offset")
 
 
 _STRUCT = "('Heading','CodeBlock','List','Blockquote','Table','Diagram')"

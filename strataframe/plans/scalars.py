@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import convert as V
 from ..operators import maintain as M
 from ..operators import rank as R
+from ..operators import thoughts as N
 from .registry import query
 from .views import Inputs, duck
 
@@ -146,7 +147,7 @@ def links_repaired(q: Inputs) -> DataFrame:
 
 @query("select conv_id, array_to_string(list_sort(list_distinct(['a','thought'] || [role,'a'])),',') tags, count(*) n from conversations group by all")
 def tag_union(q: Inputs) -> DataFrame:
-    tags = F.array_sort(F.array_distinct(F.concat(F.array(F.lit("a"), F.lit("thought")), F.array("role", F.lit("a")))))
+    tags = T.tag_union(F.array(F.lit("a"), F.lit("thought")), F.array("role", F.lit("a")))
     return q.conversations.groupBy("conv_id", F.array_join(tags, ",").alias("tags")).agg(F.count("*").alias("n"))
 
 
@@ -173,7 +174,7 @@ _IPS = ("169.254.169.254", "172.31.255.255", "172.32.0.1", "8.8.8.8", "10.1.2.3"
 def _in_range_sql(host: str) -> str:
     number = f"(case when regexp_full_match({host},'(\\d{{1,3}}\\.){{3}}\\d{{1,3}}') and list_max(list_transform(string_split({host},'.'), lambda x: x::int))<256 then list_sum(list_transform([1,2,3,4], lambda k: string_split({host},'.')[k]::bigint*(256**(4-k))::bigint)) end)"
     tests = " or ".join(f"{number} between {low} and {high}" for low, high in map(S._bounds, S.PRIVATE))
-    return f"(coalesce({tests},false) or {host} in ('localhost','localhost.localdomain','ip6-localhost','::1'))"
+    return f"(coalesce({tests},false) or {host} in ('localhost','localhost.localdomain','0.0.0.0','::1'))"
 
 
 @query(f"select host, {_in_range_sql('host')} private from (values {','.join(f'({chr(39)}{x}{chr(39)})' for x in _IPS)}) z(host)")
@@ -201,9 +202,10 @@ def src_validation(q: Inputs) -> DataFrame:
 
 @query("""select doc_id, case when (m>30 and m>n*0.02) or (n<50 and doc_id%3>0) then 'heavy' else 'fast' end auto,
  case when (m>30 and m>n*0.02) or (n<50 and doc_id%3>0) then 'surgical' else 'fast' end surgical, m
- from (select doc_id, n_chars n, len(regexp_extract_all(text,'[éèê]'))::int m from documents)""")
+ from (select doc_id, n_chars n, len(regexp_extract_all(translate(text,'éèêzkv','αΩ∫⨌𝐀→'),'[\\x{370}-\\x{3FF}\\x{2200}-\\x{22FF}\\x{2A00}-\\x{2AFF}\\x{27C0}-\\x{27EF}\\x{2980}-\\x{29FF}\\x{1D400}-\\x{1D7FF}]'))::int m from documents)""")
 def page_routing(q: Inputs) -> DataFrame:
-    pages = q.documents.select("doc_id", F.col("n_chars").alias("n"), F.regexp_count("text", F.lit("[éèê]")).alias("m"), (F.col("doc_id") % 3).alias("images"))
+    maths = V.math_chars(F.translate("text", "éèêzkv", "αΩ∫⨌𝐀→"))
+    pages = q.documents.select("doc_id", F.col("n_chars").alias("n"), maths.alias("m"), (F.col("doc_id") % 3).alias("images"))
     args = F.col("n"), F.col("m"), F.col("images")
     return pages.select("doc_id", V.route("auto", *args).alias("auto"), V.route("surgical", *args).alias("surgical"), "m")
 
@@ -240,14 +242,28 @@ def gallery(q: Inputs) -> DataFrame:
     return V.with_gallery(pages).select("page", "text")
 
 
-@query(duck("select id, title, body, array_to_string(tags,',') tags from thought"))
+_LINTED = "concat(regexp_replace(regexp_replace(regexp_replace({x},'(?m)[ \\t]+$','','g'),'\\n{{3,}}',chr(10)||chr(10),'g'),'\\n+$',''),chr(10))"
+_THOUGHT = """concat_ws(chr(10),'---',concat('title: "Thought: ',role,' ',conv_id,'"'),'type: thought','thought_type: reasoning',concat('topic: ',role,' ',conv_id),
+ concat('tags: [thought, reasoning, ',role,' ',conv_id,']'),'created: 2024-05-01T00:00:00','---','',coalesce(text,''))"""
+
+
+@query(f"""select concat('thought_',substring(replace(lower(concat(role,' ',conv_id)),' ','_'),1,30),'_20240501000000_',substring(sha256(text),1,6)) id,
+ concat('Thought: ',role,' ',conv_id) title, concat('Reasoning about ',role,' ',conv_id) description,
+ array_to_string(list_sort(list_distinct(['thought','reasoning',concat(role,' ',conv_id),'t'||turn])),',') tags, md5({_LINTED.format(x=_THOUGHT)}) body from conversations""")
 def thoughts(q: Inputs) -> DataFrame:
-    return q.thought.select("id", "title", "body", F.array_join("tags", ",").alias("tags"))
+    notes = q.conversations.select(
+        F.lit(None).cast("string").alias("id"), F.concat_ws(" ", "role", "conv_id").alias("topic"), "text",
+        F.array(F.concat(F.lit("t"), "turn")).alias("tags"), F.lit("2024-05-01 00:00:00").cast("timestamp_ntz").alias("at"),
+    )
+    return N.thoughts(notes).select("id", "title", "description", F.array_join("tags", ",").alias("tags"), F.md5("body").alias("body"))
 
 
-@query(duck("select id, title, type, description, array_to_string(tags,',') tags from concept where doc_id=7"))
+@query(duck("""select id, k, v from (select id, unnest(['id','type','title','description','tags','doc','language']) k,
+ unnest([id,type,title,description,concat('["',array_to_string(tags,'","'),'"]'),doc_id::varchar,substring(id,1,2)]) v from concept where doc_id=7)"""))
 def concept_get(q: Inputs) -> DataFrame:
-    return q.concept.filter("doc_id = 7").select("id", "title", "type", "description", F.array_join("tags", ",").alias("tags"))
+    extra = F.create_map(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("language"), F.substring("id", 1, 2))
+    named = q.concept.filter("doc_id = 7").select("id", "type", "title", "description", "tags", extra.alias("extra"))
+    return named.select("id", F.explode(M.properties(named)).alias("k", "v"))
 
 
 @query(duck("select title from concept where id='en/src1/doc_1'"))

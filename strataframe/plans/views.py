@@ -42,7 +42,6 @@ SPARK = _BOTH | {
     "asset_ref": f"select doc_id, id concept_id, k idx, {_SOURCE} from concept cross join (select explode(sequence(1,2)) k) where k<=doc_id%3",
     "snapshot_old": _HASHES.format(sha="sha2", bits=",256", text="string") + "(select explode(sequence(1,5)) k)",
     "snapshot_new": "select concat(id,'.md') path, sha2(body,256) hash, id concept_id from concept",
-    "thought": "select concat('thought_',conv_id,'_',turn) id, concat('Thought: ',role) title, text body, array_sort(array('thought','reasoning',role)) tags from conversations where role<>'user'",
 }
 DUCK = _BOTH | {
     "concept": _CONCEPT.format(array_open="[", array_close="]"),
@@ -54,7 +53,6 @@ DUCK = _BOTH | {
     "asset_ref": f"select doc_id, id concept_id, k idx, {_SOURCE} from concept, (values (1),(2)) z(k) where k<=doc_id%3",
     "snapshot_old": _HASHES.format(sha="sha256", bits="", text="varchar") + "(values (1),(2),(3),(4),(5)) z(k)",
     "snapshot_new": "select concat(id,'.md') path, sha256(body) hash, id concept_id from concept",
-    "thought": "select concat('thought_',conv_id,'_',turn) id, concat('Thought: ',role) title, text body, list_sort(['thought','reasoning',role]) tags from conversations where role<>'user'",
 }
 
 

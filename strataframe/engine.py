@@ -269,7 +269,7 @@ class Engine:
         return named if node_type is None else named.filter(F.col("type") == node_type)
 
     def find_path(self, start_id: str, end_id: str, max_length: int = 6) -> list[str]:
-        return G.find_path(self.edges(), start_id, end_id, max_length)
+        return G.find_path(G.steps_of(self.edges()), start_id, end_id, max_length)
 
     def get_by_id(self, concept_id: str) -> dict | None:
         row = self.concepts().filter(F.col("id") == concept_id).drop("embedding").first()

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import bounded, materialise
+
 RELATIONS = ("CONTAINS", "LINKS_TO", "PART_OF", "INCLUDES_ASSET")
 TARGET = {"PART_OF": "Chunk", "INCLUDES_ASSET": "ImageAsset"}
 
@@ -42,29 +44,39 @@ def traverse(edges: DataFrame, start: str, rel: str, direction: str = "OUTGOING"
     frontier = spark.createDataFrame([(start,)], "id string")
     found, seen = None, frontier
     for level in range(1, depth + 1):
-        reached = steps.join(frontier, F.col("src") == F.col("id"), "inner").select(F.col("dst").alias("id"), "dst_label")
+        reached = steps.join(bounded(frontier), F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "dst_label")
         if not walks:
-            reached = reached.distinct().join(seen, "id", "left_anti")
-            seen = seen.union(reached.select("id"))
+            reached = reached.distinct().join(bounded(seen), "id", "left_anti")
+        if level < depth:  # the next level, and the result, read it; made once, the plan doesn't grow with the depth
+            reached = materialise(reached, "level")
         found = reached.withColumn("depth", F.lit(level)) if found is None else found.union(reached.withColumn("depth", F.lit(level)))
-        frontier = reached.select("id")
+        if level < depth:
+            if reached.isEmpty():
+                break
+            frontier = reached.select("id")
+            seen = seen.union(frontier)
     if not any_target:
         found = found.filter(F.col("dst_label") == TARGET.get(rel, "Concept"))
     return found.select("id", "depth")
 
 
-def distances(edges: DataFrame, start: str, rels: Sequence[str] = RELATIONS, most: int = 6, goal: str | None = None) -> list[DataFrame]:
-    """Undirected breadth-first levels from ``start``, each (id, parent): level k holds what k steps reach first.
+def steps_of(edges: DataFrame, rels: Sequence[str] = RELATIONS) -> DataFrame:
+    """(src, dst) of these relations, either way."""
+    _checked(rels, 1, 1)
+    return _steps(edges, rels, "BOTH").select("src", "dst")
+
+
+def distances(steps: DataFrame, start: str, most: int = 6, goal: str | None = None) -> list[DataFrame]:
+    """Breadth-first levels over ``steps`` (src, dst) from ``start``, each (id, parent): level k holds what k steps reach first.
 
-    A level is cached and counted, and the walk stops when it is empty or has the goal; parents are the least id.
+    A level is written once, and the walk stops when it is empty or has the goal; parents are the least id.
     """
-    most = _checked(rels, most, 10)
-    steps = _steps(edges, rels, "BOTH").select("src", "dst")
-    level = edges.sparkSession.createDataFrame([(start, None)], "id string, parent string")
+    most = max(1, min(10, most))
+    level = steps.sparkSession.createDataFrame([(start, None)], "id string, parent string")
     levels, seen = [level], level.select("id")
     for _ in range(most):
-        nexts = steps.join(level.select("id"), F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        level = nexts.join(seen, "id", "left_anti").select("id", "parent").cache()
+        nexts = steps.join(bounded(level.select("id")), F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        level = materialise(nexts.join(bounded(seen), "id", "left_anti").select("id", "parent"), "level")
         if level.isEmpty():
             break
         levels.append(level)
@@ -74,9 +86,9 @@ def distances(edges: DataFrame, start: str, rels: Sequence[str] = RELATIONS, mos
     return levels
 
 
-def find_path(edges: DataFrame, a: str, b: str, most: int = 6) -> list[str]:
-    """The least shortest path between two nodes, both ends included; [] if there is none within ``most`` steps."""
-    levels = distances(edges, a, most=most, goal=b)
+def find_path(steps: DataFrame, a: str, b: str, most: int = 6) -> list[str]:
+    """The least shortest path over ``steps`` (src, dst), both ends included; [] if there is none within ``most`` steps."""
+    levels = distances(steps, a, most, goal=b)
     path, at = [b], b
     for level in reversed(levels):
         row = level.filter(F.col("id") == at).select("parent").first()
@@ -137,6 +149,6 @@ def neighbours(edges: DataFrame, ids: DataFrame, limit: int = 5) -> DataFrame:
     sides = links.select(F.col("dst").alias("id"), F.lit("incoming").alias("side"), F.col("src").alias("other")).union(
         links.select(F.col("src").alias("id"), F.lit("outgoing").alias("side"), F.col("dst").alias("other"))
     )
-    near = sides.join(F.broadcast(ids), "id", "left_semi")
+    near = sides.join(bounded(ids), "id", "left_semi")
     place = F.row_number().over(Window.partitionBy("id", "side").orderBy("other"))
     return near.withColumn("place", place).filter(F.col("place") <= limit).drop("place")

@@ -10,11 +10,13 @@ from ..functions import vectors as V
 from ..operators import chunks as C
 from ..operators import graph as G
 from ..operators import rank as R
+from ..operators import index as X
 from .registry import query
+from .stored import DIM, stored
 from .views import Inputs, duck
 
 TERMS = ("the", "thou", "oren")
-LIMIT, DIM = 10, 64
+LIMIT = 10
 START_DOC = 5
 
 
@@ -40,10 +42,14 @@ def near_documents(q: Inputs, k: int = 3 * LIMIT) -> DataFrame:
     return R.knn(q.embeddings, vector, k, "vec_id")
 
 
+def _document_hits(q: Inputs) -> DataFrame:
+    return X.bm25(stored(q, "document_posting"), stored(q, "document_stats"), TERMS)
+
+
 def _hybrid(q: Inputs, **filters) -> DataFrame:
-    allowed = R.concept_filter(q.concept, **filters)
+    allowed = R.concept_filter(stored(q, "concept_meta"), **filters)
     keyed = allowed.select(F.col("doc_id").alias("id"))
-    fused = R.fuse(near_documents(q), R.bm25(q.documents, TERMS, "doc_id"), LIMIT, keyed)
+    fused = R.fuse(near_documents(q), _document_hits(q), LIMIT, keyed)
     found = allowed.join(F.broadcast(fused.withColumnRenamed("id", "doc_id")), "doc_id")
     return found.select("id", "title", "type", T.shortened(F.col("description"), 200).alias("description"), F.array_join("tags", ",").alias("tags"), F.col("rrf").alias("relevance_score"))
 
@@ -84,8 +90,7 @@ def hybrid_search_reserved(q: Inputs) -> DataFrame:
 
 @query(duck("with " + bm25_sql("concept", "doc_id", "concat(title,' ',coalesce(description,''),' ',body)") + " select id doc_id, score from sc"))
 def fts_bm25_concept(q: Inputs) -> DataFrame:
-    text = T.search_text(F.col("title"), F.col("description"), F.col("body"))
-    return R.bm25(q.concept, TERMS, "doc_id", text).withColumnRenamed("id", "doc_id")
+    return X.bm25(stored(q, "concept_posting"), stored(q, "concept_stats"), TERMS).withColumnRenamed("id", "doc_id")
 
 
 @query(duck("with " + bm25_sql("chunk", "chunk_id", "chunk_text") + " select id chunk_id, score from sc"))
@@ -95,7 +100,7 @@ def fts_bm25_chunk(q: Inputs) -> DataFrame:
 
 @query("with " + bm25_sql("documents", "doc_id", "text") + " select id doc_id, score from sc")
 def fts_bm25_postings(q: Inputs) -> DataFrame:
-    return R.bm25_indexed(*R.postings(q.documents, "doc_id"), TERMS).withColumnRenamed("id", "doc_id")
+    return X.bm25(X.postings(q.documents, "doc_id"), X.stats(X.lengths(q.documents, "doc_id")), TERMS).withColumnRenamed("id", "doc_id")
 
 
 @query(f"with {NEAR_SQL} select id vec_id, sim from v")
@@ -119,20 +124,17 @@ _SIM_SQL = f"""ct as (select chunk_id, ('0x'||substr(md5(t),1,8))::bigint % {DIM
 
 
 def _chunk_near(q: Inputs) -> DataFrame:
-    encoded = q.chunk.select(F.col("chunk_id").alias("id"), V.hashed("chunk_text", DIM).alias("embedding"))
-    return R.knn(encoded, V.hashed_query(QUERY, DIM), 3 * LIMIT)
+    return R.knn(stored(q, "chunk_vector"), V.hashed_query(QUERY, DIM), 3 * LIMIT)
 
 
 def _chunk_hits(q: Inputs) -> DataFrame:
-    return R.bm25(q.chunk, TERMS, "chunk_id", "chunk_text")
+    return X.bm25(stored(q, "chunk_posting"), stored(q, "chunk_stats"), TERMS)
 
 
 def _chunk_search(q: Inputs, limit: int = LIMIT, cap: int = 3, parent: str | None = None, tags: tuple[str, ...] = ()) -> DataFrame:
-    chunks = q.chunk.select(F.col("chunk_id").alias("id"), "parent_doc_id", "chunk_text")
+    chunks = stored(q, "chunk")
     if parent is not None:
         chunks = chunks.filter(F.col("parent_doc_id") == parent)
-    meta = q.concept.select(F.col("id").alias("parent_doc_id"), "title", "type", "tags")
-    chunks = chunks.join(meta, "parent_doc_id", "left")
     if tags:
         chunks = chunks.filter(R.any_tag(F.col("tags"), tags))
     fused = R.fuse(_chunk_near(q), _chunk_hits(q), limit, chunks, "parent_doc_id", cap)
@@ -180,14 +182,14 @@ _HUB = "hub as (select dst, count(*) hub from edge where rel='LINKS_TO' group by
  b as (select *, round(0.7::double*rrf+0.3::double*hub/greatest(coalesce(max(hub) over (),1),1),8) final from j)
 select * from b order by final desc, chunk_id limit {LIMIT}"""))
 def chunk_hub_blend(q: Inputs) -> DataFrame:
-    found = R.hub_blend(_chunk_search(q, 2 * LIMIT), R.hub_scores(q.edge), "parent_doc_id")
+    found = R.hub_blend(_chunk_search(q, 2 * LIMIT), R.hub_scores(stored(q, "edge")), "parent_doc_id")
     return found.orderBy(F.desc("final"), "chunk_id").limit(LIMIT)
 
 
 @query(_chunk_sql(tail=f""", {_HUB}
 select res.*, coalesce(hub,0) hub, round(rrf*(1+0.1::double*coalesce(hub,0)),8) final from res left join hub on dst=parent_doc_id"""))
 def chunk_hub_multiply(q: Inputs) -> DataFrame:
-    return R.hub_multiply(_chunk_search(q), R.hub_scores(q.edge), "parent_doc_id")
+    return R.hub_multiply(_chunk_search(q), R.hub_scores(stored(q, "edge")), "parent_doc_id")
 
 
 @query(duck(f"""with {bm25_sql("documents", "doc_id", "text")}, {NEAR_SQL}, {FUSED_SQL},
@@ -200,10 +202,10 @@ def chunk_hub_multiply(q: Inputs) -> DataFrame:
  k as (select top.*, cfu.id chunk_id, crrf, row_number() over (partition by c.parent_doc_id order by crrf desc, cfu.id) k from cfu join chunk c on c.chunk_id=cfu.id join top using(parent_doc_id))
 select parent_doc_id, rrf, chunk_id, crrf from k where k<=3"""))
 def hybrid_search_with_chunks(q: Inputs) -> DataFrame:
-    allowed = R.concept_filter(q.concept)
-    fused = R.fuse(near_documents(q), R.bm25(q.documents, TERMS, "doc_id"), LIMIT, allowed.select(F.col("doc_id").alias("id")))
+    allowed = R.concept_filter(stored(q, "concept_meta"))
+    fused = R.fuse(near_documents(q), _document_hits(q), LIMIT, allowed.select(F.col("doc_id").alias("id")))
     top = allowed.join(F.broadcast(fused.withColumnRenamed("id", "doc_id")), "doc_id").select(F.col("id").alias("parent_doc_id"), "rrf")
-    chunks = q.chunk.select(F.col("chunk_id").alias("id"), "parent_doc_id").join(F.broadcast(top.select("parent_doc_id")), "parent_doc_id", "left_semi")
+    chunks = stored(q, "chunk").select("id", "parent_doc_id").join(F.broadcast(top.select("parent_doc_id")), "parent_doc_id", "left_semi")
     near = _chunk_near(q).orderBy(F.desc("sim"), "id").limit(9)
     ranked = R.fuse(near, _chunk_hits(q), 3 * LIMIT, chunks, "parent_doc_id", 3)
     return ranked.select(F.col("id").alias("chunk_id"), "parent_doc_id", F.col("rrf").alias("crrf")).join(top, "parent_doc_id").select("parent_doc_id", "rrf", "chunk_id", "crrf")
@@ -218,7 +220,7 @@ SEEDS = ("en/src1/doc_1#chunk:0", "en/src2/doc_2#chunk:0", "fr/src4/doc_4#chunk:
 @query(duck("with " + _EXPAND.format(ids=",".join(f"'{s}'" for s in SEEDS))))
 def graph_expand(q: Inputs) -> DataFrame:
     seeds = q.spark.createDataFrame([(s,) for s in SEEDS], "chunk_id string")
-    return G.expand(F.broadcast(seeds), q.chunk, q.edge, q.concept)
+    return G.expand(F.broadcast(seeds), stored(q, "chunk").withColumnRenamed("id", "chunk_id"), stored(q, "edge"), stored(q, "concept_meta"))
 
 
 @query(_chunk_sql(limit=5, tail=""", d as (select distinct parent_doc_id id from res), lk as (select src,dst from edge where rel='LINKS_TO'),
@@ -229,10 +231,10 @@ def graph_expand(q: Inputs) -> DataFrame:
 select id, side, other from r where k<=5"""))
 def search_context_flat(q: Inputs) -> DataFrame:
     docs = _chunk_search(q, 5).select(F.col("parent_doc_id").alias("id")).distinct()
-    linked = G.neighbours(q.edge, docs)
+    linked = G.neighbours(stored(q, "edge"), docs)
     above = G.ancestry(docs).select("id", F.lit("ancestor").alias("side"), F.col("ancestor").alias("other"))
     homes = F.broadcast(docs.select("id", G.parent_of().alias("home")))
-    beside = q.concept.select(F.col("id").alias("other"), G.parent_of().alias("home")).join(homes, "home").filter("other <> id")
+    beside = stored(q, "concept_meta").select(F.col("id").alias("other"), G.parent_of().alias("home")).join(homes, "home").filter("other <> id")
     beside = R.capped(beside.withColumn("one", F.lit(0)), "id", 5, "one", "other").select("id", F.lit("sibling").alias("side"), "other")
     return linked.select("id", "side", "other").union(above).union(beside)
 
@@ -317,7 +319,7 @@ def context_window_warn(q: Inputs) -> DataFrame:
 
 
 def _start(q: Inputs) -> str:
-    return q.concept.filter(F.col("doc_id") == START_DOC).select("id").first()[0]
+    return stored(q, "concept_meta").filter(F.col("doc_id") == START_DOC).select("id").first()[0]
 
 
 def _walk_sql(rel: str, start: str, depth: int, both: str = "out", label: str = "Concept") -> str:
@@ -335,27 +337,27 @@ _START_SQL = f"(select id from concept where doc_id={START_DOC})"
 
 @query(_walk_sql("CONTAINS", "'en'", 2))
 def traverse_contains_out(q: Inputs) -> DataFrame:
-    return G.traverse(q.edge, "en", "CONTAINS", "OUTGOING", 2)
+    return G.traverse(stored(q, "edge"), "en", "CONTAINS", "OUTGOING", 2)
 
 
 @query(_walk_sql("CONTAINS", _START_SQL, 3, "in", "Directory"))
 def traverse_contains_in(q: Inputs) -> DataFrame:
-    return G.traverse(q.edge, _start(q), "CONTAINS", "INCOMING", 3, any_target=True)
+    return G.traverse(stored(q, "edge"), _start(q), "CONTAINS", "INCOMING", 3, any_target=True)
 
 
 @query(_walk_sql("CONTAINS", _START_SQL, 2, "both"))
 def traverse_contains_both(q: Inputs) -> DataFrame:
-    return G.traverse(q.edge, _start(q), "CONTAINS", "BOTH", 2)
+    return G.traverse(stored(q, "edge"), _start(q), "CONTAINS", "BOTH", 2)
 
 
 @query(_walk_sql("LINKS_TO", _START_SQL, 3))
 def traverse_links_depth3(q: Inputs) -> DataFrame:
-    return G.traverse(q.edge, _start(q), "LINKS_TO", "OUTGOING", 3)
+    return G.traverse(stored(q, "edge"), _start(q), "LINKS_TO", "OUTGOING", 3)
 
 
 @query(_walk_sql("PART_OF", _START_SQL, 1, label="Chunk"))
 def traverse_part_of(q: Inputs) -> DataFrame:
-    return G.traverse(q.edge, _start(q), "PART_OF")
+    return G.traverse(stored(q, "edge"), _start(q), "PART_OF")
 
 
 @query(duck("select distinct concat('asset_',doc_id,'_',idx) id, 1 depth from asset_ref where doc_id=5"))
@@ -369,7 +371,7 @@ def traverse_assets(q: Inputs) -> DataFrame:
  w as (select id, 0 d from concept where doc_id={START_DOC} union select s.dst, d+1 from w join s on s.src=w.id where d<3)
 select id, min(d)::int d from w group by id""", recursive=True))
 def shortest_path_len(q: Inputs) -> DataFrame:
-    levels = G.distances(q.edge, _start(q), most=3)
+    levels = G.distances(stored(q, "steps"), _start(q), most=3)
     out = None
     for k, level in enumerate(levels):
         rows = level.select("id", F.lit(k).alias("d"))
@@ -385,7 +387,7 @@ def shortest_path_len(q: Inputs) -> DataFrame:
 select d::int step, id from p""", recursive=True))
 def shortest_path_nodes(q: Inputs) -> DataFrame:
     goal = q.concept.filter("doc_id = 77").select("id").first()[0]
-    path = G.find_path(q.edge, _start(q), goal, 4)
+    path = G.find_path(stored(q, "steps"), _start(q), goal, 4)
     return q.spark.createDataFrame([(k, x) for k, x in enumerate(path)], "step int, id string")
 
 
@@ -423,7 +425,7 @@ def under_directory5(q: Inputs) -> DataFrame:
 
 @query(duck("select dst id, count(*) hub from edge where rel='LINKS_TO' group by dst"))
 def hub_scores(q: Inputs) -> DataFrame:
-    return R.hub_scores(q.edge)
+    return R.hub_scores(stored(q, "edge"))
 
 
 @query("select l_partkey part, count(distinct o_custkey) hub from lineitem join orders on l_orderkey=o_orderkey group by 1")

@@ -64,7 +64,7 @@ class Inputs:
     """The tables of a folder and the views over them, as DataFrames."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._made = spark, folder, {}
+        self.spark, self.folder, self.fingerprint, self._made = spark, folder, None, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:

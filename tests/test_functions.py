@@ -117,7 +117,7 @@ def test_walks_and_distinct(spark):
     edges = spark.createDataFrame([("LINKS_TO", a, b, "Concept") for a, b in ("ab", "ac", "bd", "cd")], "rel string, src string, dst string, dst_label string")
     assert sorted(tuple(r) for r in graph.traverse(edges, "a", "LINKS_TO", depth=2).collect()) == [("b", 1), ("c", 1), ("d", 2)]
     assert graph.traverse(edges, "a", "LINKS_TO", depth=2, walks=True).count() == 4
-    assert graph.find_path(edges, "a", "d") == ["a", "b", "d"]
+    assert graph.find_path(graph.steps_of(edges), "a", "d") == ["a", "b", "d"]
 
 
 def test_fusion_against_ranking_everything(spark):

@@ -146,8 +146,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     small_batches(docs.sparkSession)
     lengths = tuple(sorted(lengths))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    items = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"))
-    shards = max(1, math.ceil(docs.count() / SHARD_ITEMS))
+    items = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size")), "sizes")
+    shards = max(1, math.ceil(items.count() / SHARD_ITEMS))
 
     def run(part: pa.Table) -> pa.Table:
         part = part.sort_by([("doc_id", "ascending"), ("size", "ascending")])

@@ -17,6 +17,7 @@ from .operators import chunks as C
 from .operators import convert as Convert
 from .operators import export as X
 from .operators import graph as G
+from .operators import index as X_
 from .operators import maintain as M
 from .operators import rank as R
 from .schemas import checked_dimension
@@ -120,7 +121,8 @@ class Engine:
         }
         state |= self._images(rows, kept["includes_asset"], files)
         gone_chunks = self.chunks().join(lost.select(F.col("id").alias("parent_doc_id")), "parent_doc_id", "left_semi").select("id")
-        for grain, index, out in (("concept", R.postings(rows, "id", text), lost), ("chunk", R.postings(cut, "id", "chunk_text"), gone_chunks)):
+        indexes = [(X_.postings(d, "id", t), X_.lengths(d, "id", t)) for d, t in ((rows, text), (cut, "chunk_text"))]
+        for grain, index, out in zip(("concept", "chunk"), indexes, (lost, gone_chunks)):
             for name, fresh in zip(("posting", "length"), index):
                 stored = self.store.table(f"{grain}_{name}").join(out, "id", "left_anti")
                 state[f"{grain}_{name}"] = stored.select(*fresh.columns).unionByName(fresh)
@@ -199,7 +201,7 @@ class Engine:
         return [*self.spark.range(1).select(T.tokens(F.lit(query))).first()[0]]
 
     def _hits(self, grain: str, query: str) -> DataFrame:
-        return R.bm25_indexed(self.store.table(f"{grain}_posting"), self.store.table(f"{grain}_length"), self._terms(query))
+        return X_.bm25(self.store.table(f"{grain}_posting"), X_.stats(self.store.table(f"{grain}_length")), self._terms(query))
 
     def search_hybrid(self, query: str, concept_type: str | None = None, tags: Sequence[str] = (), parent_id: str | None = None, exclude_reserved: bool = True, limit: int = 10, include_chunks: bool = False) -> DataFrame:
         """Concepts by vectors and text, best first."""

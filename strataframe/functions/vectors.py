@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -21,6 +21,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
+#: Components up to which an inner product with a given vector is written out, which Spark compiles.
+WRITTEN_OUT = 128
+
+
+def dot_with(name: str, b: Sequence[float]) -> Column:
+    """Inner product of a column with a given vector, in double precision and in order of components."""
+    if not 0 < len(b) <= WRITTEN_OUT:
+        return dot(F.col(name), F.array(*map(F.lit, map(float, b))))
+    terms = " + ".join(f"cast(get(`{name}`, {k}) as double) * {float(y)!r}D" for k, y in enumerate(b))
+    return F.expr(f"case when size(`{name}`) = {len(b)} then 0D + {terms} end")
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 

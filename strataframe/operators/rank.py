@@ -6,21 +6,26 @@ among all text hits, the hits are counted against the few candidates in one part
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vectors as V
 
 K1, B, RRF = 1.2, 0.75, 60
+#: Chosen hits whose places are counted in one pass.
+COUNTED = 128
 DIGITS = 6
 
 
 def knn(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(id, sim): the ``k`` nearest by inner product (of unit vectors: cosine); ties by id. Exact."""
-    sim = F.round(V.dot(F.col(vector_col), F.array(*map(F.lit, map(float, query)))), DIGITS)
+    sim = F.round(V.dot_with(vector_col, query), DIGITS)
     return vectors.select(F.col(id_col).alias("id"), sim.alias("sim")).orderBy(F.desc("sim"), "id").limit(k)
 
 
@@ -44,37 +49,25 @@ def bm25(docs: DataFrame, terms: Sequence[str], id_col: str = "id", text: str |
     return counted.filter(hit).crossJoin(F.broadcast(stats)).select("id", F.round(score, DIGITS).alias("score"))
 
 
-def postings(docs: DataFrame, id_col: str = "id", text: str | Column = "text") -> tuple[DataFrame, DataFrame]:
-    """An inverted index of ``docs``: (term, id, tf) and (id, dl). Stored, it spares searches reading texts."""
-    body = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    each = docs.select(F.col(id_col).alias("id"), T.tokens(body).alias("tk"))
-    tf = each.select("id", F.explode("tk").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    return tf, each.select("id", F.size("tk").alias("dl"))
+def _places(hits: DataFrame, chosen: Sequence[tuple[float, object]]) -> list[int]:
+    """The places of some ``chosen`` hits (-score, id), in order, among all ``hits`` (id, score), best first, ties by id."""
+    above = [f"count_if(score > {-s!r}D or (score = {-s!r}D and id <= {_literal(i)}))" for s, i in chosen]
+    counts: list[int] = []
+    for at in range(0, len(above), COUNTED):  # one row for so many of the chosen
+        counts += hits.agg(*(F.expr(c).alias(f"c{k}") for k, c in enumerate(above[at : at + COUNTED]))).first()
+    return counts
 
 
-def bm25_indexed(index: DataFrame, lengths: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """``bm25`` from ``postings``: only the terms' entries are read, and only their documents' lengths joined."""
-    terms = list(dict.fromkeys(terms))
-    found = index.filter(F.col("term").isin(*terms))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("av"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    rows = found.join(F.broadcast(df), "term").join(lengths, "id").crossJoin(F.broadcast(stats))
-    tf = F.col("tf")
-    weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("av")))
-    return rows.groupBy("id").agg(F.round(F.sum(weight), DIGITS).alias("score"))
-
-
-def _places(hits: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(id, place): the places of a few ``chosen`` hits among all ``hits`` (id, score), best first, ties by id."""
-    order = chosen.join(hits, "id").select(F.struct((-F.col("score")).alias("s"), "id").alias("o"))
-    listed = order.agg(F.sort_array(F.collect_list("o")).alias("os"))
-    own = F.struct((-F.col("score")).alias("s"), F.col("id").alias("id"))
-    upto = hits.crossJoin(F.broadcast(listed)).select(F.size(F.filter("os", lambda o: o <= own)).alias("k"))
-    before = upto.groupBy("k").agg(F.count("*").alias("n"))
-    places = listed.select(F.posexplode("os").alias("j", "o")).crossJoin(F.broadcast(before)).filter(F.col("k") <= F.col("j"))
-    counted = places.groupBy("j", "o").agg(F.sum("n").alias("n"))
-    every = listed.select(F.posexplode("os").alias("j", "o")).join(counted, ["j", "o"], "left")
-    return every.select(F.col("o.id").alias("id"), (F.coalesce("n", F.lit(0)) + 1).alias("place"))
+def _literal(value: object) -> str:
+    """A number or text in SQL."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{int(value)}L"
+
+
+def _eighth(x: float) -> float:
+    """Rounded to eight digits as SQL does."""
+    return float(Decimal(repr(x)).quantize(Decimal("1e-8"), ROUND_HALF_UP))
 
 
 def fuse(near: DataFrame, hits: DataFrame, limit: int, allowed: DataFrame | None = None, per: str | None = None, cap: int = 3, spare: int | None = None) -> DataFrame:
@@ -83,25 +76,34 @@ def fuse(near: DataFrame, hits: DataFrame, limit: int, allowed: DataFrame | None
     allowed: ids (distinct) that may be returned; ranks are taken before this filter. per: a column of ``allowed`` of which
     each value may be returned ``cap`` times; spare: rows of ``near`` at most (3 * limit unless given). A hit that isn't near
     is outranked by no more than those above it and the near ones, so of such hits only the best limit + near can be
-    returned, and of one ``per`` only the best ``cap``.
+    returned, and of one ``per`` only the best ``cap``. So what meets on the driver is bounded by ``limit`` and ``spare``.
     """
-    # Dealt out, both are made once and their shuffle files are read wherever the plan needs them again.
-    hits, near = hits.repartition("id"), near.repartition(1)
-    near = near.withColumn("vr", F.row_number().over(Window.orderBy(F.desc("sim"), "id")))
+    spark, few = near.sparkSession, spare or 3 * limit
+    hits = hits.persist()  # read three times
+    vectors = [r["id"] for r in near.orderBy(F.desc("sim"), "id").limit(few).collect()]
+    rank_of = {i: k for k, i in enumerate(vectors, 1)}
     may = hits if allowed is None else hits.join(allowed.select("id", *([per] if per else [])), "id")
-    may = may.join(F.broadcast(near.select("id")), "id", "left_anti")
+    may = may.filter(~F.col("id").isin(vectors)) if vectors else may
     if per:
         may = capped(may, per, cap, "score")
-    best = may.orderBy(F.desc("score"), "id").limit(limit + (spare or 3 * limit) if per else limit).select("id")
-    placed = _places(hits, best.union(near.select("id")))
-    both = near.join(placed, "id", "full_outer")
-    score = F.coalesce(1 / (RRF + F.col("vr")), F.lit(0.0)) + F.coalesce(1 / (RRF + F.col("place")), F.lit(0.0))
-    fused = both.select("id", F.round(score, 8).alias("rrf"))
+    best = may.orderBy(F.desc("score"), "id").limit(limit + few if per else limit).select("id", "score")
+    chosen = best.union(hits.filter(F.col("id").isin(vectors)).select("id", "score")) if vectors else best
+    found = sorted((-r["score"], r["id"]) for r in chosen.collect())
+    place_of = {i: k for (_, i), k in zip(found, _places(hits, found))}
+    ids = [*dict.fromkeys([*vectors, *place_of])]
+    group = {i: i for i in ids}
     if allowed is not None:
-        fused = allowed.select("id", *([per] if per else [])).join(F.broadcast(fused), "id")
-    if per:
-        fused = capped(fused, per, cap)
-    return fused.orderBy(F.desc("rrf"), "id").limit(limit)
+        columns = ["id", *([per] if per else [])]
+        group = {r[0]: r[-1] for r in allowed.filter(F.col("id").isin(ids)).select(*columns).collect()} if ids else {}
+    hits.unpersist()
+    score = {i: _eighth((1 / (RRF + rank_of[i]) if i in rank_of else 0.0) + (1 / (RRF + place_of[i]) if i in place_of else 0.0)) for i in group}
+    out, taken = [], Counter()
+    for i in sorted(group, key=lambda i: (-score[i], i)):
+        taken[group[i]] += 1
+        if not per or taken[group[i]] <= cap:
+            out.append((i, group[i], score[i]) if per else (i, score[i]))
+    fields = [near.schema["id"], *([allowed.schema[per]] if per else [])]
+    return spark.createDataFrame(out[:limit], StructType([*(StructField(f.name, f.dataType) for f in fields), StructField("rrf", DoubleType())]))
 
 
 def capped(ranked: DataFrame, per: str, most: int, score: str = "rrf", id_col: str = "id") -> DataFrame:
@@ -118,9 +120,9 @@ def hub_scores(edges: DataFrame, rel: str = "LINKS_TO") -> DataFrame:
 def hub_blend(results: DataFrame, hubs: DataFrame, parent: str, weight: float = 0.3, score: str = "rrf") -> DataFrame:
     """``results`` with hub and final = (1 - weight) * score + weight * hub / greatest hub of the results."""
     joined = results.join(hubs.withColumnRenamed("id", parent), parent, "left").withColumn("hub", F.coalesce("hub", F.lit(0)))
-    most = F.greatest(F.coalesce(F.max("hub").over(Window.partitionBy()), F.lit(1)), F.lit(1))
-    final = (1 - weight) * F.col(score) + weight * F.col("hub") / most
-    return joined.withColumn("final", F.round(final, 8))
+    most = joined.agg(F.greatest(F.coalesce(F.max("hub"), F.lit(1)), F.lit(1)).alias("__most"))  # one row
+    final = (1 - weight) * F.col(score) + weight * F.col("hub") / F.col("__most")
+    return joined.crossJoin(F.broadcast(most)).withColumn("final", F.round(final, 8)).drop("__most")
 
 
 def hub_multiply(results: DataFrame, hubs: DataFrame, parent: str, score: str = "rrf") -> DataFrame:

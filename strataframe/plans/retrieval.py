@@ -50,7 +50,7 @@ def _hybrid(q: Inputs, **filters) -> DataFrame:
     allowed = R.concept_filter(stored(q, "concept_meta"), **filters)
     keyed = allowed.select(F.col("doc_id").alias("id"))
     fused = R.fuse(near_documents(q), _document_hits(q), LIMIT, keyed)
-    found = allowed.join(F.broadcast(fused.withColumnRenamed("id", "doc_id")), "doc_id")
+    found = allowed.join(F.broadcast(fused.withColumnRenamed("id", "doc_id")), "doc_id")  # LIMIT rows
     return found.select("id", "title", "type", T.shortened(F.col("description"), 200).alias("description"), F.array_join("tags", ",").alias("tags"), F.col("rrf").alias("relevance_score"))
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import scratch
 from ..functions import text as T
@@ -53,7 +54,7 @@ BUILT: dict[str, Callable[[Inputs], DataFrame]] = {
     "steps": _steps,
 }
 
-_FOUND: dict[tuple[str, str, str], str] = {}
+_FOUND: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def stored(q: Inputs, name: str) -> DataFrame:
@@ -66,5 +67,6 @@ def stored(q: Inputs, name: str) -> DataFrame:
         made = BUILT[name](q)
         path = f"{scratch.session_dir(spark)}/index-{q.fingerprint}/{name}"
         made.write.mode("overwrite").parquet(path)
-        _FOUND[key] = path
-    return spark.read.parquet(_FOUND[key])
+        _FOUND[key] = path, made.schema
+    path, schema = _FOUND[key]
+    return spark.read.schema(schema).parquet(path)

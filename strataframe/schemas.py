@@ -10,9 +10,9 @@ TABLES: dict[str, str] = {
     "image_asset": "id string not null, file_name string, mime_type string, alt_text string, caption string, embed_route string, content_hash string, embedding array<float>",
     "image_data": "id string not null, data binary",
     "includes_asset": "src string, dst string",
-    "concept_posting": "term string, id string, tf bigint",
+    "concept_posting": "term string, id string, tf bigint, dl int",
     "concept_length": "id string, dl int",
-    "chunk_posting": "term string, id string, tf bigint",
+    "chunk_posting": "term string, id string, tf bigint, dl int",
     "chunk_length": "id string, dl int",
     "link_raw": "src string, target string",
     "file_hash": "path string, hash string, concept_id string",
@@ -20,7 +20,7 @@ TABLES: dict[str, str] = {
     "deleted_concept": "id string, original_id string, title string, body string, deleted_at timestamp, type string, tags array<string>",
 }
 #: Version of the stored layout; tables of older ones get the columns they lack.
-VERSION = 5
+VERSION = 6
 OFFICIAL_DIMENSIONS = (32, 64, 128, 256, 512, 768, 1024)
 
 

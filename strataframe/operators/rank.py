@@ -70,23 +70,23 @@ def _eighth(x: float) -> float:
     return float(Decimal(repr(x)).quantize(Decimal("1e-8"), ROUND_HALF_UP))
 
 
-def fuse(near: DataFrame, hits: DataFrame, limit: int, allowed: DataFrame | None = None, per: str | None = None, cap: int = 3, spare: int | None = None) -> DataFrame:
+def fuse(near: DataFrame, hits: DataFrame, limit: int, allowed: DataFrame | None = None, per: str | None = None, cap: int = 3) -> DataFrame:
     """(id, rrf): the best ``limit`` by reciprocal ranks of vectors (id, sim) and all text hits (id, score).
 
-    allowed: ids (distinct) that may be returned; ranks are taken before this filter. per: a column of ``allowed`` of which
-    each value may be returned ``cap`` times; spare: rows of ``near`` at most (3 * limit unless given). A hit that isn't near
-    is outranked by no more than those above it and the near ones, so of such hits only the best limit + near can be
-    returned, and of one ``per`` only the best ``cap``. So what meets on the driver is bounded by ``limit`` and ``spare``.
+    near: the nearest few, as ``knn`` gives them. allowed: ids (distinct) that may be returned; ranks are taken before this
+    filter. per: a column of ``allowed`` of which each value may be returned ``cap`` times. A hit that isn't near is
+    outranked by no more than those above it and the near ones, so of such hits only the best limit + near can be returned,
+    and of one ``per`` only the best ``cap``. So what meets on the driver is bounded by ``limit`` and what is near.
     """
-    spark, few = near.sparkSession, spare or 3 * limit
+    spark = near.sparkSession
     hits = hits.persist()  # read three times
-    vectors = [r["id"] for r in near.orderBy(F.desc("sim"), "id").limit(few).collect()]
+    vectors = [r["id"] for r in near.orderBy(F.desc("sim"), "id").collect()]
     rank_of = {i: k for k, i in enumerate(vectors, 1)}
     may = hits if allowed is None else hits.join(allowed.select("id", *([per] if per else [])), "id")
     may = may.filter(~F.col("id").isin(vectors)) if vectors else may
     if per:
         may = capped(may, per, cap, "score")
-    best = may.orderBy(F.desc("score"), "id").limit(limit + few if per else limit).select("id", "score")
+    best = may.orderBy(F.desc("score"), "id").limit(limit + len(vectors) if per else limit).select("id", "score")
     chosen = best.union(hits.filter(F.col("id").isin(vectors)).select("id", "score")) if vectors else best
     found = sorted((-r["score"], r["id"]) for r in chosen.collect())
     place_of = {i: k for (_, i), k in zip(found, _places(hits, found))}

@@ -23,6 +23,9 @@ class Config:
     recover_hours: int = 24
     remote_images: bool = False
     allowed_domains: tuple[str, ...] = ()
+    #: Cells that a vector search looks into; 0: all vectors.
+    probes: int = 0
+    lock_seconds: float = 300.0
 
     def problems(self) -> list[str]:
         """What is out of range; such values only warn."""
@@ -31,7 +34,7 @@ class Config:
             out.append(f"dimension {self.dimension} isn't one of {OFFICIAL_DIMENSIONS}")
         if not 0 <= self.hub_weight <= 1:
             out.append(f"hub_weight {self.hub_weight} isn't between 0 and 1")
-        for name in ("chunk_overlap", "max_chunks_per_doc", "recover_hours", "context_limit"):
+        for name in ("chunk_overlap", "max_chunks_per_doc", "recover_hours", "context_limit", "probes", "lock_seconds"):
             if getattr(self, name) < 0:
                 out.append(f"{name} is negative")
         return out

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-import secrets
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,25 +20,50 @@ from .operators import graph as G
 from .operators import index as X_
 from .operators import maintain as M
 from .operators import rank as R
+from .operators import thoughts as N
 from .schemas import checked_dimension
+from .scratch import bounded, materialise
 from .sources import markdown as S
-from .store import Store
+from .store import Change, Store
 from .workers import importable
 
 
-#: Tables that a purge changes.
-PURGED = ("concept", "chunk", "link_raw", "includes_asset", "image_asset", "image_data", "file_hash", "concept_posting", "concept_length", "chunk_posting", "chunk_length")
+#: Tables whose rows belong to one document.
+OWNED = ("concept", "chunk", "link_raw", "includes_asset", "concept_posting", "concept_length", "chunk_posting", "chunk_length", "concept_cell", "chunk_cell")
+
+
+def _operation(method):
+    """An operation that reads all its tables from one state of the store."""
+
+    @functools.wraps(method)
+    def run(self, *args, **more):
+        with self.store.pinned():
+            return method(self, *args, **more)
+
+    return run
+
+
+def _change(method):
+    """An operation that changes the store: it waits for other writers, and reads the state that it changes."""
+
+    @functools.wraps(method)
+    def run(self, *args, **more):
+        with self.store.writing(), self.store.pinned():
+            return method(self, *args, **more)
+
+    return run
 
 
 class Engine:
     """A store with the operations over it.
 
     encoder: builds an encoder on a worker (``functions.vectors.Encoder``); without one, texts are bags of hashed words.
+    fetch: reads a remote image that the settings allow, on a worker.
     """
 
-    def __init__(self, spark: SparkSession, path: str, config: Config = Config(), encoder: Callable[[], V.Encoder] | None = None):
-        self.spark, self.config, self.store = importable(spark), config, Store(spark, path)
-        self.dimension, self._make = checked_dimension(config.dimension), encoder
+    def __init__(self, spark: SparkSession, path: str, config: Config = Config(), encoder: Callable[[], V.Encoder] | None = None, fetch: Callable[[str], bytes | None] | None = None):
+        self.spark, self.config, self.store = importable(spark), config, Store(spark, path, config.lock_seconds)
+        self.dimension, self._make, self.fetch = checked_dimension(config.dimension), encoder, fetch or S.fetched
 
     # -- tables -----------------------------------------------------------------------------------------------------
 
@@ -90,57 +115,93 @@ class Engine:
     # -- import -----------------------------------------------------------------------------------------------------
 
     def import_bundle(self, folder: str) -> list[str]:
-        """Import what changed below a folder; returns the ids, sorted. Deleted files are purged."""
+        """Import what changed below a folder; returns the ids of this import, sorted. Deleted files are purged."""
+        return sorted(r[0] for r in self.import_files(folder).collect())
+
+    @_change
+    def import_files(self, folder: str) -> DataFrame:
+        """Import what changed below a folder; the ids (id) of this import. Deleted files are purged."""
         files = S.scan(self.spark, folder)
         now = S.snapshot(files)
         old = self.store.table("file_hash")
-        changed = M.changed_files(old, now).cache()
-        fresh = files.join(changed.filter("change <> 'deleted'").select("path"), "path", "left_semi")
-        gone = old.join(changed.filter("change = 'deleted'").select("path"), "path", "left_semi").select(F.col("concept_id").alias("id"))
+        changed = materialise(M.changed_files(old, now), "changed")
         if changed.isEmpty():
-            return []
+            return self.spark.createDataFrame([], "id string")
+        paths = changed.select("path")
+        fresh = files.join(bounded(changed.filter("change <> 'deleted'").select("path")), "path", "left_semi")
+        gone = old.join(bounded(changed.filter("change = 'deleted'").select("path")), "path", "left_semi").select(F.col("concept_id").alias("id"))
         rows = S.concepts(fresh).filter("error is null").drop("error").dropDuplicates(["id"])
         images = S.scan(self.spark, folder, [f".{s}" for s in I.SUFFIXES])
-        ids = self._write(rows, now.select("path", "hash", "concept_id"), gone, images)
-        changed.unpersist()
-        return ids
+        rows = self._encoded(rows)
+        state = self._changes(rows, gone, images)
+        hashes = now.select("path", "hash", "concept_id")
+        state["file_hash"] = hashes.join(bounded(paths), "path", "left_semi"), paths
+        touched = G.ancestry(paths.withColumnRenamed("path", "id")).select(F.col("ancestor").alias("dir")).distinct()
+        touched = materialise(touched, "touched")
+        below = hashes.join(bounded(touched), F.col("path").startswith(F.concat("dir", F.lit("/"))), "left_semi")
+        own = below.groupBy(F.regexp_replace("path", r"/?[^/]*$", "").alias("dir")).agg(F.sort_array(F.collect_list("path")).alias("files"))
+        dirs = M.directory_hashes(below).join(bounded(touched), "dir", "left_semi").join(own, "dir")
+        state["dir_hash"] = dirs.select(F.col("dir").alias("path"), "hash", "files"), touched
+        self.store.commit(state)
+        return rows.select("id")
+
+    def _encoded(self, rows: DataFrame) -> DataFrame:
+        """Concept rows with embeddings, made once."""
+        return materialise(self._embedded(rows, T.search_text(F.col("title"), F.col("description"), F.col("body"))), "concepts")
 
-    def _write(self, rows: DataFrame, hashes: DataFrame | None = None, gone: DataFrame | None = None, files: DataFrame | None = None) -> list[str]:
+    def _changes(self, rows: DataFrame, gone: DataFrame | None = None, files: DataFrame | None = None) -> dict[str, Change]:
+        """What putting in ``rows`` (from ``_encoded``), and removing the concepts of ``gone`` (id), changes in each table."""
         text = T.search_text(F.col("title"), F.col("description"), F.col("body"))
-        rows = self._embedded(rows, text).cache()
-        ids = rows.select("id")
         cut = C.overlapped(C.split(rows), self.config.chunk_overlap)
-        cut = self._embedded(cut, F.col("payload"))
-        lost = ids if gone is None else ids.union(gone)
-        keys = {"concept": "id", "chunk": "parent_doc_id", "link_raw": "src", "includes_asset": "src"}
-        kept = {n: self.store.table(n).join(lost.select(F.col("id").alias(k)), k, "left_anti") for n, k in keys.items()}
-        state = {
-            "concept": kept["concept"].unionByName(rows, allowMissingColumns=True),
-            "chunk": kept["chunk"].unionByName(cut.select(*kept["chunk"].columns)),
-            "link_raw": kept["link_raw"].unionByName(S.raw_links(rows)),
+        cut = materialise(self._embedded(cut, F.col("payload")), "chunks")
+        ids = rows.select("id")
+        lost = materialise((ids if gone is None else ids.union(gone)).distinct(), "lost")
+        fresh = {
+            "concept": rows,
+            "chunk": cut,
+            "link_raw": S.raw_links(rows),
+            "concept_posting": X_.postings(rows, "id", text),
+            "concept_length": X_.lengths(rows, "id", text),
+            "chunk_posting": X_.postings(cut, "id", "chunk_text"),
+            "chunk_length": X_.lengths(cut, "id", "chunk_text"),
         }
-        state |= self._images(rows, kept["includes_asset"], files)
-        gone_chunks = self.chunks().join(lost.select(F.col("id").alias("parent_doc_id")), "parent_doc_id", "left_semi").select("id")
-        indexes = [(X_.postings(d, "id", t), X_.lengths(d, "id", t)) for d, t in ((rows, text), (cut, "chunk_text"))]
-        for grain, index, out in zip(("concept", "chunk"), indexes, (lost, gone_chunks)):
-            for name, fresh in zip(("posting", "length"), index):
-                stored = self.store.table(f"{grain}_{name}").join(out, "id", "left_anti")
-                state[f"{grain}_{name}"] = stored.select(*fresh.columns).unionByName(fresh)
-        if hashes is not None:
-            state["file_hash"] = hashes
-            dirs = M.directory_hashes(hashes)
-            own = hashes.groupBy(F.regexp_replace("path", r"/?[^/]*$", "").alias("dir")).agg(F.sort_array(F.collect_list("path")).alias("files"))
-            state["dir_hash"] = dirs.join(own, "dir").select(F.col("dir").alias("path"), "hash", "files")
-        self.store.commit(state)
-        found = sorted(r[0] for r in ids.collect())  # what the caller asked for: the ids of this import
-        rows.unpersist()
-        return found
-
-    def _images(self, rows: DataFrame, kept: DataFrame, files: DataFrame | None) -> dict[str, DataFrame]:
+        for grain, given in (("concept", rows), ("chunk", cut)):
+            centres = self._centres(grain)
+            if centres:
+                fresh[f"{grain}_cell"] = X_.with_cells(given.select("id", "embedding"), centres)
+        return {n: (df, lost) for n, df in fresh.items()} | self._images(rows, lost, files)
+
+    def _write(self, rows: DataFrame, files: DataFrame | None = None) -> list[str]:
+        """Put in rows of the concept table that the caller gives, with images from files; their ids, sorted."""
+        rows = self._encoded(rows)
+        self.store.commit(self._changes(rows, None, files))
+        return sorted(r[0] for r in rows.select("id").collect())
+
+    def _removed(self, gone: DataFrame) -> dict[str, Change]:
+        """What removing concepts (id) changes."""
+        gone = materialise(gone.select("id").distinct(), "gone")
+        paths = self.store.table("file_hash").join(bounded(gone), F.col("concept_id") == F.col("id"), "left_semi").select("path")
+        state: dict[str, Change] = {n: (None, gone) for n in OWNED}
+        state["file_hash"] = None, materialise(paths, "paths")
+        orphans = self._orphans(gone)
+        return state | {n: (None, orphans) for n in ("image_asset", "image_data")}
+
+    def _orphans(self, lost: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
+        """(id) of assets that only concepts of ``lost`` include; fresh: (src, dst) that come in."""
+        includes = self.store.table("includes_asset")
+        owner = lost.withColumnRenamed("id", "src")
+        was = includes.join(bounded(owner), "src", "left_semi").select("dst").distinct()
+        left = includes.join(bounded(owner), "src", "left_anti").select("dst")
+        left = left if fresh is None else left.union(fresh.select("dst"))
+        return materialise(was.join(left, "dst", "left_anti").select(F.col("dst").alias("id")), "orphans")
+
+    def _images(self, rows: DataFrame, lost: DataFrame, files: DataFrame | None) -> dict[str, Change]:
         refs = rows.select(F.col("id").alias("concept_id"), F.posexplode(I.references(F.col("body"))).alias("k", "r"))
         refs = refs.select("concept_id", (F.col("k") + 1).alias("number"), "r.alt", "r.src")
         none = self.spark.createDataFrame([], "path string, content binary")
         refs = S.image_bytes(refs, none if files is None else files.select("path", "content"))
+        if self.config.remote_images:
+            refs = S.with_remote(refs, self.config.allowed_domains, self.fetch)
         name, has = I.file_name(F.col("src")), F.col("data").isNotNull()
         how = self.config.image_mode
         known = refs.withColumns({"file_name": name, "mime_type": I.mime(F.col("data"), name), "id": I.asset_id(F.col("concept_id"), F.col("number"), F.col("src"))})
@@ -148,18 +209,15 @@ class Engine:
         known = known.withColumn("caption", I.caption(how, F.col("alt"), has, I.fallback_caption(F.col("file_name"), F.col("number"), F.col("concept_id"))))
         payload = F.when(F.col("embed_route") == "omni", F.col("data")).otherwise(F.col("caption").cast("binary"))
         known = known.withColumn("content_hash", I.content_hash(F.col("embed_route"), payload)).withColumn("alt_text", F.col("alt"))
-        known = self._embedded(known.dropDuplicates(["concept_id", "id"]), F.coalesce("caption", "alt", F.lit("")))
-        includes = kept.unionByName(known.select(F.col("concept_id").alias("src"), F.col("id").alias("dst")))
-        used = includes.select(F.col("dst").alias("id")).distinct()
-        fresh, out = known.dropDuplicates(["id"]), {"includes_asset": includes}
-        for table, columns in (("image_asset", None), ("image_data", ["id", "data"])):
-            stored = self.store.table(table)
-            rows_ = fresh.select(*(columns or stored.columns))
-            out[table] = M.upsert(stored, rows_, "id").join(used, "id", "left_semi")
-        return out
+        known = materialise(self._embedded(known.dropDuplicates(["concept_id", "id"]), F.coalesce("caption", "alt", F.lit(""))), "images")
+        includes = known.select(F.col("concept_id").alias("src"), F.col("id").alias("dst"))
+        fresh = known.dropDuplicates(["id"])
+        replaced = materialise(fresh.select("id").union(self._orphans(lost, includes)).distinct(), "assets")
+        return {"includes_asset": (includes, lost), "image_asset": (fresh, replaced), "image_data": (fresh.select("id", "data"), replaced)}
 
+    @_change
     def ingest_md(self, path: str, concept_id: str | None = None, title: str | None = None, description: str | None = None, tags: Sequence[str] = ()) -> str:
-        """Import one file; its text is linted on the way and the file itself stays as it is."""
+        """Import one file, with the images beside it; its text is linted on the way and the file itself stays as it is."""
         text = self.spark.read.text(path, wholetext=True).select(T.linted(F.col("value")).alias("t"))
         stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
         p = text.select(S.parsed("t").alias("p")).select("p.*")
@@ -170,30 +228,28 @@ class Engine:
             F.coalesce(F.lit(title), "title", F.lit(stem.replace("_", " ").replace("-", " "))).alias("title"),
             F.coalesce(F.lit(description), "description", F.element_at("extra", "summary")).alias("description"),
             "resource",
-            F.array_sort(F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.array(*map(F.lit, tags)).cast("array<string>")))).alias("tags"),
+            T.tag_union(F.col("tags"), F.array(*map(F.lit, tags))).alias("tags"),
             T.iso_timestamp(F.col("timestamp")).alias("timestamp"),
             "body",
             F.create_map().cast("map<string,string>").alias("extra"),
         )
-        return self._write(row)[0]
+        return self._write(row, S.scan(self.spark, path.rpartition("/")[0] or ".", [f".{s}" for s in I.SUFFIXES]))[0]
 
+    @_change
     def ingest_thoughts(self, thoughts: str, topic: str, concept_id: str | None = None, tags: Sequence[str] = (), now: dt.datetime | None = None) -> str:
         """Keep a note; returns its id."""
-        now = now or dt.datetime.now(dt.timezone.utc)
-        slug = topic.lower().replace(" ", "_")[:30]
-        cid = concept_id or f"thought_{slug}_{now:%Y%m%d%H%M%S}_{secrets.token_hex(3)}"
-        all_tags = sorted({"thought", "reasoning", *tags})
-        body = f"---\ntype: thought\ntitle: 'Thought: {topic}'\ntags: {all_tags}\n---\n\n{thoughts}"
-        schema = "id string, type string, title string, description string, resource string, tags array<string>, timestamp timestamp, body string, extra map<string,string>"
-        return self._write(self.spark.createDataFrame([(cid, "thought", f"Thought: {topic}", thoughts[:200], None, all_tags, now, body, {})], schema))[0]
+        at = (now or dt.datetime.now(dt.timezone.utc)).replace(tzinfo=None)
+        note = self.spark.createDataFrame([(concept_id, topic, thoughts, [*tags], at)], "id string, topic string, text string, tags array<string>, at timestamp_ntz")
+        return self._write(N.thoughts(note))[0]
 
+    @_change
     def ingest_pdf(self, path: str, reader: str = "pdf_oxide:pages", routing_mode: str = "auto") -> list[str]:
         """Convert PDF or office files by a library and import their text; says which library is missing."""
         Convert.route(routing_mode, F.lit(0), F.lit(0), F.lit(0))
         files = self.spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
-        pages = S.convert_pages(files, reader)
-        text = F.encode(F.col("text"), "UTF-8").alias("content")
-        return self._write(S.concepts(pages.select("path", text)).filter("error is null").drop("error"))
+        texts = Convert.documents(S.read_pages(files, reader), routing_mode, self.concepts().select(F.concat("id", F.lit(".md")).alias("path")))
+        rows = S.concepts(texts.select(F.col("target").alias("path"), F.encode("text", "UTF-8").alias("content")))
+        return self._write(rows.filter("error is null").drop("error"))
 
     # -- search -----------------------------------------------------------------------------------------------------
 
@@ -203,22 +259,33 @@ class Engine:
     def _hits(self, grain: str, query: str) -> DataFrame:
         return X_.bm25(self.store.table(f"{grain}_posting"), X_.stats(self.store.table(f"{grain}_length")), self._terms(query))
 
+    def _centres(self, grain: str) -> list[list[float]]:
+        rows = self.store.table("cell_centre").filter(F.col("grain") == grain).orderBy("cell").select("centre").collect()  # bounded by MOST_CELLS
+        return [[*r[0]] for r in rows]
+
+    def _near(self, grain: str, vector: Sequence[float], k: int) -> DataFrame:
+        """The nearest of a grain: exact, or in the nearest cells if the settings say how many and ``reindex`` made them."""
+        centres = self._centres(grain) if self.config.probes else []
+        if centres:
+            return X_.knn_in_cells(self.store.table(f"{grain}_cell"), centres, vector, k, self.config.probes)
+        return R.knn(self.store.table(grain), vector, k)
+
+    @_operation
     def search_hybrid(self, query: str, concept_type: str | None = None, tags: Sequence[str] = (), parent_id: str | None = None, exclude_reserved: bool = True, limit: int = 10, include_chunks: bool = False) -> DataFrame:
         """Concepts by vectors and text, best first."""
         concepts = self.concepts()
-        near = R.knn(concepts, self.encode_query(query), 3 * limit)
+        near = self._near("concept", self.encode_query(query), 3 * limit)
         allowed = R.concept_filter(concepts, concept_type, tags, parent_id, exclude_reserved)
         fused = R.fuse(near, self._hits("concept", query), limit, allowed)
         out = allowed.join(F.broadcast(fused), "id").select("id", "title", "type", T.shortened(F.col("description"), 200).alias("description"), "tags", F.col("rrf").alias("relevance_score"))
         if include_chunks:
-            found = self.search_chunks(query, limit=3 * limit, _parents=out.select(F.col("id").alias("parent_doc_id")))
+            found = self._chunks_of(query, 3 * limit, 9, 3, out.select(F.col("id").alias("parent_doc_id")))
             listed = F.sort_array(F.collect_list(F.struct((-F.col("rrf")).alias("s"), "id", "chunk_text")))
             grouped = found.groupBy("parent_doc_id").agg(listed.alias("chunks"))
             out = out.join(grouped.withColumnRenamed("parent_doc_id", "id"), "id", "left")
         return out.orderBy(F.desc("relevance_score"), "id")
 
-    def search_chunks(self, query: str, concept_type: str | None = None, tags: Sequence[str] = (), parent_id: str | None = None, limit: int = 10, max_chunks_per_doc: int | None = None, _parents: DataFrame | None = None) -> DataFrame:
-        """Chunks by vectors and text with their document's title, at most so many a document."""
+    def _chunks_of(self, query: str, limit: int, near: int, cap: int, parents: DataFrame | None = None, concept_type: str | None = None, tags: Sequence[str] = (), parent_id: str | None = None) -> DataFrame:
         chunks = self.chunks()
         meta = self.concepts().select(F.col("id").alias("parent_doc_id"), "title", "type", "tags")
         allowed = chunks.select("id", "parent_doc_id", "chunk_text").join(meta, "parent_doc_id", "left")
@@ -228,26 +295,34 @@ class Engine:
             allowed = allowed.filter(R.any_tag(F.col("tags"), tags))
         if parent_id is not None:
             allowed = allowed.filter(F.col("parent_doc_id") == parent_id)
-        if _parents is not None:
-            allowed = allowed.join(F.broadcast(_parents), "parent_doc_id", "left_semi")
-        cap = self.config.max_chunks_per_doc if max_chunks_per_doc is None else max_chunks_per_doc
-        near = R.knn(chunks, self.encode_query(query), 3 * limit)
-        fused = R.fuse(near, self._hits("chunk", query), limit, allowed, "parent_doc_id", cap)
+        if parents is not None:
+            allowed = allowed.join(F.broadcast(parents), "parent_doc_id", "left_semi")  # the results of a search
+        fused = R.fuse(self._near("chunk", self.encode_query(query), near), self._hits("chunk", query), limit, allowed, "parent_doc_id", cap)
         out = allowed.join(F.broadcast(fused.select("id", "rrf")), "id").withColumn("chunk_text", T.shortened(F.col("chunk_text"), 500))
         return out.orderBy(F.desc("rrf"), "id")
 
+    @_operation
+    def search_chunks(self, query: str, concept_type: str | None = None, tags: Sequence[str] = (), parent_id: str | None = None, limit: int = 10, max_chunks_per_doc: int | None = None) -> DataFrame:
+        """Chunks by vectors and text with their document's title, at most so many a document."""
+        cap = self.config.max_chunks_per_doc if max_chunks_per_doc is None else max_chunks_per_doc
+        return self._chunks_of(query, limit, 3 * limit, cap, None, concept_type, tags, parent_id)
+
+    @_operation
     def search_images(self, query: str, limit: int = 10) -> DataFrame:
         near = R.knn(self.store.table("image_asset"), self.encode_query(query), limit)
         return self.store.table("image_asset").join(F.broadcast(near), "id").select("id", "file_name", "caption", F.col("sim").alias("score")).orderBy(F.desc("score"), "id")
 
+    @_operation
     def search_chunks_with_hub_score(self, query: str, limit: int = 10, hub_weight: float | None = None) -> DataFrame:
         weight = self.config.hub_weight if hub_weight is None else hub_weight
         found = self.search_chunks(query, limit=2 * limit)
         return R.hub_blend(found, R.hub_scores(self.edges()), "parent_doc_id", weight).orderBy(F.desc("final"), "id").limit(limit)
 
+    @_operation
     def rerank_with_hub_score(self, results: DataFrame) -> DataFrame:
         return R.hub_multiply(results, R.hub_scores(self.edges()), "parent_doc_id").orderBy(F.desc("final"), "id")
 
+    @_operation
     def search_with_context(self, query: str, limit: int = 5) -> DataFrame:
         """(id, side, other): documents of the best chunks with links either way, directories and siblings."""
         docs = self.search_chunks(query, limit=2 * limit).limit(limit).select(F.col("parent_doc_id").alias("id")).distinct()
@@ -257,19 +332,23 @@ class Engine:
         beside = R.capped(beside.withColumn("one", F.lit(0)), "id", 5, "one", "other").select("id", F.lit("sibling").alias("side"), "other")
         return G.neighbours(self.edges(), docs).select("id", "side", "other").union(above).union(beside)
 
+    @_operation
     def expand_with_graph_context(self, chunk_ids: Sequence[str], hops: int = 1, max_results: int = 50) -> DataFrame:
         seeds = self.spark.createDataFrame([(c,) for c in chunk_ids], "chunk_id string")
         return G.expand(seeds, self.chunks().withColumnRenamed("id", "chunk_id"), self.edges(), self.concepts(), hops, max_results)
 
     # -- graph and documents ----------------------------------------------------------------------------------------
 
-    def traverse(self, start_id: str, relationship: str = "LINKS_TO", direction: str = "OUTGOING", depth: int = 1, node_type: str | None = None) -> DataFrame:
-        found = G.traverse(self.edges(), start_id, relationship, direction, depth).orderBy("depth", "id").limit(100)
-        if relationship in G.TARGET:
-            return found
-        named = found.join(self.concepts().select("id", "title", "type"), "id")
-        return named if node_type is None else named.filter(F.col("type") == node_type)
+    @_operation
+    def traverse(self, start_id: str, relationship: str = "LINKS_TO", direction: str = "OUTGOING", depth: int = 1, node_type: str | None = None, limit: int = 100) -> DataFrame:
+        """The nearest ``limit`` nodes that are reached, with their depth; of a type, the nearest of that type."""
+        found = G.traverse(self.edges(), start_id, relationship, direction, depth)
+        if relationship not in G.TARGET:
+            found = found.join(self.concepts().select("id", "title", "type"), "id")
+            found = found if node_type is None else found.filter(F.col("type") == node_type)
+        return found.orderBy("depth", "id").limit(limit)
 
+    @_operation
     def find_path(self, start_id: str, end_id: str, max_length: int = 6) -> list[str]:
         return G.find_path(G.steps_of(self.edges()), start_id, end_id, max_length)
 
@@ -277,6 +356,7 @@ class Engine:
         row = self.concepts().filter(F.col("id") == concept_id).drop("embedding").first()
         return None if row is None else {**{k: v for k, v in row.asDict().items() if k != "extra"}, **(row["extra"] or {})}
 
+    @_operation
     def list_directory(self, directory: str | None = None) -> DataFrame:
         return G.list_directory(self.concepts(), self.directories(), directory)
 
@@ -306,6 +386,7 @@ class Engine:
         users = self.store.table("includes_asset").filter(F.col("dst") == asset_id).select(F.col("src").alias("id"))
         return self.concepts().join(users, "id", "left_semi").select("id", "title", "type")
 
+    @_operation
     def preview(self, concept_id: str) -> DataFrame:
         """(label, asset, file_name, data): a concept's line with the images that it includes."""
         one = self.concepts().filter(F.col("id") == concept_id).select("id", T.preview(F.col("title"), F.col("type"), F.col("body")).alias("label"))
@@ -326,65 +407,82 @@ class Engine:
         """How many of some broken links have both ends by now; links mend themselves."""
         return M.repaired(before, self.concepts()).count()
 
+    @_change
     def purge(self, concept_id: str) -> bool:
         gone = self.spark.createDataFrame([(concept_id,)], "id string")
         if self.concepts().filter(F.col("id") == concept_id).isEmpty():
             return False
-        names = PURGED
-        self.store.commit(M.purge({n: self.store.table(n) for n in names}, gone))
+        self.store.commit(self._removed(gone))
         return True
 
+    @_change
     def soft_delete(self, concept_id: str, at: dt.datetime | None = None) -> bool:
         gone = self.spark.createDataFrame([(concept_id,)], "id string")
         stone = M.tombstones(self.concepts(), gone, F.lit(at or dt.datetime.now(dt.timezone.utc)).cast("timestamp"))
         if stone.isEmpty():
             return False
-        names = PURGED
-        state = M.purge({n: self.store.table(n) for n in names}, gone)
-        self.store.commit(state | {"deleted_concept": M.upsert(self.store.table("deleted_concept"), stone, "id")})
+        self.store.commit(self._removed(gone) | {"deleted_concept": (stone, stone.select("id"))})
         return True
 
     def list_deleted(self, now: dt.datetime | None = None) -> DataFrame:
         at = F.lit(now or dt.datetime.now(dt.timezone.utc)).cast("timestamp")
         return M.recoverable(self.store.table("deleted_concept"), at, self.config.recover_hours)
 
+    @_change
     def recover(self, deleted_id: str) -> str | None:
-        """Bring a deleted concept back: its title, body, type and tags."""
+        """Bring a deleted concept back: its title, body, type and tags; one commit."""
         stones = self.store.table("deleted_concept")
         row = stones.filter((F.col("id") == deleted_id) | (F.col("original_id") == deleted_id))
-        if row.isEmpty():
+        found = row.select("id", "original_id").first()
+        if found is None:
             return None
         back = row.select(F.col("original_id").alias("id"), "type", "title", F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("resource"), "tags", F.col("deleted_at").alias("timestamp"), "body", F.create_map().cast("map<string,string>").alias("extra"))
-        (found,) = self._write(back)
-        self.store.commit({"deleted_concept": stones.filter(F.col("original_id") != found)})
-        return found
+        stone = self.spark.createDataFrame([(found["id"],)], "id string")
+        self.store.commit(self._changes(self._encoded(back)) | {"deleted_concept": (None, stone)})
+        return found["original_id"]
 
+    @_change
     def purge_expired(self, now: dt.datetime | None = None) -> int:
         at = F.lit(now or dt.datetime.now(dt.timezone.utc)).cast("timestamp")
         stones = self.store.table("deleted_concept")
         old = M.expired(stones, at, self.config.recover_hours)
         n = old.count()
         if n:
-            self.store.commit({"deleted_concept": stones.join(old.select("id"), "id", "left_anti")})
+            self.store.commit({"deleted_concept": (None, materialise(old.select("id"), "expired"))})
         return n
 
     def is_dirty(self) -> bool:
         return M.is_dirty(self.store.manifest()["meta"])
 
+    @_change
     def reindex(self, force: bool = False) -> bool:
-        """Mark the indexes as of today; rankings are computed from the tables, so there is nothing else to rebuild."""
+        """Build postings, lengths and vector cells anew from the tables, if something was written since or ``force``."""
         meta = self.store.manifest()["meta"]
         if not force and not M.is_dirty(meta):
             return False
-        self.store.commit({}, {"indexed_epoch": meta["write_epoch"]})
+        texts = {"concept": T.search_text(F.col("title"), F.col("description"), F.col("body")), "chunk": F.col("chunk_text")}
+        state, centres = {}, []
+        for grain, text in texts.items():
+            rows = self.store.table(grain)
+            state[f"{grain}_posting"], state[f"{grain}_length"] = X_.postings(rows, "id", text), X_.lengths(rows, "id", text)
+            found = X_.cells_of(rows)
+            state[f"{grain}_cell"] = X_.with_cells(rows.select("id", "embedding"), found)
+            centres += [(grain, k, c) for k, c in enumerate(found)]
+        state["cell_centre"] = self.spark.createDataFrame(centres, "grain string, cell int, centre array<double>")
+        self.store.commit(state, {"write_epoch": meta["write_epoch"], "indexed_epoch": meta["write_epoch"]})
         return True
 
     # -- export -----------------------------------------------------------------------------------------------------
 
     def export_bundle(self, folder: str, parent_id: str | None = None, concept_type: str | None = None, tags: Sequence[str] = ()) -> list[str]:
         """Write Markdown files and an index of each directory; returns the ids, sorted."""
+        return sorted(r[0] for r in self.export_files(folder, parent_id, concept_type, tags).collect())
+
+    @_operation
+    def export_files(self, folder: str, parent_id: str | None = None, concept_type: str | None = None, tags: Sequence[str] = ()) -> DataFrame:
+        """Write Markdown files and an index of each directory; the ids (id) of what was written."""
         chosen = X.select(self.concepts(), parent_id, concept_type, tags)
         X.write_files(X.documents(chosen.drop("embedding"), self.links()[0]), folder)
         pages = X.index_pages(chosen)
         X.write_files(pages.select(F.concat("dir", F.lit("/index")).alias("id"), F.concat(F.lit("# "), "dir", F.lit("\n\n"), "page", F.lit("\n")).alias("text")), folder)
-        return sorted(r[0] for r in chosen.select("id").collect())
+        return chosen.select("id")

@@ -48,6 +48,11 @@ def truncated(a: Column, dim: int) -> Column:
     return F.transform(cut, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0))
 
 
+def last_token(states: Column, mask: Column) -> Column:
+    """Of an encoder's states (a vector a token) that of the last token which the mask keeps; null if it keeps none."""
+    return F.get(states, F.array_max(F.transform(mask, lambda m, k: F.when(m > 0, k))))
+
+
 _BUCKETS: dict[str, int] = {}
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,14 +73,21 @@ def documents(concepts: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def write_files(texts: DataFrame, folder: str) -> None:
-    """One Markdown file for each row (id, text), written where the rows are; the folder must be one that all share."""
+    """One Markdown file for each row (id, text), below a folder of any file system that all machines share.
 
-    def write(rows) -> None:
-        from pathlib import Path
+    Rows are written where they are, as files of the folder; on a local path by the system, elsewhere by Arrow's file systems.
+    """
 
-        for row in rows:
-            path = Path(folder, f"{row['id']}.md")
-            path.parent.mkdir(parents=True, exist_ok=True)
-            path.write_text(row["text"], encoding="utf-8")
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    texts.foreachPartition(write)
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                path = f"{root.rstrip('/')}/{i}.md"
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as out:
+                    out.write((text or "").encode())
+            yield batch.slice(0, 0).select(["id"])
+
+    texts.select("id", "text").mapInArrow(write, "id string").count()

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .rank import DIGITS
+from .rank import DIGITS, knn
 
 #: Cells of a vector index for each unit of the root of the rows, within bounds; rows that they are sampled from.
 PER_ROOT, LEAST_CELLS, MOST_CELLS = 1.0, 1, 4096
@@ -49,10 +51,9 @@ def cells_of(vectors: DataFrame, id_col: str = "id", vector_col: str = "embeddin
 
 def with_cells(vectors: DataFrame, centres: Sequence[Sequence[float]], vector_col: str = "embedding") -> DataFrame:
     """``vectors`` with ``cell``: the number of the nearest centre by inner product."""
-    import numpy as np
-    import pandas as pd
-
-    middle = np.array(centres, float).reshape(len(centres), -1)
+    if not centres:
+        return vectors.withColumn("cell", F.lit(0))
+    middle = np.array(centres, float)
 
     @F.pandas_udf("int")
     def nearest(batch: pd.Series) -> pd.Series:
@@ -60,13 +61,11 @@ def with_cells(vectors: DataFrame, centres: Sequence[Sequence[float]], vector_co
         x = np.array([np.zeros(dim) if v is None or len(v) != dim else v for v in batch], float).reshape(len(batch), dim)
         return pd.Series((x @ middle.T).argmax(1).astype("int32"))
 
-    return vectors.withColumn("cell", nearest(vector_col) if len(middle) else F.lit(0))
+    return vectors.withColumn("cell", nearest(vector_col))
 
 
 def knn_in_cells(indexed: DataFrame, centres: Sequence[Sequence[float]], query: Sequence[float], k: int, probes: int = PROBES, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(id, sim): the ``k`` nearest by inner product in the ``probes`` cells nearest to the query; ties by id."""
-    from .rank import knn
-
     order = sorted(range(len(centres)), key=lambda c: (-sum(a * b for a, b in zip(centres[c], query)), c))
     return knn(indexed.filter(F.col("cell").isin(order[:probes] or [0])), query, k, id_col, vector_col)
 

@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    for name in ("retrieval", "scalars", "maintenance"):
+    for name in ("retrieval", "scalars", "maintenance", "through_engine"):
         importlib.import_module(f"{__package__}.{name}")
 
 

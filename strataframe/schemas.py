@@ -17,10 +17,39 @@ TABLES: dict[str, str] = {
     "link_raw": "src string, target string",
     "file_hash": "path string, hash string, concept_id string",
     "dir_hash": "path string, hash string, files array<string>",
+    "concept_cell": "id string, cell int, embedding array<float>",
+    "chunk_cell": "id string, cell int, embedding array<float>",
+    "cell_centre": "grain string, cell int, centre array<double>",
     "deleted_concept": "id string, original_id string, title string, body string, deleted_at timestamp, type string, tags array<string>",
 }
-#: Version of the stored layout; tables of older ones get the columns they lack.
+#: The document of a chunk's id.
+OF_CHUNK = "regexp_replace(id, '#chunk:[0-9]+$', '')"
+#: What a change replaces, by table, in SQL.
+KEYS = {
+    "concept": "id",
+    "chunk": "parent_doc_id",
+    "image_asset": "id",
+    "image_data": "id",
+    "includes_asset": "src",
+    "concept_posting": "id",
+    "concept_length": "id",
+    "chunk_posting": OF_CHUNK,
+    "chunk_length": OF_CHUNK,
+    "concept_cell": "id",
+    "chunk_cell": OF_CHUNK,
+    "cell_centre": "grain",
+    "link_raw": "src",
+    "file_hash": "path",
+    "dir_hash": "path",
+    "deleted_concept": "id",
+}
+#: Version of the stored layout. Tables of older ones get the columns they lack, filled by ``MIGRATIONS``.
 VERSION = 6
+#: By table: (first version that needs it not, columns in SQL).
+MIGRATIONS = {
+    "concept_posting": (6, {"dl": "coalesce(dl, cast(sum(tf) over (partition by id) as int))"}),
+    "chunk_posting": (6, {"dl": "coalesce(dl, cast(sum(tf) over (partition by id) as int))"}),
+}
 OFFICIAL_DIMENSIONS = (32, 64, 128, 256, 512, 768, 1024)
 
 
@@ -36,7 +65,11 @@ def checked_dimension(dim: int) -> int:
     return dim
 
 
-def migrated(df, name: str):
-    """A stored table in today's layout: columns it lacks are null, others stay behind."""
+def migrated(df, name: str, version: int = VERSION):
+    """A stored table in today's layout: columns it lacks are null or made from others, unknown ones stay behind."""
+    from pyspark.sql import functions as F
+
     empty = df.sparkSession.createDataFrame([], schema(name))
-    return empty.unionByName(df, allowMissingColumns=True).select(*empty.columns)
+    out = empty.unionByName(df, allowMissingColumns=True).select(*empty.columns)
+    since, made = MIGRATIONS.get(name, (0, {}))
+    return out.withColumns({c: F.expr(x) for c, x in made.items()}) if version < since else out

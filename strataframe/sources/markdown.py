@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,14 +60,18 @@ def parsed(text: Column | str) -> Column:
 def scan(spark: SparkSession, folder: str, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(path, modified, length, content) of the files below a folder with these suffixes, in any case; relative paths.
 
-    Spark's reader passes over files without a byte.
+    Spark's reader passes over files without a byte, so those are taken from its list of files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     root = folder if "://" in folder else f"file:{folder if folder.startswith('/') else '/' + folder}"
     root = re.sub(r"^file:/+", "file:/", root.rstrip("/")) + "/"
     bare = F.regexp_replace("path", r"^file:/+", "file:/")
     rel = F.when(F.startswith(bare, F.lit(root)), F.substr(bare, F.lit(len(root) + 1))).otherwise(F.element_at(F.split(bare, "/"), -1))
-    named = files.select(rel.alias("path"), F.col("modificationTime").alias("modified"), "length", "content")
+    listed = [(unquote(p),) for p in files.inputFiles() if p.lower().endswith(tuple(suffixes))]
+    read = files.select(bare.alias("__read"))
+    empty = spark.createDataFrame(listed, "path string").join(read, bare == F.col("__read"), "left_anti")
+    empty = empty.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    named = files.unionByName(empty).select(rel.alias("path"), F.col("modificationTime").alias("modified"), "length", "content")
     return named.filter(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
 
 
@@ -100,40 +105,95 @@ def raw_links(concepts: DataFrame) -> DataFrame:
 
 def image_bytes(refs: DataFrame, files: DataFrame) -> DataFrame:
     """``refs`` (concept_id, src) with data: from data: sources, or from files (path, content) by asset id or path below the
-    concept's folder or the root; null where there is none. Remote sources are never read here."""
+    concept's folder or the root, in this order; null where there is none. Remote sources aren't read here.
+
+    Sources are matched by paths alone, and contents come in by one join.
+    """
     from ..functions import images as I
 
-    known = files.select("path", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "").alias("stem"), "content")
-    assets = known.filter(F.col("path").contains("_assets/")).select(F.col("stem").alias("__asset"), F.col("content").alias("__a"))
-    by_path = known.select(F.col("path").alias("__path"), F.col("content").alias("__p"))
-    home = F.regexp_replace("concept_id", r"[^/]*$", "")
-    local: Column = F.regexp_replace(F.regexp_replace("src", r"[?#].*$", ""), r"^(\./)+", "")
-    out = refs.withColumn("__asset", F.when(F.col("src").startswith("asset://"), F.substr("src", F.lit(9))))
-    out = out.withColumn("__near", F.concat(home, local)).withColumn("__root", local)
-    out = out.join(assets, "__asset", "left")
-    out = out.join(by_path.toDF("__near", "__n"), "__near", "left").join(by_path.toDF("__root", "__r"), "__root", "left")
-    data = F.coalesce(I.data_bytes(F.col("src")), "__a", "__n", "__r")
-    return out.withColumn("data", data).select(*refs.columns, "data")
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "")
+    asset = F.when(F.col("path").contains("_assets/"), F.concat(F.lit("asset:"), stem))
+    known = files.select("path", F.explode(F.array_compact(F.array(F.concat(F.lit("path:"), "path"), asset))).alias("key"))
+    local = F.regexp_replace(F.regexp_replace("src", r"[?#].*$", ""), r"^(\./)+", "")
+    wanted = F.array(
+        F.when(F.col("src").startswith("asset://"), F.concat(F.lit("asset:"), F.substr("src", F.lit(9)))),
+        F.concat(F.lit("path:"), F.regexp_replace("concept_id", r"[^/]*$", ""), local),
+        F.concat(F.lit("path:"), local),
+    )
+    each = refs.select("concept_id", "src").distinct().select("concept_id", "src", F.posexplode(wanted).alias("order", "key")).join(known, "key")
+    chosen = each.groupBy("concept_id", "src").agg(F.min(F.struct("order", "path")).alias("c")).select("concept_id", "src", F.col("c.path").alias("path"))
+    found = chosen.join(files.select("path", "content"), "path").select("concept_id", "src", "content")
+    out = refs.join(found, ["concept_id", "src"], "left")
+    return out.withColumn("data", F.coalesce(I.data_bytes(F.col("src")), "content")).select(*refs.columns, "data")
+
+
+def fetched(url: str, most: int = 32 << 20) -> bytes | None:
+    """The bytes of a remote image; null if it can't be had or is too large."""
+    from urllib.error import URLError
+    from urllib.request import urlopen
+
+    try:
+        with urlopen(url, timeout=10) as answer:
+            data = answer.read(most + 1)
+    except (URLError, OSError, ValueError):
+        return None
+    return data if len(data) <= most else None
+
+
+def with_remote(refs: DataFrame, domains: Sequence[str], fetch: Callable[[str], bytes | None]) -> DataFrame:
+    """``refs`` (src, data) with the data of remote sources that the domains allow; each source is read once."""
+    from ..functions import security
+
+    allowed = F.lower("src").rlike("^https?://") & F.col("data").isNull() & (security.source_verdict(F.col("src"), domains, remote=True) == "ok")
+
+    @F.pandas_udf("binary")
+    def read(urls: pd.Series) -> pd.Series:
+        return urls.map(fetch)
+
+    got = refs.filter(allowed).select("src").distinct().select("src", read("src").alias("__remote"))
+    return refs.join(got, "src", "left").withColumn("data", F.coalesce("data", "__remote")).select(*refs.columns)
 
 
 class MissingConverter(RuntimeError):
     """Raised where a format needs a library that isn't installed."""
 
 
-def convert_pages(files: DataFrame, reader: str) -> DataFrame:
-    """(path, text) of PDF or office files through a converter library: ``module:function`` from bytes to an iterable of
-    pages; pages are joined by rules. The library is looked for on the driver first, so its lack is one clear error."""
+#: A page as a reader gives it: text, then what layout and recognition found; all but the text may be missing.
+PAGE = (
+    "text string, images array<string>, formulas array<struct<read: string, latex: string>>, "
+    "regions array<struct<kind: string, box: array<double>, text: string, src: string>>"
+)
+
+
+def read_pages(files: DataFrame, reader: str | Callable[[bytes], Iterable[object]]) -> DataFrame:
+    """(path, page, and the columns of ``PAGE``) of PDF or office files (path, content) through a converter.
+
+    reader: a function, or ``module:function``, from bytes to an iterable of pages, which are texts or mappings. A library is
+    looked for on the driver first, so its lack is one clear error.
+    """
     import importlib
 
-    module, name = reader.split(":")
-    try:
-        importlib.import_module(module)
-    except ImportError as e:
-        raise MissingConverter(f"reading these files needs {module}, which isn't installed") from e
+    if isinstance(reader, str):
+        module, name = reader.split(":")
+        try:
+            importlib.import_module(module)
+        except ImportError as e:
+            raise MissingConverter(f"reading these files needs {module}, which isn't installed") from e
+
+    def pages_of(content: bytes) -> list[dict]:
+        read = reader if callable(reader) else getattr(importlib.import_module(module), name)
+        found = [{"text": p} if isinstance(p, str) else dict(p) for p in read(content)]
+        return [{k: p.get(k) for k in ("text", "images", "formulas", "regions")} for p in found]
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(f"array<struct<{PAGE.replace(' string', ': string', 1).replace('images array', 'images: array').replace('formulas array', 'formulas: array').replace('regions array', 'regions: array')}>>")
     def run(contents: pd.Series) -> pd.Series:
-        pages = getattr(importlib.import_module(module), name)
-        return contents.map(lambda c: "\n\n---\n\n".join(pages(c)))
+        return contents.map(pages_of)
+
+    return files.select("path", F.posexplode(run("content")).alias("page", "p")).select("path", "page", "p.*")
+
 
-    return files.select("path", run("content").alias("text"))
+def convert_pages(files: DataFrame, reader: str | Callable[[bytes], Iterable[object]]) -> DataFrame:
+    """(path, text): the texts of a file's pages as they are, joined by rules."""
+    pages = read_pages(files, reader).select("path", "page", F.coalesce("text", F.lit("")).alias("text"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: p["text"])
+    return pages.groupBy("path").agg(F.array_join(listed, "\n\n---\n\n").alias("text"))

@@ -35,7 +35,8 @@ def import_stream(engine: Engine, folder: str, checkpoint: str) -> StreamingQuer
         files = named(batch, folder).filter(F.lower("path").rlike(r"\.(md|markdown|txt)$"))
         rows = S.concepts(files).filter("error is null").drop("error").dropDuplicates(["id"])
         if not rows.isEmpty():
-            engine._write(rows)
+            with engine.store.writing(), engine.store.pinned():
+                engine._write(rows)
 
     return stream_files(engine.spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -140,6 +140,9 @@ def test_changes_deletes_and_recovery(spark, tmp_path):
     assert e.is_dirty() and e.reindex() and not e.is_dirty() and not e.reindex()
     thought = e.ingest_thoughts("deep thing", "My Topic", now=now)
     assert thought.startswith("thought_my_topic_20240501000000_")
+    kept = e.get_by_id(thought)
+    assert kept["tags"] == ["My Topic", "reasoning", "thought"] and kept["description"] == "Reasoning about My Topic"
+    assert kept["body"].startswith('---\ntitle: "Thought: My Topic"\ntype: thought\nthought_type: reasoning\ntopic: My Topic\ntags: [thought, reasoning, My Topic]\ncreated: 2024') and kept["body"].endswith("---\n\ndeep thing\n")
     (root / "n b.md").write_text("---\nsummary: short\ntags: [q]\n---\n# N  \n\n\n\n\ntext")
     assert e.ingest_md(str(root / "n b.md"), tags=["p", "q"]) == "n_b"
     got = e.get_by_id("n_b")
@@ -150,17 +153,135 @@ def test_store_versions(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     rows = spark.createDataFrame([("p", "h")], "path string, hash string")
     store.commit({"file_hash": schemas.migrated(rows, "file_hash")})
-    other = Store(spark, str(tmp_path))
+    other = Store(spark, str(tmp_path), timeout=0.3)
     assert other.table("file_hash").first().concept_id is None
     other.manifest = lambda m=store.manifest(): m | {"number": 0}
     with pytest.raises(Conflict):
         other.commit({}, {"x": 1})
+    with store.writing(), pytest.raises(Conflict):  # waits, but not for ever
+        other.commit({}, {"x": 1})
     store.commit({"file_hash": store.table("file_hash")})
     assert store.vacuum() == 1 and store.table("file_hash").count() == 1
     with pytest.raises(ValueError):
         schemas.checked_dimension(31)
 
 
+def test_store_changes_merge(spark, tmp_path, monkeypatch):
+    from strataframe import store as module
+
+    monkeypatch.setattr(module, "MOST_PARTS", 3)
+    store, want = Store(spark, str(tmp_path)), {}
+    for k in range(7):
+        rows = {f"p{j}": f"h{k}" for j in range(k, k + 3)}
+        gone = {*rows, f"p{k - 1}"}
+        want = {p: h for p, h in want.items() if p not in gone} | rows
+        change = (spark.createDataFrame([*rows.items()], "path string, hash string").selectExpr("path", "hash", "path concept_id"), spark.createDataFrame([(g,) for g in gone], "key string"))
+        with store.pinned():
+            store.commit({"file_hash": change})
+            assert store.manifest()["number"] == k  # the pin stays
+        assert {r.path: r.hash for r in store.table("file_hash").collect()} == want
+    assert max(len(p) for p in store.manifest()["tables"].values()) <= 3
+    store.commit({"file_hash": (None, spark.createDataFrame([("p8",)], "key string"))})
+    assert "p8" not in {r.path for r in store.table("file_hash").collect()}
+
+
+def test_a_change_costs_its_own_size(spark, tmp_path):
+    root = tmp_path / "b"
+    root.mkdir()
+    for k in range(60):
+        (root / f"n{k}.md").write_text(f"# n{k}\n\n" + f"words of number {k} " * 200)
+    e = Engine(spark, str(tmp_path / "s"))
+    e.import_bundle(str(root))
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "s" / "tables").rglob("*.parquet"))
+    whole = size()
+    (root / "n7.md").write_text("# n7 changed\n")
+    assert e.import_bundle(str(root)) == ["n7"]
+    assert size() - whole < 0.6 * whole and e.get_by_id("n7")["body"] == "# n7 changed\n"
+    changed = [p[-1] for n, p in e.store.manifest()["tables"].items() if n == "concept"]
+    rows = spark.read.parquet(f"{e.store.path}/{changed[0]['rows']}")
+    assert [r.id for r in rows.select("id").collect()] == ["n7"]
+
+
+def test_traverse_takes_the_type_before_the_limit(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    kinds = {f"c{k:03}": "chapter" if k >= 120 else "note" for k in range(150)}
+    rows = [("hub", "note"), *kinds.items()]
+    concept = spark.createDataFrame(rows, "id string, type string").selectExpr("id", "type", "id title", "cast(null as string) description", "cast(null as string) resource", "array('t') tags", "cast(null as timestamp) timestamp", "'' body", "cast(null as array<float>) embedding", "cast(null as map<string,string>) extra")
+    e.store.commit({"concept": concept, "link_raw": spark.createDataFrame([("hub", k) for k in kinds], "src string, target string")})
+    assert [r.id for r in e.traverse("hub", node_type="chapter").collect()] == [f"c{k:03}" for k in range(120, 150)]
+    assert [r.id for r in e.traverse("hub").collect()] == [f"c{k:03}" for k in range(100)]
+    assert [r.id for r in e.traverse("hub", limit=3, node_type="note").collect()] == ["c000", "c001", "c002"]
+
+
+def test_empty_files_are_concepts(spark, tmp_path):
+    root = tmp_path / "b b"
+    root.mkdir()
+    (root / "full.md").write_text("# x\n")
+    (root / "empty+1 %20.md").write_bytes(b"")
+    e = Engine(spark, str(tmp_path / "s"))
+    assert e.import_bundle(str(root)) == ["empty+1 %20", "full"]
+    (root / "full.md").write_bytes(b"")
+    assert e.import_bundle(str(root)) == ["full"] and e.get_by_id("full")["body"] == ""
+    assert e.import_bundle(str(root)) == []
+
+
+def test_remote_images_behind_the_list(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    urls = ["https://cdn.example.com/a.png", "https://evil.example.net/b.png", "http://10.0.0.1/c.png"]
+    (tmp_path / "b" / "x.md").write_text("".join(f"![]({u})\n" for u in urls))
+    for remote in (True, False):
+        settings = config.Config(remote_images=remote, allowed_domains=("*.example.com",))
+        e = Engine(spark, str(tmp_path / f"s{remote}"), settings, fetch=lambda url: b"GIF89a" + url.encode())
+        e.import_bundle(str(tmp_path / "b"))
+        found = {r.file_name: r.id for r in e.list_images("x").collect()}
+        data = {n: e.get_image_data(i) for n, i in found.items()}
+        assert data == {"a.png": b"GIF89ahttps://cdn.example.com/a.png" if remote else None, "b.png": None, "c.png": None}
+
+
+def test_vector_cells_and_reindex(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    middle = rng.normal(size=(30, 64))
+    x = middle[rng.integers(30, size=2000)] + 0.3 * rng.normal(size=(2000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    e = Engine(spark, str(tmp_path), config.Config(probes=8))
+    rows = spark.createDataFrame([(f"c{k}", v) for k, v in enumerate(x.tolist())], "id string, embedding array<float>")
+    concept = rows.selectExpr("id", "'note' type", "id title", "'' description", "cast(null as string) resource", "array('t') tags", "cast(null as timestamp) timestamp", "'' body", "embedding", "cast(null as map<string,string>) extra")
+    e.store.commit({"concept": concept})
+    assert e.reindex() and not e.reindex() and e.reindex(force=True)
+    right = 0
+    for q in x[:10]:
+        want = {f"c{k}" for k in np.argsort(-(x.astype(float) @ q.astype(float)), kind="stable")[:10]}
+        right += len(want & {r.id for r in e._near("concept", q.tolist(), 10).collect()})
+    assert right >= 90  # measured recall of a search in 8 of 45 cells
+    fresh = e.store.table("concept_cell").count()
+    assert fresh == 2000 and e.store.table("cell_centre").filter("grain = 'concept'").count() == 45
+
+
+def test_pages_become_documents(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strataframe.operators import convert
+
+    def reader(content):
+        table = "<table><tr><th>A</th></tr><tr><td>1</td></tr></table>"
+        yield content.decode()
+        yield {"text": "α" * 40 + " x 2", "formulas": [{"read": "x 2", "latex": "x^2"}]}
+        yield {"text": "", "images": ["p.png"], "regions": [{"kind": "table", "box": [0.0, 0.0, 9.0, 9.0], "text": table, "src": None}]}
+
+    files = spark.createDataFrame([("a/x.pdf", b"one"), ("a/x.docx", b"two")], "path string, content binary")
+    pages = markdown.read_pages(files, reader)
+    got = {r.path: r for r in convert.documents(pages, "auto", spark.createDataFrame([("b.md",)], "path string")).collect()}
+    maths = "α" * 40
+    want = f"{{}}\n\n---\n\n{maths} $$\nx^2\n$$\n\n---\n\n| A |\n| --- |\n| 1 |\n\n![](p.png)"
+    assert {p: (r.target, r.text) for p, r in got.items()} == {"a/x.docx": ("a/x.md", want.format("two")), "a/x.pdf": ("a/x_v2.md", want.format("one"))}
+    routes = [r.route for r in convert.assembled(pages.filter("path = 'a/x.pdf'"), "auto").orderBy("page").select(F.col("route")).collect()]
+    assert routes == ["fast", "heavy", "heavy"]
+    never = convert.documents(pages, "never").filter("path = 'a/x.pdf'").first().text
+    assert never.startswith(f"one\n\n---\n\n{maths} x 2\n\n---\n\n")
+
+
 def test_config(tmp_path):
     (tmp_path / "strataframe.toml").write_text("dimension = 128\nchunk_overlap = 9\n")
     found = config.load({"chunk_overlap": 0}, str(tmp_path), {"STRATAFRAME_DIMENSION": "256", "STRATAFRAME_ALLOWED_DOMAINS": "a.b,c.d"})

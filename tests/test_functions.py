@@ -38,7 +38,8 @@ def test_images(spark):
 @pytest.mark.parametrize(
     "head, name, kind",
     [("89504E470D0A1A0A", "x", "image/png"), ("FFD8FFE0", "x", "image/jpeg"), (None, "pic.gif", "image/gif"), ("00FF", "noext", "application/octet-stream"),
-     ("524946460000000057454250", "x", "image/webp"), ("0000001C6674797061766966", "x", "image/avif")],
+     ("524946460000000057454250", "x", "image/webp"), ("0000001C6674797061766966", "x", "image/avif"),
+     *((f"0000001C66747970{brand.encode().hex()}", "x", "image/heic") for brand in ("heic", "heix", "heim", "heis", "mif1"))],
 )
 def test_mime(spark, head, name, kind):
     data = F.unhex(F.lit(head)) if head else F.lit(None).cast("binary")
@@ -51,7 +52,7 @@ def test_asset_id_is_a_name_based_uuid(spark):
 
 
 def test_modes():
-    assert images.mode("Text-Only") == "text"
+    assert images.mode("Text-Only") == "text" and images.mode("hybrid") == "optional" and images.mode("full") == images.mode("multimodal") == "omni"
     with pytest.raises(ValueError):
         images.mode("loud")
 
@@ -76,6 +77,13 @@ def test_truncated_vectors(spark):
     assert got.a == [0.6, 0.8] and got.b == [1.0, 0.0, 0.0] and got.c == [0.0, 0.0]
 
 
+def test_last_token(spark):
+    states = F.array(*(F.array(F.lit(float(k))) for k in range(3)))
+    masks = ([1, 1, 0], [0, 1, 1], [0, 0, 0])
+    got = one(spark, **{f"m{k}": vectors.last_token(states, F.array(*map(F.lit, m))) for k, m in enumerate(masks)})
+    assert tuple(got) == ([1.0], [2.0], None)
+
+
 def test_hashed_words(spark):
     words = "The quick brown fox; the dog"
     got = one(spark, v=vectors.hashed(F.lit(words), 32), e=vectors.hashed(F.lit(""), 32), n=vectors.hashed(F.lit(None).cast("string"), 32))
@@ -97,6 +105,11 @@ def test_tables():
     assert convert.pipe_table(spanned) == spanned
 
 
+def test_fonts_and_maths(spark):
+    got = one(spark, a=convert.is_math_font(F.lit("ABC+CMMI10")), b=convert.is_fixed_font(F.lit("DejaVu Sans Mono")), c=convert.is_fixed_font(F.lit("Times")), n=convert.math_chars(F.lit("αΩ∫⨌𝐀→x²⟀⦀")))
+    assert tuple(got) == (True, True, False, 7)
+
+
 def test_staging_and_geometry():
     new, found = convert.staged("![a](p.png) ![b](gone.png)", "doc", {"p.png": b"x"})
     assert new.startswith(f"![a](asset://{found[0][0]})") and "gone.png" in new and len(found) == 1

@@ -40,21 +40,23 @@ def traverse(edges: DataFrame, start: str, rel: str, direction: str = "OUTGOING"
     if direction not in ("OUTGOING", "INCOMING", "BOTH"):
         raise ValueError(f"no direction {direction!r}")
     steps = _steps(edges, [rel], direction)
-    spark = edges.sparkSession
-    frontier = spark.createDataFrame([(start,)], "id string")
-    found, seen = None, frontier
+    reached = steps.filter(F.col("src") == start).select(F.col("dst").alias("id"), "dst_label")
+    found, seen = None, None
     for level in range(1, depth + 1):
-        reached = steps.join(bounded(frontier), F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "dst_label")
+        if level > 1:
+            reached = steps.join(frontier, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "dst_label")
         if not walks:
-            reached = reached.distinct().join(bounded(seen), "id", "left_anti")
-        if level < depth:  # the next level, and the result, read it; made once, the plan doesn't grow with the depth
-            reached = materialise(reached, "level")
-        found = reached.withColumn("depth", F.lit(level)) if found is None else found.union(reached.withColumn("depth", F.lit(level)))
+            reached = reached.distinct().filter(F.col("id") != start)
+            reached = reached if seen is None else reached.join(seen, "id", "left_anti")
+        if level < depth:  # the next level and the result read it: made once, the plan doesn't grow with the depth
+            reached = materialise(reached, "level")  # its size is known, so joins broadcast it while it is small
+        at = reached.withColumn("depth", F.lit(level))
+        found = at if found is None else found.union(at)
         if level < depth:
             if reached.isEmpty():
                 break
             frontier = reached.select("id")
-            seen = seen.union(frontier)
+            seen = frontier if seen is None else seen.union(frontier)
     if not any_target:
         found = found.filter(F.col("dst_label") == TARGET.get(rel, "Concept"))
     return found.select("id", "depth")
@@ -72,15 +74,17 @@ def distances(steps: DataFrame, start: str, most: int = 6, goal: str | None = No
     A level is written once, and the walk stops when it is empty or has the goal; parents are the least id.
     """
     most = max(1, min(10, most))
-    level = steps.sparkSession.createDataFrame([(start, None)], "id string, parent string")
-    levels, seen = [level], level.select("id")
+    levels = [steps.sparkSession.createDataFrame([(start, None)], "id string, parent string")]
+    seen = None
     for _ in range(most):
-        nexts = steps.join(bounded(level.select("id")), F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        level = materialise(nexts.join(bounded(seen), "id", "left_anti").select("id", "parent"), "level")
+        near = steps.filter(F.col("src") == start) if seen is None else steps.join(levels[-1].select("id"), F.col("src") == F.col("id"))
+        nexts = near.filter(F.col("dst") != start).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        nexts = nexts if seen is None else nexts.join(seen, "id", "left_anti").select("id", "parent")
+        level = materialise(nexts, "level")  # its size is known, so joins broadcast it while it is small
         if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.union(level.select("id"))
+        seen = level.select("id") if seen is None else seen.union(level.select("id"))
         if goal is not None and not level.filter(F.col("id") == goal).isEmpty():
             break
     return levels

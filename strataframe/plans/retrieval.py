@@ -38,8 +38,9 @@ SHORT_SQL = "case when length(description)>200 then concat(substring(description
 
 
 def near_documents(q: Inputs, k: int = 3 * LIMIT) -> DataFrame:
-    vector = q.embeddings.filter("vec_id = 0").select("embedding").first()[0]
-    return R.knn(q.embeddings, vector, k, "vec_id")
+    vectors = stored(q, "vector")
+    vector = vectors.filter("vec_id = 0").select("embedding").first()[0]
+    return R.knn(vectors, vector, k, "vec_id")
 
 
 def _document_hits(q: Inputs) -> DataFrame:

@@ -45,6 +45,7 @@ BUILT: dict[str, Callable[[Inputs], DataFrame]] = {
     "document_stats": lambda q: X.stats(X.lengths(q.documents, "doc_id")),
     "concept_posting": lambda q: X.sorted_by(X.postings(q.concept, "doc_id", _concept_text()), "term", "id"),
     "concept_stats": lambda q: X.stats(X.lengths(q.concept, "doc_id", _concept_text())),
+    "vector": lambda q: q.embeddings.select("vec_id", "embedding"),
     "concept_meta": lambda q: q.concept.drop("body"),
     "chunk": _chunk,
     "chunk_posting": lambda q: X.sorted_by(X.postings(q.chunk, "chunk_id", "chunk_text"), "term", "id"),

@@ -41,6 +41,18 @@ def sorted_by(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def wide(vectors: DataFrame, dim: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """Vectors with a column for each component (c0, c1, ...), so that a search reads those that its query has alone."""
+    return vectors.select(F.col(id_col).alias("id"), *(F.get(vector_col, F.lit(k)).cast("double").alias(f"c{k}") for k in range(dim)))
+
+
+def knn_wide(indexed: DataFrame, query: Sequence[float], k: int) -> DataFrame:
+    """(id, sim): the ``k`` nearest of ``wide`` vectors by inner product; ties by id. Exact; components of 0 aren't read."""
+    terms = [f"c{c} * {float(x)!r}D" for c, x in enumerate(query) if x]
+    sim = F.round(F.expr(" + ".join(["0D", *terms])), DIGITS)
+    return indexed.select("id", sim.alias("sim")).orderBy(F.desc("sim"), "id").limit(k)
+
+
 def cells_of(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> list[list[float]]:
     """Centres of cells: vectors of the table, those of the least hash of their id; bounded by ``MOST_CELLS``."""
     n = vectors.count()

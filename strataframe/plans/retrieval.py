@@ -125,7 +125,7 @@ _SIM_SQL = f"""ct as (select chunk_id, ('0x'||substr(md5(t),1,8))::bigint % {DIM
 
 
 def _chunk_near(q: Inputs) -> DataFrame:
-    return R.knn(stored(q, "chunk_vector"), V.hashed_query(QUERY, DIM), 3 * LIMIT)
+    return X.knn_wide(stored(q, "chunk_vector"), V.hashed_query(QUERY, DIM), 3 * LIMIT)
 
 
 def _chunk_hits(q: Inputs) -> DataFrame:

@@ -28,7 +28,7 @@ def _chunk(q: Inputs) -> DataFrame:
 
 
 def _chunk_vector(q: Inputs) -> DataFrame:
-    return q.chunk.select(F.col("chunk_id").alias("id"), V.hashed("chunk_text", DIM).alias("embedding"))
+    return X.wide(q.chunk.select(F.col("chunk_id").alias("id"), V.hashed("chunk_text", DIM).alias("embedding")), DIM)
 
 
 def _concept_text():

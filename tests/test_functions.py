@@ -145,6 +145,16 @@ def test_fusion_against_ranking_everything(spark):
     assert [(r.id, r.rrf) for r in rank.fuse(near, hits, 7, allowed).collect()] == [x for x in want if x[0] % 2][:7]
 
 
+def test_wide_vectors_give_the_same_neighbours(spark):
+    from strataframe.operators import index
+
+    rows = [(k, [float((k * j) % 7) for j in range(5)]) for k in range(40)] + [(40, None), (41, [0.0] * 5)]
+    vectors_ = spark.createDataFrame(rows, "id int, embedding array<double>")
+    for query in ([1.0, 0.0, -2.0, 0.0, 0.5], [0.0] * 5, [0.1, 0.2, 0.3, 0.4, 0.5]):
+        want = [(r.id, r.sim) for r in rank.knn(vectors_.filter("embedding is not null"), query, 9).collect()]
+        assert [(r.id, r.sim) for r in index.knn_wide(index.wide(vectors_.filter("embedding is not null"), 5), query, 9).collect()] == want
+
+
 def test_lint_errors(spark):
     body = "# a\n### b\ntext\n```\ncode\n```\nmore <b>x</b>\n\n~~~\nq\n~~~\n"
     got = one(spark, j=text.heading_jumps(F.lit(body)), f=text.crowded_fences(F.lit(body)), h=text.inline_html(F.lit(body)), n=text.heading_jumps(F.lit("")), e=text.crowded_fences(F.lit("")))

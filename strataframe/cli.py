@@ -81,10 +81,12 @@ def _given(**options) -> dict:
 def run(engine: Engine, a: argparse.Namespace):
     """The result of one command."""
     match a.command:
-        case "init" | "model-info":
-            return {"store": engine.store.path, "manifest": engine.store.manifest()["number"], "dimension": engine.dimension, "encoder": "hashed words" if engine._make is None else "custom"}
+        case "init":
+            return {"store": engine.store.path, "manifest": engine.store.manifest()["number"], "dimension": engine.dimension}
+        case "model-info":
+            return engine.model_info()
         case "import":
-            return engine.import_bundle(a.folder)
+            return engine.import_files(a.folder)
         case "ingest":
             return engine.ingest_md(a.file, **_given(concept_id=a.id, title=a.title, description=a.description, tags=a.tags))
         case "ingest-pdf":
@@ -111,7 +113,7 @@ def run(engine: Engine, a: argparse.Namespace):
         case "chunks":
             return engine.get_chunks(a.id)
         case "export":
-            return engine.export_bundle(a.folder, **_given(parent_id=a.parent, concept_type=a.type, tags=a.tags))
+            return engine.export_files(a.folder, **_given(parent_id=a.parent, concept_type=a.type, tags=a.tags))
         case "reconstruct":
             return engine.reconstruct_document(a.id)
         case "path":

@@ -112,6 +112,13 @@ class Engine:
         length = sum(x * x for x in found) ** 0.5
         return [x / length if length else 0.0 for x in found]
 
+    def model_info(self) -> dict:
+        """What texts and images are encoded by, and how vectors are searched."""
+        made = None if self._make is None else getattr(self._make, "__qualname__", type(self._make).__qualname__)
+        centres = {grain: len(self._centres(grain)) for grain in ("concept", "chunk")}
+        return {"encoder": made or "hashed words", "dimension": self.dimension, "image_mode": I.mode(self.config.image_mode), "context_limit": self.config.context_limit,
+                "probes": self.config.probes, "cells": centres, "dirty": self.is_dirty()}
+
     # -- import -----------------------------------------------------------------------------------------------------
 
     def import_bundle(self, folder: str) -> list[str]:

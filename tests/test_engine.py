@@ -297,6 +297,8 @@ def test_command_line(engine, capsys):
     assert json.loads(show("path", "intro", "sub/deep")) == ["intro", "sub/deep"]
     assert "sub/deep" in show("search", "graph", "--limit", "3")
     assert json.loads(show("init"))["dimension"] == 64
+    info = json.loads(show("model-info"))
+    assert info["encoder"] == "hashed words" and info["image_mode"] == "text" and info["cells"] == {"concept": 0, "chunk": 0}
     with pytest.raises(SystemExit):
         p.parse_args([engine.store.path, "nothing"])
 

@@ -13,6 +13,7 @@ import json
 import time
 import uuid
 from collections.abc import Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
@@ -23,6 +24,8 @@ from .schemas import KEYS, VERSION, migrated, schema
 
 #: Parts of a table; the next one makes it whole.
 MOST_PARTS = 8
+#: Tables that a commit writes at once.
+WRITERS = 4
 #: Seconds after which a lock of a writer that died is taken over.
 LEASE = 3600
 #: Keys of parts up to this many are broadcast to the rows.
@@ -150,23 +153,26 @@ class Store:
         rows.write.parquet(f"{self.path}/{folder}")
         return folder
 
+    def _write_keys(self, gone: DataFrame) -> tuple[str, int]:
+        folder = f"tables/keys-{uuid.uuid4().hex}"
+        gone.toDF("key").distinct().write.parquet(f"{self.path}/{folder}")
+        return folder, self.spark.read.schema("key string").parquet(f"{self.path}/{folder}").count()
+
     def commit(self, tables: Mapping[str, DataFrame | Change], meta: Mapping[str, int] | None = None) -> dict:
         """Write the changes and make them the state; a frame alone is a whole table. Old folders stay for their readers."""
         with self.writing():
             old = self.manifest()
             state = {n: [*parts] for n, parts in old["tables"].items()}
-            keys: dict[int, tuple[str, int]] = {}
-            for name, change in tables.items():
-                rows, gone = change if isinstance(change, tuple) else (change, None)
+            changes = {n: c if isinstance(c, tuple) else (c, None) for n, c in tables.items()}
+            with ThreadPoolExecutor(WRITERS) as pool:  # small jobs of their own
+                keys = {id(g): pool.submit(self._write_keys, g) for g in {id(g): g for _, g in changes.values() if g is not None}.values()}
+                rows = {n: pool.submit(self._write, n, r) for n, (r, _) in changes.items() if r is not None}
+            for name, (_, gone) in changes.items():
+                folder = rows[name].result() if name in rows else None
                 if gone is None:
-                    state[name] = [self._part(self._write(name, rows))]
+                    state[name] = [self._part(folder)]
                     continue
-                if id(gone) not in keys:  # several tables share the keys of a change
-                    folder = f"tables/keys-{uuid.uuid4().hex}"
-                    gone.toDF("key").distinct().write.parquet(f"{self.path}/{folder}")
-                    keys[id(gone)] = folder, self.spark.read.schema("key string").parquet(f"{self.path}/{folder}").count()
-                part = self._part(None if rows is None else self._write(name, rows), *keys[id(gone)])
-                parts = [*state.get(name, []), part]
+                parts = [*state.get(name, []), self._part(folder, *keys[id(gone)].result())]  # tables may share keys
                 if len(parts) > MOST_PARTS:
                     parts = [self._part(self._write(name, self._merged(name, parts)))]
                 state[name] = parts

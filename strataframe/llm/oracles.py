@@ -58,7 +58,18 @@ SELECT d.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, d.vec_id
 FROM embeddings d LEFT JOIN counts ON a = vec_id JOIN least_of USING (vec_id)
 """
 
+EQUAL_TEXTS = r"""
+WITH texts AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents),
+ranked AS (
+  SELECT doc_id, content, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY content) AS group_size,
+    row_number() OVER best = 1 AS kept
+  FROM texts WINDOW best AS (PARTITION BY content ORDER BY n DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, kept, sha256(content) AS text_sha256 FROM ranked
+"""
+
 ORACLE_SQL = {
+    "op13_salted_exact_duplicates": EQUAL_TEXTS,
     "op6_pivot_near_vectors": NEAR_VECTORS,
     "op4_systematic_mixing": mixing.ORACLE_SQL,
     "op8_minmax_near_duplicates": NEAR_DUPLICATES,

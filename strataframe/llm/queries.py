@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_template, licenses, minmax, mixing, mpeg_audio, oracles, packing, pivots, quality, simple8b, substrings
+from . import exact, html_template, licenses, minmax, mixing, mpeg_audio, oracles, packing, pivots, quality, simple8b, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,11 @@ def op10_difference_cover_repeats(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_salted_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.equal_texts(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -104,6 +109,7 @@ QUERIES = {
         op8_minmax_near_duplicates,
         op9_simple8b_tokens,
         op10_difference_cover_repeats,
+        op13_salted_exact_duplicates,
     )
 }
 

@@ -68,7 +68,45 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, kept, sha256(content) AS text_sha256 FROM ranked
 """
 
+
+
+def _vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """All distances of each round, as SQL; lengths that ``parts`` divides."""
+    ctes = [f"""kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (
+  SELECT vec_id, part, e[part * (len(e) // {parts}) + 1 : (part + 1) * (len(e) // {parts})] AS piece
+  FROM kept, (SELECT unnest(range({parts})) AS part)),
+book0 AS (
+  SELECT part, entry, piece AS centre FROM cut
+  JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < {entries}) USING (vec_id))"""]
+    for r in range(rounds + 1):
+        ctes.append(f"""near{r} AS (
+  SELECT vec_id, part, arg_min(entry, distance * {entries} + entry) AS entry, min(distance) AS distance
+  FROM (SELECT vec_id, part, entry, list_sum(list_transform(list_zip(piece, centre), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance
+    FROM cut JOIN book{r} USING (part)) GROUP BY vec_id, part)""")
+        if r < rounds:
+            ctes.append(f"""moved{r} AS (
+  SELECT part, entry, list(centre ORDER BY place) AS centre
+  FROM (SELECT part, entry, place, floor(sum(component) / count(*))::BIGINT AS centre
+    FROM (SELECT n.part, n.entry, unnest(piece) AS component, generate_subscripts(piece, 1) AS place FROM near{r} n JOIN cut USING (vec_id, part))
+    GROUP BY part, entry, place) GROUP BY part, entry),
+book{r + 1} AS (SELECT part, entry, coalesce(m.centre, b.centre) AS centre FROM book{r} b LEFT JOIN moved{r} m USING (part, entry))""")
+    return "WITH " + ",\n".join(ctes) + f""",
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(distance)::BIGINT AS error FROM near{rounds} GROUP BY vec_id),
+books AS (
+  SELECT sha256(string_agg(array_to_string(centre, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (vec_id), books
+"""
+
+
+VECTOR_CODES = _vector_codes()
+
 ORACLE_SQL = {
+    "op12_metric_tree_codes": VECTOR_CODES,
     "op13_salted_exact_duplicates": EQUAL_TEXTS,
     "op6_pivot_near_vectors": NEAR_VECTORS,
     "op4_systematic_mixing": mixing.ORACLE_SQL,

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, html_template, licenses, minmax, mixing, mpeg_audio, oracles, packing, pivots, quality, simple8b, substrings
+from . import exact, html_template, licenses, metric_trees, minmax, mixing, mpeg_audio, oracles, packing, pivots, quality, simple8b, substrings
+from ._links import bounded
+from ._store import materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +93,15 @@ def op10_difference_cover_repeats(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_metric_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = metric_trees.compressed(_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    codes = materialise(found.select("vec_id", "label", "code", "error"), "codes")
+    sums = codes.groupBy(F.col("label").alias("of")).agg(F.sum(F.col("error").cast("decimal(38,0)")).alias("label_error"))
+    told = codes.join(bounded(sums), F.col("label").eqNullSafe(F.col("of")), "left")
+    total = F.least("label_error", F.lit(metric_trees.LONG).cast("decimal(38,0)")).cast("long").alias("label_error")
+    return told.select("vec_id", "code", "error", total, F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 def op13_salted_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.equal_texts(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -109,6 +120,7 @@ QUERIES = {
         op8_minmax_near_duplicates,
         op9_simple8b_tokens,
         op10_difference_cover_repeats,
+        op12_metric_tree_codes,
         op13_salted_exact_duplicates,
     )
 }

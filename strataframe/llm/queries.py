@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, html_template, licenses, metric_trees, minmax, mixing, mpeg_audio, oracles, packing, pivots, quality, simple8b, substrings
+from . import exact, html_template, licenses, metric_trees, minmax, mixing, mpeg_audio, oracles, packing, periodic, pivots, quality, simple8b, substrings
 from ._links import bounded
 from ._store import materialise
 
@@ -93,6 +93,35 @@ def op10_difference_cover_repeats(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _with_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in one text of ten, all from some word on repeats that word and those after it."""
+    h, n = F.crc32(F.col("doc_id").cast("string")), F.size("words").cast("long")
+    hit = docs.select("doc_id", "text", h.alias("h")).withColumn("hit", F.coalesce(F.col("h") % 10 == 0, F.lit(False)))
+    cut = hit.withColumn("words", F.when(F.col("hit"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    g = F.floor(F.col("h") / 10)
+    at = cut.withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    begin, unit = F.slice("words", 1, F.col("a").cast("int")), F.slice("words", F.col("a").cast("int") + 1, F.col("p").cast("int"))
+    rest = (n - F.col("a")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(unit, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    return at.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.concat(begin, again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_internal_pattern_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_with_runs(_table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.col3")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.col3")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_metric_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, books = metric_trees.compressed(_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
     codes = materialise(found.select("vec_id", "label", "code", "error"), "codes")
@@ -120,6 +149,7 @@ QUERIES = {
         op8_minmax_near_duplicates,
         op9_simple8b_tokens,
         op10_difference_cover_repeats,
+        op11_internal_pattern_runs,
         op12_metric_tree_codes,
         op13_salted_exact_duplicates,
     )

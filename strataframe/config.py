@@ -23,8 +23,8 @@ class Config:
     recover_hours: int = 24
     remote_images: bool = False
     allowed_domains: tuple[str, ...] = ()
-    #: Cells that a vector search looks into; 0: all vectors.
-    probes: int = 0
+    #: Cells that a vector search looks into at least, once ``reindex`` has made them; 0: all vectors, exactly.
+    probes: int = 16
     lock_seconds: float = 300.0
 
     def problems(self) -> list[str]:

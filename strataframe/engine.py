@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from .operators import export as X
 from .operators import graph as G
 from .operators import index as X_
 from .operators import maintain as M
+from .operators import quantised as Q
 from .operators import rank as R
 from .operators import thoughts as N
 from .schemas import checked_dimension
@@ -63,6 +65,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, path: str, config: Config = Config(), encoder: Callable[[], V.Encoder] | None = None, fetch: Callable[[str], bytes | None] | None = None):
         self.spark, self.config, self.store = importable(spark), config, Store(spark, path, config.lock_seconds)
+        self._fitted: dict[str, tuple[str, Q.Quantiser | None]] = {}
         self.dimension, self._make, self.fetch = checked_dimension(config.dimension), encoder, fetch or S.fetched
 
     # -- tables -----------------------------------------------------------------------------------------------------
@@ -115,7 +118,8 @@ class Engine:
     def model_info(self) -> dict:
         """What texts and images are encoded by, and how vectors are searched."""
         made = None if self._make is None else getattr(self._make, "__qualname__", type(self._make).__qualname__)
-        centres = {grain: len(self._centres(grain)) for grain in ("concept", "chunk")}
+        fitted = {grain: self._quantiser(grain) for grain in ("concept", "chunk")}
+        centres = {grain: 0 if q is None else len(q.centres) for grain, q in fitted.items()}
         return {"encoder": made or "hashed words", "dimension": self.dimension, "image_mode": I.mode(self.config.image_mode), "context_limit": self.config.context_limit,
                 "probes": self.config.probes, "cells": centres, "dirty": self.is_dirty()}
 
@@ -173,9 +177,9 @@ class Engine:
             "chunk_length": X_.lengths(cut, "id", "chunk_text"),
         }
         for grain, given in (("concept", rows), ("chunk", cut)):
-            centres = self._centres(grain)
-            if centres:
-                fresh[f"{grain}_cell"] = X_.with_cells(given.select("id", "embedding"), centres)
+            quantiser = self._quantiser(grain)
+            if quantiser is not None:
+                fresh[f"{grain}_cell"] = Q.coded(given, quantiser)
         return {n: (df, lost) for n, df in fresh.items()} | self._images(rows, lost, files)
 
     def _write(self, rows: DataFrame, files: DataFrame | None = None) -> list[str]:
@@ -266,15 +270,20 @@ class Engine:
     def _hits(self, grain: str, query: str) -> DataFrame:
         return X_.bm25(self.store.table(f"{grain}_posting"), X_.stats(self.store.table(f"{grain}_length")), self._terms(query))
 
-    def _centres(self, grain: str) -> list[list[float]]:
-        rows = self.store.table("cell_centre").filter(F.col("grain") == grain).orderBy("cell").select("centre").collect()  # bounded by MOST_CELLS
-        return [[*r[0]] for r in rows]
+    def _quantiser(self, grain: str) -> Q.Quantiser | None:
+        """What ``reindex`` has fitted for a grain; read once for each state of its tables."""
+        parts = self.store.manifest()["tables"]
+        state = json.dumps([parts.get(n) for n in ("cell_centre", "codebook")])
+        if self._fitted.get(grain, ("", None))[0] != state:
+            centres, books = (self.store.table(n).filter(F.col("grain") == grain).drop("grain").collect() for n in ("cell_centre", "codebook"))  # bounded by the quantiser
+            self._fitted[grain] = state, Q.Quantiser.of_rows(centres, books)
+        return self._fitted[grain][1]
 
     def _near(self, grain: str, vector: Sequence[float], k: int) -> DataFrame:
-        """The nearest of a grain: exact, or in the nearest cells if the settings say how many and ``reindex`` made them."""
-        centres = self._centres(grain) if self.config.probes else []
-        if centres:
-            return X_.knn_in_cells(self.store.table(f"{grain}_cell"), centres, vector, k, self.config.probes)
+        """The nearest of a grain: by the index that ``reindex`` has made of a large table, or of all vectors."""
+        quantiser = self._quantiser(grain) if self.config.probes else None
+        if quantiser is not None:
+            return Q.nearest(self.store.table(f"{grain}_cell"), quantiser, vector, k, quantiser.probes(self.config.probes))
         return R.knn(self.store.table(grain), vector, k)
 
     @_operation
@@ -463,19 +472,23 @@ class Engine:
 
     @_change
     def reindex(self, force: bool = False) -> bool:
-        """Build postings, lengths and vector cells anew from the tables, if something was written since or ``force``."""
+        """Build postings, lengths and, for large tables, the vector index anew, if something was written since or ``force``."""
         meta = self.store.manifest()["meta"]
         if not force and not M.is_dirty(meta):
             return False
         texts = {"concept": T.search_text(F.col("title"), F.col("description"), F.col("body")), "chunk": F.col("chunk_text")}
-        state, centres = {}, []
+        state, centres, books = {}, [], []
         for grain, text in texts.items():
             rows = self.store.table(grain)
             state[f"{grain}_posting"], state[f"{grain}_length"] = X_.postings(rows, "id", text), X_.lengths(rows, "id", text)
-            found = X_.cells_of(rows)
-            state[f"{grain}_cell"] = X_.with_cells(rows.select("id", "embedding"), found)
-            centres += [(grain, k, c) for k, c in enumerate(found)]
-        state["cell_centre"] = self.spark.createDataFrame(centres, "grain string, cell int, centre array<double>")
+            found = None if rows.limit(Q.LEAST_ROWS).count() < Q.LEAST_ROWS else Q.fit(rows)
+            state[f"{grain}_cell"] = self.store.empty(f"{grain}_cell") if found is None else Q.coded(rows, found)
+            if found is not None:
+                cells, entries = found.rows()
+                centres += [(grain, *c) for c in cells]
+                books += [(grain, *e) for e in entries]
+        for name, given in (("cell_centre", centres), ("codebook", books)):
+            state[name] = self.spark.createDataFrame(given, self.store.empty(name).schema)
         self.store.commit(state, {"write_epoch": meta["write_epoch"], "indexed_epoch": meta["write_epoch"]})
         return True
 

@@ -1,21 +1,14 @@
-"""Stored indexes for searches: postings for texts, cells for vectors. Built once, they spare searches reading texts or all vectors."""
+"""Stored indexes for searches: postings for texts, vectors by component. Built once, they spare searches reading texts."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .rank import DIGITS, knn
-
-#: Cells of a vector index for each unit of the root of the rows, within bounds; rows that they are sampled from.
-PER_ROOT, LEAST_CELLS, MOST_CELLS = 1.0, 1, 4096
-PROBES = 16
+from .rank import DIGITS
 
 
 def postings(docs: DataFrame, id_col: str = "id", text: str | Column = "text") -> DataFrame:
@@ -53,35 +46,6 @@ def knn_wide(indexed: DataFrame, query: Sequence[float], k: int) -> DataFrame:
     return indexed.select("id", sim.alias("sim")).orderBy(F.desc("sim"), "id").limit(k)
 
 
-def cells_of(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> list[list[float]]:
-    """Centres of cells: vectors of the table, those of the least hash of their id; bounded by ``MOST_CELLS``."""
-    n = vectors.count()
-    want = max(LEAST_CELLS, min(MOST_CELLS, round(PER_ROOT * math.sqrt(n))))
-    rows = vectors.filter(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(want).select(vector_col).collect()
-    return [[float(x or 0.0) for x in r[0]] for r in rows]
-
-
-def with_cells(vectors: DataFrame, centres: Sequence[Sequence[float]], vector_col: str = "embedding") -> DataFrame:
-    """``vectors`` with ``cell``: the number of the nearest centre by inner product."""
-    if not centres:
-        return vectors.withColumn("cell", F.lit(0))
-    middle = np.array(centres, float)
-
-    @F.pandas_udf("int")
-    def nearest(batch: pd.Series) -> pd.Series:
-        dim = middle.shape[1]
-        x = np.array([np.zeros(dim) if v is None or len(v) != dim else v for v in batch], float).reshape(len(batch), dim)
-        return pd.Series((x @ middle.T).argmax(1).astype("int32"))
-
-    return vectors.withColumn("cell", nearest(vector_col))
-
-
-def knn_in_cells(indexed: DataFrame, centres: Sequence[Sequence[float]], query: Sequence[float], k: int, probes: int = PROBES, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """(id, sim): the ``k`` nearest by inner product in the ``probes`` cells nearest to the query; ties by id."""
-    order = sorted(range(len(centres)), key=lambda c: (-sum(a * b for a, b in zip(centres[c], query)), c))
-    return knn(indexed.filter(F.col("cell").isin(order[:probes] or [0])), query, k, id_col, vector_col)
-
-
 def bm25(index: DataFrame, totals: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) from ``postings`` and ``stats``: only the terms' entries are read."""
     found = index.filter(F.col("term").isin(*dict.fromkeys(terms)))

@@ -11,8 +11,9 @@ from ..operators import chunks as C
 from ..operators import graph as G
 from ..operators import rank as R
 from ..operators import index as X
+from ..operators import quantised as C_
 from .registry import query
-from .stored import DIM, stored
+from .stored import DIM, quantiser, stored
 from .views import Inputs, duck
 
 TERMS = ("the", "thou", "oren")
@@ -109,6 +110,13 @@ def vector_topk(q: Inputs) -> DataFrame:
     return near_documents(q).withColumnRenamed("id", "vec_id")
 
 
+@query(f"with {NEAR_SQL} select id vec_id, sim from v order by sim desc, id limit 10")
+def vector_topk_compressed(q: Inputs) -> DataFrame:
+    """Through the compressed index: its candidates are ranked exactly."""
+    vector = stored(q, "vector").filter("vec_id = 0").select("embedding").first()[0]
+    return C_.nearest(stored(q, "vector_cell"), quantiser(q), vector, LIMIT, rerank=256).withColumnRenamed("id", "vec_id")
+
+
 @query(f"with {NEAR_SQL} select concat('img_',id) asset_id, sim score from v order by sim desc, id limit 10")
 def image_topk(q: Inputs) -> DataFrame:
     return near_documents(q, LIMIT).select(F.concat(F.lit("img_"), "id").alias("asset_id"), F.col("sim").alias("score"))

@@ -16,6 +16,7 @@ from .. import scratch
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import index as X
+from ..operators import quantised as Q
 from .views import TABLES, Inputs
 
 DIM = 64
@@ -39,6 +40,18 @@ def _steps(q: Inputs) -> DataFrame:
     return X.sorted_by(stored(q, "edge").select("src", "dst").union(stored(q, "edge").select("dst", "src")), "src", "dst")
 
 
+def _quantiser_rows(q: Inputs) -> DataFrame:
+    cells, books = Q.fit(q.embeddings, "vec_id").rows()
+    rows = [(None, *c) for c in cells] + [(p, e, v) for p, e, v in books]
+    return q.spark.createDataFrame(rows, "part int, number int, centre array<double>")
+
+
+def quantiser(q: Inputs) -> Q.Quantiser:
+    """What is fitted on the vectors of the folder."""
+    rows = stored(q, "quantiser").collect()  # bounded by the quantiser
+    return Q.Quantiser.of_rows([(n, c) for p, n, c in rows if p is None], [tuple(r) for r in rows if r.part is not None])
+
+
 #: How each table is made.
 BUILT: dict[str, Callable[[Inputs], DataFrame]] = {
     "document_posting": lambda q: X.sorted_by(X.postings(q.documents, "doc_id"), "term", "id"),
@@ -46,6 +59,8 @@ BUILT: dict[str, Callable[[Inputs], DataFrame]] = {
     "concept_posting": lambda q: X.sorted_by(X.postings(q.concept, "doc_id", _concept_text()), "term", "id"),
     "concept_stats": lambda q: X.stats(X.lengths(q.concept, "doc_id", _concept_text())),
     "vector": lambda q: q.embeddings.select("vec_id", "embedding"),
+    "quantiser": _quantiser_rows,
+    "vector_cell": lambda q: Q.coded(q.embeddings, quantiser(q), "vec_id"),
     "concept_meta": lambda q: q.concept.drop("body"),
     "chunk": _chunk,
     "chunk_posting": lambda q: X.sorted_by(X.postings(q.chunk, "chunk_id", "chunk_text"), "term", "id"),
@@ -67,7 +82,8 @@ def stored(q: Inputs, name: str) -> DataFrame:
     if key not in _FOUND:
         made = BUILT[name](q)
         path = f"{scratch.session_dir(spark)}/index-{q.fingerprint}/{name}"
-        made.write.mode("overwrite").parquet(path)
+        writer = Q.laid_out(made) if name.endswith("_cell") else made.write
+        writer.mode("overwrite").parquet(path)
         _FOUND[key] = path, made.schema
     path, schema = _FOUND[key]
     return spark.read.schema(schema).parquet(path)

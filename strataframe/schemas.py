@@ -17,9 +17,10 @@ TABLES: dict[str, str] = {
     "link_raw": "src string, target string",
     "file_hash": "path string, hash string, concept_id string",
     "dir_hash": "path string, hash string, files array<string>",
-    "concept_cell": "id string, cell int, embedding array<float>",
-    "chunk_cell": "id string, cell int, embedding array<float>",
+    "concept_cell": "id string, cell int, code array<smallint>, embedding array<float>",
+    "chunk_cell": "id string, cell int, code array<smallint>, embedding array<float>",
     "cell_centre": "grain string, cell int, centre array<double>",
+    "codebook": "grain string, part int, entry int, centre array<double>",
     "deleted_concept": "id string, original_id string, title string, body string, deleted_at timestamp, type string, tags array<string>",
 }
 #: The document of a chunk's id.
@@ -38,6 +39,7 @@ KEYS = {
     "concept_cell": "id",
     "chunk_cell": OF_CHUNK,
     "cell_centre": "grain",
+    "codebook": "grain",
     "link_raw": "src",
     "file_hash": "path",
     "dir_hash": "path",

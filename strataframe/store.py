@@ -20,6 +20,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.quantised import laid_out
 from .schemas import KEYS, VERSION, migrated, schema
 
 #: Parts of a table; the next one makes it whole.
@@ -121,6 +122,10 @@ class Store:
         """A table in today's layout, empty if it was never written."""
         return self._merged(name, self.manifest()["tables"].get(name, []))
 
+    def empty(self, name: str) -> DataFrame:
+        """A table without rows."""
+        return self.spark.createDataFrame([], schema(name))
+
     @staticmethod
     def _part(rows: str | None, gone: str | None = None, n_gone: int = 0) -> dict:
         return {"rows": rows, "gone": gone, "n_gone": n_gone, "version": VERSION}
@@ -135,7 +140,7 @@ class Store:
                 keys = self.spark.read.schema("key string").parquet(f"{self.path}/{part['gone']}").select("key", F.lit(k).alias("__last"))
                 gone, n_gone = keys if gone is None else gone.union(keys), n_gone + part["n_gone"]
         if rows is None:
-            return self.spark.createDataFrame([], schema(name))
+            return self.empty(name)
         if gone is not None:
             last = gone.groupBy("key").agg(F.max("__last").alias("__last"))
             last = F.broadcast(last) if n_gone <= BROADCAST_KEYS else last
@@ -148,9 +153,8 @@ class Store:
         rows = rows.select(*schema(name).names)
         if name.endswith("_posting"):  # sorted, a term's entries lie in few row groups, and the others are skipped
             rows = rows.repartitionByRange("term").sortWithinPartitions("term")
-        elif name.endswith("_cell"):
-            rows = rows.repartitionByRange("cell").sortWithinPartitions("cell")
-        rows.write.parquet(f"{self.path}/{folder}")
+        writer = laid_out(rows) if name.endswith("_cell") else rows.write
+        writer.parquet(f"{self.path}/{folder}")
         return folder
 
     def _write_keys(self, gone: DataFrame) -> tuple[str, int]:

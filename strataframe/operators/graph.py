@@ -36,10 +36,20 @@ def traverse(edges: DataFrame, start: str, rel: str, direction: str = "OUTGOING"
     Nodes of other labels than the relation's target are walked through but not returned, unless ``any_target``. Without
     ``walks`` each level drops what an earlier one has, so the frontier never has more rows than there are nodes.
     """
-    depth = _checked([rel], depth, 5)
+    checked_direction(direction)
+    _checked([rel], depth, 5)
+    return walk(_steps(edges, [rel], direction), start, rel, depth, any_target, walks)
+
+
+def checked_direction(direction: str) -> str:
     if direction not in ("OUTGOING", "INCOMING", "BOTH"):
         raise ValueError(f"no direction {direction!r}")
-    steps = _steps(edges, [rel], direction)
+    return direction
+
+
+def walk(steps: DataFrame, start: str, rel: str, depth: int = 1, any_target: bool = False, walks: bool = False) -> DataFrame:
+    """``traverse`` over ``steps`` (src, dst, dst_label)."""
+    depth = _checked([rel], depth, 5)
     reached = steps.filter(F.col("src") == start).select(F.col("dst").alias("id"), "dst_label")
     found, seen = None, None
     for level in range(1, depth + 1):
@@ -90,21 +100,54 @@ def distances(steps: DataFrame, start: str, most: int = 6, goal: str | None = No
     return levels
 
 
+def _grown(steps: DataFrame, levels: list[DataFrame], sizes: list[int]) -> None:
+    """Add the next level to ``levels``, and its rows to ``sizes``."""
+    seen = levels[0].select("id")
+    for level in levels[1:]:
+        seen = seen.union(level.select("id"))
+    near = steps.join(bounded(levels[-1].select("id")), F.col("src") == F.col("id")).groupBy(F.col("dst").alias("next")).agg(F.min("src").alias("parent"))
+    fresh = near.join(seen, F.col("next") == F.col("id"), "left_anti").select(F.col("next").alias("id"), "parent")
+    levels.append(materialise(fresh, "level"))
+    sizes.append(levels[-1].count())
+
+
+def two_sided(steps: DataFrame, a: str, b: str, most: int = 6) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Breadth-first levels (id, parent) from both ends over ``steps`` that go either way, the smaller frontier grown.
+
+    The last levels meet if there is a path of at most ``most`` steps; as many steps as both have grown. Else one is empty
+    or they have grown ``most`` steps.
+    """
+    spark = steps.sparkSession
+    there, back = ([spark.createDataFrame([(x, None)], "id string, parent string")] for x in (a, b))
+    sizes = [1], [1]
+    while len(there) + len(back) - 2 < max(0, min(10, most)):
+        side = 0 if (sizes[0][-1], len(there)) <= (sizes[1][-1], len(back)) else 1
+        _grown(steps, (there, back)[side], sizes[side])
+        if not sizes[side][-1] or not there[-1].join(back[-1].select("id"), "id", "left_semi").isEmpty():
+            break
+    return there, back
+
+
 def find_path(steps: DataFrame, a: str, b: str, most: int = 6) -> list[str]:
-    """The least shortest path over ``steps`` (src, dst), both ends included; [] if there is none within ``most`` steps."""
-    levels = distances(steps, a, most, goal=b)
-    path, at = [b], b
-    for level in reversed(levels):
-        row = level.filter(F.col("id") == at).select("parent").first()
-        if row is None:
-            if at == b and level is not levels[0]:
-                continue
-            return []
-        if row[0] is None:
-            return path[::-1] if at == a else []
-        at = row[0]
-        path.append(at)
-    return path[::-1] if path[-1] == a else []
+    """The least shortest path over ``steps`` (src, dst; either way), both ends included; [] if there is none of ``most`` steps.
+
+    Of several, the one whose nodes are least, compared from ``b`` backwards.
+    """
+    if a == b:
+        return [a]
+    there, back = two_sided(steps, a, b, most)
+    meet = materialise(there[-1].join(back[-1].select("id"), "id", "left_semi").select("id"), "meet")
+    if meet.isEmpty():
+        return []
+    # from where they meet on to b: only nodes that lie on shortest paths, each with its least predecessor
+    onward = [meet]
+    for level in back[-2::-1]:
+        reached = steps.join(bounded(onward[-1].select("id")), F.col("src") == F.col("id")).groupBy(F.col("dst").alias("next")).agg(F.min("src").alias("parent"))
+        onward.append(materialise(reached.join(level.select("id"), F.col("next") == F.col("id")).select("id", "parent"), "onward"))
+    path = [b]
+    for level in (*onward[:0:-1], *there[:0:-1]):
+        path.append(level.filter(F.col("id") == path[-1]).select("parent").first()[0])
+    return path[::-1]
 
 
 def ancestry(concepts: DataFrame, nearest_only: bool = False) -> DataFrame:

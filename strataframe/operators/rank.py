@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from decimal import ROUND_HALF_UP, Decimal
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -18,6 +20,8 @@ from ..functions import text as T
 from ..functions import vectors as V
 
 K1, B, RRF = 1.2, 0.75, 60
+#: Best hits among which those that may be returned are looked for first.
+PREFIX = 1024
 #: Chosen hits whose places are counted in one pass.
 COUNTED = 128
 DIGITS = 6
@@ -70,32 +74,55 @@ def _eighth(x: float) -> float:
     return float(Decimal(repr(x)).quantize(Decimal("1e-8"), ROUND_HALF_UP))
 
 
+def _best(hits: DataFrame, limit: int, allowed: DataFrame | None, per: str | None, cap: int) -> dict:
+    """Of hits that may be returned the best ``limit``, of each ``per`` at most ``cap``: {id: (per, score)}.
+
+    The first ``PREFIX`` hits are enough unless filters or caps leave too few of them; then all hits are joined.
+    """
+    if allowed is None:
+        return {r["id"]: (r["id"], r["score"]) for r in hits.orderBy(F.desc("score"), "id").limit(limit).collect()}
+    may = allowed.select("id", F.col(per or "id").alias("__per"))
+    top = hits.orderBy(F.desc("score"), "id").limit(PREFIX)
+    out, taken = {}, Counter()
+    for r in sorted(may.join(F.broadcast(top), "id").collect(), key=lambda r: (-r["score"], r["id"])):
+        taken[r["__per"]] += 1
+        if len(out) < limit and (not per or taken[r["__per"]] <= cap):
+            out[r["id"]] = r["__per"], r["score"]
+    if len(out) < limit:
+        every = hits.join(may, "id")
+        every = capped(every, "__per", cap, "score") if per else every
+        out = {r["id"]: (r["__per"], r["score"]) for r in every.orderBy(F.desc("score"), "id").limit(limit).collect()}
+    return out
+
+
 def fuse(near: DataFrame, hits: DataFrame, limit: int, allowed: DataFrame | None = None, per: str | None = None, cap: int = 3) -> DataFrame:
     """(id, rrf): the best ``limit`` by reciprocal ranks of vectors (id, sim) and all text hits (id, score).
 
     near: the nearest few, as ``knn`` gives them. allowed: ids (distinct) that may be returned; ranks are taken before this
-    filter. per: a column of ``allowed`` of which each value may be returned ``cap`` times. A hit that isn't near is
-    outranked by no more than those above it and the near ones, so of such hits only the best limit + near can be returned,
-    and of one ``per`` only the best ``cap``. So what meets on the driver is bounded by ``limit`` and what is near.
+    filter. per: a column of ``allowed`` of which each value may be returned ``cap`` times. All hits above one outrank it,
+    so of hits that aren't near only the best ``limit``, capped, can be returned, and what meets on the driver is bounded by
+    ``limit`` and what is near. Jobs that don't need each other run side by side: vectors and the best hits, then the scores
+    of what is near and whether it may be returned, then the places.
     """
     spark = near.sparkSession
-    hits = hits.persist()  # read three times
-    vectors = [r["id"] for r in near.orderBy(F.desc("sim"), "id").collect()]
+    hits = hits.persist()  # read by each job
+    columns = ["id", *([per] if per else [])]
+    try:
+        with ThreadPoolExecutor(2) as pool:
+            ask = lambda f: pool.submit(inheritable_thread_target(spark)(f))
+            best = ask(lambda: _best(hits, limit, allowed, per, cap))
+            vectors = [r["id"] for r in near.orderBy(F.desc("sim"), "id").collect()]
+            scores = ask(lambda: {r["id"]: r["score"] for r in hits.filter(F.col("id").isin(vectors)).collect()} if vectors else {})
+            group = {i: i for i in vectors}
+            if allowed is not None and vectors:
+                group = {r[0]: r[-1] for r in allowed.filter(F.col("id").isin(vectors)).select(*columns).collect()}
+            score_of = scores.result() | {i: s for i, (_, s) in best.result().items()}
+            group |= {i: g for i, (g, _) in best.result().items()}
+        found = sorted((-s, i) for i, s in score_of.items() if i in group)
+        place_of = {i: k for (_, i), k in zip(found, _places(hits, found))}
+    finally:
+        hits.unpersist()
     rank_of = {i: k for k, i in enumerate(vectors, 1)}
-    may = hits if allowed is None else hits.join(allowed.select("id", *([per] if per else [])), "id")
-    may = may.filter(~F.col("id").isin(vectors)) if vectors else may
-    if per:
-        may = capped(may, per, cap, "score")
-    best = may.orderBy(F.desc("score"), "id").limit(limit + len(vectors) if per else limit).select("id", "score")
-    chosen = best.union(hits.filter(F.col("id").isin(vectors)).select("id", "score")) if vectors else best
-    found = sorted((-r["score"], r["id"]) for r in chosen.collect())
-    place_of = {i: k for (_, i), k in zip(found, _places(hits, found))}
-    ids = [*dict.fromkeys([*vectors, *place_of])]
-    group = {i: i for i in ids}
-    if allowed is not None:
-        columns = ["id", *([per] if per else [])]
-        group = {r[0]: r[-1] for r in allowed.filter(F.col("id").isin(ids)).select(*columns).collect()} if ids else {}
-    hits.unpersist()
     score = {i: _eighth((1 / (RRF + rank_of[i]) if i in rank_of else 0.0) + (1 / (RRF + place_of[i]) if i in place_of else 0.0)) for i in group}
     out, taken = [], Counter()
     for i in sorted(group, key=lambda i: (-score[i], i)):

@@ -133,6 +133,38 @@ def test_walks_and_distinct(spark):
     assert graph.find_path(graph.steps_of(edges), "a", "d") == ["a", "b", "d"]
 
 
+def test_two_sided_paths(spark):
+    """The path of the one-sided walk, from fewer rows."""
+    import random
+
+    rng = random.Random(3)
+    star = [("hub", f"leaf{k}") for k in range(60)] + [("a", "m1"), ("m1", "m2"), ("m2", "b"), ("b", "hub"), ("a", "n1"), ("n1", "m2"), ("s", "x"), ("x", "hub"), ("hub", "y"), ("y", "t")]
+    loose = [(f"v{rng.randrange(40)}", f"v{rng.randrange(40)}") for _ in range(45)]
+    edges = spark.createDataFrame([("LINKS_TO", a, b, "Concept") for a, b in star + loose], "rel string, src string, dst string, dst_label string")
+    steps = graph.steps_of(edges).distinct().cache()
+    near = {}
+    for a, b in star + loose:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def walked(a, b, most):
+        level, at = {a: 0}, [a]
+        while at and b not in level:
+            at = sorted({y for x in at for y in near.get(x, ()) if y not in level})
+            level |= {y: level[min((x for x in near[y] if x in level), key=level.get)] + 1 for y in at}
+        if b not in level or level[b] > most:
+            return []
+        path = [b]
+        while path[-1] != a:
+            path.append(min(x for x in near[path[-1]] if level.get(x) == level[path[-1]] - 1))
+        return path[::-1]
+
+    pairs = [("a", "leaf3", 6), ("leaf1", "leaf2", 6), ("a", "b", 2), ("a", "b", 3), ("a", "a", 3), ("a", "v1", 6), ("v1", "nobody", 4), *((f"v{k}", f"v{k + 7}", 6) for k in (0, 5))]
+    assert [graph.find_path(steps, *p) for p in pairs] == [walked(*p) for p in pairs]
+    (there, back), one = graph.two_sided(steps, "s", "t", 6), graph.distances(steps, "s", 6, goal="t")
+    assert sum(x.count() for x in there + back) < sum(x.count() for x in one) / 3
+
+
 def test_fusion_against_ranking_everything(spark):
     near = spark.createDataFrame([(k, 1 - k / 10) for k in range(4)], "id int, sim double")
     hits = spark.createDataFrame([(k, float(k % 5)) for k in range(40)], "id int, score double")
@@ -145,6 +177,31 @@ def test_fusion_against_ranking_everything(spark):
     assert [(r.id, r.rrf) for r in rank.fuse(near, hits, 7, allowed).collect()] == [x for x in want if x[0] % 2][:7]
 
 
+@pytest.mark.parametrize("prefix", [3, 1024])
+def test_capped_fusion_against_ranking_everything(spark, monkeypatch, prefix):
+    """Caps and filters, where the first hits are enough and where they aren't."""
+    import random
+
+    monkeypatch.setattr(rank, "PREFIX", prefix)
+    rng = random.Random(prefix)
+    for cap, share in ((1, 1.0), (2, 0.3), (3, 0.05)):
+        home = {k: f"p{rng.choice([0, 0, 0, 0, rng.randrange(40)])}" for k in range(200)}
+        scores = {k: float(rng.randrange(30)) for k in range(200) if rng.random() < 0.7}
+        sims = {k: rng.random() for k in rng.sample(range(200), 12)}
+        may = {k: p for k, p in home.items() if rng.random() < share}
+        vr = {i: k for k, i in enumerate(sorted(sims, key=lambda i: (-sims[i], i)), 1)}
+        fr = {i: k for k, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i)), 1)}
+        ranked = sorted(((-round(sum(1 / (60 + m[i]) for m in (vr, fr) if i in m), 8), i) for i in may if i in vr or i in fr))
+        taken, want = Counter(), []
+        for s, i in ranked:
+            taken[may[i]] += 1
+            want += [(i, may[i], -s)] if taken[may[i]] <= cap else []
+        near = spark.createDataFrame([*sims.items()], "id int, sim double")
+        hits = spark.createDataFrame([*scores.items()], "id int, score double")
+        allowed = spark.createDataFrame([*may.items()], "id int, parent string")
+        assert [tuple(r) for r in rank.fuse(near, hits, 8, allowed, "parent", cap).collect()] == want[:8]
+
+
 def test_wide_vectors_give_the_same_neighbours(spark):
     from strataframe.operators import index
 

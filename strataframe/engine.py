@@ -14,6 +14,7 @@ from .config import Config
 from .functions import images as I
 from .functions import text as T
 from .functions import vectors as V
+from .operators import adjacency as A
 from .operators import chunks as C
 from .operators import convert as Convert
 from .operators import export as X
@@ -26,7 +27,7 @@ from .operators import thoughts as N
 from .schemas import checked_dimension
 from .scratch import bounded, materialise
 from .sources import markdown as S
-from .store import Change, Store
+from .store import ADDED, Change, Store
 from .workers import importable
 
 
@@ -83,8 +84,49 @@ class Engine:
     def directories(self) -> DataFrame:
         return G.ancestry(self.concepts()).select(F.col("ancestor").alias("id")).distinct()
 
+    def _keeps_graph(self) -> bool:
+        """Whether the store has edges of its own; ``reindex`` makes them for one that hasn't."""
+        tables = self.store.manifest()["tables"]
+        return "adjacency" in tables or not tables.get("concept")
+
     def edges(self) -> DataFrame:
-        """(rel, src, dst, dst_label): all relations, derived."""
+        """(rel, src, dst, dst_label): all relations."""
+        return A.edges(self.store.table("adjacency")) if self._keeps_graph() else self.derived_edges()
+
+    def hubs(self) -> DataFrame:
+        """(id, hub): incoming links of each concept that has any."""
+        if self._keeps_graph():
+            return self.store.table("hub").filter("n > 0").select("id", F.col("n").alias("hub"))
+        return R.hub_scores(self.derived_edges())
+
+    def _steps(self, rels: tuple[str, ...] | None = None, direction: str = "BOTH") -> DataFrame:
+        """(src, dst, dst_label): where edges lead."""
+        if self._keeps_graph():
+            return A.steps(self.store.table("adjacency"), rels, direction)
+        return A.steps(A.change(self.derived_edges(), self.derived_edges().limit(0)), rels, direction)
+
+    def graph_tables(self) -> dict[str, DataFrame]:
+        """Edges and hub counts made anew from the other tables."""
+        all_ = materialise(A.change(self.derived_edges(), self.derived_edges().limit(0)), "edges")
+        return {"adjacency": all_, "hub": A.hub_change(all_)}
+
+    def _graph_change(self, state: dict[str, Change], lost: DataFrame) -> dict[str, Change]:
+        """What the changes of other tables, which replace the concepts of ``lost`` (id), change in edges and hub counts."""
+        if not self._keeps_graph():
+            return {}
+        some = bounded(lost.select(F.col("id").alias("__lost")))
+        fresh = {n: self.store.empty(n) if state[n][0] is None else state[n][0] for n in ("concept", "chunk", "includes_asset", "link_raw")}
+        old = {n: self.store.table(n) for n in fresh}
+        owner = {"concept": "id", "chunk": "parent_doc_id", "includes_asset": "src"}
+        was = {n: old[n].join(some, F.col(k) == F.col("__lost"), "left_semi") for n, k in owner.items()}
+        come, go = A.link_change(old["link_raw"], fresh["link_raw"], old["concept"], fresh["concept"], lost)
+        names = ("concept", "chunk", "includes_asset")
+        changed = A.change(A.owned(*(fresh[n] for n in names)).union(come), A.owned(*(was[n] for n in names)).union(go))
+        changed = materialise(changed, "edges")
+        return {"adjacency": (changed, ADDED), "hub": (A.hub_change(changed), ADDED)}
+
+    def derived_edges(self) -> DataFrame:
+        """(rel, src, dst, dst_label): all relations, derived from the other tables."""
         dirs = self.directories().filter(F.col("id").contains("/"))
         homes = self.concepts().filter(F.col("id").contains("/"))
         parts = [
@@ -180,7 +222,8 @@ class Engine:
             quantiser = self._quantiser(grain)
             if quantiser is not None:
                 fresh[f"{grain}_cell"] = Q.coded(given, quantiser)
-        return {n: (df, lost) for n, df in fresh.items()} | self._images(rows, lost, files)
+        state = {n: (df, lost) for n, df in fresh.items()} | self._images(rows, lost, files)
+        return state | self._graph_change(state, lost)
 
     def _write(self, rows: DataFrame, files: DataFrame | None = None) -> list[str]:
         """Put in rows of the concept table that the caller gives, with images from files; their ids, sorted."""
@@ -193,6 +236,7 @@ class Engine:
         gone = materialise(gone.select("id").distinct(), "gone")
         paths = self.store.table("file_hash").join(bounded(gone), F.col("concept_id") == F.col("id"), "left_semi").select("path")
         state: dict[str, Change] = {n: (None, gone) for n in OWNED}
+        state |= self._graph_change(state, gone)
         state["file_hash"] = None, materialise(paths, "paths")
         orphans = self._orphans(gone)
         return state | {n: (None, orphans) for n in ("image_asset", "image_data")}
@@ -332,11 +376,11 @@ class Engine:
     def search_chunks_with_hub_score(self, query: str, limit: int = 10, hub_weight: float | None = None) -> DataFrame:
         weight = self.config.hub_weight if hub_weight is None else hub_weight
         found = self.search_chunks(query, limit=2 * limit)
-        return R.hub_blend(found, R.hub_scores(self.edges()), "parent_doc_id", weight).orderBy(F.desc("final"), "id").limit(limit)
+        return R.hub_blend(found, self.hubs(), "parent_doc_id", weight).orderBy(F.desc("final"), "id").limit(limit)
 
     @_operation
     def rerank_with_hub_score(self, results: DataFrame) -> DataFrame:
-        return R.hub_multiply(results, R.hub_scores(self.edges()), "parent_doc_id").orderBy(F.desc("final"), "id")
+        return R.hub_multiply(results, self.hubs(), "parent_doc_id").orderBy(F.desc("final"), "id")
 
     @_operation
     def search_with_context(self, query: str, limit: int = 5) -> DataFrame:
@@ -351,14 +395,15 @@ class Engine:
     @_operation
     def expand_with_graph_context(self, chunk_ids: Sequence[str], hops: int = 1, max_results: int = 50) -> DataFrame:
         seeds = self.spark.createDataFrame([(c,) for c in chunk_ids], "chunk_id string")
-        return G.expand(seeds, self.chunks().withColumnRenamed("id", "chunk_id"), self.edges(), self.concepts(), hops, max_results)
+        return G.expand(seeds, self.chunks().withColumnRenamed("id", "chunk_id"), self.edges(), self.concepts(), hops, max_results, self.hubs())
 
     # -- graph and documents ----------------------------------------------------------------------------------------
 
     @_operation
     def traverse(self, start_id: str, relationship: str = "LINKS_TO", direction: str = "OUTGOING", depth: int = 1, node_type: str | None = None, limit: int = 100) -> DataFrame:
         """The nearest ``limit`` nodes that are reached, with their depth; of a type, the nearest of that type."""
-        found = G.traverse(self.edges(), start_id, relationship, direction, depth)
+        G.checked([relationship], direction)
+        found = G.walk(self._steps((relationship,), direction), start_id, relationship, depth)
         if relationship not in G.TARGET:
             found = found.join(self.concepts().select("id", "title", "type"), "id")
             found = found if node_type is None else found.filter(F.col("type") == node_type)
@@ -366,7 +411,7 @@ class Engine:
 
     @_operation
     def find_path(self, start_id: str, end_id: str, max_length: int = 6) -> list[str]:
-        return G.find_path(G.steps_of(self.edges()), start_id, end_id, max_length)
+        return G.find_path(self._steps(), start_id, end_id, max_length)
 
     def get_by_id(self, concept_id: str) -> dict | None:
         row = self.concepts().filter(F.col("id") == concept_id).drop("embedding").first()
@@ -472,7 +517,7 @@ class Engine:
 
     @_change
     def reindex(self, force: bool = False) -> bool:
-        """Build postings, lengths and, for large tables, the vector index anew, if something was written since or ``force``."""
+        """Build postings, lengths, edges and, for large tables, the vector index anew, if something was written since or ``force``."""
         meta = self.store.manifest()["meta"]
         if not force and not M.is_dirty(meta):
             return False
@@ -489,7 +534,7 @@ class Engine:
                 books += [(grain, *e) for e in entries]
         for name, given in (("cell_centre", centres), ("codebook", books)):
             state[name] = self.spark.createDataFrame(given, self.store.empty(name).schema)
-        self.store.commit(state, {"write_epoch": meta["write_epoch"], "indexed_epoch": meta["write_epoch"]})
+        self.store.commit(state | self.graph_tables(), {"write_epoch": meta["write_epoch"], "indexed_epoch": meta["write_epoch"]})
         return True
 
     # -- export -----------------------------------------------------------------------------------------------------

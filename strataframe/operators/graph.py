@@ -36,15 +36,15 @@ def traverse(edges: DataFrame, start: str, rel: str, direction: str = "OUTGOING"
     Nodes of other labels than the relation's target are walked through but not returned, unless ``any_target``. Without
     ``walks`` each level drops what an earlier one has, so the frontier never has more rows than there are nodes.
     """
-    checked_direction(direction)
-    _checked([rel], depth, 5)
+    checked([rel], direction)
     return walk(_steps(edges, [rel], direction), start, rel, depth, any_target, walks)
 
 
-def checked_direction(direction: str) -> str:
+def checked(rels: Sequence[str], direction: str) -> None:
+    """An error for relations and directions that there aren't."""
+    _checked(rels, 1, 1)
     if direction not in ("OUTGOING", "INCOMING", "BOTH"):
         raise ValueError(f"no direction {direction!r}")
-    return direction
 
 
 def walk(steps: DataFrame, start: str, rel: str, depth: int = 1, any_target: bool = False, walks: bool = False) -> DataFrame:
@@ -54,7 +54,8 @@ def walk(steps: DataFrame, start: str, rel: str, depth: int = 1, any_target: boo
     found, seen = None, None
     for level in range(1, depth + 1):
         if level > 1:
-            reached = steps.join(frontier, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "dst_label")
+            # a frontier without repeated ids only chooses, and what only chooses is pushed down to the stored rows
+            reached = steps.join(frontier, F.col("src") == F.col("id"), "inner" if walks else "left_semi").select(F.col("dst").alias("id"), "dst_label")
         if not walks:
             reached = reached.distinct().filter(F.col("id") != start)
             reached = reached if seen is None else reached.join(seen, "id", "left_anti")
@@ -105,7 +106,7 @@ def _grown(steps: DataFrame, levels: list[DataFrame], sizes: list[int]) -> None:
     seen = levels[0].select("id")
     for level in levels[1:]:
         seen = seen.union(level.select("id"))
-    near = steps.join(bounded(levels[-1].select("id")), F.col("src") == F.col("id")).groupBy(F.col("dst").alias("next")).agg(F.min("src").alias("parent"))
+    near = steps.join(bounded(levels[-1].select("id")), F.col("src") == F.col("id"), "left_semi").groupBy(F.col("dst").alias("next")).agg(F.min("src").alias("parent"))
     fresh = near.join(seen, F.col("next") == F.col("id"), "left_anti").select(F.col("next").alias("id"), "parent")
     levels.append(materialise(fresh, "level"))
     sizes.append(levels[-1].count())
@@ -142,7 +143,7 @@ def find_path(steps: DataFrame, a: str, b: str, most: int = 6) -> list[str]:
     # from where they meet on to b: only nodes that lie on shortest paths, each with its least predecessor
     onward = [meet]
     for level in back[-2::-1]:
-        reached = steps.join(bounded(onward[-1].select("id")), F.col("src") == F.col("id")).groupBy(F.col("dst").alias("next")).agg(F.min("src").alias("parent"))
+        reached = steps.join(bounded(onward[-1].select("id")), F.col("src") == F.col("id"), "left_semi").groupBy(F.col("dst").alias("next")).agg(F.min("src").alias("parent"))
         onward.append(materialise(reached.join(level.select("id"), F.col("next") == F.col("id")).select("id", "parent"), "onward"))
     path = [b]
     for level in (*onward[:0:-1], *there[:0:-1]):
@@ -177,15 +178,18 @@ def list_directory(concepts: DataFrame, directories: DataFrame, at: str | None =
     return dirs.unionByName(concepts.filter(home).select(F.lit(1).alias("ordinal"), "id", "type")).orderBy("ordinal", "id")
 
 
-def expand(chunk_ids: DataFrame, chunks: DataFrame, edges: DataFrame, concepts: DataFrame, hops: int = 1, most: int = 50) -> DataFrame:
-    """(id, title, description, hub): concepts that the chunks' documents link to, within ``hops``, by incoming links."""
+def expand(chunk_ids: DataFrame, chunks: DataFrame, edges: DataFrame, concepts: DataFrame, hops: int = 1, most: int = 50, hubs: DataFrame | None = None) -> DataFrame:
+    """(id, title, description, hub): concepts that the chunks' documents link to, within ``hops``, by incoming links.
+
+    hubs: (id, hub) of all concepts; counted here if not given.
+    """
     links = edges.filter("rel = 'LINKS_TO'").select("src", "dst")
     front = chunk_ids.join(chunks.select("chunk_id", "parent_doc_id"), "chunk_id").select(F.col("parent_doc_id").alias("id")).distinct()
     found = None
     for _ in range(max(1, hops)):
         front = links.join(front, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
         found = front if found is None else found.union(front).distinct()
-    hubs = links.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("hub"))
+    hubs = links.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("hub")) if hubs is None else hubs
     named = concepts.select("id", "title", F.substring(F.coalesce("description", F.lit("")), 1, 200).alias("description"))
     return found.join(named, "id").join(hubs, "id").orderBy(F.desc("hub"), "id").limit(most)
 

@@ -388,12 +388,15 @@ def shortest_path_len(q: Inputs) -> DataFrame:
     return out
 
 
-@query(duck(f"""with s as (select distinct src,dst from (select src,dst from edge union all select dst,src from edge)),
+PATH_SQL = duck(f"""with s as (select distinct src,dst from (select src,dst from edge union all select dst,src from edge)),
  a as (select id from concept where doc_id={START_DOC}), b as (select id from concept where doc_id=77),
  w as (select id, 0 d from a union select s.dst, d+1 from w join s on s.src=w.id where d<4),
  m as (select id, min(d) d from w group by id),
  p as (select m.id, m.d from m join b using(id) union all select (select min(s.src) from s join m on m.id=s.src where s.dst=p.id and m.d=p.d-1), p.d-1 from p where p.d>0)
-select d::int step, id from p""", recursive=True))
+select d::int step, id from p""", recursive=True)
+
+
+@query(PATH_SQL)
 def shortest_path_nodes(q: Inputs) -> DataFrame:
     goal = q.concept.filter("doc_id = 77").select("id").first()[0]
     path = G.find_path(stored(q, "steps"), _start(q), goal, 4)

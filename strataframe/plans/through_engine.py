@@ -10,7 +10,7 @@ from ..engine import Engine
 from ..functions import text as T
 from ..operators import index as X
 from .registry import query
-from .retrieval import _FREE, DIM, FUSED_SQL, QUERY, SHORT_SQL, START_DOC, _start, bm25_sql
+from .retrieval import _FREE, DIM, FUSED_SQL, PATH_SQL, QUERY, SHORT_SQL, START_DOC, _start, bm25_sql
 from .views import TABLES, Inputs, duck
 
 
@@ -29,6 +29,7 @@ def engine_of(q: Inputs) -> Engine:
     for name, rows, said in (("concept", concepts, text), ("chunk", chunks, F.col("chunk_text"))):
         state |= {name: engine._embedded(rows, said), f"{name}_posting": X.postings(rows, "id", said), f"{name}_length": X.lengths(rows, "id", said)}
     engine.store.commit(state)
+    engine.store.commit(engine.graph_tables())
     return engine
 
 
@@ -76,3 +77,25 @@ def engine_get_by_id(q: Inputs) -> DataFrame:
     found = engine_of(q).get_by_id(wanted)
     row = [(found["id"], found["title"], found["type"], ",".join(found["tags"]), found["body"])]
     return q.spark.createDataFrame(row, "id string, title string, type string, tags string, body string").select("id", "title", "type", "tags", F.md5("body").alias("h"))
+
+
+@query(PATH_SQL)
+def engine_find_path(q: Inputs) -> DataFrame:
+    goal = q.concept.filter("doc_id = 77").select("id").first()[0]
+    path = engine_of(q).find_path(_start(q), goal, 4)
+    return q.spark.createDataFrame([(k, x) for k, x in enumerate(path)], "step int, id string")
+
+
+@query(duck("select dst id, count(*) hub from links_to group by dst"))
+def engine_hubs(q: Inputs) -> DataFrame:
+    return engine_of(q).hubs()
+
+
+@query(duck(f"""with {bm25_sql("chunk", "chunk_id", "chunk_text")}, {_near_sql("chunk", "chunk_id", "chunk_text", 60)}, {FUSED_SQL},
+ cp as (select fu.id, c.parent_doc_id, rrf, row_number() over (partition by c.parent_doc_id order by rrf desc, fu.id) k from fu join chunk c on c.chunk_id=fu.id),
+ res as (select id, parent_doc_id, rrf from cp where k<=3 order by rrf desc, id limit 20),
+ h as (select dst, count(*) hub from links_to group by dst), j as (select res.*, coalesce(hub,0) hub from res left join h on dst=parent_doc_id),
+ b as (select *, round(0.7::double*rrf+0.3::double*hub/greatest(coalesce(max(hub) over (),1),1),8) final from j)
+select id, parent_doc_id, rrf, hub, final from b order by final desc, id limit 10"""))
+def engine_search_hubs(q: Inputs) -> DataFrame:
+    return engine_of(q).search_chunks_with_hub_score(QUERY).select("id", "parent_doc_id", "rrf", "hub", "final")

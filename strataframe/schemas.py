@@ -15,6 +15,8 @@ TABLES: dict[str, str] = {
     "chunk_posting": "term string, id string, tf bigint, dl int",
     "chunk_length": "id string, dl int",
     "link_raw": "src string, target string",
+    "adjacency": "node string, rel string, way string, other string, label string, n bigint",
+    "hub": "id string, n bigint",
     "file_hash": "path string, hash string, concept_id string",
     "dir_hash": "path string, hash string, files array<string>",
     "concept_cell": "id string, cell int, code array<smallint>, embedding array<float>",
@@ -41,10 +43,14 @@ KEYS = {
     "cell_centre": "grain",
     "codebook": "grain",
     "link_raw": "src",
+    "adjacency": "node",
+    "hub": "id",
     "file_hash": "path",
     "dir_hash": "path",
     "deleted_concept": "id",
 }
+#: Tables of signed rows: the sum of ``n`` is what there is.
+SUMMED = ("adjacency", "hub")
 #: Version of the stored layout. Tables of older ones get the columns they lack, filled by ``MIGRATIONS``.
 VERSION = 6
 #: By table: (first version that needs it not, columns in SQL).

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.quantised import laid_out
-from .schemas import KEYS, VERSION, migrated, schema
+from .schemas import KEYS, SUMMED, VERSION, migrated, schema
 
 #: Parts of a table; the next one makes it whole.
 MOST_PARTS = 8
@@ -32,8 +32,10 @@ LEASE = 3600
 #: Keys of parts up to this many are broadcast to the rows.
 BROADCAST_KEYS = 1 << 20
 
+#: In place of keys: the rows are added to those that are there.
+ADDED = "added"
 #: Rows to put in (or none), and the keys (key) that they replace or that go (none: the rows are the whole table).
-Change = tuple[DataFrame | None, DataFrame | None]
+Change = tuple[DataFrame | None, DataFrame | str | None]
 
 
 class Conflict(RuntimeError):
@@ -141,6 +143,9 @@ class Store:
                 gone, n_gone = keys if gone is None else gone.union(keys), n_gone + part["n_gone"]
         if rows is None:
             return self.empty(name)
+        if name in SUMMED:
+            names = [c for c in schema(name).names if c != "n"]
+            return rows.select(*names, "n") if len(parts) == 1 else rows.groupBy(*names).agg(F.sum("n").alias("n")).filter("n <> 0")
         if gone is not None:
             last = gone.groupBy("key").agg(F.max("__last").alias("__last"))
             last = F.broadcast(last) if n_gone <= BROADCAST_KEYS else last
@@ -153,6 +158,8 @@ class Store:
         rows = rows.select(*schema(name).names)
         if name.endswith("_posting"):  # sorted, a term's entries lie in few row groups, and the others are skipped
             rows = rows.repartitionByRange("term").sortWithinPartitions("term")
+        elif name in SUMMED:
+            rows = rows.repartitionByRange(schema(name).names[0]).sortWithinPartitions(schema(name).names[0])
         writer = laid_out(rows) if name.endswith("_cell") else rows.write
         writer.parquet(f"{self.path}/{folder}")
         return folder
@@ -169,14 +176,14 @@ class Store:
             state = {n: [*parts] for n, parts in old["tables"].items()}
             changes = {n: c if isinstance(c, tuple) else (c, None) for n, c in tables.items()}
             with ThreadPoolExecutor(WRITERS) as pool:  # small jobs of their own
-                keys = {id(g): pool.submit(self._write_keys, g) for g in {id(g): g for _, g in changes.values() if g is not None}.values()}
+                keys = {id(g): pool.submit(self._write_keys, g) for g in {id(g): g for _, g in changes.values() if g is not None and g is not ADDED}.values()}
                 rows = {n: pool.submit(self._write, n, r) for n, (r, _) in changes.items() if r is not None}
             for name, (_, gone) in changes.items():
                 folder = rows[name].result() if name in rows else None
                 if gone is None:
                     state[name] = [self._part(folder)]
                     continue
-                parts = [*state.get(name, []), self._part(folder, *keys[id(gone)].result())]  # tables may share keys
+                parts = [*state.get(name, []), self._part(folder) if gone is ADDED else self._part(folder, *keys[id(gone)].result())]  # tables may share keys
                 if len(parts) > MOST_PARTS:
                     parts = [self._part(self._write(name, self._merged(name, parts)))]
                 state[name] = parts

@@ -238,6 +238,45 @@ def test_remote_images_behind_the_list(spark, tmp_path):
         assert data == {"a.png": b"GIF89ahttps://cdn.example.com/a.png" if remote else None, "b.png": None, "c.png": None}
 
 
+def same_graph(engine):
+    """Kept edges and hub counts against what the other tables say."""
+    from strataframe.operators import rank
+
+    kept, derived = (sorted(map(tuple, f().collect())) for f in (engine.edges, engine.derived_edges))
+    hubs = sorted(map(tuple, rank.hub_scores(engine.derived_edges()).collect()))
+    assert "adjacency" in engine.store.manifest()["tables"] and kept == derived and sorted(map(tuple, engine.hubs().collect())) == hubs
+    return len(kept)
+
+
+def test_edges_are_kept(spark, tmp_path):
+    """After random imports, purges, deletions and recoveries."""
+    import random
+
+    rng = random.Random(5)
+    root = tmp_path / "notes"
+    names = [f"{d}n{k}" for k, d in enumerate(["", "a/", "a/", "a/b/", "c/", "c/d/e/"])]
+    for d in ("a/b", "c/d/e"):
+        (root / d).mkdir(parents=True)
+    (root / "pic.png").write_bytes(PNG)
+    e, sizes = Engine(spark, str(tmp_path / "store")), []
+    for turn in range(3):
+        for n in names:
+            if rng.random() < (0.8 if turn == 0 else 0.4):
+                links = " ".join(f"[[{rng.choice(names)}]]" for _ in range(3))
+                (root / f"{n}.md").write_text(f"# {n}\n\n{links} {turn}\n\n![p](pic.png)\n")
+            elif turn and rng.random() < 0.4:
+                (root / f"{n}.md").unlink(missing_ok=True)
+        e.import_bundle(str(root))
+        sizes.append(same_graph(e))
+    there = sorted(r.id for r in e.concepts().select("id").collect())
+    assert e.purge(there[0]) and e.soft_delete(there[1])
+    sizes.append(same_graph(e))
+    assert e.recover(there[1]) == there[1]
+    same_graph(e)
+    assert e.reindex(force=True) and len({*sizes}) > 1
+    same_graph(e)
+
+
 def planted(dim, n=24000, groups=20):
     """Unit vectors, ten of them near each of some bases; the bases."""
     import numpy as np

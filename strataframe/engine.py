@@ -21,6 +21,7 @@ from .operators import export as X
 from .operators import graph as G
 from .operators import index as X_
 from .operators import maintain as M
+from .operators import merkle as K
 from .operators import quantised as Q
 from .operators import rank as R
 from .operators import thoughts as N
@@ -174,30 +175,52 @@ class Engine:
     @_change
     def import_files(self, folder: str) -> DataFrame:
         """Import what changed below a folder; the ids (id) of this import. Deleted files are purged."""
-        files = S.scan(self.spark, folder)
-        now = S.snapshot(files)
-        old = self.store.table("file_hash")
+        files, old = S.scan(self.spark, folder), self.store.table("file_hash")
+        now = materialise(S.snapshot(files, old), "snapshot")
         changed = materialise(M.changed_files(old, now), "changed")
         if changed.isEmpty():
             return self.spark.createDataFrame([], "id string")
-        paths = changed.select("path")
-        fresh = files.join(bounded(changed.filter("change <> 'deleted'").select("path")), "path", "left_semi")
-        gone = old.join(bounded(changed.filter("change = 'deleted'").select("path")), "path", "left_semi").select(F.col("concept_id").alias("id"))
-        rows = S.concepts(fresh).filter("error is null").drop("error").dropDuplicates(["id"])
+        # of several files of one id the least path counts, now as before
+        first = lambda x: x.groupBy("concept_id").agg(F.min(F.struct("path", "hash")).alias("f"))
+        moved = first(old).withColumnRenamed("f", "was").join(first(now).withColumnRenamed("f", "now"), "concept_id", "full_outer")
+        moved = materialise(moved.filter(~F.col("was").eqNullSafe(F.col("now"))), "moved")
+        gone = moved.filter("now is null").select(F.col("concept_id").alias("id"))
+        fresh = files.join(bounded(moved.filter("now is not null").select("now.path")), "path", "left_semi")
+        parsed = materialise(S.concepts(fresh), "parsed")
+        failed = parsed.filter("error is not null").select(F.col("id").alias("concept_id"), "error")
+        failed = materialise(moved.join(failed, "concept_id").select("now.path", "error"), "failed")
+        rows = self._encoded(parsed.filter("error is null").drop("error"))
         images = S.scan(self.spark, folder, [f".{s}" for s in I.SUFFIXES])
-        rows = self._encoded(rows)
         state = self._changes(rows, gone, images)
-        hashes = now.select("path", "hash", "concept_id")
-        state["file_hash"] = hashes.join(bounded(paths), "path", "left_semi"), paths
-        touched = G.ancestry(paths.withColumnRenamed("path", "id")).select(F.col("ancestor").alias("dir")).distinct()
-        touched = materialise(touched, "touched")
-        below = hashes.join(bounded(touched), F.col("path").startswith(F.concat("dir", F.lit("/"))), "left_semi")
-        own = below.groupBy(F.regexp_replace("path", r"/?[^/]*$", "").alias("dir")).agg(F.sort_array(F.collect_list("path")).alias("files"))
-        dirs = M.directory_hashes(below).join(bounded(touched), "dir", "left_semi").join(own, "dir")
-        state["dir_hash"] = dirs.select(F.col("dir").alias("path"), "hash", "files"), touched
+        # a file that can't be read is reported, keeps what it gave before, and is tried again
+        paths = materialise(changed.join(bounded(failed.select("path")), "path", "left_anti").select("path"), "paths")
+        state["file_hash"] = now.join(bounded(paths), "path", "left_semi"), paths
+        state["import_error"] = failed, changed.select("path")
+        state["dir_hash"] = self._directories(old, now, paths)
         self.store.commit(state)
         return rows.select("id")
 
+    def _directories(self, old: DataFrame, now: DataFrame, paths: DataFrame) -> Change:
+        """What changed paths change in the hashes and files of directories."""
+        stored = self.store.table("dir_hash").filter("lanes is not null")
+        if stored.isEmpty():  # none yet, or of an older layout
+            old, paths = old.limit(0), old.select("path").union(paths).distinct()
+        some = bounded(paths)
+        was, is_ = (x.join(some, "path", "left_semi").select("path", F.col("hash").alias(n)) for x, n in ((old, "was"), (now, "now")))
+        files = materialise(was.join(is_, "path", "full_outer"), "files")
+        dirs = materialise(K.changes(stored, files), "directories")
+        listed = files.groupBy(K.parent(F.col("path")).alias("path")).agg(
+            F.collect_list(F.when(F.col("now").isNotNull(), F.col("path"))).alias("come"), F.collect_list(F.when(F.col("now").isNull(), F.col("path"))).alias("go")
+        )  # a directory's own files
+        none = F.array().cast("array<string>")
+        own = dirs.join(stored.select("path", "files"), "path", "left").join(listed, "path", "left")
+        kept = F.array_sort(F.array_union(F.array_except(F.coalesce("files", none), F.coalesce("go", none)), F.coalesce("come", none)))
+        return own.filter("hash is not null").select("path", "hash", kept.alias("files"), "lanes", "n"), dirs.select("path")
+
+    def import_errors(self) -> DataFrame:
+        """(path, error): files that the last imports couldn't read; they are tried again at each import."""
+        return self.store.table("import_error")
+
     def _encoded(self, rows: DataFrame) -> DataFrame:
         """Concept rows with embeddings, made once."""
         return materialise(self._embedded(rows, T.search_text(F.col("title"), F.col("description"), F.col("body"))), "concepts")

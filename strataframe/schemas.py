@@ -17,8 +17,9 @@ TABLES: dict[str, str] = {
     "link_raw": "src string, target string",
     "adjacency": "node string, rel string, way string, other string, label string, n bigint",
     "hub": "id string, n bigint",
-    "file_hash": "path string, hash string, concept_id string",
-    "dir_hash": "path string, hash string, files array<string>",
+    "file_hash": "path string, hash string, concept_id string, size bigint, modified timestamp",
+    "import_error": "path string, error string",
+    "dir_hash": "path string, hash string, files array<string>, lanes array<bigint>, n bigint",
     "concept_cell": "id string, cell int, code array<smallint>, embedding array<float>",
     "chunk_cell": "id string, cell int, code array<smallint>, embedding array<float>",
     "cell_centre": "grain string, cell int, centre array<double>",
@@ -47,6 +48,7 @@ KEYS = {
     "hub": "id",
     "file_hash": "path",
     "dir_hash": "path",
+    "import_error": "path",
     "deleted_concept": "id",
 }
 #: Tables of signed rows: the sum of ``n`` is what there is.

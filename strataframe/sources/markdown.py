@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import bounded, materialise
 
 SUFFIXES = (".md", ".markdown", ".txt")
 KNOWN = ("type", "title", "description", "resource", "tags", "timestamp")
@@ -75,9 +76,25 @@ def scan(spark: SparkSession, folder: str, suffixes: Sequence[str] = SUFFIXES) -
     return named.filter(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
 
 
-def snapshot(files: DataFrame) -> DataFrame:
-    """(path, hash, concept_id) of scanned files."""
-    return files.select("path", F.sha2("content", 256).alias("hash"), T.concept_id(F.col("path")).alias("concept_id"))
+#: Seconds after which a file's time tells that it is the same; younger ones may be written twice within the clock's step.
+SETTLED = 2
+
+
+def snapshot(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(path, hash, concept_id, size, modified) of scanned files.
+
+    known: an earlier snapshot; files of the same size and time as in it have its hash and aren't read. Times of files that
+    were just written are null, so that those are read again.
+    """
+    made = files.select("path", F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), "modified")
+    if known is not None:
+        here = files.select("path", F.col("length").alias("size"), "modified")
+        same = here.join(known.filter("modified is not null").select("path", "hash", "size", "modified"), ["path", "size", "modified"]).select("path", "hash", "size", "modified")
+        same = materialise(same, "same")
+        read = files.join(bounded(same.select("path")), "path", "left_anti")
+        made = same.union(read.select("path", F.sha2("content", 256), "length", "modified"))
+    settled = F.when(F.col("modified") < F.current_timestamp() - F.expr(f"interval {SETTLED} seconds"), F.col("modified"))
+    return made.select("path", "hash", T.concept_id(F.col("path")).alias("concept_id"), "size", settled.alias("modified"))
 
 
 def concepts(files: DataFrame) -> DataFrame:

@@ -238,6 +238,32 @@ def test_remote_images_behind_the_list(spark, tmp_path):
         assert data == {"a.png": b"GIF89ahttps://cdn.example.com/a.png" if remote else None, "b.png": None, "c.png": None}
 
 
+def test_imports_in_proportion(spark, tmp_path):
+    """The least path of an id, files that fail, directories by their children, hashes that aren't made again."""
+    import os
+
+    from strataframe.operators import merkle
+
+    root = tmp_path / "notes"
+    (root / "sub").mkdir(parents=True)
+    for name, text in (("a.md", "# A md"), ("a.txt", "# A txt"), ("bad.md", "---\ntitle: [x\n---\nbody"), ("sub/c.md", "# C")):
+        (root / name).write_text(text)
+        os.utime(root / name, (1, 1))
+    e = Engine(spark, str(tmp_path / "store"))
+    assert e.import_bundle(str(root)) == ["a", "sub/c"]
+    assert e.get_by_id("a")["body"].strip() == "# A md" and [r.path for r in e.import_errors().collect()] == ["bad.md"]
+    hashes = e.store.table("file_hash")
+    dirs = {r.path: (r.hash, r.files) for r in e.store.table("dir_hash").collect()}
+    assert dirs == {r.path: (r.hash, f) for r in merkle.directories(hashes).collect() for f in [sorted(x.path for x in hashes.collect() if x.path.rpartition("/")[0] == r.path)]}
+    (root / "a.md").unlink()
+    (root / "bad.md").write_text("# Good now")
+    assert e.import_bundle(str(root)) == ["a", "bad"] and e.get_by_id("a")["body"].strip() == "# A txt" and e.import_errors().count() == 0
+    after = {r.path: r.hash for r in e.store.table("dir_hash").collect()}
+    assert after["sub"] == dirs["sub"][0] and after[""] != dirs[""][0]
+    known = e.store.table("file_hash").selectExpr("path", "'kept' hash", "concept_id", "size", "modified")
+    assert {r.path: r.hash == "kept" for r in markdown.snapshot(markdown.scan(spark, str(root)), known).collect()} == {"a.txt": True, "bad.md": False, "sub/c.md": True}
+
+
 def same_graph(engine):
     """Kept edges and hub counts against what the other tables say."""
     from strataframe.operators import rank

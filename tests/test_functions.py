@@ -133,6 +133,36 @@ def test_walks_and_distinct(spark):
     assert graph.find_path(graph.steps_of(edges), "a", "d") == ["a", "b", "d"]
 
 
+def test_directory_hashes_keep_up(spark):
+    """Changes alone give the hashes of a build from nothing; directories without a change below aren't touched."""
+    import random
+
+    from strataframe.operators import merkle
+
+    rng = random.Random(2)
+    frame = lambda files: spark.createDataFrame([*files.items()], "path string, hash string")
+    told = lambda df: {r.path: (r.hash, r.n) for r in df.collect()}
+    names = [f"{d}f{k}" for d in ("", "a/", "a/b/", "a/b/c/d/", "e/", "g/h/") for k in range(3)]
+    files = {n: f"{rng.random()}" for n in names}
+    kept = merkle.directories(frame(files)).cache()
+    assert {*told(kept)} == {"", "a", "a/b", "a/b/c", "a/b/c/d", "e", "g", "g/h"}
+    for turn in range(3):
+        before = dict(files)
+        for n in rng.sample(names[:12] if turn else [x for x in names if x.startswith("g/")], 3):
+            if turn and n in files and rng.random() < 0.5:
+                del files[n]
+            else:
+                files[n] = f"{rng.random()}"
+        changed = [(n, before.get(n), files.get(n)) for n in {*before, *files} if before.get(n) != files.get(n)]
+        moved = merkle.changes(kept, spark.createDataFrame(changed, "path string, was string, now string")).cache()
+        assert turn or {*told(moved)} == {"", "g", "g/h"}
+        now = kept.join(moved, "path", "left_anti").union(moved.filter("hash is not null")).cache()
+        built = merkle.directories(frame(files))
+        assert told(now) == told(built)
+        assert {r.path for r in merkle.differing(kept, now).collect()} == {*told(moved)} and merkle.differing(now, built).count() == 0
+        kept = now
+
+
 def test_two_sided_paths(spark):
     """The path of the one-sided walk, from fewer rows."""
     import random

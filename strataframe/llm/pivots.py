@@ -4,8 +4,9 @@ Reference points (pivots) are vectors of the corpus, none near another. A vector
 pivots in their order, nearest first. An inverted list of each pivot holds the vectors that name it, with its rank in their
 orders. In a list the ``ASK`` nearest ranks ask and all answer; two vectors are candidates if they share ``SHARED`` pivots
 or more, one of which either has among its ``ASK`` nearest, and each candidate is verified by its cosine in double precision.
-A pair is dealt with in one list alone: that of the shared pivot whose two ranks have the least sum. Where the cosines of a
-list are cheaper than counts (a matrix product), they come first and only near pairs are counted; the links are the same.
+As cosines of a list (a matrix product) are cheaper than counts, all that meet in it are verified, and nothing that is
+verified is lost: one shared pivot is enough, and all ranks ask. Shared pivots of near pairs are then looked up to deal with
+a pair in one list alone: that of the shared pivot whose two ranks have the least sum.
 
 Equal vectors are one class with a representative and a count, so copies cost one entry. Lists give counts and spanning
 edges back, never pairs. A list is cut into blocks of ``BLOCK`` rows, and a cell of two blocks is a unit of work, so that a
@@ -36,7 +37,7 @@ from ._links import bounded, components
 from ._store import materialise, partitions, small_batches
 
 COSINE = 0.9
-NEAREST, ASK, SHARED = 8, 4, 2
+NEAREST, ASK, SHARED = 8, 8, 1
 MOST_PIVOTS = 16384
 LEAST_PIVOTS = 128
 #: Pivots for each unit of the square root of the number of vectors, within those bounds.

@@ -8,8 +8,9 @@ whole length, and the words that both have in the same order are counted; their
 words of the span), must reach ``least``. Of verified spans that overlap only the best keeps its label: that of the largest
 share, then of most words, then the first label.
 
-Changed words cost up to ``GRAM`` runs each, so a span is verified if it has all runs but ``GRAM`` times the words that may
-change, and one at least; a template of a few words is then a candidate by one run, and words decide.
+Templates of up to ``SHORT`` words ("licensed under the ISC license") are notices, and any word of a notice may be what names
+the license; so they match whole or not at all. Changed words cost up to ``GRAM`` runs each, so a span is verified if it has all runs but ``GRAM`` times the words that may
+change, and one at least.
 
 A phrase (``PHRASES``) is a template of which nothing may be missing: a place of it is one diagonal with all its votes; such
 places are independent of spans. The templates (``license_texts``) are a fixed list of some thousand words, so their table
@@ -43,6 +44,8 @@ from .license_texts import passages
 GRAM = 3
 DRIFT = 4
 LEAST = 0.8
+#: Templates of up to so many words must match whole: in a notice the word that differs may be the license's name.
+SHORT = 11
 
 #: The phrases whose places are counted, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -69,6 +72,11 @@ def templates() -> list[tuple[int, str, str, bool]]:
     return [(next(number), label, text, phrase) for phrase, given in ((True, [(v, k) for k, v in PHRASES.items()]), (False, passages())) for label, text in given]
 
 
+def least_of(n_words: int, least: float) -> float:
+    """The share that a template of so many words must reach."""
+    return 1.0 if n_words <= SHORT else least
+
+
 def may_change(n_words: int, least: float) -> int:
     """Words of a template that may differ in a span of the same length."""
     return math.floor(n_words * (1 - least) + 1e-9)
@@ -78,8 +86,8 @@ def template_table(spark: SparkSession, least: float = LEAST) -> DataFrame:
     """(gram, template, place, label, phrase, runs, enough) of each run of each template; enough: runs of a candidate."""
     rows = [(EVERY, NONE, 0, None, False, 0, 0)]
     for number, label, text, phrase in templates():
-        grams = _grams(text).tolist()
-        enough = len(grams) if phrase else max(1, len(grams) - GRAM * max(1, may_change(len(words_of(text)), least)))
+        grams, n = _grams(text).tolist(), len(words_of(text))
+        enough = len(grams) if phrase or n <= SHORT else max(1, len(grams) - GRAM * max(1, may_change(n, least)))
         rows += [(g, number, at, label, phrase, len(grams), enough) for at, g in enumerate(grams)]
     return spark.createDataFrame(rows, "gram long, template int, place int, label string, phrase boolean, runs int, enough int")
 
@@ -119,6 +127,7 @@ def verified(words: list[str], template: list[str], label: str, start: int, last
     start, last: their places in the text. The span is widened by what of the template lies before and after, and by the
     words that may have been put in.
     """
+    least = least_of(len(template), least)
     more = may_change(len(template), least) + DRIFT
     begin = max(0, start - place - more)
     window = words[begin : last + len(template) - end + more]

@@ -560,6 +560,19 @@ NOTICES = [
     ("it was kindly licensed unter cc by 4.0 by them", {"cc-by"}),
     ("the license of the software is not known to the public", set()),
     ("all of the rights were reserved", set()),
+    ("the code is licensed under the foo license today", set()),
+    ("licensed under the eclipse license", set()),
+    ("released under the x11 license", set()),
+    ("apache license version 1 0", set()),
+    ("licensed under the mozilla public license version 1 1", set()),
+    ("the european general public license", set()),
+    *((f"licensed under the {name} license", set()) for name in ("artistic", "eupl", "wtfpl", "ofl", "json", "postgresql", "ncsa", "python", "vim", "php")),
+    *((f"released under the {name} license and nothing else", set()) for name in ("beerware", "x11", "openssl", "ruby", "hippocratic")),
+    ("GNU Free Documentation License", set()),
+    ("Academic Free License Version 3.0", set()),
+    ("Boost Software License", set()),
+    ("Apache License, Version 3.0", set()),
+    ("Creative Commons Sampling Plus 1.0 License", set()),
 ]
 
 

@@ -20,17 +20,20 @@ host, and rows that repeat their id and url without end are dealt again by their
 ``FEW`` pages are compared with each other, as their own vectors are too short to tell a template.
 
 Defined cases: a null, empty or textless page has the text ''; a null or strange url has no host; unclosed elements end with
-their parents; unclosed comments, scripts and styles reach to the end of the page; a page of any length is taken whole;
+their parents; unclosed comments, scripts and styles reach to the end of the page; a page of any length is taken whole, in time
+proportional to it, and elements more than ``DEPTH`` deep count as part of the one around them;
 repeated rows are pages of their own, but count once in vectors; ties of elements go to the deeper, then to the later name;
 an empty table gives an empty result. Added columns replace input columns of their name.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,11 +55,9 @@ SUPPORT = 0.9
 #: Of the varying text, the part that an element must hold to overrule words, and the part that an article must hold.
 COVERAGE, MOST = 0.8, 0.5
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|iframe|textarea|xmp)\b(?:"[^"]*"|'[^']*'|[^>"'])*>.*?(?:</\1\s*>|\Z)"""
-    r"""|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|([^<]+|<)""",
-    re.S | re.I,
-)
+RAW = re.compile(r"<(script|style|title|noscript|template|iframe|textarea|xmp)\b", re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'<]*)")
+DELIMITER = re.compile("[\"'>]")
 NAMED = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -78,6 +79,68 @@ TAKEN = frozenset({"article", "main"})
 #: Elements that group others.
 GROUPING = frozenset("div section ul ol dl table figure details fieldset blockquote address center".split())
 _WORD = re.compile(r"[a-z]+")
+#: Elements inside one another; deeper ones count as part of the last, as in browsers.
+DEPTH = 128
+
+
+def tokens(source: str) -> Iterator[tuple[str, str, str, str]]:
+    """(closing, tag, attributes, text) of tags and texts in order, in time proportional to the source.
+
+    Comments, declarations and elements of raw text are passed over; a tag ends at the first > outside quotes, and a < that
+    begins none is text.
+    """
+    marks = [m.start() for m in DELIMITER.finditer(source)]
+    ends: dict[int, int] = {}  # by place among the marks, where a tag that reaches it outside quotes ends
+
+    def end_of(at: int) -> int:
+        k, passed = bisect_left(marks, at), []
+        while k < len(marks) and k not in ends:
+            passed.append(k)
+            c = source[marks[k]]
+            if c == ">":
+                ends[k] = marks[k]
+                break
+            close = source.find(c, marks[k] + 1)
+            k = len(marks) if close < 0 else bisect_left(marks, close) + 1
+        found = ends.get(k, -1)
+        ends.update(dict.fromkeys(passed, found))
+        return found
+
+    at, size = 0, len(source)
+    while at < size:
+        start = source.find("<", at)
+        if start != at:
+            yield "", "", "", source[at : start if start >= 0 else size]
+            if start < 0:
+                return
+            at = start
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        raw = RAW.match(source, at)
+        end = end_of(raw.end()) if raw else -1
+        if end >= 0:
+            close = _closing(raw[1].lower()).search(source, end + 1)
+            at = close.end() if close else size
+            continue
+        if source[at + 1 : at + 2] in ("!", "?"):
+            end = source.find(">", at + 2)
+            at = size if end < 0 else end + 1
+            continue
+        tag = TAG.match(source, at)
+        end = end_of(tag.end()) if tag else -1
+        if end >= 0:
+            yield tag[1], tag[2], source[tag.end() : end], ""
+            at = end + 1
+        else:
+            yield "", "", "", "<"
+            at += 1
+
+
+@functools.cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.I)
 
 
 class Page:
@@ -87,7 +150,8 @@ class Page:
         self.paths, self.tags, self.parents, self.barred, self.weak = [""], [""], [-1], [False], [False]
         self.blocks: list[list[tuple[int, str]]] = []
         block: list[tuple[int, str]] = []
-        stack = [0]
+        stack, opened, deeper = [0], Counter(), Counter()
+        known: dict[tuple[str, str], str] = {}
 
         def end_block() -> None:
             nonlocal block
@@ -95,12 +159,14 @@ class Page:
                 self.blocks.append(block)
                 block = []
 
-        for raw, closing, tag, attributes, text in TOKEN.findall(source or ""):
+        def end_elements(at: int) -> None:
+            opened.subtract(self.tags[e] for e in stack[at:])
+            del stack[at:]
+
+        for closing, tag, attributes, text in tokens(source or ""):
             if text:
                 block.append((stack[-1], text))
                 continue
-            if raw or not tag:
-                continue
             tag = tag.lower()
             if tag == "br":
                 block.append((stack[-1], " "))
@@ -108,26 +174,34 @@ class Page:
             if tag not in INLINE:
                 end_block()
             if closing:
-                at = next((k for k in range(len(stack) - 1, 0, -1) if self.tags[stack[k]] == tag), 0)
+                if deeper[tag]:
+                    deeper[tag] -= 1
+                    continue
+                at = next(k for k in range(len(stack) - 1, 0, -1) if self.tags[stack[k]] == tag) if opened[tag] else 0
                 if at and not (tag in INLINE and any(self.tags[e] not in INLINE for e in stack[at + 1 :])):
-                    del stack[at:]
+                    end_elements(at)
                 continue
             ended = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if ended else ():
                 if self.tags[stack[k]] in ended:
-                    del stack[k:]
+                    end_elements(k)
                     break
                 if self.tags[stack[k]] not in INLINE:
                     break
             if tag in VOID:
                 continue
+            if len(stack) > DEPTH:
+                deeper[tag] += 1
+                continue
+            opened[tag] += 1
             named = {n.lower(): (a or b or c).lower() for n, a, b, c in NAMED.findall(attributes)} if attributes else {}
             parent = stack[-1]
             words = {w for v in named.values() for w in _WORD.findall(v)}
             barred = self.barred[parent] or tag in APART_TAGS or (tag == "header" and not self._within(parent))
             stack.append(len(self.tags))
             classes = ".".join(sorted(re.sub(r"\d+", "", named.get("class", "")).split()))
-            self.paths.append(f"{self.paths[parent]}/{tag}{'.' + classes if classes else ''}")
+            step = self.paths[parent], f"{tag}.{classes}" if classes else tag
+            self.paths.append(known.setdefault(step, "/".join(step)))
             self.tags.append(tag)
             self.parents.append(parent)
             self.barred.append(barred and tag not in ("html", "body"))

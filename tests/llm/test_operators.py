@@ -516,6 +516,29 @@ def test_quality_edges(spark, edge_texts):
     assert quality.features(pa.array([None, "", "x"], pa.string())).shape == (3, len(quality.NAMES))
 
 
+@pytest.mark.parametrize("piece", ['<a "', "<b>x", "<a '\"", "<script", "<!-", "<div class='long-name-of-a-class'>x", "</b>", "<p><b>x", "<a<", "<script>x</script", '<i class="a>', "<li>x"])
+def test_hostile_pages_take_time_in_proportion(piece):
+    """Some megabyte of each parses within seconds, and keeps the text that it shows."""
+    import time
+
+    began = time.process_time()
+    page = html_template.Page("<p>Before</p>" + piece * ((1 << 20) // len(piece)))
+    assert time.process_time() - began < 15 and page.blocks[0][0][1] == "Before"
+
+
+def test_tokens_against_a_pattern():
+    """The tokens of a pattern that tries each place anew."""
+    pattern = re.compile(
+        r"""<!--.*?(?:-->|\Z)|<(script|style|title)\b(?:"[^"]*"|'[^']*'|[^>"'])*>.*?(?:</\1\s*>|\Z)"""
+        r"""|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>"'<]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|([^<]+|<)""", re.S | re.I)
+    rng = np.random.default_rng(21)
+    parts = ["<", ">", '"', "'", "a", " ", "/", "<b>", "</b>", "<script>", "</script >", "<!--", "-->", "<!d>", "<a x='", '<i y="', "=", "<title", "text & more"]
+    for _ in range(3000):
+        source = "".join(parts[k] for k in rng.integers(len(parts), size=rng.integers(1, 14)))
+        want = [(c, t, a, x) for _, c, t, a, x in pattern.findall(source) if t or x]
+        assert [*html_template.tokens(source)] == want, source
+
+
 def test_licenses(spark, edge_texts):
     extra = [
         (30, "Under the MIT License, and under  the-MIT license. CC BY-NC 4.0"),

@@ -131,12 +131,6 @@ def recovered(q: Inputs) -> DataFrame:
     return M.recoverable(q.tombstone.drop("recoverable"), _now(q)).filter("recoverable").select(F.col("original_id").alias("id"))
 
 
-@query("select * from (values ('a',10,5,true),('b',7,7,false),('c',0,0,false)) z(store, write_epoch, indexed_epoch, dirty)")
-def epoch_dirty(q: Inputs) -> DataFrame:
-    rows = [(s, w, i, M.is_dirty({"write_epoch": w, "indexed_epoch": i})) for s, w, i in (("a", 10, 5), ("b", 7, 7), ("c", 0, 0))]
-    return q.spark.createDataFrame(rows, "store string, write_epoch int, indexed_epoch int, dirty boolean")
-
-
 @query(duck("select id from concept where id like 'en/%' and len(string_split(substring(id,4),'/'))<=5 and type='chapter' and list_has_all(tags,['en','good'])"))
 def export_select(q: Inputs) -> DataFrame:
     return X.select(q.concept, "en", "chapter", ("en", "good")).select("id").orderBy("id")

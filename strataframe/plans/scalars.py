@@ -168,7 +168,10 @@ def slug(q: Inputs) -> DataFrame:
     return q.conversations.select("conv_id", "turn", F.concat(F.lit("thought_"), T.slug(F.col("text"))).alias("slug"))
 
 
-_IPS = ("169.254.169.254", "172.31.255.255", "172.32.0.1", "8.8.8.8", "10.1.2.3", "127.0.0.1", "100.64.3.4", "192.168.1.1", "192.0.2.7", "198.19.0.1", "224.0.0.1", "1.1.1.1", "localhost", "example.com", "999.1.1.1")
+#: An address for each document, in and around each private block; the same in both dialects.
+_ADDRESS = """case doc_id%12 when 0 then concat('10.',doc_id%256,'.0.1') when 1 then concat('172.',doc_id%48,'.1.2') when 2 then concat('192.',160+doc_id%16,'.3.4')
+ when 3 then concat('100.',doc_id%256,'.5.6') when 4 then concat('169.',250+doc_id%6,'.7.8') when 5 then concat('198.',16+doc_id%6,'.9.1') when 6 then concat(200+doc_id%80,'.1.1.',doc_id%300)
+ when 7 then concat('127.',doc_id%256,'.1.1') when 8 then concat(source,'.example.com') when 9 then 'localhost' when 10 then concat('192.0.',doc_id%4,'.7') else concat(doc_id%256,'.8.8.8') end"""
 
 
 def _in_range_sql(host: str) -> str:
@@ -177,10 +180,10 @@ def _in_range_sql(host: str) -> str:
     return f"(coalesce({tests},false) or {host} in ('localhost','localhost.localdomain','0.0.0.0','::1'))"
 
 
-@query(f"select host, {_in_range_sql('host')} private from (values {','.join(f'({chr(39)}{x}{chr(39)})' for x in _IPS)}) z(host)")
+@query(f"select doc_id, host, {_in_range_sql('host')} private from (select doc_id, {_ADDRESS} host from documents)")
 def private_ip(q: Inputs) -> DataFrame:
-    hosts = q.spark.createDataFrame([(x,) for x in _IPS], "host string")
-    return hosts.select("host", S.is_private(F.col("host")).alias("private"))
+    hosts = q.documents.select("doc_id", F.expr(_ADDRESS).alias("host"))
+    return hosts.select("doc_id", "host", S.is_private(F.col("host")).alias("private"))
 
 
 @query("""select page_id, h, (h='example.com' or h like '%.example.com' or h='ththre.example.net') allowed
@@ -190,14 +193,24 @@ def domain_allow(q: Inputs) -> DataFrame:
     return q.pages.select("page_id", host.alias("h"), S.domain_allowed(host, ("*.example.com", "ththre.example.net")).alias("allowed"))
 
 
-_SOURCES = ("", "data:image/png;base64,AA", "data:text/plain,x", "asset://img_1", "file:///etc/x", "img/a.png", "../up.png", "/abs.png", "ftp://h/x", "http://10.0.0.1/a.png", "https://cdn.example.com/a.png", "https://evilexample.com/a.png")
-_VERDICTS = ("empty", "ok", "not an image", "ok", "file urls are refused", "ok", "outside the root", "outside the root", "unknown scheme", "private address", "ok", "domain not allowed")
+#: A source of another kind for each document; the same in both dialects.
+_SOURCE = """case doc_id%12 when 0 then '' when 1 then concat('data:text/plain,',doc_id) when 2 then concat('file:///etc/',doc_id) when 3 then concat('../up',doc_id,'.png')
+ when 4 then concat('/abs',doc_id,'.png') when 5 then concat('ftp://h/',doc_id) when 6 then concat('http://10.0.',doc_id%256,'.1/a.png') when 7 then concat('https://evilexample.com/',doc_id)
+ when 8 then concat('HTTPS://cdn.Example.com/',doc_id) when 9 then concat('img/a..b',doc_id,'.png') when 10 then concat('data:image/png;base64,',doc_id) else concat('asset://img_',doc_id) end"""
+_HOST_SQL = "regexp_extract(lower(src),'^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)',1)"
 
 
-@query(f"select * from (values {','.join(f'({chr(39)}{a}{chr(39)},{chr(39)}{b}{chr(39)})' for a, b in zip(_SOURCES, _VERDICTS))}) z(src, verdict)")
+@query(duck(f"""with s as (select concat('doc_',doc_id) id, {_SOURCE} src from documents union all select concat('ref_',doc_id,'_',idx), src from asset_ref
+  union all select concat('page_',page_id), url from pages), h as (select *, {_HOST_SQL} host from s)
+select id, src, case when trim(coalesce(src,''))='' then 'empty' when lower(src) like 'data:image/%' then 'ok' when lower(src) like 'data:%' then 'not an image'
+ when lower(src) like 'asset://%' then 'ok' when lower(src) like 'file:%' then 'file urls are refused'
+ when not regexp_matches(src,'^[A-Za-z][A-Za-z0-9+.-]*:') then case when regexp_matches(src,'(^|/)\\.\\.(/|$)') or src like '/%' then 'outside the root' else 'ok' end
+ when not regexp_matches(lower(src),'^https?://') then 'unknown scheme' when {_in_range_sql("host")} then 'private address'
+ when not (host='example.com' or host like '%.example.com') then 'domain not allowed' else 'ok' end verdict from h"""))
 def src_validation(q: Inputs) -> DataFrame:
-    rows = q.spark.createDataFrame([(x,) for x in _SOURCES], "src string")
-    return rows.select("src", S.source_verdict(F.col("src"), ("*.example.com",), remote=True).alias("verdict"))
+    rows = q.documents.select(F.concat(F.lit("doc_"), "doc_id").alias("id"), F.expr(_SOURCE).alias("src"))
+    rows = rows.union(q.asset_ref.select(F.concat(F.lit("ref_"), "doc_id", F.lit("_"), "idx"), "src")).union(q.pages.select(F.concat(F.lit("page_"), "page_id"), "url"))
+    return rows.select("id", "src", S.source_verdict(F.col("src"), ("*.example.com",), remote=True).alias("verdict"))
 
 
 @query("""select doc_id, case when (m>30 and m>n*0.02) or (n<50 and doc_id%3>0) then 'heavy' else 'fast' end auto,

@@ -99,3 +99,10 @@ def engine_hubs(q: Inputs) -> DataFrame:
 select id, parent_doc_id, rrf, hub, final from b order by final desc, id limit 10"""))
 def engine_search_hubs(q: Inputs) -> DataFrame:
     return engine_of(q).search_chunks_with_hub_score(QUERY).select("id", "parent_doc_id", "rrf", "hub", "final")
+
+
+@query(duck("select count(*) n, true dirty from concept"))
+def epoch_dirty(q: Inputs) -> DataFrame:
+    """The store's epochs: the tables were written after the last indexing."""
+    engine = engine_of(q)
+    return engine.concepts().agg(F.count("*").alias("n")).withColumn("dirty", F.lit(engine.is_dirty()))

@@ -7,7 +7,7 @@ import functools
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
@@ -62,13 +62,16 @@ class Engine:
     """A store with the operations over it.
 
     encoder: builds an encoder on a worker (``functions.vectors.Encoder``); without one, texts are bags of hashed words.
+    image_encoder: the same for images that are embedded themselves, and for texts that are looked for among them; without
+    one, they are bags of hashed bytes.
     fetch: reads a remote image that the settings allow, on a worker.
     """
 
-    def __init__(self, spark: SparkSession, path: str, config: Config = Config(), encoder: Callable[[], V.Encoder] | None = None, fetch: Callable[[str], bytes | None] | None = None):
+    def __init__(self, spark: SparkSession, path: str, config: Config = Config(), encoder: Callable[[], V.Encoder] | None = None, image_encoder: Callable[[], V.Encoder] | None = None, fetch: Callable[[str], bytes | None] | None = None):
         self.spark, self.config, self.store = importable(spark), config, Store(spark, path, config.lock_seconds)
         self._fitted: dict[str, tuple[str, Q.Quantiser | None]] = {}
         self.dimension, self._make, self.fetch = checked_dimension(config.dimension), encoder, fetch or S.fetched
+        self._make_image = image_encoder or functools.partial(V.HashedBytes, self.dimension)
 
     # -- tables -----------------------------------------------------------------------------------------------------
 
@@ -147,13 +150,28 @@ class Engine:
     def _embedded(self, df: DataFrame, text) -> DataFrame:
         if self._make is None:
             return df.withColumn("embedding", V.hashed(text, self.dimension).cast("array<float>"))
-        raw = V.encoder_udf(self._make, 1 << 20)(T.prefixed(text, "Document: "))
-        return df.withColumn("embedding", V.truncated(raw, self.dimension).cast("array<float>"))
-
-    def encode_query(self, text: str) -> list[float]:
-        if self._make is None:
+        return self._cut(df, V.encoder_udf(self._make, 1 << 20)(T.prefixed(text, "Document: ")))
+
+    def _cut(self, df: DataFrame, raw: Column) -> DataFrame:
+        """``df`` with embeddings of the store's dimension; higher-order functions don't take the encoder's UDF itself."""
+        return df.withColumn("embedding", raw).withColumn("embedding", V.truncated(F.col("embedding"), self.dimension).cast("array<float>"))
+
+    def _images_embedded(self, assets: DataFrame) -> DataFrame:
+        """Assets (id, content_hash, embed_route, caption, data) with embeddings: those stored for the same content, or
+        encoded, from their bytes if they are routed ``omni``."""
+        stored = self.store.table("image_asset").filter("embedding is not null").select("id", "content_hash", F.col("embedding").alias("__kept"))
+        found = materialise(assets.join(stored, ["id", "content_hash"], "left"), "assets")
+        again = found.filter("__kept is not null").withColumn("embedding", F.col("__kept"))
+        fresh = found.filter("__kept is null")
+        texts = self._embedded(fresh.filter("embed_route <> 'omni'"), F.coalesce("caption", "alt_text", F.lit("")))
+        shown = self._cut(fresh.filter("embed_route = 'omni'"), V.encoder_udf(self._make_image, 1 << 20)("data"))
+        return again.unionByName(texts).unionByName(shown).drop("__kept")
+
+    def encode_query(self, text: str, images: bool = False) -> list[float]:
+        """The vector of a query, by the encoder of texts or by that of images."""
+        if self._make is None and not images:
             return V.hashed_query(text, self.dimension)
-        (found,) = self._make().encode([text if text.startswith("Query: ") else f"Query: {text}"])
+        (found,) = (self._make_image if images else self._make)().encode([text if images or text.startswith("Query: ") else f"Query: {text}"])
         found = [*found[: self.dimension], *[0.0] * (self.dimension - len(found))]
         length = sum(x * x for x in found) ** 0.5
         return [x / length if length else 0.0 for x in found]
@@ -287,9 +305,11 @@ class Engine:
         known = known.withColumn("caption", I.caption(how, F.col("alt"), has, I.fallback_caption(F.col("file_name"), F.col("number"), F.col("concept_id"))))
         payload = F.when(F.col("embed_route") == "omni", F.col("data")).otherwise(F.col("caption").cast("binary"))
         known = known.withColumn("content_hash", I.content_hash(F.col("embed_route"), payload)).withColumn("alt_text", F.col("alt"))
-        known = materialise(self._embedded(known.dropDuplicates(["concept_id", "id"]), F.coalesce("caption", "alt", F.lit(""))), "images")
-        includes = known.select(F.col("concept_id").alias("src"), F.col("id").alias("dst"))
-        fresh = known.dropDuplicates(["id"])
+        known = materialise(known.select("concept_id", "number", "id", "file_name", "mime_type", "alt_text", "caption", "embed_route", "content_hash", "data"), "images")
+        includes = known.select(F.col("concept_id").alias("src"), F.col("id").alias("dst")).distinct()
+        # an asset that several concepts show is as the first of them has it
+        first = known.select("id", "concept_id", "number").groupBy("id").agg(F.min(F.struct("concept_id", "number")).alias("f")).select("id", "f.*")
+        fresh = materialise(self._images_embedded(known.join(first, ["id", "concept_id", "number"], "left_semi")), "fresh")
         replaced = materialise(fresh.select("id").union(self._orphans(lost, includes)).distinct(), "assets")
         return {"includes_asset": (includes, lost), "image_asset": (fresh, replaced), "image_data": (fresh.select("id", "data"), replaced)}
 
@@ -391,8 +411,9 @@ class Engine:
         return self._chunks_of(query, limit, 3 * limit, cap, None, concept_type, tags, parent_id)
 
     @_operation
-    def search_images(self, query: str, limit: int = 10) -> DataFrame:
-        near = R.knn(self.store.table("image_asset"), self.encode_query(query), limit)
+    def search_images(self, query: str, limit: int = 10, use_text_model: bool = True) -> DataFrame:
+        """Images by the encoder of texts (captions), or by that of images."""
+        near = R.knn(self.store.table("image_asset"), self.encode_query(query, not use_text_model), limit)
         return self.store.table("image_asset").join(F.broadcast(near), "id").select("id", "file_name", "caption", F.col("sim").alias("score")).orderBy(F.desc("score"), "id")
 
     @_operation

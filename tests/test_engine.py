@@ -303,6 +303,46 @@ def test_edges_are_kept(spark, tmp_path):
     same_graph(e)
 
 
+def test_image_encoding_with_reuse(spark, tmp_path):
+    """Images routed to the image encoder get vectors of their bytes; those whose content stays aren't encoded again."""
+    root, log = tmp_path / "notes", tmp_path / "encoded"
+    root.mkdir()
+    for n, body in (("a", b"aaaa" * 9), ("b", b"bcbc" * 9), ("c", b"xyz" * 9)):
+        (root / f"{n}.png").write_bytes(PNG + body)
+    write = lambda extra: (root / "n.md").write_text(f"# N{extra}\n\n![](a.png) ![](b.png) ![said](c.png)\n")
+    write("")
+
+    def make():
+        class Logged:
+            dim = 64
+
+            def encode(self, values):
+                from strataframe.functions.vectors import HashedBytes
+
+                with open(log, "a") as f:
+                    f.writelines("1\n" for v in values if isinstance(v, bytes))
+                return HashedBytes(64).encode(values)
+
+        return Logged()
+
+    count = lambda: len(log.read_text().split()) if log.exists() else 0
+    e = Engine(spark, str(tmp_path / "store"), config.Config(image_mode="optional"), image_encoder=make)
+    e.import_bundle(str(root))
+    stored = {r.file_name: r for r in e.store.table("image_asset").collect()}
+    assert count() == 2 and [stored[f"{n}.png"].embed_route for n in "abc"] == ["omni", "omni", "text"]
+    assert any(stored["a.png"].embedding) and stored["a.png"].embedding != stored["b.png"].embedding
+    assert e.search_images("bcbcbcbcbcbc", use_text_model=False).first().file_name == "b.png"
+    assert e.search_images("said").first().file_name == "c.png"
+    write(" again")
+    e.import_bundle(str(root))
+    assert count() == 2 and {r.file_name: r.embedding for r in e.store.table("image_asset").collect()} == {n: r.embedding for n, r in stored.items()}
+    (root / "b.png").write_bytes(PNG + b"new bytes")
+    write(" and again")
+    e.import_bundle(str(root))
+    changed = {r.file_name: r.embedding for r in e.store.table("image_asset").collect()}
+    assert count() == 3 and changed["b.png"] != stored["b.png"].embedding and changed["a.png"] == stored["a.png"].embedding
+
+
 def planted(dim, n=24000, groups=20):
     """Unit vectors, ten of them near each of some bases; the bases."""
     import numpy as np

@@ -58,6 +58,8 @@ COVERAGE, MOST = 0.8, 0.5
 RAW = re.compile(r"<(script|style|title|noscript|template|iframe|textarea|xmp)\b", re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'<]*)")
 DELIMITER = re.compile("[\"'>]")
+#: A text, or a tag without angle brackets inside, as nearly all are; it looks no farther than the next bracket.
+PLAIN = re.compile(r"""([^<]++)|<(/?)([a-zA-Z][^\s/>"'<]*+)((?:[^"'<>]++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
 NAMED = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -89,10 +91,12 @@ def tokens(source: str) -> Iterator[tuple[str, str, str, str]]:
     Comments, declarations and elements of raw text are passed over; a tag ends at the first > outside quotes, and a < that
     begins none is text.
     """
-    marks = [m.start() for m in DELIMITER.finditer(source)]
+    marks: list[int] = []
     ends: dict[int, int] = {}  # by place among the marks, where a tag that reaches it outside quotes ends
 
     def end_of(at: int) -> int:
+        if not marks:
+            marks.extend(m.start() for m in DELIMITER.finditer(source))
         k, passed = bisect_left(marks, at), []
         while k < len(marks) and k not in ends:
             passed.append(k)
@@ -108,12 +112,13 @@ def tokens(source: str) -> Iterator[tuple[str, str, str, str]]:
 
     at, size = 0, len(source)
     while at < size:
-        start = source.find("<", at)
-        if start != at:
-            yield "", "", "", source[at : start if start >= 0 else size]
-            if start < 0:
-                return
-            at = start
+        plain = PLAIN.match(source, at)
+        if plain:
+            text, closing, name, attributes = plain.groups("")
+            if text or closing or name[0] not in "sStTnNiIxX" or not RAW.match(source, at):
+                yield closing, name, attributes, text
+                at = plain.end()
+                continue
         if source.startswith("<!--", at):
             end = source.find("-->", at + 4)
             at = size if end < 0 else end + 3

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import bounded, materialise
+from ..scratch import materialise
 
 LANES = 8
 
@@ -45,8 +45,7 @@ def changes(directories: DataFrame, changed: DataFrame) -> DataFrame:
         differs = (F.col("now").isNotNull().cast("long") - F.col("was").isNotNull().cast("long")).alias("more")
         each = here.select(parent(F.col("path")).alias("dir"), differs, *((b - a).alias(f"d{k}") for k, (a, b) in enumerate(zip(was, now))))
         moved = each.groupBy("dir").agg(F.sum("more").alias("more"), *(F.sum(f"d{k}").alias(f"d{k}") for k in range(LANES)))
-        moved = materialise(moved, "moved")
-        old = directories.join(bounded(moved.select(F.col("dir").alias("path"))), "path", "left_semi").select(F.col("path").alias("dir"), "hash", "lanes", "n")
+        old = directories.select(F.col("path").alias("dir"), "hash", "lanes", "n")
         sums = F.array(*(F.coalesce(F.get("lanes", F.lit(k)), F.lit(0)) + F.col(f"d{k}") for k in range(LANES)))
         fresh = moved.join(old, "dir", "left").select("dir", F.col("hash").alias("was"), sums.alias("lanes"), (F.coalesce("n", F.lit(0)) + F.col("more")).alias("n"))
         left = F.col("n") > 0

@@ -155,7 +155,8 @@ class Store:
 
     def _write(self, name: str, rows: DataFrame) -> str:
         folder = f"tables/{name}-{uuid.uuid4().hex}"
-        rows = rows.select(*schema(name).names)
+        # columns that the rows lack are null
+        rows = rows.select(*(f.name if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(name)))
         if name.endswith("_posting"):  # sorted, a term's entries lie in few row groups, and the others are skipped
             rows = rows.repartitionByRange("term").sortWithinPartitions("term")
         elif name in SUMMED:

@@ -9,8 +9,8 @@ The fit takes at most ``SAMPLE`` labelled rows of each quality, those of the lea
 and the share of each quality cover all rows. The quantile's rank is off by a part of 1 / ``ACCURACY`` of the rows at most. Only the text is an input of a score.
 
 Defined cases: null and empty texts have all features of an empty text and a score; a text of any length is scored whole;
-null labels and labels of no document aren't learned from, and a row of each label counts as often as it and its document
-repeat; if one quality has no row to learn from, all scores are 0.5; scores equal to the threshold pass; a null id is not
+null labels and labels of no document aren't learned from; an id counts once for each quality in the fit, by the least
+features of its rows, and in the threshold as often as its labels and its documents repeat; if one quality has no row to learn from, all scores are 0.5; scores equal to the threshold pass; a null id is not
 held out; an empty table gives an empty result. Of input columns that bear the name of an added one, the added one stays.
 """
 
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ._store import materialise, small_batches
 from ._words import Words, column, slices
@@ -119,15 +119,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     parts = [known.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]))  # 2 * sample rows at most
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "label")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "text", "label")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 found = features(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(found), pa.list_(pa.float64()))], ["label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(list(found), pa.list_(pa.float64()))], ["id", "label", "x"])
 
-    found = rows.mapInArrow(find, "label int, x array<double>").toPandas()
+    key = StructField("id", docs.schema[id_col].dataType)
+    each = rows.mapInArrow(find, StructType([key, StructField("label", IntegerType()), StructField("x", ArrayType(DoubleType()))]))
+    found = each.groupBy("id", "label").agg(F.min("x").alias("x")).select("label", "x").toPandas()  # 2 * sample rows at most, however often ids repeat
     found = found.assign(key=[tuple(x) for x in found["x"]]).sort_values("key", kind="stable")
     sides = [np.array(found.loc[found["label"] == k, "x"].tolist(), float).reshape(-1, len(NAMES)) for k in (1, 0)]
     model = fit(*sides, count.get(0, 0) / max(1, sum(count.values())))
@@ -140,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 z = (features(part.column("text")) - model["centre"]) @ model["weights"]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(z)], ["id", "z"])
 
-    ids = StructType([StructField("id", docs.schema[id_col].dataType), StructField("z", DoubleType())])
+    ids = StructType([key, StructField("z", DoubleType())])
     placed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(place, ids)
     placed = materialise(placed.join(known, "id").select("z", "label"), "training-scores")
     n, bad = placed.agg(F.count("*"), F.count_if(F.col("label") == 0)).first()

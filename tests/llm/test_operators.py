@@ -871,3 +871,11 @@ def test_empty_tables(spark):
     assert html_template.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     model = quality.train(none, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality.score(none, model).count() == 0
+
+
+def test_quality_fit_takes_an_id_once_a_quality(spark, real):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    first = labels.filter(~quality.held_out(queries.F.col("doc_id")) & queries.F.col("quality").isin(0, 1)).orderBy("doc_id").first()
+    copies = real.filter(queries.F.col("doc_id") == first.doc_id).withColumn("n", queries.F.explode(queries.F.sequence(queries.F.lit(1), queries.F.lit(500)))).drop("n")
+    plain, hot = (quality.train(docs, labels) for docs in (real, real.union(copies)))
+    assert np.array_equal(plain["weights"], hot["weights"]) and np.array_equal(plain["centre"], hot["centre"])

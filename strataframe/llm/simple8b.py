@@ -7,7 +7,8 @@ cut into blocks of ``BLOCK``, and a table of the blocks' first words lets blocks
 A file is a Parquet table of segments in ascending order of ids: each row a run of documents, its data a segment in this
 layout (little endian): ``SIM8``, u32 version, u32 ids a block, u64 ids, u32 blocks, u32 words, u32 escapes, u32 documents;
 then u32 first word of each block and their end, u64 words, u64 escapes, u32 ids of each document. The documents are dealt
-to ranges of ids of about ``RANGE_BYTES`` of text, so a task's share doesn't grow with the input.
+to ranges of ids of about ``RANGE_BYTES`` of text, or of more where ``MOST_RANGES`` don't suffice; a task sorts its range on
+disk and holds a segment at a time, so its memory doesn't grow with the input.
 
 Defined cases: a null text is empty, so it has the end id alone; null document ids come first; rows that repeat an id are
 documents of their own, ordered by a hash of their texts, and equal ones may lie in several ranges; a text of any length is
@@ -44,6 +45,8 @@ _POWERS = U64(1) << np.arange(64, dtype=U64)
 _NARROW = np.searchsorted(_POWERS, np.arange(1 << 17, dtype=U64), "right").astype(np.uint8)
 SEGMENT_IDS = 1 << 20
 RANGE_BYTES = 64 << 20
+#: Ranges at most, as the driver samples their bounds; longer ones are sorted on disk and cut into segments alike.
+MOST_RANGES = 4096
 END = 0
 
 
@@ -354,6 +357,11 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def range_count(total: int, least: int) -> int:
+    """Ranges of ids for so many bytes of text."""
+    return max(least, min(MOST_RANGES, math.ceil(total / RANGE_BYTES)))
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
     """The written file: (shard, segment, doc_ids, n_ids, data); tokenizer: path of its file on every machine."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -388,7 +396,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             yield out()
 
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(partitions(docs.sparkSession), math.ceil(total / RANGE_BYTES))
+    n = range_count(total, partitions(docs.sparkSession))
     order = ["id", "tie", "place"]  # a place tells equal rows apart, so that many of them can be divided
     placed = rows.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
     ordered = placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "text")

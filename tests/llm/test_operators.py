@@ -879,3 +879,8 @@ def test_quality_fit_takes_an_id_once_a_quality(spark, real):
     copies = real.filter(queries.F.col("doc_id") == first.doc_id).withColumn("n", queries.F.explode(queries.F.sequence(queries.F.lit(1), queries.F.lit(500)))).drop("n")
     plain, hot = (quality.train(docs, labels) for docs in (real, real.union(copies)))
     assert np.array_equal(plain["weights"], hot["weights"]) and np.array_equal(plain["centre"], hot["centre"])
+
+
+def test_ranges_of_tokens_are_bounded():
+    assert simple8b.range_count(0, 8) == 8 and simple8b.range_count(1 << 30, 8) == 16
+    assert simple8b.range_count(100 << 40, 200) == simple8b.MOST_RANGES

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunks as C
 from ..operators import graph as G
+from ..operators import impact as L
 from ..operators import rank as R
 from ..operators import index as X
 from ..operators import quantised as C_
@@ -100,6 +101,20 @@ def fts_bm25_chunk(q: Inputs) -> DataFrame:
     return R.bm25(q.chunk, TERMS, "chunk_id", "chunk_text").withColumnRenamed("id", "chunk_id")
 
 
+def _best_hits(q: Inputs, grain: str) -> DataFrame:
+    return L.top(stored(q, f"{grain}_impact"), stored(q, f"{grain}_level"), stored(q, f"{grain}_stats"), TERMS, LIMIT)
+
+
+@query("with " + bm25_sql("documents", "doc_id", "text") + f" select id doc_id, score from sc order by score desc, id limit {LIMIT}")
+def fts_top_documents(q: Inputs) -> DataFrame:
+    return _best_hits(q, "document").withColumnRenamed("id", "doc_id")
+
+
+@query(duck("with " + bm25_sql("chunk", "chunk_id", "chunk_text") + f" select id chunk_id, score from sc order by score desc, id limit {LIMIT}"))
+def fts_top_chunks(q: Inputs) -> DataFrame:
+    return _best_hits(q, "chunk").withColumnRenamed("id", "chunk_id")
+
+
 @query("with " + bm25_sql("documents", "doc_id", "text") + " select id doc_id, score from sc")
 def fts_bm25_postings(q: Inputs) -> DataFrame:
     return X.bm25(X.postings(q.documents, "doc_id"), X.stats(X.lengths(q.documents, "doc_id")), TERMS).withColumnRenamed("id", "doc_id")

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from .. import scratch
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import impact as L
 from ..operators import index as X
 from ..operators import quantised as Q
 from .views import TABLES, Inputs
@@ -52,6 +53,18 @@ def quantiser(q: Inputs) -> Q.Quantiser:
     return Q.Quantiser.of_rows([(n, c) for p, n, c in rows if p is None], [tuple(r) for r in rows if r.part is not None])
 
 
+def _average(q: Inputs, grain: str) -> float:
+    n, words = stored(q, f"{grain}_stats").first()
+    return max(1.0, words / n) if n else 1.0
+
+
+def _impact(grain: str) -> dict[str, Callable[[Inputs], DataFrame]]:
+    return {
+        f"{grain}_impact": lambda q: L.levelled(stored(q, f"{grain}_posting"), _average(q, grain)),
+        f"{grain}_level": lambda q: L.counted(stored(q, f"{grain}_impact"), _average(q, grain)),
+    }
+
+
 #: How each table is made.
 BUILT: dict[str, Callable[[Inputs], DataFrame]] = {
     "document_posting": lambda q: X.sorted_by(X.postings(q.documents, "doc_id"), "term", "id"),
@@ -68,6 +81,8 @@ BUILT: dict[str, Callable[[Inputs], DataFrame]] = {
     "chunk_vector": _chunk_vector,
     "edge": lambda q: X.sorted_by(q.edge, "rel", "src"),
     "steps": _steps,
+    **_impact("document"),
+    **_impact("chunk"),
 }
 
 _FOUND: dict[tuple[str, str, str], tuple[str, StructType]] = {}

@@ -6,6 +6,9 @@ part. An inner product with a query is that with the centre, plus one look-up a
 A search ranks the codes of some cells by that, reads the vectors of the best few alone, and ranks these exactly. Stored by
 cell in small row groups and pages, it reads neither other cells nor other vectors.
 
+Each row also has the length of what its codes leave out (``rest``), so an inner product is at most that of the codes plus the
+query's length times it. ``exact_nearest`` ranks every row that may reach the best found by the codes, and misses none.
+
 Null vectors and those of another length have no cell, and a search never returns them.
 """
 
@@ -32,6 +35,8 @@ PER_ROOT, MOST_CELLS, SHARE, PROBES = 1.0, 4096, 1 / 8, 16
 RERANK, LEAST_RERANK = 4, 64
 #: Vectors of a table from which on an index pays.
 LEAST_ROWS = 2048
+#: More than rounding changes in an inner product of unit vectors.
+SLACK = 2e-6
 #: How the coded table is to be written, so that a search skips what it doesn't need.
 LAYOUT = {"parquet.block.size": str(1 << 20), "parquet.page.row.count.limit": "32"}
 
@@ -52,6 +57,11 @@ class Quantiser:
         rest = _parts(x - self.centres[cell])
         return cell, np.stack([_nearest(r, b) for r, b in zip(rest, self.books)], axis=1)
 
+    def left(self, x: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The length of what the cell and the codes of each row of ``x`` leave out."""
+        own = np.stack([b[c] for b, c in zip(self.books, codes.T)])
+        return np.sqrt(((_parts(x - self.centres[cell]) - own) ** 2).sum(axis=(0, 2)))
+
     def rows(self) -> tuple[list[tuple], list[tuple]]:
         """(cell, centre) and (part, entry, values), to be stored."""
         books = [(p, e, v) for p, part in enumerate(self.books.tolist()) for e, v in enumerate(part)]
@@ -109,17 +119,18 @@ def fit(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding") -
 
 
 def coded(vectors: DataFrame, quantiser: Quantiser, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """(id, cell, code, embedding) of the vectors; write it ``laid_out``."""
+    """(id, cell, code, rest, embedding) of the vectors; write it ``laid_out``."""
     dim = quantiser.centres.shape[1]
 
-    @F.pandas_udf("cell int, code array<smallint>")
+    @F.pandas_udf("cell int, code array<smallint>, rest double")
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cell, codes = quantiser.codes(np.array([*batch], float).reshape(len(batch), dim))
-            yield pd.DataFrame({"cell": cell.astype("int32"), "code": [*codes.astype("int16")]})
+            x = np.array([*batch], float).reshape(len(batch), dim)
+            cell, codes = quantiser.codes(x)
+            yield pd.DataFrame({"cell": cell.astype("int32"), "code": [*codes.astype("int16")], "rest": quantiser.left(x, cell, codes)})
 
     own = vectors.filter(F.size(vector_col) == dim).select(F.col(id_col).alias("id"), F.transform(vector_col, lambda v: F.coalesce(v, F.lit(0)).cast("float")).alias("embedding"))
-    return own.withColumn("c", code("embedding")).select("id", "c.cell", "c.code", "embedding")
+    return own.withColumn("c", code("embedding")).select("id", "c.cell", "c.code", "c.rest", "embedding")
 
 
 def laid_out(rows: DataFrame):
@@ -139,20 +150,24 @@ def _table(values: np.ndarray) -> Column:
 
 def about(index: DataFrame, quantiser: Quantiser, query: np.ndarray, few: int, probes: int | None = None) -> DataFrame:
     """(id, cell, about): the best ``few`` of the nearest cells by their codes; neither vectors nor other cells are read."""
-    parts, entries, _ = quantiser.books.shape
     near = quantiser.centres @ query
     cells = np.argsort(-near, kind="stable")[: quantiser.probes() if probes is None else probes].tolist()
+    found = index.filter(_any(f"cell = {c}" for c in cells)).select("id", "cell", "code")
+    return _looked_up(found, quantiser, query).select("id", "cell", "about").orderBy(F.desc("about"), "id").limit(few)
+
+
+def _looked_up(rows: DataFrame, quantiser: Quantiser, query: np.ndarray) -> DataFrame:
+    """``rows`` with ``about``: the inner product of the query with what their cells and codes stand for."""
+    parts, entries, _ = quantiser.books.shape
     products = np.einsum("pew,pw->pe", quantiser.books, _parts(query[None])[:, 0])
     look = F.expr(" + ".join(f"get(table, {p * entries} + get(code, {p}))" for p in range(parts)))
-    found = index.filter(_any(f"cell = {c}" for c in cells)).select("id", "cell", "code").withColumn("table", _table(products))
-    ranked = found.select("id", "cell", (F.get(_table(near), F.col("cell")) + look).alias("about"))
-    return ranked.orderBy(F.desc("about"), "id").limit(few)
+    found = rows.withColumn("table", _table(products))
+    return found.withColumn("about", F.get(_table(quantiser.centres @ query), F.col("cell")) + look).drop("table")
 
 
 def nearest(index: DataFrame, quantiser: Quantiser, query: Sequence[float], k: int, probes: int | None = None, rerank: int | None = None) -> DataFrame:
     """(id, sim): about the ``k`` nearest by inner product among ``coded`` rows, exact for those it returns; ties by id."""
-    q = np.zeros(quantiser.centres.shape[1])
-    q[: len(query)] = [*query][: len(q)]
+    q = _fitting(quantiser, query)
     of_cell: dict[int, list] = {}
     for r in about(index, quantiser, q, max(LEAST_RERANK, RERANK * k) if rerank is None else rerank, probes).collect():
         of_cell.setdefault(r.cell, []).append(r.id)
@@ -160,6 +175,27 @@ def nearest(index: DataFrame, quantiser: Quantiser, query: Sequence[float], k: i
     return knn(index.filter(_any(chosen)), q.tolist(), k)
 
 
+def _fitting(quantiser: Quantiser, query: Sequence[float]) -> np.ndarray:
+    q = np.zeros(quantiser.centres.shape[1])
+    q[: len(query)] = [*query][: len(q)]
+    return q
+
+
+def exact_nearest(index: DataFrame, quantiser: Quantiser, query: Sequence[float], k: int) -> DataFrame:
+    """(id, sim): the ``k`` nearest by inner product of all ``coded`` rows, as ``knn`` gives them; ties by id.
+
+    The best by the codes give a value that ``k`` rows reach; of the others, those are ranked too that may reach it by their
+    codes and what these leave out. One more pass over the codes; vectors that can't be among the nearest aren't multiplied.
+    """
+    q = _fitting(quantiser, query)
+    sims = [r["sim"] for r in nearest(index, quantiser, q.tolist(), k, len(quantiser.centres)).collect()]  # k rows
+    if len(sims) < k or k < 1:
+        return knn(index, q.tolist(), k)
+    most = F.col("about") + F.lit(float(np.linalg.norm(q))) * F.col("rest")
+    may = _looked_up(index, quantiser, q).filter(most >= F.lit(sims[-1] - SLACK))
+    return knn(may, q.tolist(), k)
+
+
 def rows_scanned(frame: DataFrame) -> int:
     """Rows that the files of a frame give up when it is collected: what row groups and pages don't let readers skip."""
     frame.collect()

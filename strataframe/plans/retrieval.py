@@ -127,9 +127,9 @@ def vector_topk(q: Inputs) -> DataFrame:
 
 @query(f"with {NEAR_SQL} select id vec_id, sim from v order by sim desc, id limit 10")
 def vector_topk_compressed(q: Inputs) -> DataFrame:
-    """Through the codes of all cells, as these vectors have no clusters; the candidates are ranked exactly."""
+    """Through the codes of all cells, as these vectors have no clusters; whatever may be among the nearest is ranked exactly."""
     vector, fitted = stored(q, "vector").filter("vec_id = 0").select("embedding").first()[0], quantiser(q)
-    return C_.nearest(stored(q, "vector_cell"), fitted, vector, LIMIT, len(fitted.centres), 256).withColumnRenamed("id", "vec_id")
+    return C_.exact_nearest(stored(q, "vector_cell"), fitted, vector, LIMIT).withColumnRenamed("id", "vec_id")
 
 
 @query(f"with {NEAR_SQL} select concat('img_',id) asset_id, sim score from v order by sim desc, id limit 10")

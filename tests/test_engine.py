@@ -402,6 +402,24 @@ def test_quantiser_defined_cases(spark):
     assert (again.centres == q.centres).all() and (again.books == q.books).all()
 
 
+def test_compressed_query_is_exact_among_close_vectors(spark, tmp_path):
+    """3,000 vectors whose inner products differ by less than what their codes leave out."""
+    import numpy as np
+
+    from strataframe.plans import registry
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3001, 64))
+    x[1:] -= np.outer(x[1:] @ x[0], x[0]) / (x[0] @ x[0])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = 0.9 - 1e-5 * rng.permutation(3000)
+    x[1:] = near[:, None] * x[0] + np.sqrt(1 - near**2)[:, None] * x[1:]
+    rows = [(k, v) for k, v in enumerate(x.tolist())] + [(9000, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found, wanted = (registry.queries()[n](spark, str(tmp_path)).collect() for n in ("vector_topk_compressed", "vector_topk"))
+    assert [tuple(r) for r in found] == [tuple(r) for r in wanted[:10]]
+
+
 def test_pages_become_documents(spark, tmp_path):
     from pyspark.sql import functions as F
 

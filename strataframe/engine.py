@@ -569,7 +569,7 @@ class Engine:
         state, centres, books = {}, [], []
         for grain, text in texts.items():
             rows = self.store.table(grain)
-            state[f"{grain}_posting"], state[f"{grain}_length"] = X_.postings(rows, "id", text), X_.lengths(rows, "id", text)
+            state[f"{grain}_posting"], state[f"{grain}_length"] = X_.postings(X_.dealt(rows, "id", text)), X_.lengths(rows, "id", text)
             found = None if rows.limit(Q.LEAST_ROWS).count() < Q.LEAST_ROWS else Q.fit(rows)
             state[f"{grain}_cell"] = self.store.empty(f"{grain}_cell") if found is None else Q.coded(rows, found)
             if found is not None:

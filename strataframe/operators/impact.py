@@ -31,10 +31,10 @@ SLACK = 2e-6
 
 
 def levelled(postings: DataFrame, reference: float) -> DataFrame:
-    """(term, level, id, tf, dl) of ``postings``, sorted for writing; reference: about the average length of the texts."""
+    """(term, level, id, tf, dl) of ``postings``, each part sorted for writing; reference: about the average length of the texts."""
     impact = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(reference))))
     level = F.least(F.floor(impact * LEVELS), F.lit(LEVELS - 1)).cast("int")
-    return sorted_by(postings.select("term", level.alias("level"), "id", "tf", "dl"), "term", "level", "id")
+    return postings.select("term", level.alias("level"), "id", "tf", "dl").sortWithinPartitions("term", "level", "id")
 
 
 def counted(index: DataFrame, reference: float) -> DataFrame:

@@ -26,7 +26,7 @@ DIM = 64
 def _chunk(q: Inputs) -> DataFrame:
     meta = q.concept.select(F.col("id").alias("parent_doc_id"), "title", "type", "tags")
     rows = q.chunk.select(F.col("chunk_id").alias("id"), "parent_doc_id", "chunk_index", "chunk_text", "block_type")
-    return X.sorted_by(rows.join(meta, "parent_doc_id", "left"), "parent_doc_id", "chunk_index")
+    return rows.join(meta, "parent_doc_id", "left").sortWithinPartitions("parent_doc_id", "chunk_index")
 
 
 def _chunk_vector(q: Inputs) -> DataFrame:
@@ -58,31 +58,32 @@ def _average(q: Inputs, grain: str) -> float:
     return max(1.0, words / n) if n else 1.0
 
 
-def _impact(grain: str) -> dict[str, Callable[[Inputs], DataFrame]]:
+def _impact(grain: str, texts: Callable[[Inputs], DataFrame]) -> dict[str, Callable[[Inputs], DataFrame]]:
+    """texts: (id, text) of the grain."""
     return {
-        f"{grain}_impact": lambda q: L.levelled(stored(q, f"{grain}_posting"), _average(q, grain)),
+        f"{grain}_impact": lambda q: L.levelled(X.postings(texts(q)), _average(q, grain)),
         f"{grain}_level": lambda q: L.counted(stored(q, f"{grain}_impact"), _average(q, grain)),
     }
 
 
 #: How each table is made.
 BUILT: dict[str, Callable[[Inputs], DataFrame]] = {
-    "document_posting": lambda q: X.sorted_by(X.postings(q.documents, "doc_id"), "term", "id"),
+    "document_posting": lambda q: X.segments(q.documents, "doc_id"),
     "document_stats": lambda q: X.stats(X.lengths(q.documents, "doc_id")),
-    "concept_posting": lambda q: X.sorted_by(X.postings(q.concept, "doc_id", _concept_text()), "term", "id"),
+    "concept_posting": lambda q: X.segments(q.concept, "doc_id", _concept_text()),
     "concept_stats": lambda q: X.stats(X.lengths(q.concept, "doc_id", _concept_text())),
     "vector": lambda q: q.embeddings.select("vec_id", "embedding"),
     "quantiser": _quantiser_rows,
     "vector_cell": lambda q: Q.coded(q.embeddings, quantiser(q), "vec_id"),
     "concept_meta": lambda q: q.concept.drop("body"),
     "chunk": _chunk,
-    "chunk_posting": lambda q: X.sorted_by(X.postings(q.chunk, "chunk_id", "chunk_text"), "term", "id"),
+    "chunk_posting": lambda q: X.segments(q.chunk, "chunk_id", "chunk_text"),
     "chunk_stats": lambda q: X.stats(X.lengths(q.chunk, "chunk_id", "chunk_text")),
     "chunk_vector": _chunk_vector,
     "edge": lambda q: X.sorted_by(q.edge, "rel", "src"),
     "steps": _steps,
-    **_impact("document"),
-    **_impact("chunk"),
+    **_impact("document", lambda q: X.dealt(q.documents, "doc_id")),
+    **_impact("chunk", lambda q: X.dealt(q.chunk, "chunk_id", "chunk_text")),
 }
 
 _FOUND: dict[tuple[str, str, str], tuple[str, StructType]] = {}

@@ -157,8 +157,8 @@ class Store:
         folder = f"tables/{name}-{uuid.uuid4().hex}"
         # columns that the rows lack are null
         rows = rows.select(*(f.name if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(name)))
-        if name.endswith("_posting"):  # sorted, a term's entries lie in few row groups, and the others are skipped
-            rows = rows.repartitionByRange("term").sortWithinPartitions("term")
+        if name.endswith("_posting"):  # sorted, a term's entries lie in few pages of each file, and the others are skipped
+            rows = rows.sortWithinPartitions("term")
         elif name in SUMMED:
             rows = rows.repartitionByRange(schema(name).names[0]).sortWithinPartitions(schema(name).names[0])
         writer = laid_out(rows) if name.endswith("_cell") else rows.write

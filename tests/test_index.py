@@ -2,9 +2,12 @@
 
 from collections import Counter
 
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from strataframe.operators import index
+from strataframe.plans import registry, through_engine
+from strataframe.plans.views import Inputs
 
 TEXTS = [(1, "b a B, c C. c zé"), (2, ""), (3, None), (4, " x "), (5, "é é 2 2 2"), (6, "a")]
 
@@ -33,3 +36,16 @@ def test_segments_shuffle_texts_and_not_entries(spark, tmp_path):
     totals = index.stats(index.lengths(docs))
     scored = [sorted(map(tuple, index.bm25(spark.read.parquet(f"{tmp_path}/{n}"), totals, ["w1", "w36", "absent"]).collect())) for n in ("whole", "parts")]
     assert scored[0] == scored[1] and len(scored[0]) > 20
+
+
+def test_a_store_holds_what_its_operations_read(spark, tmp_path):
+    """One document by id needs neither postings nor edges; what a later operation reads is added to the same store."""
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    q, run = Inputs(spark, str(tmp_path)), registry.queries()
+    assert run["engine_get_by_id"](spark, str(tmp_path)).count() == 1
+    store = through_engine.engine_of(q, *through_engine.CONCEPTS).store
+    assert {*store.manifest()["tables"]} == {"concept"}
+    before = store.manifest()["tables"]["concept"]
+    assert run["engine_hubs"](spark, str(tmp_path)).count() > 0
+    assert {*store.manifest()["tables"]} == {*through_engine.GRAPH} and store.manifest()["tables"]["concept"] == before

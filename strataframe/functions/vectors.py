@@ -9,6 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,13 +55,15 @@ def last_token(states: Column, mask: Column) -> Column:
 
 
 _BUCKETS: dict[str, int] = {}
+#: Tokens that a worker remembers.
+REMEMBERED = 1 << 16
 
 
 def _number(token: str) -> int:
-    """The hash of a token, remembered by the worker; there are far fewer distinct ones."""
+    """The hash of a token, remembered by the worker: few tokens make most words."""
     found = _BUCKETS.get(token)
     if found is None:
-        if len(_BUCKETS) > 500_000:
+        if len(_BUCKETS) >= REMEMBERED:
             _BUCKETS.clear()
         found = _BUCKETS[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
     return found
@@ -74,8 +77,20 @@ def _hashed(text: str | None, dim: int) -> np.ndarray:
 
 
 def hashed(text: Column | str, dim: int) -> Column:
-    """A bag of hashed words of unit length; a text without words has the zero vector. An Arrow-batched UDF, as encoders are."""
-    return F.pandas_udf(lambda texts: texts.map(lambda t: _hashed(t, dim)), "array<double>")(text)
+    """A bag of hashed words of unit length; a text without words has the zero vector. An Arrow-batched UDF, as encoders are.
+
+    Of a batch one text at a time is a Python object, and the vectors are one matrix, so a worker holds little beside the
+    batch itself.
+    """
+
+    @F.arrow_udf("array<double>")
+    def encode(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), dim))
+        for k, text in enumerate(texts):
+            out[k] = _hashed(text.as_py(), dim)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim, pa.int32()), pa.array(out.ravel()))
+
+    return encode(text)
 
 
 def hashed_query(text: str, dim: int) -> list[float]:

@@ -5,6 +5,7 @@ from collections import Counter
 from conftest import DATA
 from pyspark.sql import functions as F
 
+from strataframe.functions import vectors as V
 from strataframe.operators import index
 from strataframe.plans import registry, through_engine
 from strataframe.plans.views import Inputs
@@ -49,3 +50,17 @@ def test_a_store_holds_what_its_operations_read(spark, tmp_path):
     before = store.manifest()["tables"]["concept"]
     assert run["engine_hubs"](spark, str(tmp_path)).count() > 0
     assert {*store.manifest()["tables"]} == {*through_engine.GRAPH} and store.manifest()["tables"]["concept"] == before
+
+
+def test_few_tokens_are_remembered(monkeypatch):
+    monkeypatch.setattr(V, "_BUCKETS", {})
+    many = " ".join(f"t{k}" for k in range(V.REMEMBERED + 1000))
+    once = V._hashed(many, 64)
+    assert len(V._BUCKETS) <= V.REMEMBERED and (V._hashed(many, 64) == once).all()
+
+
+def test_hashed_texts_are_arrow_batches(spark):
+    texts = spark.createDataFrame(TEXTS, "id long, text string")
+    found = texts.select("id", V.hashed("text", 32).alias("v"))
+    assert "ArrowEvalPython" in plan_of(found)
+    assert {r.id: r.v for r in found.collect()} == {k: V._hashed(t, 32).tolist() for k, t in TEXTS}
